@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import gif, quality_rules, secret_scan
+from quire.llm import gif, ngram_join, quality_rules, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.judge(docs, quality_rules.references(docs)).drop("text", "lang")
@@ -49,7 +53,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op8_gif, op10_secrets)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_quality_rules, op8_gif, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
