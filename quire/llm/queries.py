@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, gif, ngram_join, quality_rules, secret_scan
+from quire.llm import chat, gif, ngram_join, pii, quality_rules, secret_scan
+
+
+#: Stands in for a secret that a deployment would read from its vault.
+PII_KEY = "quire-demonstration-key"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +20,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_read(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    count = lambda kind: F.size(F.filter("pii", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+    return pii.pseudonymise(docs, key=PII_KEY).select("doc_id", "text", *(count(k) for k in pii.KINDS))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.judge(docs, quality_rules.references(docs)).drop("text", "lang")
@@ -73,7 +83,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op3_quality_rules, op5_chat, op8_gif, op10_secrets)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_quality_rules, op5_chat, op8_gif, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
