@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, gif, ngram_join, pii, quality_rules, secret_scan
+from quire.llm import chat, classifier, gif, licenses, mixing, ngram_join, packing, pii, quality_rules, secret_scan
 
 
 #: Stands in for a secret that a deployment would read from its vault.
@@ -31,6 +31,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.references(docs)).drop("text", "lang")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mixture(_read(spark, sf_dir, "documents")).schedule()
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
@@ -51,6 +55,19 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"))
+
+
+def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    weights = classifier.train(docs, labels.where(~held_out))
+    scored = classifier.score(docs, weights)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     images = gif.encode(docs).drop("text")
@@ -69,6 +86,10 @@ def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs)
@@ -83,8 +104,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_quality_rules, op5_chat, op8_gif, op10_secrets)}
+    return {
+        f.__name__: f
+        for f in (op1_ngram_join, op2_pii, op3_quality_rules, op4_mixing, op5_chat, op6_licenses, op7_classifier, op8_gif, op9_packing, op10_secrets)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_licenses": licenses.oracle("doc_id, digest, licence, coalesce(notices, '') AS notices")}
