@@ -120,7 +120,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds `digest` (of the canonical text), `licence` (of the entire text, or null) and `notices` (licences named by lines, distinct and sorted)."""
     table = known()
     spark = docs.sparkSession
-    texts = spark.createDataFrame([(d, n) for d, n, _ in table], "_digest string, licence string")
+    texts = spark.createDataFrame([(d, n) for d, n, _ in table], "_digest string, _licence string")
     notices = F.create_map(*(F.lit(x) for d, n, _ in table for x in (d, n)))
     form = canonical(F.col(text))
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike("(?i)licen[sc]e|released under|distributed under"))
@@ -130,7 +130,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in ("digest", "licence", "notices")]
     out = docs.withColumns({"_new": F.when(F.length(form) > 0, F.sha2(form, 256)), "_found": found})
     out = out.join(F.broadcast(texts), out["_new"] == F.col("_digest"), "left")
-    return out.select(*(docs[c] for c in kept), F.col("_new").alias("digest"), "licence", F.col("_found").alias("notices"))
+    return out.select(*(docs[c] for c in kept), F.col("_new").alias("digest"), F.col("_licence").alias("licence"), F.col("_found").alias("notices"))
 
 
 def oracle(columns: str) -> str:
