@@ -7,22 +7,23 @@ returned is the component that each document reaches over links.
 Signatures. Sizes are cut into bands so that linked sets lie in one band or in
 two neighbouring ones; each band has an instance for the pairs whose larger set
 it holds, with the largest Hamming distance k of such pairs. An instance deals
-the hashed feature domain into groups of `SPLIT` partitions. As k differences
-can't spoil all groups, linked sets agree on all but `SPARE` partitions of
-`SLACK` + 1 groups at least; each subset of SPLIT - SPARE partitions of a group
-gives a signature. A subset without features would be shared by unrelated sets
-and gives none; a set with too many such groups is dealt anew with another
-seed, level by level, and so is each partner that could be missed. No link is
-lost.
+the hashed feature domain into groups of partitions. As k differences can't
+spoil all groups, linked sets agree on all but `spare` partitions of slack + 1
+groups at least; each subset of that many partitions of a group gives a
+signature. A subset without features would be shared by unrelated sets and
+gives none; a set with more such groups than the slack is dealt anew with
+another seed, level by level, and so is each partner that could be missed. No
+link is lost.
 
 Work. Copies are folded by a digest of their sets. Signatures are packed by
 the block of their hash range, and sets that share one are joined to the least
 of them, in each batch before the shuffle and then in each block: a signature
 that a third of all rows share reaches a block once from each batch. The
-components of these candidate pairs are closed under links. A small one is
-resolved exactly in one task; a large one in salted chunks against a few
-pivots, and then against all documents outside its largest part, in blocks.
-No pairs of a group are emitted.
+components of these candidate pairs are closed under links. Members of a large
+one get more selective signatures, which take it apart unless it is alike. A
+small one is resolved exactly in one task; one that is still large in salted
+chunks against a few pivots, and then against all documents outside its largest
+part, in blocks. No pairs of a group are emitted.
 
 Defined results: null and empty texts, and texts without words, have no
 n-grams and link with nothing; a row without an id has a null component; rows
@@ -32,6 +33,7 @@ that share an id share a component. Other columns don't matter.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -44,23 +46,27 @@ from quire.llm.graph import components
 from quire.llm.kernel import Words, mix, pieces, shingle_sets
 from quire.llm.workspace import Workspace
 
-SPLIT, SPARE, SLACK, LEVELS = 3, 1, 1, 8
+#: (partitions of a group, partitions that may differ): the first is tried on all, the next on members of large candidate groups.
+SCHEMES = ((3, 1), (5, 2))
+LEVELS = 8
 #: Signatures that are sorted at once, and that a block receives, about.
-FLUSH, BLOCK = 1 << 20, 1_500_000
+FLUSH, BLOCK = 1 << 19, 1_500_000
 #: A candidate group beyond either is resolved by many tasks.
-GROUP_DOCS, GROUP_FEATURES = 1500, 3_000_000
-PIVOTS, CHUNK, QUERIES = 48, 1500, 256
+GROUP_DOCS, GROUP_FEATURES = 20_000, 4_000_000
+#: Pivots of a large group; features of its members, and of the documents they are compared with, in one task.
+PIVOTS, CHUNK, QUERIES = 48, 2_000_000, 1_000_000
 #: Rows (16 bytes each) up to which a side is broadcast, after it has been counted.
 BROADCAST_ROWS = 1_000_000
 
-_SUBSETS = np.array([[i in c for c in combinations(range(SPLIT), SPLIT - SPARE)] for i in range(SPLIT)], float)
-
 
 class Bands:
-    """Bands of set sizes for a similarity."""
+    """Bands of set sizes for a similarity, and the groups that a scheme of signatures has in each."""
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, scheme: tuple[int, int] = SCHEMES[0]):
         self.percent, self.first, self.last = percent, [1], [100 // percent]
+        self.split, self.spare = scheme
+        self.subsets = np.array([[i in c for c in combinations(range(self.split), self.split - self.spare)] for i in range(self.split)], float)
+        self._groups: dict[int, tuple[int, int]] = {}
 
     def of(self, size: int) -> int:
         while self.last[-1] < size:
@@ -79,6 +85,23 @@ class Bands:
                 out.append((j, k))
         return out
 
+    def groups(self, instance: int, k: int) -> tuple[int, int]:
+        """(groups, slack) of an instance: the slack that lets a set of common size expect the fewest signatures over all levels."""
+        if instance not in self._groups:
+            least = k // (self.spare + 1) + 1
+            best = (math.inf, least, 0)
+            for slack in range(1, least // 3 + 8, max(1, least // 64)):
+                groups = least + slack
+                held = self.first[instance] / groups * (self.split - self.spare) / self.split
+                thin = groups * min(1.0, self.subsets.shape[1] * math.exp(-held))
+                inside = term = math.exp(-thin)
+                for i in range(1, slack + 1):
+                    term *= thin / i
+                    inside += term
+                best = min(best, (groups / max(inside, 1e-9), groups, slack))
+            self._groups[instance] = best[1:]
+        return self._groups[instance]
+
 
 def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
     """64-bit signatures of a set of hashed features."""
@@ -86,19 +109,19 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
     high = (features >> np.uint64(24) & np.uint64(0xFFFFFF)).astype(float)
     out = []
     for instance, k in bands.instances(len(features)):
-        groups = k // (SPARE + 1) + 1 + SLACK
-        parts = groups * SPLIT
+        groups, slack = bands.groups(instance, k)
+        parts = groups * bands.split
         for level in range(LEVELS):
             seed = mix(np.array([instance * LEVELS + level + 1], np.uint64))
             part = (mix(features ^ seed) >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)
             part = part.astype(np.int64)
-            count, a, b = (np.bincount(part, weights=w, minlength=parts).reshape(groups, SPLIT) @ _SUBSETS for w in (None, low, high))
+            count, a, b = (np.bincount(part, weights=w, minlength=parts).reshape(groups, bands.split) @ bands.subsets for w in (None, low, high))
             value = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(b.astype(np.uint64))
             value = mix(value ^ mix(np.arange(value.size, dtype=np.uint64).reshape(value.shape) + seed * np.uint64(3)))
             full = count > 0
             last = level == LEVELS - 1
             out.append(value.reshape(-1) if last else value[full])
-            if int((~full).any(axis=1).sum()) <= SLACK:
+            if int((~full).any(axis=1).sum()) <= slack:
                 break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -160,14 +183,21 @@ def _pack(values: np.ndarray, nodes: np.ndarray, blocks: int) -> pa.RecordBatch:
     return _packed(*rows)
 
 
-def _enumerate(size: int, percent: int, blocks: int):
+def _held(column: pa.Array, _: int) -> Iterator[tuple[int, np.ndarray]]:
+    for k, features in enumerate(column):
+        yield k, np.frombuffer(features.as_buffer(), np.uint64)
+
+
+def _enumerate(sets, size: int, percent: int, scheme: tuple[int, int], blocks: int):
+    """Packs the signatures of (doc_id, text or features); `sets` reads the second column."""
+
     def run(batches):
-        bands = Bands(percent)
+        bands = Bands(percent, scheme)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             seen: set[bytes] = set()
             values, nodes, held = [], [], 0
-            for row, features in _sets(batch.column(1), size):
+            for row, features in sets(batch.column(1), size):
                 if ids[row] is None or not len(features):
                     continue
                 digest = hashlib.blake2b(features.tobytes(), digest_size=16).digest()
@@ -318,7 +348,7 @@ def _sized(frame: DataFrame, rows: int) -> DataFrame:
 
 def _large_groups(work: Workspace, sets: DataFrame, large: DataFrame, n_large: int, percent: int) -> DataFrame:
     """(node, component) of the members of large groups."""
-    members = work.table(sets.join(_sized(large, n_large), "gid").withColumn("salts", F.ceil(F.col("docs") / CHUNK)))
+    members = work.table(sets.join(_sized(large, n_large), "gid").withColumn("salts", F.ceil(F.col("weight") / CHUNK)))
     few = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.lit(1), F.floor(F.col("docs") / PIVOTS))) == 0
     one = F.lit(1).alias("blocks")
     columns = ["gid", "doc_id", "features", "salts"]
@@ -330,7 +360,7 @@ def _large_groups(work: Workspace, sets: DataFrame, large: DataFrame, n_large: i
     main = sizes.groupBy("gid").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
     open_ = part.join(_sized(main, n_large), "gid").where("component <> main").select("doc_id").distinct()
     rest = members.where(~few).join(open_, "doc_id", "left_semi")
-    counts = work.table(rest.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).alias("blocks")))
+    counts = work.table(rest.groupBy("gid").agg(F.ceil(F.sum("n") / QUERIES).alias("blocks")))
     n_open = counts.count()
     if n_open:
         side = _sized(counts, n_open)
@@ -357,14 +387,16 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     total = profile.agg(F.sum("n")).first()[0] or 0
     work.drop(profile)
 
-    blocks = min(1 << 20, max(32, total * 6 // 10 // BLOCK))
-    packed = rows.mapInArrow(_enumerate(size, percent, blocks), _PACKED)
-    pairs = packed.groupBy("block").applyInArrow(_candidates, "a long, b long").distinct()
     alias = named.where("rep <> doc_id").select("doc_id", "rep").distinct()
-    for c in ("a", "b"):
-        pairs = pairs.join(alias.withColumnRenamed("doc_id", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
-    groups = work.table(components(work, pairs.select("a", "b")).select(F.col("node").alias("doc_id"), F.col("component").alias("gid")))
-    active = groups.count()
+
+    def grouped(rows: DataFrame, sets, scheme: tuple[int, int], features: int, copies: bool) -> DataFrame:
+        """(doc_id, gid): the components of candidate pairs of the rows (doc_id, text or features)."""
+        blocks = min(1 << 20, max(32, features * 6 // 10 // BLOCK))
+        packed = rows.mapInArrow(_enumerate(sets, size, percent, scheme, blocks), _PACKED)
+        pairs = packed.groupBy("block").applyInArrow(_candidates, "a long, b long").distinct()
+        for c in ("a", "b") if copies else ():
+            pairs = pairs.join(alias.withColumnRenamed("doc_id", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
+        return work.table(components(work, pairs.select("a", "b")).select(F.col("node").alias("doc_id"), F.col("component").alias("gid")))
 
     def features(batches):
         for batch in batches:
@@ -372,17 +404,28 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             found = [x for _, x in _sets(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([gids, ids, pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["gid", "doc_id", "n", "features"])
 
+    groups = grouped(rows, _sets, SCHEMES[0], total, True)
     # A representative's text; another row with its id may differ, and then counts as well.
-    sets = work.table(rows.join(_sized(groups, active), "doc_id").select("doc_id", "text", "gid").mapInArrow(features, "gid long, doc_id long, n long, features binary"))
-    weights = sets.groupBy("gid").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
-    large = work.table(weights.where((F.col("docs") > GROUP_DOCS) | (F.col("weight") > GROUP_FEATURES)))
-    n_large, held = large.count(), sets.agg(F.sum("n")).first()[0] or 0
-    bins = max(8, held // 1_000_000)
-    small = sets.join(_sized(large.select("gid"), n_large), "gid", "left_anti") if n_large else sets
-    found = small.withColumn("bin", F.pmod(F.xxhash64("gid"), F.lit(bins))).groupBy("bin").applyInArrow(_resolve(percent), "node long, component long")
-    if n_large:
-        found = found.union(_large_groups(work, sets, large, n_large, percent))
-    found = work.table(found)
-    work.drop(sets)
-    found = found.groupBy("node").agg(F.min("component").alias("component"))
-    return named.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    sets = work.table(rows.join(_sized(groups, groups.count()), "doc_id").select("doc_id", "text", "gid").mapInArrow(features, "gid long, doc_id long, n long, features binary"))
+    found = None
+    for scheme in (*SCHEMES[1:], None):
+        weights = sets.groupBy("gid").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
+        large = work.table(weights.where((F.col("docs") > GROUP_DOCS) | (F.col("weight") > GROUP_FEATURES)))
+        n_large, held = large.count(), sets.agg(F.sum("n")).first()[0] or 0
+        small = sets.join(_sized(large.select("gid"), n_large), "gid", "left_anti") if n_large else sets
+        bins = F.pmod(F.xxhash64("gid"), F.lit(max(8, held // 1_000_000)))
+        done = small.withColumn("bin", bins).groupBy("bin").applyInArrow(_resolve(percent), "node long, component long")
+        found = done if found is None else found.union(done)
+        if not n_large:
+            break
+        if scheme is None:
+            found = found.union(_large_groups(work, sets, large, n_large, percent))
+        else:
+            members = work.table(sets.join(_sized(large.select("gid"), n_large), "gid", "left_semi"))
+            again = grouped(members.select("doc_id", "features"), _held, scheme, members.agg(F.sum("n")).first()[0], False)
+            sets = work.table(members.drop("gid").join(_sized(again, again.count()), "doc_id").select("gid", "doc_id", "n", "features"))
+    found = work.table(found.groupBy("node").agg(F.min("component").alias("component")))
+    # A representative may stand for a third of all rows: its component is met in 16 places.
+    salted = found.select(F.col("node").alias("rep"), "component", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    named = named.withColumn("salt", F.pmod("doc_id", F.lit(16)).cast("int"))
+    return named.join(salted, ["rep", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

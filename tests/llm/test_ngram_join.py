@@ -73,7 +73,7 @@ def test_agrees_with_brute_force(spark, seed):
 
 def test_large_groups_agree_with_brute_force(spark, monkeypatch):
     rows = near_copies(5, 8, 80, 12)
-    for name, value in (("GROUP_DOCS", 10), ("CHUNK", 7), ("PIVOTS", 3), ("QUERIES", 5)):
+    for name, value in (("GROUP_DOCS", 10), ("CHUNK", 500), ("PIVOTS", 3), ("QUERIES", 300)):
         monkeypatch.setattr(J, name, value)
     assert {i: (n, c) for i, n, c in run(spark, rows)} == brute(rows)
 
@@ -90,9 +90,10 @@ def test_query_agrees_with_brute_force(spark, small):
     assert got == brute(docs)
 
 
-def test_every_linked_pair_shares_a_signature():
+@pytest.mark.parametrize("scheme", [(3, 1), (5, 2), (4, 1)])
+def test_every_linked_pair_shares_a_signature(scheme):
     rng = np.random.default_rng(3)
-    bands = J.Bands(85)
+    bands = J.Bands(85, scheme)
     for size in [7, 8, 11, 13, 20, 37, 80, 200, 700]:
         for _ in range(40):
             base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
