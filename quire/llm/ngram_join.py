@@ -16,14 +16,16 @@ another seed, level by level, and so is each partner that could be missed. No
 link is lost.
 
 Work. Copies are folded by a digest of their sets. Signatures are packed by
-the block of their hash range, and sets that share one are joined to the least
-of them, in each batch before the shuffle and then in each block: a signature
-that a third of all rows share reaches a block once from each batch. The
-components of these candidate pairs are closed under links. Members of a large
+the block of their hash range. Up to eight sets that share one are paired, and
+a pair is dropped if histograms of their hashed features differ by more than
+linked sets can. More sets are joined to the least of them, in each batch
+before the shuffle and then in each block, and these joints are never dropped:
+a signature that a third of all rows share reaches a block once from each
+batch. The components of pairs and joints are closed under links. Members of a large
 one get more selective signatures, which take it apart unless it is alike. A
 small one is resolved exactly in one task; one that is still large in salted
 chunks against a few pivots, and then against all documents outside its largest
-part, in blocks. No pairs of a group are emitted.
+part, in blocks. The pairs of a group are never spelt out.
 
 Defined results: null and empty texts, and texts without words, have no
 n-grams and link with nothing; a row without an id has a null component; rows
@@ -50,9 +52,13 @@ from quire.llm.workspace import Workspace
 SCHEMES = ((3, 1), (5, 2))
 LEVELS = 8
 #: Signatures that are sorted at once, and that a block receives, about.
-FLUSH, BLOCK = 1 << 19, 1_500_000
+FLUSH, BLOCK = 1 << 19, 1_000_000
+#: Documents that share a signature up to this number are paired; more are joined to the least of them.
+PAIRED = 8
+#: Cells of the sketch that bounds two sets' difference from below.
+CELLS = 64
 #: A candidate group beyond either is resolved by many tasks.
-GROUP_DOCS, GROUP_FEATURES = 20_000, 4_000_000
+GROUP_DOCS, GROUP_FEATURES = 20_000, 2_500_000
 #: Pivots of a large group; features of its members, and of the documents they are compared with, in one task.
 PIVOTS, CHUNK, QUERIES = 48, 2_000_000, 1_000_000
 #: Rows (16 bytes each) up to which a side is broadcast, after it has been counted.
@@ -140,13 +146,15 @@ def _digest(features: np.ndarray) -> tuple[int, int]:
 def _profile(size: int):
     def run(batches):
         for batch in batches:
-            ids, n, hi, lo = batch.column(0), [], [], []
+            ids, n, hi, lo, sketch = batch.column(0), [], [], [], []
             for _, features in _sets(batch.column(1), size):
                 h, w = _digest(features)
                 n.append(len(features))
                 hi.append(h)
                 lo.append(w)
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (n, hi, lo))], names=["doc_id", "n", "hi", "lo"])
+                cells = np.bincount((mix(features) >> np.uint64(58)).astype(np.int64), minlength=CELLS)
+                sketch.append(np.minimum(cells, 65535).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (n, hi, lo)), pa.array(sketch, pa.binary())], names=["doc_id", "n", "hi", "lo", "sketch"])
 
     return run
 
@@ -158,15 +166,34 @@ def _packed(blocks: list, keys: list, nodes: list, counts: list, pairs: list) ->
     return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), *(pa.array(x, pa.binary()) for x in (keys, nodes, counts, pairs))], names=["block", "keys", "nodes", "counts", "pairs"])
 
 
-def _pack(values: np.ndarray, nodes: np.ndarray, blocks: int) -> pa.RecordBatch:
-    """Joins the nodes of a signature to the least of them, and packs signature and least node by block."""
+def _buckets(values: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (value, node) by value, the place of each bucket's first one, and the buckets' sizes."""
     order = np.lexsort((nodes, values))
     values, nodes = values[order], nodes[order]
-    head = np.concatenate([[True], values[1:] != values[:-1]])
-    least = nodes[np.maximum.accumulate(np.where(head, np.arange(len(nodes)), 0))]
-    pairs = np.unique(np.stack([nodes[~head], least[~head]], axis=1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    values, nodes = values[head], nodes[head]
+    if len(values):
+        new = np.concatenate([[True], (values[1:] != values[:-1]) | (nodes[1:] != nodes[:-1])])
+        values, nodes = values[new], nodes[new]
+    head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values, nodes, head, np.diff(np.append(head, len(values)))
+
+
+def _joints(nodes: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Members of buckets beyond PAIRED, each with the least one."""
+    many = size > PAIRED
+    first, count = np.repeat(head[many], size[many]), size[many]
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    pairs = np.stack([nodes[first + step], nodes[first]], axis=1)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def _pack(values: np.ndarray, nodes: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """Packs signatures and nodes by block; of a bucket beyond PAIRED, only the least node goes on, and its joints."""
+    values, nodes, head, size = _buckets(values, nodes)
+    pairs = _joints(nodes, head, size)
+    first = np.zeros(len(values), bool)
+    first[head] = True
+    going = first | np.repeat(size <= PAIRED, size)
+    values, nodes = values[going], nodes[going]
     block = ((values >> np.uint64(40)) * np.uint64(blocks) >> np.uint64(24)).astype(np.int64)
     order = np.lexsort((nodes, block))
     values, nodes, block = values[order], nodes[order], block[order]
@@ -218,21 +245,36 @@ def _enumerate(sets, size: int, percent: int, scheme: tuple[int, int], blocks: i
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """Pairs of a block: each node with the least one that shares a signature."""
+    """Pairs and joints of a block."""
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
     values = np.zeros((len(keys), 8), np.uint8)
     values[:, :6] = keys
     values = values.view("<u8").reshape(-1)
     nodes = np.repeat(np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64), np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32))
-    order = np.lexsort((nodes, values))
-    values, nodes = values[order], nodes[order]
-    pairs = np.frombuffer(b"".join(table.column("pairs").to_pylist()), np.int64).reshape(-1, 2)
-    if len(values):
-        head = np.concatenate([[True], values[1:] != values[:-1]])
-        least = nodes[np.maximum.accumulate(np.where(head, np.arange(len(nodes)), 0))]
-        pairs = np.concatenate([pairs, np.stack([nodes[~head], least[~head]], axis=1)])
-    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    values, nodes, head, size = _buckets(values, nodes)
+    joints = [np.frombuffer(b"".join(table.column("pairs").to_pylist()), np.int64).reshape(-1, 2), _joints(nodes, head, size)]
+    joints = np.unique(np.concatenate(joints), axis=0)
+    pairs = [np.zeros((0, 2), np.int64)]
+    for count in range(2, PAIRED + 1):
+        at = head[size == count]
+        pairs += [np.stack([nodes[at + i], nodes[at + j]], axis=1) for i in range(count) for j in range(i)]
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    both = np.concatenate([joints, pairs])
+    return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "joint": pa.array(np.arange(len(both)) < len(joints))})
+
+
+def _near_enough(percent: int):
+    """Pairs whose sketches differ by no more than those of linked sets."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, sizes = batch.column(0), batch.column(1), [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
+            cells = [np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int64) for k in (4, 5)]
+            least = np.abs(cells[0] - cells[1]).sum(axis=1)
+            kept = pa.array((100 + percent) * least <= (100 - percent) * (sizes[0] + sizes[1]))
+            yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], names=["a", "b"])
+
+    return run
 
 
 class Index:
@@ -379,11 +421,11 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     work = Workspace(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    profile = work.table(rows.mapInArrow(_profile(size), "doc_id long, n long, hi long, lo long"))
+    profile = work.table(rows.mapInArrow(_profile(size), "doc_id long, n long, hi long, lo long, sketch binary"))
     copied = profile.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1")
     salted = copied.select("hi", "lo", "rep", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
     own = profile.withColumn("salt", F.when(F.col("n") > 0, F.pmod("doc_id", F.lit(16)).cast("int")))
-    named = work.table(own.join(salted, ["hi", "lo", "salt"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+    named = work.table(own.join(salted, ["hi", "lo", "salt"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "sketch"))
     total = profile.agg(F.sum("n")).first()[0] or 0
     work.drop(profile)
 
@@ -393,10 +435,16 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         """(doc_id, gid): the components of candidate pairs of the rows (doc_id, text or features)."""
         blocks = min(1 << 20, max(32, features * 6 // 10 // BLOCK))
         packed = rows.mapInArrow(_enumerate(sets, size, percent, scheme, blocks), _PACKED)
-        pairs = packed.groupBy("block").applyInArrow(_candidates, "a long, b long").distinct()
+        pairs = packed.groupBy("block").applyInArrow(_candidates, "a long, b long, joint boolean").groupBy("a", "b").agg(F.max("joint").alias("joint"))
         for c in ("a", "b") if copies else ():
             pairs = pairs.join(alias.withColumnRenamed("doc_id", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
-        return work.table(components(work, pairs.select("a", "b")).select(F.col("node").alias("doc_id"), F.col("component").alias("gid")))
+        pairs = work.table(pairs.where("a <> b"))
+        loose = pairs.where("not joint").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        for c in ("a", "b"):
+            loose = loose.join(named.where("rep = doc_id").select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+        near = loose.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near_enough(percent), "a long, b long")
+        edges = components(work, pairs.where("joint").select("a", "b").union(near))
+        return work.table(edges.select(F.col("node").alias("doc_id"), F.col("component").alias("gid")))
 
     def features(batches):
         for batch in batches:
@@ -424,7 +472,8 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             members = work.table(sets.join(_sized(large.select("gid"), n_large), "gid", "left_semi"))
             again = grouped(members.select("doc_id", "features"), _held, scheme, members.agg(F.sum("n")).first()[0], False)
             sets = work.table(members.drop("gid").join(_sized(again, again.count()), "doc_id").select("gid", "doc_id", "n", "features"))
-    found = work.table(found.groupBy("node").agg(F.min("component").alias("component")))
+    work.keep(found := work.table(found.groupBy("node").agg(F.min("component").alias("component"))), named)
+    work.clear()
     # A representative may stand for a third of all rows: its component is met in 16 places.
     salted = found.select(F.col("node").alias("rep"), "component", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
     named = named.withColumn("salt", F.pmod("doc_id", F.lit(16)).cast("int"))

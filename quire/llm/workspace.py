@@ -27,6 +27,7 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.count = spark, f"{shared_folder(spark).rstrip('/')}/quire-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
+        self.kept: list[DataFrame] = []
 
     def table(self, frame: DataFrame) -> DataFrame:
         self.count += 1
@@ -34,6 +35,7 @@ class Workspace:
         frame.write.parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         self.paths[id(out)] = path
+        self.kept.append(out)  # while it lives, no other frame has its id
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -43,3 +45,12 @@ class Workspace:
             if path := self.paths.pop(id(frame), None):
                 at = jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def keep(self, *frames: DataFrame) -> None:
+        """`clear` will leave these."""
+        for frame in frames:
+            self.paths.pop(id(frame), None)
+
+    def clear(self) -> None:
+        """Deletes all tables that are neither dropped nor kept."""
+        self.drop(*(f for f in self.kept if id(f) in self.paths))
