@@ -16,12 +16,14 @@ another seed, level by level, and so is each partner that could be missed. No
 link is lost.
 
 Work. Copies are folded by a digest of their sets. Signatures are packed by
-the block of their hash range. Up to eight sets that share one are paired, and
-a pair is dropped if histograms of their hashed features differ by more than
-linked sets can. More sets are joined to the least of them, in each batch
-before the shuffle and then in each block, and these joints are never dropped:
-a signature that a third of all rows share reaches a block once from each
-batch. The components of pairs and joints are closed under links. Members of a large
+the block of their hash range. Up to eight sets that share one are paired. Of
+more, each is first held against the least of them, and only where that fails
+all of the bucket against each other in one task. A pair stays a candidate if
+histograms of the hashed features differ by no more than linked sets can. A
+bucket beyond a bound is joined to its least set, in each batch before the
+shuffle or in its block: a signature that a third of all rows share reaches a
+block once from each batch. The components of
+candidate pairs and joints are closed under links. Members of a large
 one get more selective signatures, which take it apart unless it is alike. A
 small one is resolved exactly in one task; one that is still large in salted
 chunks against a few pivots, and then against all documents outside its largest
@@ -53,8 +55,8 @@ SCHEMES = ((3, 1), (5, 2))
 LEVELS = 8
 #: Signatures that are sorted at once, and that a block receives, about.
 FLUSH, BLOCK = 1 << 19, 1_000_000
-#: Documents that share a signature up to this number are paired; more are joined to the least of them.
-PAIRED = 8
+#: Documents that share a signature: up to PAIRED they are paired; beyond FOLDED in a batch, or MET in a block, they are joined to the least of them.
+PAIRED, FOLDED, MET = 8, 64, 4000
 #: Cells of the sketch that bounds two sets' difference from below.
 CELLS = 64
 #: A candidate group beyond either is resolved by many tasks.
@@ -177,22 +179,26 @@ def _buckets(values: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, ...]:
     return values, nodes, head, np.diff(np.append(head, len(values)))
 
 
-def _joints(nodes: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Members of buckets beyond PAIRED, each with the least one."""
-    many = size > PAIRED
-    first, count = np.repeat(head[many], size[many]), size[many]
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    pairs = np.stack([nodes[first + step], nodes[first]], axis=1)
+def _members(chosen: np.ndarray, head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all members of the chosen buckets, and of the first one of each one's bucket."""
+    first, count = np.repeat(head[chosen], size[chosen]), size[chosen]
+    return first + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), first
+
+
+def _joints(nodes: np.ndarray, head: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """Members of buckets beyond a size, each with the least one."""
+    at, first = _members(size > most, head, size)
+    pairs = np.stack([nodes[at], nodes[first]], axis=1)
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
 def _pack(values: np.ndarray, nodes: np.ndarray, blocks: int) -> pa.RecordBatch:
-    """Packs signatures and nodes by block; of a bucket beyond PAIRED, only the least node goes on, and its joints."""
+    """Packs signatures and nodes by block; of a bucket beyond FOLDED, only the least node goes on, and its joints."""
     values, nodes, head, size = _buckets(values, nodes)
-    pairs = _joints(nodes, head, size)
+    pairs = _joints(nodes, head, size, FOLDED)
     first = np.zeros(len(values), bool)
     first[head] = True
-    going = first | np.repeat(size <= PAIRED, size)
+    going = first | np.repeat(size <= FOLDED, size)
     values, nodes = values[going], nodes[going]
     block = ((values >> np.uint64(40)) * np.uint64(blocks) >> np.uint64(24)).astype(np.int64)
     order = np.lexsort((nodes, block))
@@ -244,23 +250,31 @@ def _enumerate(sets, size: int, percent: int, scheme: tuple[int, int], blocks: i
     return run
 
 
+#: Kinds of rows: two nodes, a node and its bucket, a node and the least one of its bucket.
+PAIR, MEMBER, JOINT = range(3)
+
+
 def _candidates(table: pa.Table) -> pa.Table:
-    """Pairs and joints of a block."""
+    """Pairs, members of buckets, and joints of a block."""
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
     values = np.zeros((len(keys), 8), np.uint8)
     values[:, :6] = keys
     values = values.view("<u8").reshape(-1)
     nodes = np.repeat(np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64), np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32))
     values, nodes, head, size = _buckets(values, nodes)
-    joints = [np.frombuffer(b"".join(table.column("pairs").to_pylist()), np.int64).reshape(-1, 2), _joints(nodes, head, size)]
+    joints = [np.frombuffer(b"".join(table.column("pairs").to_pylist()), np.int64).reshape(-1, 2), _joints(nodes, head, size, MET)]
     joints = np.unique(np.concatenate(joints), axis=0)
     pairs = [np.zeros((0, 2), np.int64)]
     for count in range(2, PAIRED + 1):
         at = head[size == count]
         pairs += [np.stack([nodes[at + i], nodes[at + j]], axis=1) for i in range(count) for j in range(i)]
     pairs = np.unique(np.concatenate(pairs), axis=0)
-    both = np.concatenate([joints, pairs])
-    return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "joint": pa.array(np.arange(len(both)) < len(joints))})
+    at, _ = _members((size > PAIRED) & (size <= MET), head, size)
+    block = np.array(table.column("block").to_pylist()[:1] or [0], np.uint64)
+    bucket = (values[at] | (block << np.uint64(48))).view(np.int64)  # blocks beyond 2^16 may share a name, which only widens a bucket
+    parts = (pairs[:, 0], pairs[:, 1], PAIR), (nodes[at], bucket, MEMBER), (joints[:, 0], joints[:, 1], JOINT)
+    kinds = np.concatenate([np.full(len(x), kind, np.int32) for x, _, kind in parts])
+    return pa.table({"a": pa.array(np.concatenate([x for x, *_ in parts])), "b": pa.array(np.concatenate([y for _, y, _ in parts])), "kind": pa.array(kinds)})
 
 
 def _near_enough(percent: int):
@@ -277,6 +291,27 @@ def _near_enough(percent: int):
     return run
 
 
+def _within(percent: int):
+    """Of each bucket, near pairs enough to connect all that are near; each set is held against all others."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("bucket", "ascending"), ("a", "ascending")])
+        bucket, node, n = (table.column(c).to_numpy() for c in ("bucket", "a", "n"))
+        cells = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+        out: set[tuple[int, int]] = set()
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+            held = Union(int(b - a))
+            for k in range(a, b):
+                least = np.abs(cells[a:k] - cells[k]).sum(axis=1)
+                for j in np.flatnonzero((100 + percent) * least <= (100 - percent) * (n[a:k] + n[k])).tolist():
+                    held.join(j, int(k - a))
+            out.update((int(node[a + k]), int(node[a + root])) for k in range(b - a) if (root := held.root(k)) != k)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
 class Index:
     """Inverted index of a few sets, to count what another set shares with each."""
 
@@ -435,15 +470,29 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         """(doc_id, gid): the components of candidate pairs of the rows (doc_id, text or features)."""
         blocks = min(1 << 20, max(32, features * 6 // 10 // BLOCK))
         packed = rows.mapInArrow(_enumerate(sets, size, percent, scheme, blocks), _PACKED)
-        pairs = packed.groupBy("block").applyInArrow(_candidates, "a long, b long, joint boolean").groupBy("a", "b").agg(F.max("joint").alias("joint"))
-        for c in ("a", "b") if copies else ():
-            pairs = pairs.join(alias.withColumnRenamed("doc_id", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
-        pairs = work.table(pairs.where("a <> b"))
-        loose = pairs.where("not joint").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        for c in ("a", "b"):
-            loose = loose.join(named.where("rep = doc_id").select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
-        near = loose.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near_enough(percent), "a long, b long")
-        edges = components(work, pairs.where("joint").select("a", "b").union(near))
+        found = work.table(packed.groupBy("block").applyInArrow(_candidates, "a long, b long, kind int"))
+        if copies:
+            found = found.join(alias.withColumnRenamed("doc_id", "a"), "a", "left").withColumn("a", F.coalesce("rep", "a")).drop("rep")
+        pairs, members = found.where(F.col("kind") != MEMBER), found.where(F.col("kind") == MEMBER).select("a", F.col("b").alias("bucket")).distinct()
+        if copies:
+            pairs = pairs.join(alias.withColumnRenamed("doc_id", "b"), "b", "left").withColumn("b", F.coalesce("rep", "b")).drop("rep")
+        pairs = pairs.where("a <> b").groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("kind").alias("kind"))
+        sketch = named.where("rep = doc_id").select("doc_id", "n", "sketch")
+
+        def near(rows: DataFrame) -> DataFrame:
+            for c in ("a", "b"):
+                rows = rows.join(sketch.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+            return rows.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near_enough(percent), "a long, b long")
+
+        led = work.table(members.join(members.groupBy("bucket").agg(F.min("a").alias("b")), "bucket").where("a <> b"))
+        led_pairs = led.select("a", "b").distinct()
+        close = work.table(near(led_pairs))
+        mixed = led.join(led_pairs.exceptAll(close.distinct()), ["a", "b"], "left_semi").select("bucket").distinct()
+        rows = work.table(members.join(mixed, "bucket", "left_semi").join(sketch, F.col("a") == F.col("doc_id")).select("bucket", "a", "n", "sketch"))
+        bins = F.pmod(F.xxhash64("bucket"), F.lit(max(8, rows.count() // 20_000)))
+        apart = rows.groupBy(bins.alias("bin")).applyInArrow(_within(percent), "a long, b long")
+        kept = pairs.where(F.col("kind") == JOINT).select("a", "b").union(near(pairs.where(F.col("kind") == PAIR).select("a", "b"))).union(close).union(apart)
+        edges = components(work, kept)
         return work.table(edges.select(F.col("node").alias("doc_id"), F.col("component").alias("gid")))
 
     def features(batches):

@@ -73,7 +73,7 @@ def test_agrees_with_brute_force(spark, seed):
 
 def test_large_groups_agree_with_brute_force(spark, monkeypatch):
     rows = near_copies(5, 8, 80, 12)
-    for name, value in (("GROUP_DOCS", 10), ("CHUNK", 500), ("PIVOTS", 3), ("QUERIES", 300)):
+    for name, value in (("GROUP_DOCS", 10), ("CHUNK", 500), ("PIVOTS", 3), ("QUERIES", 300), ("FOLDED", 20), ("MET", 30)):
         monkeypatch.setattr(J, name, value)
     assert {i: (n, c) for i, n, c in run(spark, rows)} == brute(rows)
 
@@ -117,3 +117,16 @@ def test_edge_rows(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_common_passages_agree_with_brute_force(spark, monkeypatch):
+    """Short texts around one passage fill buckets with sets that are and aren't alike."""
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(300):
+        words = [f"u{rng.randrange(5000)}" for _ in range(rng.choice([6, 10, 14, 40]))]
+        rows.append((k, " ".join(words[: len(words) // 2] + passage + words[len(words) // 2 :])))
+    monkeypatch.setattr(J, "PAIRED", 2)
+    assert {i: (n, c) for i, n, c in run(spark, rows)} == brute(rows)
+    assert {i: (n, c) for i, n, c in run(spark, rows, size=5, percent=80)} == brute(rows, 5, 80)
