@@ -243,11 +243,7 @@ class _Page:
 def _spans(page: _Page, text: str) -> None:
     """Running text whose formulas are set in Unicode."""
     pieces = text.split("$")
-    for k, piece in enumerate(pieces):
-        if k % 2 and k < len(pieces) - 1:
-            page.text(to_unicode(piece))
-        elif piece:
-            page.text(piece)
+    page.text("".join(to_unicode(p) if k % 2 and k < len(pieces) - 1 else p for k, p in enumerate(pieces)))
 
 
 def _item_text(children: list[Node]) -> tuple[str, list[str]]:

@@ -17,7 +17,7 @@ from quire.functions import dims
 from quire.functions.plugins import CustomFormat, Today, Url
 from quire.operators import incremental, nodes
 from quire.plans import corpus as B
-from quire.sources import files
+from quire.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -550,6 +550,18 @@ def format_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.crossJoin(F.broadcast(formats)).select("region", "format", F.concat(C.stem(F.col("path")), F.lit("."), F.col("extension")).alias("file"))
 
 
+@query("SELECT o_orderkey::BIGINT AS o, (CASE WHEN o_orderkey % 5 = 0 THEN 6 ELSE 5 END)::BIGINT AS element_count, 'Order ' || o_orderkey || ' \\emph{of} note' AS title, CASE WHEN o_orderkey % 5 = 0 THEN 'D' ELSE 'C' END || o_custkey AS author FROM orders")
+def intermediate_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.meta(B.order_meta(spark, sf_dir)).withColumnRenamed("doc_id", "o")
+
+
+@query("SELECT f.format, count(*) AS n FROM region, (VALUES ('html'), ('docx'), ('epub'), ('txt')) f(format) WHERE r_regionkey IN (SELECT n_regionkey FROM nation) GROUP BY 1")
+def output_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in every format, parsed once."""
+    made = sinks.outputs(B.nation_tables(spark, sf_dir), ("html", "docx", "epub", "txt"))
+    return made.where("octet_length(content) > 0").groupBy("format").agg(F.count("*").alias("n"))
+
+
 # completion, state, plugins
 
 _COMMANDS = ", ".join(f"('{n}')" for n, _ in dims.COMPLETIONS)
@@ -562,6 +574,17 @@ def completion_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(F.broadcast(table), F.startswith(F.col("name"), F.col("prefix"))).select("prefix", "name")
 
 
+@query("SELECT n_nationkey::BIGINT AS n, e.name FROM nation, (VALUES ('tabular'), ('table')) e(name) UNION ALL SELECT -1 - n_nationkey, c.name FROM nation, (VALUES ('textbf'), ('textit'), ('texttt'), ('textcolor')) c(name)")
+def completion_at_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Environments or commands, by what stands before the cursor."""
+    from quire.functions import analysis
+
+    n = B.read(spark, sf_dir, "nation")
+    docs = n.select(F.col("n_nationkey").cast("long").alias("n"), B.cat(F.col("n_name"), " \\begin{ta").alias("tex"))
+    docs = docs.union(n.select((-1 - F.col("n_nationkey")).cast("long"), B.cat("\\begin{a}é", F.col("n_name"), " \\text")))
+    return nodes.rows_of(docs, lambda s: [(c[0],) for c in analysis.completions(s, len(s.encode()))], T.StructType([T.StructField("name", T.StringType())]), keys=("n",))
+
+
 @query("SELECT n_nationkey::BIGINT AS n, '`\\section` — Section heading' AS hover FROM nation")
 def hover_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.functions import analysis

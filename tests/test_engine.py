@@ -90,3 +90,28 @@ def test_files_on_disk(spark, tmp_path):
 def test_filters_reach_the_scan(spark, small):
     plan = catalogue.QUERIES["brace_balance"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "url" not in plan.split("ReadSchema")[1]
+
+
+def test_sinks(spark, small, tmp_path):
+    from quire.sources import sinks
+
+    docs = B.nation_tables(spark, small)
+    sinks.write_outputs(docs, f"file://{tmp_path}/out", ("html", "txt"))
+    sinks.write_intermediates(docs, f"file://{tmp_path}/between")
+    assert spark.read.parquet(f"file://{tmp_path}/out").where("format = 'txt'").count() == docs.count()
+    assert spark.read.json(f"file://{tmp_path}/between/meta").count() == docs.count()
+    with pytest.raises(ValueError):
+        sinks.outputs(docs, ("pdf",))
+
+
+def test_single_sources(tmp_path):
+    from quire import __main__, api
+
+    assert b"<strong>b</strong>" in api.convert_string("\\textbf{b}") and api.format_name("HTM") == "html"
+    assert api.convert_string("\\section{a}", api.Options("word"))[:2] == b"PK"
+    with pytest.raises(api.UnsupportedFormat):
+        api.convert_string("a", api.Options("pdf"))
+    (tmp_path / "a.tex").write_text("\\def\\x{1}\\x")
+    assert __main__.main([str(tmp_path / "a.tex"), "--format", "html,txt", "--output", str(tmp_path), "--keep-intermediate"]) == 0
+    assert (tmp_path / "a.txt").read_text() == "1" and (tmp_path / "a.expanded.tex").read_text() == "1"
+    assert __main__.main([str(tmp_path / "none.tex"), "--output", str(tmp_path)]) == 1
