@@ -34,7 +34,7 @@ def test_scores_agree_with_plain_sums(spark):
 
 def test_features_count_words_and_pairs():
     sizes = [len(i) for i, _ in classifier.features(pa.array(["one", "one two", "one one", "", "é É"]))]
-    assert sizes == [2, 5, 5, 0, 6] or sizes[:4] == [2, 5, 5, 0]
+    assert sizes[:4] == [2, 5, 5, 0]
 
 
 def test_nothing_to_learn(spark):
