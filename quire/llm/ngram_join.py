@@ -250,7 +250,7 @@ def _enumerate(sets, size: int, percent: int, scheme: tuple[int, int], blocks: i
     return run
 
 
-#: Kinds of rows: two nodes, a node and its bucket, a node and the least one of its bucket.
+#: Kinds of rows: two nodes; a node, the least one of its bucket, and the bucket; a node and the least one of a bucket that is too large.
 PAIR, MEMBER, JOINT = range(3)
 
 
@@ -269,12 +269,13 @@ def _candidates(table: pa.Table) -> pa.Table:
         at = head[size == count]
         pairs += [np.stack([nodes[at + i], nodes[at + j]], axis=1) for i in range(count) for j in range(i)]
     pairs = np.unique(np.concatenate(pairs), axis=0)
-    at, _ = _members((size > PAIRED) & (size <= MET), head, size)
+    at, first = _members((size > PAIRED) & (size <= MET), head, size)
     block = np.array(table.column("block").to_pylist()[:1] or [0], np.uint64)
     bucket = (values[at] | (block << np.uint64(48))).view(np.int64)  # blocks beyond 2^16 may share a name, which only widens a bucket
-    parts = (pairs[:, 0], pairs[:, 1], PAIR), (nodes[at], bucket, MEMBER), (joints[:, 0], joints[:, 1], JOINT)
+    parts = (pairs[:, 0], pairs[:, 1], PAIR), (nodes[at], nodes[first], MEMBER), (joints[:, 0], joints[:, 1], JOINT)
     kinds = np.concatenate([np.full(len(x), kind, np.int32) for x, _, kind in parts])
-    return pa.table({"a": pa.array(np.concatenate([x for x, *_ in parts])), "b": pa.array(np.concatenate([y for _, y, _ in parts])), "kind": pa.array(kinds)})
+    buckets = np.concatenate([np.zeros(len(pairs), np.int64), bucket, np.zeros(len(joints), np.int64)])
+    return pa.table({"a": pa.array(np.concatenate([x for x, *_ in parts])), "b": pa.array(np.concatenate([y for _, y, _ in parts])), "bucket": pa.array(buckets), "kind": pa.array(kinds)})
 
 
 def _near_enough(percent: int):
@@ -470,28 +471,26 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         """(doc_id, gid): the components of candidate pairs of the rows (doc_id, text or features)."""
         blocks = min(1 << 20, max(32, features * 6 // 10 // BLOCK))
         packed = rows.mapInArrow(_enumerate(sets, size, percent, scheme, blocks), _PACKED)
-        found = work.table(packed.groupBy("block").applyInArrow(_candidates, "a long, b long, kind int"))
-        if copies:
-            found = found.join(alias.withColumnRenamed("doc_id", "a"), "a", "left").withColumn("a", F.coalesce("rep", "a")).drop("rep")
-        pairs, members = found.where(F.col("kind") != MEMBER), found.where(F.col("kind") == MEMBER).select("a", F.col("b").alias("bucket")).distinct()
-        if copies:
-            pairs = pairs.join(alias.withColumnRenamed("doc_id", "b"), "b", "left").withColumn("b", F.coalesce("rep", "b")).drop("rep")
-        pairs = pairs.where("a <> b").groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("kind").alias("kind"))
-        sketch = named.where("rep = doc_id").select("doc_id", "n", "sketch")
-
-        def near(rows: DataFrame) -> DataFrame:
-            for c in ("a", "b"):
-                rows = rows.join(sketch.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
-            return rows.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near_enough(percent), "a long, b long")
-
-        led = work.table(members.join(members.groupBy("bucket").agg(F.min("a").alias("b")), "bucket").where("a <> b"))
-        led_pairs = led.select("a", "b").distinct()
-        close = work.table(near(led_pairs))
-        mixed = led.join(led_pairs.exceptAll(close.distinct()), ["a", "b"], "left_semi").select("bucket").distinct()
-        rows = work.table(members.join(mixed, "bucket", "left_semi").join(sketch, F.col("a") == F.col("doc_id")).select("bucket", "a", "n", "sketch"))
+        found = work.table(packed.groupBy("block").applyInArrow(_candidates, "a long, b long, bucket long, kind int"))
+        pairs = found.where("a <> b").groupBy("a", "b").agg(F.max(F.when(F.col("kind") == MEMBER, -1).otherwise(F.col("kind"))).alias("kind"), F.max(F.col("kind") == MEMBER).alias("led"))
+        pairs = work.table(pairs)
+        loose = pairs.where(F.col("kind") != JOINT)
+        asked = work.table(loose.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        sketch = work.table(named.select("doc_id", "n", "sketch").join(_sized(asked, asked.count()), "doc_id", "left_semi"))
+        for c in ("a", "b"):
+            loose = loose.join(sketch.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+        near = work.table(loose.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near_enough(percent), "a long, b long"))
+        # Buckets whose least set is far from one of theirs.
+        far = work.table(pairs.where("led").select("a", "b").join(near, ["a", "b"], "left_anti"))
+        members = found.where(F.col("kind") == MEMBER)
+        mixed = work.table(members.join(_sized(far, far.count()), ["a", "b"], "left_semi").select("bucket").distinct())
+        rows = members.join(_sized(mixed, mixed.count()), "bucket", "left_semi").join(sketch, F.col("a") == F.col("doc_id"))
+        rows = work.table(rows.select("bucket", "a", "n", "sketch"))
         bins = F.pmod(F.xxhash64("bucket"), F.lit(max(8, rows.count() // 20_000)))
         apart = rows.groupBy(bins.alias("bin")).applyInArrow(_within(percent), "a long, b long")
-        kept = pairs.where(F.col("kind") == JOINT).select("a", "b").union(near(pairs.where(F.col("kind") == PAIR).select("a", "b"))).union(close).union(apart)
+        kept = pairs.where(F.col("kind") == JOINT).select("a", "b").union(near).union(apart).distinct()
+        for c in ("a", "b") if copies else ():
+            kept = kept.join(alias.withColumnRenamed("doc_id", c), c, "left").withColumn(c, F.coalesce("rep", c)).select("a", "b")
         edges = components(work, kept)
         return work.table(edges.select(F.col("node").alias("doc_id"), F.col("component").alias("gid")))
 
