@@ -538,8 +538,7 @@ def _entries(content: bytes) -> str:
 def packaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), B.cat("\\title{T}\\section{", F.col("n_name"), "} Text.").alias("tex"))
     made = [nodes.packaged(docs, form).withColumn("format", F.lit(form)) for form in ("docx", "epub")]
-    names = F.udf(_entries, T.StringType())
-    return made[0].unionByName(made[1]).select("format", names("content").alias("entries")).groupBy("format", "entries").agg(F.count("*").alias("n"))
+    return nodes.mapped(made[0].unionByName(made[1]), _entries, "entries", T.StringType(), "content", ("format",)).groupBy("format", "entries").agg(F.count("*").alias("n"))
 
 
 @query("SELECT r_regionkey::BIGINT AS region, f.format, r_regionkey || '.' || f.extension AS file FROM region, (VALUES ('pdf', 'pdf'), ('html', 'html'), ('docx', 'docx'), ('epub', 'epub')) f(format, extension)")
