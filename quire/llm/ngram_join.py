@@ -57,8 +57,8 @@ LEVELS = 8
 FLUSH, BLOCK = 1 << 19, 1_000_000
 #: Documents that share a signature: up to PAIRED they are paired; beyond FOLDED in a batch, or MET in a block, they are joined to the least of them.
 PAIRED, FOLDED, MET = 8, 64, 4000
-#: Cells of the sketch that bounds two sets' difference from below.
-CELLS = 64
+#: Fewest cells of the sketch that bounds two sets' difference from below, and features to a cell, about.
+CELLS, CELL = 64, 8
 #: A candidate group beyond either is resolved by many tasks.
 GROUP_DOCS, GROUP_FEATURES = 20_000, 2_500_000
 #: Pivots of a large group; features of its members, and of the documents they are compared with, in one task.
@@ -145,6 +145,18 @@ def _digest(features: np.ndarray) -> tuple[int, int]:
     return int(raw[0]), int(raw[1])
 
 
+def _sketch(features: np.ndarray) -> bytes:
+    """Counts of the features by the first bits of a hash; more cells for larger sets, as chance evens out large counts."""
+    bits = max(CELLS.bit_length() - 1, (len(features) // CELL).bit_length())
+    cells = np.bincount((mix(features) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(cells, 65535).astype("<u2").tobytes()
+
+
+def _folded(sketch: bytes, cells: int) -> np.ndarray:
+    """A sketch with fewer cells."""
+    return np.frombuffer(sketch, "<u2").astype(np.int32).reshape(cells, -1).sum(axis=1)
+
+
 def _profile(size: int):
     def run(batches):
         for batch in batches:
@@ -154,8 +166,7 @@ def _profile(size: int):
                 n.append(len(features))
                 hi.append(h)
                 lo.append(w)
-                cells = np.bincount((mix(features) >> np.uint64(58)).astype(np.int64), minlength=CELLS)
-                sketch.append(np.minimum(cells, 65535).astype("<u2").tobytes())
+                sketch.append(_sketch(features))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (n, hi, lo)), pa.array(sketch, pa.binary())], names=["doc_id", "n", "hi", "lo", "sketch"])
 
     return run
@@ -284,8 +295,10 @@ def _near_enough(percent: int):
     def run(batches):
         for batch in batches:
             a, b, sizes = batch.column(0), batch.column(1), [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
-            cells = [np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int64) for k in (4, 5)]
-            least = np.abs(cells[0] - cells[1]).sum(axis=1)
+            least = np.zeros(len(a), np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                cells = min(len(x), len(y)) // 2
+                least[k] = np.abs(_folded(x, cells) - _folded(y, cells)).sum()
             kept = pa.array((100 + percent) * least <= (100 - percent) * (sizes[0] + sizes[1]))
             yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], names=["a", "b"])
 
@@ -298,13 +311,15 @@ def _within(percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("bucket", "ascending"), ("a", "ascending")])
         bucket, node, n = (table.column(c).to_numpy() for c in ("bucket", "a", "n"))
-        cells = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
+        sketches = table.column("sketch").to_pylist()
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
         out: set[tuple[int, int]] = set()
         for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
             held = Union(int(b - a))
+            fewest = min(map(len, sketches[a:b])) // 2
+            cells = np.stack([_folded(x, fewest) for x in sketches[a:b]])
             for k in range(a, b):
-                least = np.abs(cells[a:k] - cells[k]).sum(axis=1)
+                least = np.abs(cells[: k - a] - cells[k - a]).sum(axis=1)
                 for j in np.flatnonzero((100 + percent) * least <= (100 - percent) * (n[a:k] + n[k])).tolist():
                     held.join(j, int(k - a))
             out.update((int(node[a + k]), int(node[a + root])) for k in range(b - a) if (root := held.root(k)) != k)
@@ -461,7 +476,7 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     copied = profile.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1")
     salted = copied.select("hi", "lo", "rep", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
     own = profile.withColumn("salt", F.when(F.col("n") > 0, F.pmod("doc_id", F.lit(16)).cast("int")))
-    named = work.table(own.join(salted, ["hi", "lo", "salt"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "sketch"))
+    named = work.table(own.join(salted.hint("merge"), ["hi", "lo", "salt"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "sketch"))
     total = profile.agg(F.sum("n")).first()[0] or 0
     work.drop(profile)
 
@@ -522,7 +537,8 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             sets = work.table(members.drop("gid").join(_sized(again, again.count()), "doc_id").select("gid", "doc_id", "n", "features"))
     work.keep(found := work.table(found.groupBy("node").agg(F.min("component").alias("component"))), named)
     work.clear()
-    # A representative may stand for a third of all rows: its component is met in 16 places.
+    # A representative may stand for a third of all rows: its component is met in 16 places. Copies of it
+    # outgrow what Spark expects of the small table, so that it isn't to broadcast them.
     salted = found.select(F.col("node").alias("rep"), "component", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
     named = named.withColumn("salt", F.pmod("doc_id", F.lit(16)).cast("int"))
-    return named.join(salted, ["rep", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return named.join(salted.hint("merge"), ["rep", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
