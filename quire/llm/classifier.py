@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.kernel import Words, mix, pieces
+from quire.llm.kernel import Words, give_back, mix, pieces
 
 BITS = 18
 MAX_ROWS = 6000
@@ -109,6 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         held.sort(key=lambda r: r[:3])
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([ftrl([r[3:] for r in held]).tobytes()], pa.binary())], names=["weights"])
+            held.clear()
+        give_back()
 
     got = rows.coalesce(1).mapInArrow(learn, "weights binary").collect()
     return np.frombuffer(bytes(got[0]["weights"]), np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
@@ -131,5 +133,6 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
             sums = np.array([dense[index] @ value for index, value in features(batch.column(batch.schema.get_field_index(text)))])
             old = [batch.column(batch.schema.get_field_index(c)).cast(target.field(c).type) for c in kept]
             yield pa.RecordBatch.from_arrays([*old, pa.array(1 / (1 + np.exp(-(sums + bias))), pa.float64())], schema=target)
+        give_back()
 
     return docs.mapInArrow(run, schema)

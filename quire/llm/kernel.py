@@ -7,6 +7,7 @@ text, without decoding it.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,14 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker that waits for its next task needs none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit integers."""
     x = x ^ (x >> np.uint64(30))

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.graph import components
-from quire.llm.kernel import Words, mix, pieces, shingle_sets
+from quire.llm.kernel import Words, give_back, mix, pieces, shingle_sets
 from quire.llm.workspace import Workspace
 
 #: (partitions of a group, partitions that may differ): the first is tried on all, the next on members of large candidate groups.
@@ -60,9 +60,9 @@ PAIRED, FOLDED, MET = 8, 64, 4000
 #: Fewest cells of the sketch that bounds two sets' difference from below, and features to a cell, about.
 CELLS, CELL = 64, 8
 #: A candidate group beyond either is resolved by many tasks.
-GROUP_DOCS, GROUP_FEATURES = 20_000, 2_500_000
+GROUP_DOCS, GROUP_FEATURES = 20_000, 1_000_000
 #: Pivots of a large group; features of its members, and of the documents they are compared with, in one task.
-PIVOTS, CHUNK, QUERIES = 48, 2_000_000, 1_000_000
+PIVOTS, CHUNK, QUERIES = 48, 500_000, 300_000
 #: Rows (16 bytes each) up to which a side is broadcast, after it has been counted.
 BROADCAST_ROWS = 1_000_000
 
@@ -168,6 +168,7 @@ def _profile(size: int):
                 lo.append(w)
                 sketch.append(_sketch(features))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (n, hi, lo)), pa.array(sketch, pa.binary())], names=["doc_id", "n", "hi", "lo", "sketch"])
+        give_back()
 
     return run
 
@@ -257,6 +258,7 @@ def _enumerate(sets, size: int, percent: int, scheme: tuple[int, int], blocks: i
                     values, nodes, held = [], [], 0
             if held:
                 yield _pack(np.concatenate(values), np.concatenate(nodes), blocks)
+        give_back()
 
     return run
 
@@ -286,6 +288,7 @@ def _candidates(table: pa.Table) -> pa.Table:
     parts = (pairs[:, 0], pairs[:, 1], PAIR), (nodes[at], nodes[first], MEMBER), (joints[:, 0], joints[:, 1], JOINT)
     kinds = np.concatenate([np.full(len(x), kind, np.int32) for x, _, kind in parts])
     buckets = np.concatenate([np.zeros(len(pairs), np.int64), bucket, np.zeros(len(joints), np.int64)])
+    give_back()
     return pa.table({"a": pa.array(np.concatenate([x for x, *_ in parts])), "b": pa.array(np.concatenate([y for _, y, _ in parts])), "bucket": pa.array(buckets), "kind": pa.array(kinds)})
 
 
@@ -323,6 +326,7 @@ def _within(percent: int):
                 for j in np.flatnonzero((100 + percent) * least <= (100 - percent) * (n[a:k] + n[k])).tolist():
                     held.join(j, int(k - a))
             out.update((int(node[a + k]), int(node[a + root])) for k in range(b - a) if (root := held.root(k)) != k)
+        give_back()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -399,6 +403,7 @@ def _resolve(percent: int):
                 roots = [held.root(k) for k in range(len(members))]
             docs += [doc for doc, _ in members]
             least += [members[root][0] for root in roots]
+        give_back()
         return pa.table({"node": pa.array(docs, pa.int64()), "component": pa.array(least, pa.int64())})
 
     return run
@@ -511,9 +516,11 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
     def features(batches):
         for batch in batches:
-            ids, gids = batch.column(0), batch.column(2)
-            found = [x for _, x in _sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([gids, ids, pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["gid", "doc_id", "n", "features"])
+            for first in range(0, batch.num_rows, 500):
+                ids, texts, gids = batch.slice(first, 500).columns
+                found = [x for _, x in _sets(texts, size)]
+                yield pa.RecordBatch.from_arrays([gids, ids, pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["gid", "doc_id", "n", "features"])
+        give_back()
 
     groups = grouped(rows, _sets, SCHEMES[0], total, True)
     # A representative's text; another row with its id may differ, and then counts as well.
@@ -524,7 +531,7 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         large = work.table(weights.where((F.col("docs") > GROUP_DOCS) | (F.col("weight") > GROUP_FEATURES)))
         n_large, held = large.count(), sets.agg(F.sum("n")).first()[0] or 0
         small = sets.join(_sized(large.select("gid"), n_large), "gid", "left_anti") if n_large else sets
-        bins = F.pmod(F.xxhash64("gid"), F.lit(max(8, held // 1_000_000)))
+        bins = F.pmod(F.xxhash64("gid"), F.lit(max(8, held // 500_000)))
         done = small.withColumn("bin", bins).groupBy("bin").applyInArrow(_resolve(percent), "node long, component long")
         found = done if found is None else found.union(done)
         if not n_large:

@@ -152,7 +152,8 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokens=count_
     before = F.coalesce(F.sum("n").over(Window.partitionBy("n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = pieces.where("n_tokens > 0").withColumn("part", part)
     ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("n_tokens", "part").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(sums.select("n_tokens", "part", before.alias("before")), ["n_tokens", "part"])
+    # A merge join needs no shuffle here, and what it joins grows with the corpus.
+    ranked = ranked.join(sums.select("n_tokens", "part", before.alias("before")).hint("merge"), ["n_tokens", "part"])
     ranked = ranked.select("doc_id", "piece", "first_token", "n_tokens", (F.col("before") + F.col("k")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
