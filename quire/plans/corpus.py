@@ -10,6 +10,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores, dealt over all of them; larger scans stay as they are, unshuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def cat(*parts: str | Column) -> Column:
     """Literal strings and columns (as text) one after another."""
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
@@ -104,7 +110,7 @@ def nation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each part a document with a theorem, notes, code, a figure and links."""
-    p = read(spark, sf_dir, "part")
+    p = spread(read(spark, sf_dir, "part"))
     key, name = F.col("p_partkey"), F.col("p_name")
     text = cat(
         whole("\\begin{")[0], F.when(key % 2 == 0, "theorem").otherwise("lemma"), "}[", name, "]\nEvery part of size ", F.col("p_size"), " is \\emph{small}.\n\\end{",
@@ -117,14 +123,14 @@ def part_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def macro_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer definitions of all kinds, and calls of them."""
-    c = read(spark, sf_dir, "customer")
+    c = spread(read(spark, sf_dir, "customer"))
     text = cat("\\newcommand{\\seg}[2]{#1 in #2}\\def\\key#1{[#1]}\\let\\again\\key\\providecommand{\\seg}{no}\\seg{", F.col("c_name"), "}{", F.col("c_mktsegment"), "} \\key{", F.col("c_custkey"), "} \\again{", F.col("c_nationkey"), "}")
     return c.select(F.col("c_custkey").cast("long").alias("doc_id"), text.alias("tex"))
 
 
 def order_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order a document with title, author and date; of every fifth, the body gives the author anew."""
-    o = read(spark, sf_dir, "orders")
+    o = spread(read(spark, sf_dir, "orders"))
     text = cat(
         "\\documentclass[a4paper]{article}\n\\title{Order ", F.col("o_orderkey"), " \\emph{of} note}\n\\author{C", F.col("o_custkey"), "}\n\\date{",
         F.date_format("o_orderdate", "yyyy-MM-dd"), "}\n\\begin{document}\n\\maketitle\n", F.when(F.col("o_orderkey") % 5 == 0, cat("\\author{D", F.col("o_custkey"), "}")).otherwise(""), "Text.\n\\end{document}\n",
@@ -135,7 +141,7 @@ def order_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def broken_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order a document with the defects that its key decides."""
     key = F.col("o_orderkey")
-    o = read(spark, sf_dir, "orders")
+    o = spread(read(spark, sf_dir, "orders"))
     pick = lambda n, r, text: F.when(key % n == r, text).otherwise("")
     text = cat(
         pick(2, 0, "\\documentclass{article}\n"), "\\begin{document}\n", pick(3, 0, "{"), pick(7, 0, "}}"), pick(5, 0, " $x$ $ "), "% } $\n",
@@ -157,7 +163,7 @@ def part_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each part text with boxes, spacing, units, containers, lines of formulas, and commands that nothing reads."""
-    p = read(spark, sf_dir, "part")
+    p = spread(read(spark, sf_dir, "part"))
     key, size = F.col("p_partkey"), F.col("p_size")
     text = cat(
         whole("\\begin{quote}Quoted ")[0], key, "\\end{quote}\\begin{center}Centred \\textbf{", F.col("p_brand"), "}\\end{center}\n\\begin{align*}\na &= ", size, " \\\\\nb &= ", size + 1,
