@@ -2,7 +2,9 @@
 
 The novelty method primes zstandard with a dictionary of common identifiers and
 the text around a candidate, and measures how many bytes the candidate adds. A
-string in a sensitive context that stays almost as long as it was is reported.
+string in a sensitive context that stays almost as long as it was is reported,
+or as long as a random string of its own characters becomes: zstandard spends
+less than a byte on each character of a long random string.
 
 A map over Arrow batches; nothing is shuffled. Defined results: a null or empty
 text has no spans; repeated rows give repeated results; other columns are
@@ -11,6 +13,7 @@ passed on, and one named `spans` is replaced.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -62,8 +65,19 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(press.compress(candidate.encode())) - len(press.compress(b""))
 
 
+def random_like(candidate: str) -> str:
+    """A random string of the length of the candidate and of the characters that stand in it; always the same one."""
+    return "".join(random.Random(len(candidate)).choices(sorted(set(candidate)), k=len(candidate)))
+
+
+def novel(candidate: str, around: str, ratio: float) -> bool:
+    """Whether the candidate adds `ratio` of its length, or of what a random string of its characters adds."""
+    added = marginal_bytes(candidate, around)
+    return added >= ratio * len(candidate) or added >= ratio * marginal_bytes(random_like(candidate), around)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], reach: int, context: int, ratio: float) -> list[tuple[int, int, str]]:
-    """Candidates that follow a sensitive word within `reach` characters and don't compress below `ratio`."""
+    """Candidates that follow a sensitive word within `reach` characters and are novel by `ratio`."""
     found = []
     for word in _SENSITIVE.finditer(text):
         for m in _CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + reach)):
@@ -76,7 +90,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], reach: int, contex
             if not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)):
                 continue
             around = text[max(0, a - context) : a] + " " + text[b : b + context]
-            if marginal_bytes(s, around) >= ratio * len(s):
+            if novel(s, around, ratio):
                 found.append((a, b, "novel"))
     return found
 
@@ -116,8 +130,8 @@ def scan(docs: DataFrame, text: str = "text", reach: int = 40, context: int = 20
     """Adds `spans`: array of (start, end, kind), offsets in code points, end exclusive.
 
     `reach`: characters after a sensitive word in which candidates start; `context`: characters
-    on each side that prime the compressor; `ratio`: marginal bytes per character from which a
-    candidate is reported.
+    on each side that prime the compressor; `ratio`: marginal bytes from which a candidate is
+    reported, as a part of its length or of the marginal bytes of a random string like it.
     """
     kept = [c for c in docs.columns if c != "spans"]
     schema = T.StructType([f for f in docs.schema.fields if f.name in kept] + [T.StructField("spans", T.ArrayType(SPAN))])

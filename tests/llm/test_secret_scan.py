@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from quire.llm import queries
@@ -74,3 +75,16 @@ def test_query_agrees_with_brute_force(spark, small):
 def test_long_text(spark):
     long = "word " * 300_000 + "token=abcdef"
     assert scan(spark, [long, long]) == {k: [(len(long) - 12, len(long), "assign")] for k in (0, 1)}
+
+
+def test_long_random_strings_of_small_alphabets():
+    rng = random.Random(7)
+    words = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(600))
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for size in (24, 64, 400, 1600):
+        for alphabet in (digits + "ABCDEF", upper + "234567", upper + upper.lower() + digits + "+/"):
+            key = "".join(rng.choices(alphabet, k=size))
+            text = f"{words[:1800]} private_key {key} {words[1800:]}"
+            assert [text[a:b] for a, b, k in S.scan_text(text) if k == "novel"] == [key]
+    for plain in ("z" * 60 + "1", "xyz123" * 20, "getElementByIdaddEventListener1", "changeme" * 12 + "1"):
+        assert S.scan_text(f"{words[:1800]} private_key {plain} {words[1800:]}") == []
