@@ -34,7 +34,9 @@ _STEMS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Words that make the text just after them sensitive.
 _SENSITIVE = re.compile(r"passw|passphrase|secret|token|api_?key|private_?key|access_?key|credential|bearer|authori[sz]ation|signature", re.ASCII | re.IGNORECASE)
 _HINTS = (b"passw", b"passphrase", b"secret", b"token", b"key", b"credential", b"bearer", b"authori", b"signature")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters of the shortest candidate.
+LEAST = 16
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: What a code base spells out often: no part of a secret is surprising if it stands here.
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey access_key private_key public_key credential bearer authorization "
@@ -76,6 +78,19 @@ def novel(candidate: str, around: str, ratio: float) -> bool:
     return added >= ratio * len(candidate) or added >= ratio * marginal_bytes(random_like(candidate), around)
 
 
+def surroundings(text: str, a: int, b: int, context: int) -> str:
+    """Up to `context` characters on each side of text[a:b], with other places of it blanked: a secret that is told twice is no less one.
+
+    A value is blanked without its name as well, so that `=x` is not primed by `: x`.
+    """
+    whole = text[a:b]
+    before, after = text[max(0, a - context - len(whole)) : a], text[b : b + context + len(whole)]
+    for part in (whole, whole.strip("=+/_-"), whole.rstrip("=").rpartition("=")[2]):
+        if len(part) >= LEAST:
+            before, after = before.replace(part, " " * len(part)), after.replace(part, " " * len(part))
+    return before[max(0, len(before) - context) :] + " " + after[:context]
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], reach: int, context: int, ratio: float) -> list[tuple[int, int, str]]:
     """Candidates that follow a sensitive word within `reach` characters and are novel by `ratio`."""
     found = []
@@ -89,8 +104,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], reach: int, contex
             s = text[a:b]
             if not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)):
                 continue
-            around = text[max(0, a - context) : a] + " " + text[b : b + context]
-            if novel(s, around, ratio):
+            if novel(s, surroundings(text, a, b, context), ratio):
                 found.append((a, b, "novel"))
     return found
 

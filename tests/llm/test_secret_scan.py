@@ -88,3 +88,17 @@ def test_long_random_strings_of_small_alphabets():
             assert [text[a:b] for a, b, k in S.scan_text(text) if k == "novel"] == [key]
     for plain in ("z" * 60 + "1", "xyz123" * 20, "getElementByIdaddEventListener1", "changeme" * 12 + "1"):
         assert S.scan_text(f"{words[:1800]} private_key {plain} {words[1800:]}") == []
+
+
+def test_secrets_that_stand_more_than_once():
+    rng = random.Random(3)
+    for size in (20, 128):
+        key = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=size))
+        for text, places in (
+            (f"credential {key} and once more the credential {key} here", 2),
+            (f"[db]\nuser me\ncredential {key}\n" * 3, 3),
+            (f"credential={key}\nbearer: {key}\nlink x/{key}", 2),
+            ("x" * 10 + f" {key} " + "word " * 408 + f"credential {key}", 1),  # the edge of the context cuts the other place
+        ):
+            got = [text[a:b].strip("=") for a, b, k in S.scan_text(text) if k == "novel"]
+            assert got.count(key) >= places and all(key in x for x in got)
