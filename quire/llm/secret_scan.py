@@ -37,6 +37,7 @@ _HINTS = (b"passw", b"passphrase", b"secret", b"token", b"key", b"credential", b
 #: Characters of the shortest candidate.
 LEAST = 16
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+_REST = re.compile(r"[A-Za-z0-9+/_=-]*")
 #: What a code base spells out often: no part of a secret is surprising if it stands here.
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey access_key private_key public_key credential bearer authorization "
@@ -92,13 +93,11 @@ def surroundings(text: str, a: int, b: int, context: int) -> str:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], reach: int, context: int, ratio: float) -> list[tuple[int, int, str]]:
-    """Candidates that follow a sensitive word within `reach` characters and are novel by `ratio`."""
+    """Candidates that start at most `reach` characters after a sensitive word and are novel by `ratio`."""
     found = []
     for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + reach)):
-            a, b = m.span()
-            while b < len(text) and re.match(r"[A-Za-z0-9+/_=-]", text[b]):  # `reach` may cut a candidate
-                b += 1
+        for m in _CANDIDATE.finditer(text, word.end(), word.end() + reach + LEAST):
+            a, b = m.start(), _REST.match(text, m.end()).end()  # the end of the search may cut a candidate
             if any(a < y and x < b for x, y, _ in taken) or any(a < y and x < b for x, y, _ in found):
                 continue
             s = text[a:b]

@@ -102,3 +102,13 @@ def test_secrets_that_stand_more_than_once():
         ):
             got = [text[a:b].strip("=") for a, b, k in S.scan_text(text) if k == "novel"]
             assert got.count(key) >= places and all(key in x for x in got)
+
+
+def test_candidates_that_start_within_reach():
+    key = "q7Xv2LmZ9tRb4WkY8sHd3NfJ"
+    text = f"credential for the staging database is: {key}"
+    assert S.scan_text(text) == [(len(text) - 24, len(text), "novel")]
+    for reach in (25, 32, 40):
+        for tail in ("", " and more"):
+            found = [n for n in range(1, reach + 20) if S.scan_text("credential" + " " * n + key + tail, reach=reach) == [(10 + n, 34 + n, "novel")]]
+            assert found == list(range(1, reach + 1))
