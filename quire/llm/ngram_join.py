@@ -495,7 +495,9 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         pairs = found.where("a <> b").groupBy("a", "b").agg(F.max(F.when(F.col("kind") == MEMBER, -1).otherwise(F.col("kind"))).alias("kind"), F.max(F.col("kind") == MEMBER).alias("led"))
         pairs = work.table(pairs)
         loose = pairs.where(F.col("kind") != JOINT)
-        asked = work.table(loose.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        # A member may be far from its least set, or only be joined to it, and still be near another member.
+        held = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("doc_id"))
+        asked = work.table(loose.select(F.explode(F.array("a", "b")).alias("doc_id")).union(held).distinct())
         sketch = work.table(named.select("doc_id", "n", "sketch").join(_sized(asked, asked.count()), "doc_id", "left_semi"))
         for c in ("a", "b"):
             loose = loose.join(sketch.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)

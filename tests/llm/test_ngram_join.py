@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import ngram_join as J
@@ -130,3 +131,18 @@ def test_common_passages_agree_with_brute_force(spark, monkeypatch):
     monkeypatch.setattr(J, "PAIRED", 2)
     assert {i: (n, c) for i, n, c in run(spark, rows)} == brute(rows)
     assert {i: (n, c) for i, n, c in run(spark, rows, size=5, percent=80)} == brute(rows, 5, 80)
+
+
+def test_members_that_are_only_joined_to_the_least_set(spark, monkeypatch):
+    """Set 1 is joined to set 0 by one signature, and meets its near copy 2 only in a bucket that set 0 leads."""
+    words = lambda k: [f"t{k}w{i}" for i in range(40)]
+    rows = [(k, " ".join(words(1)[:-1] + ["other"] if k == 2 else words(k))) for k in range(100)]
+    features = [x for _, x in J._sets(pa.array([t for _, t in rows]), 4)]
+    own = defaultdict(list)
+    for value, members in ((7 << 40, [0, 1, *range(20, 100)]), (9 << 40, range(10))):
+        for k in members:
+            own[features[k].tobytes()].append(value)
+    own = dict(own)
+    monkeypatch.setattr(J, "signatures", lambda features, bands: np.array(own.get(features.tobytes(), []), np.uint64))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {i: (n, c) for i, n, c in J.similar_components(frame).collect()} == brute(rows)
