@@ -411,16 +411,16 @@ def _resolve(percent: int):
 
 def _compare(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        queries, members = {}, {}
+        queries, members = [], []  # an id may have several sets
         for query, doc, features in zip(*(table.column(c).to_pylist() for c in ("query", "doc_id", "features"))):
-            (queries if query else members)[doc] = np.frombuffer(features, np.uint64)
+            (queries if query else members).append((doc, np.frombuffer(features, np.uint64)))
         pairs = []
         if queries and members:
-            names = sorted(queries)
-            index = Index([queries[q] for q in names])
-            number = {d: k for k, d in enumerate(sorted({*queries, *members}))}
+            names = [doc for doc, _ in queries]
+            index = Index([features for _, features in queries])
+            number = {d: k for k, d in enumerate(sorted({d for d, _ in queries + members}))}
             held = Union(len(number))
-            for doc, features in members.items():
+            for doc, features in members:
                 for j in index.linked(features, percent).tolist():
                     held.join(number[doc], number[names[j]])
             back = list(number)
@@ -486,6 +486,13 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     work.drop(profile)
 
     alias = named.where("rep <> doc_id").select("doc_id", "rep").distinct()
+    # An id with several sets can't go by another's name: it is joined to what its copies stand for.
+    several = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
+    several = work.table(several.select("doc_id"))
+    n_several, bridges = several.count(), None
+    if n_several:
+        bridges = work.table(alias.join(_sized(several, n_several), "doc_id", "left_semi"))
+        alias = alias.join(_sized(several, n_several), "doc_id", "left_anti")
 
     def grouped(rows: DataFrame, sets, scheme: tuple[int, int], features: int, copies: bool) -> DataFrame:
         """(doc_id, gid): the components of candidate pairs of the rows (doc_id, text or features)."""
@@ -513,6 +520,8 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         kept = pairs.where(F.col("kind") == JOINT).select("a", "b").union(near).union(apart).distinct()
         for c in ("a", "b") if copies else ():
             kept = kept.join(alias.withColumnRenamed("doc_id", c), c, "left").withColumn(c, F.coalesce("rep", c)).select("a", "b")
+        if bridges is not None:
+            kept = kept.union(bridges.select("doc_id", "rep"))
         edges = components(work, kept)
         return work.table(edges.select(F.col("node").alias("doc_id"), F.col("component").alias("gid")))
 

@@ -146,3 +146,17 @@ def test_members_that_are_only_joined_to_the_least_set(spark, monkeypatch):
     monkeypatch.setattr(J, "signatures", lambda features, bands: np.array(own.get(features.tobytes(), []), np.uint64))
     frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert {i: (n, c) for i, n, c in J.similar_components(frame).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_ids_with_several_texts(spark, monkeypatch, large):
+    """Rows of one id are one document, also where one of its texts is a copy of an earlier document."""
+    if large:
+        for name, value in (("GROUP_DOCS", 2), ("CHUNK", 100), ("PIVOTS", 1), ("QUERIES", 100)):
+            monkeypatch.setattr(J, name, value)
+    text = lambda k, last="": " ".join([*(f"t{k}w{i}" for i in range(40)), last])
+    rows = [(3, text(1)), (5, text(1)), (5, text(2)), (9, text(2, "more")), (11, text(2, "less")), (20, text(3)), (21, text(3)), (21, ""), (30, text(4)), (31, text(5)), (31, text(4)), (40, text(6)), (40, text(7)), (41, text(7))]
+    rows += [(50 + k, text(1, f"x{k}")) for k in range(6)] + [(60, text(8)), (61, text(8)), (None, text(1))]
+    least = {3: 3, 5: 3, 9: 3, 11: 3, 20: 20, 21: 20, 30: 30, 31: 30, 40: 40, 41: 40, 60: 60, 61: 60, None: None, **{50 + k: 3 for k in range(6)}}
+    got = sorted(run(spark, rows), key=str)
+    assert got == sorted(((i, len(shingles(t)), least[i]) for i, t in rows), key=str)
