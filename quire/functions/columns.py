@@ -28,8 +28,10 @@ def escape_tex(text: Column) -> Column:
 
 
 def ligatures(text: Column) -> Column:
-    """Dashes and double quotes of text without formulas."""
-    return _replaced(text, (("---", "—"), ("--", "–"), ("``", "“"), ("''", "”")))
+    """Dashes and double quotes, outside of `$...$`; an unclosed dollar is text."""
+    runs = F.regexp_extract_all(text, F.lit(r"\$[^$]*\$|[^$]+|\$"), F.lit(0))
+    made = lambda run: _replaced(run, (("---", "—"), ("--", "–"), ("``", "“"), ("''", "”")))
+    return F.array_join(F.transform(runs, lambda run: F.when(run.startswith("$"), run).otherwise(made(run))), "")
 
 
 def split_keys(keys: Column) -> Column:

@@ -323,6 +323,13 @@ def math_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.math_spans(nodes.nodes(docs)).groupBy("doc_id", "formula").agg(F.count("*").alias("n"))
 
 
+@query()
+def math_spans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas in all raw documents, read as they are."""
+    docs = B.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("tex"))
+    return nodes.math_spans(nodes.nodes(docs)).groupBy("doc_id", "formula").agg(F.count("*").alias("n"))
+
+
 # macros, acronyms, files
 
 
@@ -470,6 +477,29 @@ def offset_to_linecol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", C.line_of(t, at).alias("line"), C.column_of(t, at).alias("col"), C.byte_offset(t, at).alias("bytes"))
 
 
+@query()
+def ligatures_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents; formulas stay as they are."""
+    return B.read(spark, sf_dir, "documents").select("doc_id", F.md5(C.ligatures(F.col("text"))).alias("digest"))
+
+
+@query()
+def text_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All raw documents with all specials escaped, read back as their runs of text, in order."""
+    docs = B.read(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", B.cat("\\begin{document}", C.escape_tex(F.col("text")), "\\end{document}").alias("tex"))
+    return nodes.nodes(rows).where("kind = 'Text'").select("doc_id", "node_id", F.md5("text").alias("digest"))
+
+
+@query()
+def offset_to_linecol_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth character of every document, and its end."""
+    docs, t = B.read(spark, sf_dir, "documents").where("text is not null"), F.col("text")
+    places = F.array_distinct(F.concat(F.sequence(F.lit(0), F.length(t), F.lit(100)), F.array(F.length(t))))
+    docs = docs.select("doc_id", "text", F.explode(places).alias("at"))
+    return docs.select("doc_id", "at", C.line_of(t, F.col("at")).alias("line"), C.column_of(t, F.col("at")).alias("col"), C.byte_offset(t, F.col("at")).alias("bytes"))
+
+
 @query("SELECT n_nationkey::BIGINT AS n, a.made || n_name AS text FROM nation, (VALUES ('é'), ('ü'), ('ç'), ('Å'), ('ô'), ('ñ')) a(made)")
 def accent_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = F.explode(F.array(*map(F.lit, ("\\'e", '\\"{u}', "\\c{c}", "\\r{A}", "\\^{o}", "\\~n"))))
@@ -502,6 +532,13 @@ def docx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size(F.filter(F.split("plain", "\n\n"), lambda p: p.rlike(r"[^ \t\n\r]"))).alias("paragraphs"))
 
 
+@query()
+def docx_paragraphs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of all documents, read as they are."""
+    rows = nodes.plain_text(B.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("tex")))
+    return rows.select("doc_id", F.size(F.filter(F.split("plain", "\n\n"), lambda p: p.rlike(r"[^ \t\n\r]"))).alias("paragraphs"))
+
+
 @query("SELECT r_regionkey::BIGINT AS region, '<table>' || chr(10) || '<tr><td>Nations</td><td></td></tr>' || chr(10) || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>' || chr(10), '' ORDER BY n_nationkey) || '</table>' || chr(10) AS html FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 def html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.html(B.nation_tables(spark, sf_dir)).withColumnRenamed("doc_id", "region")

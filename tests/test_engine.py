@@ -1,9 +1,14 @@
+import hashlib
+import re
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quire.functions import columns as C
+from quire.functions import parser, render
 from quire.operators import nodes
 from quire.plans import catalogue
 from quire.plans import corpus as B
@@ -115,3 +120,49 @@ def test_single_sources(tmp_path):
     assert __main__.main([str(tmp_path / "a.tex"), "--format", "html,txt", "--output", str(tmp_path), "--keep-intermediate"]) == 0
     assert (tmp_path / "a.txt").read_text() == "1" and (tmp_path / "a.expanded.tex").read_text() == "1"
     assert __main__.main([str(tmp_path / "none.tex"), "--output", str(tmp_path)]) == 1
+
+
+def test_whole_documents_agree_with_brute_force(spark, small, tmp_path):
+    """Queries over all documents and whole texts, with some that simple SQL can't follow."""
+    read = spark.read.parquet(f"{small}/documents.parquet")
+    more = ["a--b $x--y$ ``c'' $", "$$a--b$$ --- {x} % y\nz", "p\n\nq ~ $u$\n\n\nr \\alpha", "é\nü--", "", "--$--$--$--"]
+    extra = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(more)], "doc_id long, text string")
+    read.unionByName(extra, allowMissingColumns=True).write.parquet(f"file://{tmp_path}/documents.parquet")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"file://{tmp_path}/documents.parquet").collect()}
+    run = lambda name: catalogue.QUERIES[name](spark, f"file://{tmp_path}").collect()
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+
+    def ligatures(text):  # one character at a time, as the reference has it
+        out, k = "", 0
+        while k < len(text):
+            if text[k] == "$" and (end := text.find("$", k + 1)) > 0:
+                out, k = out + text[k : end + 1], end + 1
+                continue
+            old, new = next(((o, n) for o, n in (("---", "—"), ("--", "–"), ("``", "“"), ("''", "”")) if text.startswith(o, k)), (text[k], text[k]))
+            out, k = out + new, k + len(old)
+        return out
+
+    assert {r.doc_id: r.digest for r in run("ligatures_all")} == {i: md5(ligatures(t)) for i, t in texts.items()}
+    places = {(i, at) for i, t in texts.items() for at in {*range(0, len(t) + 1, 100), len(t)}}
+    expected = {(i, at, texts[i][:at].count("\n"), len(texts[i][:at].split("\n")[-1]), len(texts[i][:at].encode())) for i, at in places}
+    got = run("offset_to_linecol_all")
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+    def walk(made):
+        for node in made:
+            yield node
+            for *_, children in node.parts:
+                yield from walk(children)
+
+    spans, runs, paragraphs = Counter(), Counter(), {}
+    for i, t in texts.items():
+        for node in walk(parser.parse(t)):
+            found = re.findall(r"\$([^$]*)\$", node.text) if node.kind == "Text" else [node.text] if node.kind == "MathInline" else []
+            spans.update((i, f) for f in found)
+        paragraphs[i] = len([p for p in render.plain(parser.parse(t)).split("\n\n") if re.search(r"[^ \t\n\r]", p)])
+    assert {(r.doc_id, r.formula): r.n for r in run("math_spans_all")} == spans
+    assert {r.doc_id: r.paragraphs for r in run("docx_paragraphs_all")} == paragraphs
+    escaped = catalogue.QUERIES["text_runs_all"](spark, f"file://{tmp_path}")
+    for r in escaped.select("doc_id").distinct().collect():
+        runs[r.doc_id] += 1
+    assert set(runs) == {i for i, t in texts.items() if t.strip()}
