@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,8 +95,8 @@ def canonical_text(text: str) -> str:
     return text.strip(" ")
 
 
-def known() -> list[tuple[str, str, str]]:
-    """(digest, licence, 'text' or 'notice') of all known texts; a table of fixed size."""
+def known(more: Iterable[tuple[str, str]] = ()) -> list[tuple[str, str, str]]:
+    """(digest, licence, 'text' or 'notice') of all known texts, and of further (licence, entire text) rows; a table of fixed size."""
     out = {}
     for name, texts in TEXTS.items():
         for text in texts:
@@ -105,6 +106,8 @@ def known() -> list[tuple[str, str, str]]:
             for x in (name, *spoken):
                 for article in ("", "the "):
                     out.setdefault(hashlib.sha256(canonical_text(phrase.format(article + x)).encode()).hexdigest(), (name, "notice"))
+    for name, text in more:
+        out.setdefault(hashlib.sha256(canonical_text(text).encode()).hexdigest(), (name, "text"))
     return sorted((d, *v) for d, v in out.items())
 
 
@@ -116,9 +119,12 @@ def canonical(text: Column) -> Column:
     return F.trim(text)
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `digest` (of the canonical text), `licence` (of the entire text, or null) and `notices` (licences named by lines, distinct and sorted)."""
-    table = known()
+def find(docs: DataFrame, text: str = "text", more: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """Adds `digest` (of the canonical text), `licence` (of the entire text, or null) and `notices` (licences named by lines, distinct and sorted).
+
+    `more`: further (licence, entire text) rows, such as the long licences that `TEXTS` lacks.
+    """
+    table = known(more)
     spark = docs.sparkSession
     texts = spark.createDataFrame([(d, n) for d, n, _ in table], "_digest string, _licence string")
     notices = F.create_map(*(F.lit(x) for d, n, _ in table for x in (d, n)))

@@ -36,3 +36,10 @@ def test_query_agrees_with_sql(spark, small):
     assert sorted(map(str, expected)) == sorted(str(tuple(r)) for r in queries.op6_licenses(spark, small).collect())
     plan = queries.op6_licenses(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_further_texts(spark):
+    long = "Long Licence\nVersion 9\n" + "terms and conditions " * 500
+    frame = spark.createDataFrame([(0, long.upper()), (1, MIT), (2, "else")], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licenses.find(frame, more=[("Long-9", long), ("Mine", MIT)]).collect()}
+    assert got == {0: "Long-9", 1: "MIT", 2: None}
