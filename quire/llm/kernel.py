@@ -21,8 +21,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def give_back() -> None:
@@ -42,19 +41,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _weights(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base, and of its inverse, modulo 2^64."""
-    if len(_powers.get("up", ())) < n + 1:
-        size = max(n + 1, PIECE + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+#: For each number of bytes up to eight, the mask of that many low bytes.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -111,11 +99,26 @@ class Words:
         self.bounds = np.searchsorted(self.start, at)
         self.word = word
         if hashed:
-            up, down = _weights(n)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * up[:n], out=total[1:])
-            raw = (total[self.end] - total[self.start]) * down[self.start]
-            self.hash = mix(raw + (self.end - self.start).astype(np.uint64))
+            self.hash = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        """Of each word: the sum of its blocks of eight bytes, each mixed with its place, mixed with the length.
+
+        Blocks are mixed one by one, so no two words of a language of few letters collide by construction, as they may
+        under a hash that is linear in the bytes.
+        """
+        size = self.end - self.start
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        blocks = (size + 7) >> 3
+        first = np.cumsum(blocks) - blocks
+        place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        windows = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        raw = np.ascontiguousarray(windows[np.repeat(self.start, blocks) + 8 * place]).view("<u8").reshape(-1)
+        raw &= _LOW[np.minimum(np.repeat(size, blocks) - 8 * place, 8)]
+        total = np.add.reduceat(mix(raw + (place.astype(np.uint64) + np.uint64(1)) * _STEP), first)
+        return mix(total + size.astype(np.uint64) * _STEP)
 
 
 def chained(words: np.ndarray, size: int) -> list[np.ndarray]:
