@@ -12,11 +12,13 @@ the budget. Repeated turns are outside the loss mask, which covers each
 assistant text once. A turn that alone exceeds the budget has a window of its
 own (`tokens` shows it).
 
-One shuffle by conversation; a conversation must fit into a task, as its
-windows do. Defined results: null texts and roles count as empty; rows are
-ordered by turn (null first), ties by role and text, and repeated rows are
-repeated turns; rows without an id form one conversation; a conversation with
-only a system turn has one window. Other columns are not used.
+One shuffle by conversation, and work in proportion to its turns; a
+conversation must fit into a task, as its windows do. Defined results: null
+texts and roles count as empty; rows are ordered by turn (null first), ties by
+role and text, and repeated rows are repeated turns; rows without an id form one
+conversation; a conversation with only a system turn has one window; very long
+texts are kept whole; an empty table gives no rows. Other columns are not used,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.columns import let
+
 OPEN, HEAD_END, CLOSE = "<s>[", "]\n", "</s>"
 #: Fixed values of the escape code; the backslash comes first.
 ESCAPES = (("\\", "\\0"), ("<", "\\1"), ("[", "\\2"), ("]", "\\3"))
@@ -64,34 +68,54 @@ def windows(rows: DataFrame, budget: int = 1024, history: int = 256, tokens=coun
     )
     held = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "upto", "tokens", "role", "head", "body"))).alias("turns"))
     first = F.when(F.col("turns")[0]["role"] == "system", 1).otherwise(0)
-    held = held.withColumn("n", F.size("turns")).withColumn("first", first)
-    held = held.withColumn("room", F.lit(budget) - F.when(F.col("first") == 1, F.col("turns")[0]["tokens"]).otherwise(0))
-
-    def begins(turn: Column) -> Column:
-        return turn["upto"] - turn["tokens"]
-
-    def step(held_so_far: Column, turn: Column) -> Column:
-        opened = F.size(held_so_far["cuts"]) > 0
-        least = begins(turn) - F.least(F.lit(history).cast("long"), F.col("room") - turn["tokens"])
-        left_out = F.size(F.filter("turns", lambda t: (t["i"] >= F.col("first")) & (t["i"] < turn["i"]) & (begins(t) < least)))
-        back = F.when(opened, F.col("first") + left_out).otherwise(turn["i"])
-        repeated = F.when(back < turn["i"], begins(turn) - begins(F.get("turns", back))).otherwise(0)
-        cut = F.struct(turn["i"].cast("int").alias("begin"), back.cast("int").alias("back"))
-        fresh = F.struct((repeated + turn["tokens"]).cast("long").alias("used"), F.array_append(held_so_far["cuts"], cut).alias("cuts"))
-        on = F.struct((held_so_far["used"] + turn["tokens"]).cast("long").alias("used"), held_so_far["cuts"].alias("cuts"))
-        return F.when(opened & (held_so_far["used"] + turn["tokens"] <= F.col("room")), on).otherwise(fresh)
-
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<struct<begin:int,back:int>>)").alias("cuts"))
-    cuts = F.aggregate(F.filter("turns", lambda t: t["i"] >= F.col("first")), start, step)["cuts"]
-    held = held.withColumn("cuts", cuts)
-    only = F.struct(F.col("first").cast("int").alias("begin"), F.col("first").cast("int").alias("back"))
-    held = held.withColumn("cuts", F.when(F.size("cuts") > 0, F.col("cuts")).otherwise(F.array(only)))
-
-    one = held.select("conv_id", "turns", "n", "first", "cuts", F.posexplode("cuts").alias("window", "cut"))
-    end = F.coalesce(F.get("cuts", F.col("window") + 1)["begin"], F.col("n"))
-    picked = F.concat(F.slice("turns", 1, F.col("first")), F.slice("turns", F.col("cut")["back"] + 1, end - F.col("cut")["back"]))
-    repeated = F.when(F.col("window") > 0, F.col("first")).otherwise(0) + F.col("cut")["begin"] - F.col("cut")["back"]
-    one = one.select("conv_id", "window", picked.alias("picked"), repeated.alias("repeated"))
+    room = F.lit(budget) - F.when(first == 1, F.col("turns")[0]["tokens"]).otherwise(0)
+    held = held.select("conv_id", "turns", F.size("turns").alias("n"), first.cast("int").alias("first"), room.alias("room"))
+
+    def cuts(upto: Column) -> Column:
+        """Where windows begin: the first new turn of each, and the first one that it repeats."""
+
+        def begins(k: Column) -> Column:
+            return F.when(k > 0, F.get(upto, k - 1)).otherwise(0)
+
+        def earliest(least: Column, last: Column) -> Column:
+            """The first turn, up to `last`, before which no less than `least` tokens stand; found by halving."""
+
+            def halve(span: Column, _: Column) -> Column:
+                middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+                found = begins(middle) >= least
+                return F.when(span["low"] < span["high"], F.struct(F.when(found, span["low"]).otherwise(middle + 1).alias("low"), F.when(found, middle).otherwise(span["high"]).alias("high"))).otherwise(span)
+
+            return F.aggregate(F.sequence(F.lit(1), F.lit(31)), F.struct(F.col("first").alias("low"), last.alias("high")), halve)["low"]
+
+        def step(so_far: Column, k: Column) -> Column:
+            tokens = F.get(upto, k) - begins(k)
+            least = begins(k) - F.least(F.lit(history).cast("long"), F.col("room") - tokens)
+            back = F.when(F.size(so_far["cuts"]) > 0, earliest(least, k)).otherwise(k)
+
+            def opened(at: Column) -> Column:
+                return F.struct((F.get(upto, k) - begins(at)).cast("long").alias("used"), F.array_append(so_far["cuts"], F.struct(k.alias("begin"), at.alias("back"))).alias("cuts"))
+
+            on = F.struct((so_far["used"] + tokens).cast("long").alias("used"), so_far["cuts"].alias("cuts"))
+            return F.when((F.size(so_far["cuts"]) > 0) & (so_far["used"] + tokens <= F.col("room")), on).otherwise(let(back, opened))
+
+        start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<struct<begin:int,back:int>>)").alias("cuts"))
+        made = F.aggregate(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: k >= F.col("first")), start, step)["cuts"]
+        only = F.array(F.struct(F.col("first").alias("begin"), F.col("first").alias("back")))
+        return let(made, lambda c: F.when(F.size(c) > 0, c).otherwise(only))
+
+    def opened(c: Column) -> Column:
+        """Each window's turns: the system turn, repeated ones, new ones. Each turn is taken by its place, as a slice would copy all."""
+
+        def window(cut: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(c, k + 1)["begin"], F.col("n"))
+            own = F.filter(F.sequence(cut["back"], F.greatest(end - 1, cut["back"])), lambda t: t < end)
+            places = F.concat(F.when(F.col("first") == 1, F.array(F.lit(0))).otherwise(F.expr("cast(array() as array<int>)")), own)
+            repeated = F.when(k > 0, F.col("first")).otherwise(0) + cut["begin"] - cut["back"]
+            return F.struct(k.cast("int").alias("window"), F.transform(places, lambda t: F.get("turns", t)).alias("picked"), repeated.alias("repeated"))
+
+        return F.transform(c, window)
+
+    one = held.select("conv_id", F.explode(let(let(F.transform("turns", lambda t: t["upto"]), cuts), opened)).alias("w")).select("conv_id", "w.*")
 
     def place(so_far: Column, turn: Column) -> Column:
         at = so_far["at"] + F.length(turn["head"])

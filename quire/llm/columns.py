@@ -1,8 +1,16 @@
-"""Names of columns, compared as Spark resolves them: without case."""
+"""Small helpers on columns; names are compared as Spark resolves them: without case."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, also within a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def without(columns: Iterable[str], added: Iterable[str]) -> list[str]:

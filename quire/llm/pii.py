@@ -27,12 +27,10 @@ that `IBANS` lacks or in lower case, numbers of less than eight digits.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.columns import fresh
+from quire.llm.columns import fresh, let
 
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date")
 ROUNDS = 10
@@ -69,11 +67,6 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 INNER = "|".join(f"(?:{p})" for p in _STRICT.values())
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _number(text: Column) -> Column:
     return text.cast("long")
 
@@ -116,9 +109,9 @@ def permute_digits(digits: Column, key: Column, *tweak: Column | str) -> Column:
         ten = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
         left = F.coalesce(F.when(u > 0, _number(F.substring(d, F.lit(1), u))), F.lit(0))
         out = feistel(left, _number(F.substring(d, u + 1, n - u)), ten(u), ten(n - u), key, *tweak)
-        return _let(out, lambda x: F.concat(F.when(u > 0, F.lpad(x["a"].cast("string"), u, "0")).otherwise(""), F.lpad(x["b"].cast("string"), n - u, "0")))
+        return let(out, lambda x: F.concat(F.when(u > 0, F.lpad(x["a"].cast("string"), u, "0")).otherwise(""), F.lpad(x["b"].cast("string"), n - u, "0")))
 
-    return _let(digits, made)
+    return let(digits, made)
 
 
 def permute_letters(letters: Column, key: Column, *tweak: Column | str) -> Column:
@@ -136,9 +129,9 @@ def permute_letters(letters: Column, key: Column, *tweak: Column | str) -> Colum
         u = F.floor(n / 2).cast("int")
         size = lambda k: F.pow(F.lit(26.0), k).cast("long")
         out = feistel(value(F.substring(text, F.lit(1), u)), value(F.substring(text, u + 1, n - u)), size(u), size(n - u), key, *tweak)
-        return _let(out, lambda x: F.concat(spelt(x["a"], u), spelt(x["b"], n - u)))
+        return let(out, lambda x: F.concat(spelt(x["a"], u), spelt(x["b"], n - u)))
 
-    return _let(letters, made)
+    return let(letters, made)
 
 
 def _digits(text: Column) -> Column:
@@ -191,7 +184,7 @@ def _is_card(d: Column) -> Column:
 
 
 def _is_iban(m: Column) -> Column:
-    return _let(F.replace(m, F.lit(" "), F.lit("")), lambda x: _mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1)
+    return let(F.replace(m, F.lit(" "), F.lit("")), lambda x: _mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1)
 
 
 def _country(m: Column, d: Column) -> Column:
@@ -200,7 +193,7 @@ def _country(m: Column, d: Column) -> Column:
 
 
 def _is_phone(m: Column) -> Column:
-    return _let(_digits(m), lambda d: F.length(d).between(7, 15) & (F.length(d) - _country(m, d) >= 6))
+    return let(_digits(m), lambda d: F.length(d).between(7, 15) & (F.length(d) - _country(m, d) >= 6))
 
 
 def _is_ssn(m: Column) -> Column:
@@ -224,7 +217,7 @@ def _day(m: Column) -> Column:
 
 
 def _is_date(m: Column) -> Column:
-    return _let(_day(m), lambda x: x["date"].isNotNull() & x["century"].between(1800, 2100))
+    return let(_day(m), lambda x: x["date"].isNotNull() & x["century"].between(1800, 2100))
 
 
 def _quads(m: Column) -> Column:
@@ -237,7 +230,7 @@ def _quads(m: Column) -> Column:
         def fits(i: Column, count: Column) -> Column:
             long = lambda d: F.when(count == 4, F.length(d) == 16).otherwise(F.length(d).between(17, 19))
             digits = F.array_join(F.transform(F.sequence(i, i + count - 1), lambda k: F.get(groups, k)), "")
-            return (i + count <= n) & _let(digits, lambda d: long(d) & d.rlike(SCHEMES) & _is_card(d))
+            return (i + count <= n) & let(digits, lambda d: long(d) & d.rlike(SCHEMES) & _is_card(d))
 
         begins = F.transform(F.sequence(F.lit(0), n - 4), lambda i: F.struct(i.cast("int").alias("at"), F.coalesce(F.get(F.filter(F.array(F.lit(5), F.lit(4)), lambda c: fits(i, c)), F.lit(0)), F.lit(0)).alias("n")))
         empty = F.expr("cast(array() as array<struct<at:int,n:int>>)")
@@ -257,10 +250,10 @@ def _quads(m: Column) -> Column:
             stop = end(F.size(held))
             return F.concat(own, F.array(_segment(None, spelt(stop, n - stop))))
 
-        return _let(chosen, pieces)
+        return let(chosen, pieces)
 
     marks = F.concat(F.regexp_extract_all(m, F.lit("[ -]"), F.lit(0)), F.array(F.lit("")))
-    return _let(F.struct(F.split(m, "[ -]").alias("groups"), marks.alias("marks")), made)
+    return let(F.struct(F.split(m, "[ -]").alias("groups"), marks.alias("marks")), made)
 
 
 _VALID = {"ip": _is_ip, "date": _is_date, "ssn": _is_ssn, "phone": _is_phone, "card": lambda m: _is_card(_digits(m))}
@@ -285,7 +278,7 @@ def _segments(m: Column) -> Column:
     groups of any length; otherwise what stands in it counts, as does a match of a strict pattern, which stands in itself.
     """
     within = _between(m, INNER, F.transform(F.regexp_extract_all(m, F.lit(INNER), F.lit(0)), _strict))
-    card = m.rlike("^[0-9][0-9 -]{12,}$") & _let(_digits(m), lambda d: F.length(d).between(13, 19) & _is_card(d))
+    card = m.rlike("^[0-9][0-9 -]{12,}$") & let(_digits(m), lambda d: F.length(d).between(13, 19) & _is_card(d))
     iban = F.array(F.struct(F.when(_is_iban(m), "iban").alias("kind"), m.alias("text")))
     return F.when(m.contains("@"), F.array(_segment("email", m))).when(m.rlike("^[A-Z]"), iban).when(card, F.array(_segment("card", m))).otherwise(within)
 
@@ -305,9 +298,9 @@ def _card(m: Column, key: Column) -> Column:
 
     def made(d: Column) -> Column:
         body = F.concat(F.substring(d, 1, 1), permute_digits(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
-        return _let(body, lambda b: _laid_out(m, F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string"))))
+        return let(body, lambda b: _laid_out(m, F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string"))))
 
-    return _let(_digits(m), made)
+    return let(_digits(m), made)
 
 
 def _iban(m: Column, key: Column) -> Column:
@@ -321,9 +314,9 @@ def _iban(m: Column, key: Column) -> Column:
             check = F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
             return _laid_out(m, F.concat(country, check, body), "^[A-Z0-9]$")
 
-        return _let(_laid_out(new, F.array_join(blocks, ""), "^[A-Z]$"), checked)
+        return let(_laid_out(new, F.array_join(blocks, ""), "^[A-Z]$"), checked)
 
-    return _let(F.replace(m, F.lit(" "), F.lit("")), made)
+    return let(F.replace(m, F.lit(" "), F.lit("")), made)
 
 
 def _phone(m: Column, key: Column) -> Column:
@@ -335,10 +328,10 @@ def _phone(m: Column, key: Column) -> Column:
         area, exchange, line = (_number(F.substring(national, *p)) for p in ((1, 3), (4, 3), (7, 4)))
         american = (F.length(national) == 10) & ((country == 0) | d.startswith("1")) & (area >= 200) & (exchange >= 200)
         out = feistel(area - 200, (exchange - 200) * 10000 + line, F.lit(800), F.lit(8_000_000), key, "phone")
-        whole = _let(out, lambda x: F.concat((x["a"] + 200).cast("string"), (F.floor(x["b"] / 10000) + 200).cast("string"), F.lpad((x["b"] % 10000).cast("string"), 4, "0")))
+        whole = let(out, lambda x: F.concat((x["a"] + 200).cast("string"), (F.floor(x["b"] / 10000) + 200).cast("string"), F.lpad((x["b"] % 10000).cast("string"), 4, "0")))
         return _laid_out(m, F.concat(F.substring(d, F.lit(1), country), F.when(american, whole).otherwise(permute_digits(national, key, "phone"))))
 
-    return _let(_digits(m), made)
+    return let(_digits(m), made)
 
 
 def _ssn(m: Column, key: Column) -> Column:
@@ -349,13 +342,13 @@ def _ssn(m: Column, key: Column) -> Column:
         parts = (x["a"] + F.when(x["a"] + 1 >= 666, 2).otherwise(1), 3), (F.floor(x["b"] / 9999) + 1, 2), (x["b"] % 9999 + 1, 4)
         return F.concat_ws("-", *(F.lpad(p.cast("string"), n, "0") for p, n in parts))
 
-    return _let(out, text)
+    return let(out, text)
 
 
 def _ip(m: Column, key: Column) -> Column:
     part = [_number(F.split_part(m, F.lit("."), F.lit(k))) for k in (1, 2, 3, 4)]
     out = feistel(part[0] * 256 + part[1], part[2] * 256 + part[3], F.lit(65536), F.lit(65536), key, "ip")
-    return _let(out, lambda o: F.concat_ws(".", *(x.cast("string") for h in ("a", "b") for x in (F.floor(o[h] / 256), o[h] % 256))))
+    return let(out, lambda o: F.concat_ws(".", *(x.cast("string") for h in ("a", "b") for x in (F.floor(o[h] / 256), o[h] % 256))))
 
 
 def _date(m: Column, key: Column) -> Column:
@@ -369,9 +362,9 @@ def _date(m: Column, key: Column) -> Column:
         out = feistel(F.floor(rank / m2), rank % m2, m1, m2, key, "date", x["century"].cast("string"))
         forms = {"iso": "yyyy-MM-dd", "month": "MM/dd/yyyy", "slash": "dd/MM/yyyy", "dots": "dd.MM.yyyy"}
         written = lambda new: F.coalesce(*(F.when(x["shape"] == k, F.date_format(new, f)) for k, f in forms.items()))
-        return _let(_let(out, lambda o: F.date_add(base, (o["a"] * m2 + o["b"]).cast("int"))), written)
+        return let(let(out, lambda o: F.date_add(base, (o["a"] * m2 + o["b"]).cast("int"))), written)
 
-    return _let(_day(m), made)
+    return let(_day(m), made)
 
 
 _MAKERS = {"email": _email, "iban": _iban, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}

@@ -71,3 +71,54 @@ def test_edge_rows(spark):
 def test_native_plan(spark, small):
     plan = queries.op5_chat(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def plain_windows(rows, budget, history):
+    """(begin, back, end) of each window, turn by turn: rows are (role, tokens) of a conversation."""
+    first = int(rows[0][0] == "system")
+    room = budget - (rows[0][1] if first else 0)
+    out, used = [], 0
+    for k in range(first, len(rows)):
+        n = rows[k][1]
+        if out and used + n <= room:
+            used += n
+        else:
+            back, kept = k, 0
+            while out and back > first and kept + rows[back - 1][1] <= min(history, room - n):
+                back -= 1
+                kept += rows[back][1]
+            while out and back > first and rows[back - 1][1] == 0 and min(history, room - n) >= 0:
+                back -= 1
+            out.append([k, back])
+            used = kept + n
+    out = out or [[first, first]]
+    return [(b, back, out[w + 1][0] if w + 1 < len(out) else len(rows)) for w, (b, back) in enumerate(out)]
+
+
+def test_windows_agree_with_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for conv, n in enumerate([1, 2, 3, 7, 40, 200, 3000]):
+        for turn in range(n):
+            role = "system" if turn == 0 and conv % 2 else rng.choice(["user", "assistant"])
+            rows.append((conv, turn, role, f"t{turn}" + " w" * (rng.choice([1, 3, 9, 30]) - 1)))
+    count = lambda text: F.regexp_count(text, F.lit(r"\S+")).cast("long")
+    for budget, history in ((40, 15), (25, 25), (10, 0)):
+        made = read(chat.windows(frame(spark, rows), budget=budget, history=history, tokens=count))
+        for conv in range(7):
+            own = [(role, text, len(text.split())) for c, _, role, text in rows if c == conv]
+            first = int(own[0][0] == "system")
+            expected = plain_windows([(r, n) for r, _, n in own], budget, history)
+            assert len(made[conv]) == len(expected)
+            for k, (w, (begin, back, end)) in enumerate(zip(made[conv], expected)):
+                assert w["repeated"] == begin - back + (first if k else 0)
+                assert w["formatted"] == "".join(f"<s>[{r}]\n{t}</s>" for r, t, _ in own[:first] + own[back:end])
+                assert w["tokens"] == sum(n for *_, n in own[:first] + own[back:end])
+
+
+def test_work_grows_with_the_turns(spark):
+    """20,000 turns of one conversation, read back whole."""
+    rows = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id, repeat(' word', 20)) AS text")
+    made = chat.windows(rows).select("window", chat.read_turns(F.col("formatted"), F.col("repeated")).alias("t"))
+    got = [t.text for r in sorted(made.collect(), key=lambda r: r.window) for t in r.t]
+    assert got == [f"turn {k}" + " word" * 20 for k in range(20_000)]
