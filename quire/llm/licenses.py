@@ -2,14 +2,18 @@
 
 A text is brought to a canonical form: ASCII letters in lower case, lines that
 only claim a copyright removed, equivalent spellings made one, punctuation and
-white space folded to single spaces. The digest of the entire text is
-hash-joined to those of known licences, a table of fixed size. Lines that name
-a licence are looked up in the same way among known notices.
+white space folded to single spaces, and whoever a clause names as the holder
+read as one word. The digest of the entire text is hash-joined to those of known
+licences, a table of fixed size. Lines that name a licence are looked up in the
+same way among known notices.
 
 One pass over the texts; nothing of them is shuffled. Defined results: null and
-empty texts, and texts that are empty in canonical form, match nothing;
-repeated rows match alike; other columns are passed on, and those named like an
-output are replaced.
+empty texts, and texts that are empty in canonical form, match nothing; very
+long texts are read whole; an empty table stays empty; repeated rows match
+alike; other columns are passed on, and those named like an output (in any
+case) are replaced.
+
+`python -m quire.llm.licenses FILE...` prints the digests of further texts.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.columns import fresh, without
+
 #: Characters that fold to a space (fixed values): ASCII but letters and digits, no-break space, dashes, typographic quotes.
 MARKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{a9}\x{2010}-\x{2015}\x{2018}-\x{201f}\x{2026}]+"
 #: Lines that claim a copyright or reserve all rights.
@@ -29,8 +35,10 @@ CLAIMS = r"(^|\n)[ \t/*#;-]*((copyright|\(c\)|\x{a9})[ \t]*(\(c\)|\x{a9}|[0-9]{4
 SPELLINGS = (
     ("licence", "license"), ("organisation", "organization"), ("favour", "favor"), ("behaviour", "behavior"), ("judgement", "judgment"),
     ("merchantibility", "merchantability"), ("analogue", "analog"), ("fulfil ", "fulfill "), ("cancelation", "cancellation"), ("centre", "center"),
-    ("copyright owner", "copyright holder"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent"),
+    ("copyright owner", "copyright holder"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("https ", "http "),
 )
+#: Clauses that name the holder, in canonical form: whoever stands between the two parts reads as `holder`.
+HOLDERS = r"(neither the name of|provided by|in no event shall) .{1,120}? (nor the names? of|as is|be liable)"
 
 _GRANT_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
@@ -66,6 +74,23 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""],
 }
 
+#: Digests of long licences in canonical form (fixed values), of texts as they are distributed: whole, and up to the end of the terms.
+DIGESTS = {
+    "Apache-2.0": ("4580e5390400d27df89edd0617548ac0e66eaa029f6e07cf98aac9cd100b3a37", "0b8c1a9e0ec99ab3b27e123e667fe4843df4dd7e6c667ccdc634dd6878c5dd6c",),
+    "Artistic-1.0": ("e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "GFDL-1.2": ("94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",),
+    "GFDL-1.3": ("a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826",),
+    "GPL-1.0": ("8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",),
+    "GPL-2.0": ("efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",),
+    "GPL-3.0": ("eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",),
+    "LGPL-2.0": ("61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",),
+    "LGPL-2.1": ("4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-1.1": ("f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",),
+    "MPL-2.0": ("9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56",),
+}
+
 #: Notices of one line (fixed values), from the names below.
 NAMES = {
     "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 License"),
@@ -92,7 +117,7 @@ def canonical_text(text: str) -> str:
     text = re.sub(java(MARKS), " ", text)
     for old, new in SPELLINGS:
         text = text.replace(old, new)
-    return text.strip(" ")
+    return re.sub(HOLDERS, r"\1 holder \2", text.strip(" "))
 
 
 def known(more: Iterable[tuple[str, str]] = ()) -> list[tuple[str, str, str]]:
@@ -101,6 +126,9 @@ def known(more: Iterable[tuple[str, str]] = ()) -> list[tuple[str, str, str]]:
     for name, texts in TEXTS.items():
         for text in texts:
             out[hashlib.sha256(canonical_text(text).encode()).hexdigest()] = (name, "text")
+    for name, digests in DIGESTS.items():
+        for digest in digests:
+            out[digest] = (name, "text")
     for name, spoken in NAMES.items():
         for phrase in _PHRASES:
             for x in (name, *spoken):
@@ -116,7 +144,7 @@ def canonical(text: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, CLAIMS, "\n"), MARKS, " ")
     for old, new in SPELLINGS:
         text = F.replace(text, F.lit(old), F.lit(new))
-    return F.trim(text)
+    return F.regexp_replace(F.trim(text), HOLDERS, "$1 holder $2")
 
 
 def find(docs: DataFrame, text: str = "text", more: Iterable[tuple[str, str]] = ()) -> DataFrame:
@@ -125,35 +153,53 @@ def find(docs: DataFrame, text: str = "text", more: Iterable[tuple[str, str]] =
     `more`: further (licence, entire text) rows, such as the long licences that `TEXTS` lacks.
     """
     table = known(more)
-    spark = docs.sparkSession
-    texts = spark.createDataFrame([(d, n) for d, n, _ in table], "_digest string, _licence string")
+    new, held, digest, licence = fresh(docs.columns, "new", "held", "digest", "licence")
+    texts = docs.sparkSession.createDataFrame([(d, n) for d, n, _ in table], f"{digest} string, {licence} string")
     notices = F.create_map(*(F.lit(x) for d, n, _ in table for x in (d, n)))
     form = canonical(F.col(text))
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike("(?i)licen[sc]e|released under|distributed under"))
     named = F.transform(lines, lambda x: F.try_element_at(notices, F.sha2(canonical(x), 256)))
     found = F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull())))
     found = F.coalesce(found, F.expr("cast(array() as array<string>)"))
-    kept = [c for c in docs.columns if c not in ("digest", "licence", "notices")]
-    out = docs.withColumns({"_new": F.when(F.length(form) > 0, F.sha2(form, 256)), "_found": found})
-    out = out.join(F.broadcast(texts), out["_new"] == F.col("_digest"), "left")
-    return out.select(*(docs[c] for c in kept), F.col("_new").alias("digest"), F.col("_licence").alias("licence"), F.col("_found").alias("notices"))
+    out = docs.withColumns({new: F.when(F.length(form) > 0, F.sha2(form, 256)), held: found})
+    out = out.join(F.broadcast(texts), F.col(new) == F.col(digest), "left")  # as many rows as the table above
+    return out.select(*without(docs.columns, ["digest", "licence", "notices"]), F.col(new).alias("digest"), F.col(licence).alias("licence"), F.col(held).alias("notices"))
+
+
+def planted() -> list[tuple[int, str]]:
+    """(id, text) with negative ids: each known text as it is, and once more in capitals, with other line ends and a holder's line."""
+    out = []
+    for texts in TEXTS.values():
+        for text in texts:
+            out += [(-1 - len(out), text), (-2 - len(out), "Copyright (c) 2024 A. Holder\n\n" + text.upper().replace(", ", ",\n    "))]
+    return out
 
 
 def oracle(columns: str) -> str:
-    """DuckDB SQL for `find` over documents, with one row for each document."""
+    """DuckDB SQL for `find` over documents and the planted texts, with one row for each of them."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(x: str) -> str:
         out = f"regexp_replace(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quote(CLAIMS)}, chr(10), 'g'), {quote(MARKS)}, ' ', 'g')"
         for old, new in SPELLINGS:
             out = f"replace({out}, {quote(old)}, {quote(new)})"
-        return f"trim({out}, ' ')"
+        return f"regexp_replace(trim({out}, ' '), {quote(HOLDERS)}, '\\1 holder \\2', 'g')"
 
+    own = ", ".join(f"({i}, {quote(t)})" for i, t in planted())
     rows = ", ".join(f"({quote(d)}, {quote(n)})" for d, n, _ in known())
     return f"""WITH known(digest, licence) AS (VALUES {rows}),
+documents AS (SELECT doc_id, text FROM main.documents UNION ALL SELECT * FROM (VALUES {own})),
 forms AS (SELECT doc_id, text, {form("text")} AS form FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e|released under|distributed under')),
 named AS (SELECT doc_id, licence FROM (SELECT doc_id, sha256({form("line")}) AS d FROM lines WHERE regexp_matches(line, '(?i)licen[sc]e|released under|distributed under')) JOIN known ON d = digest),
 notices AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM named GROUP BY doc_id),
 whole AS (SELECT doc_id, CASE WHEN length(form) > 0 THEN sha256(form) END AS digest FROM forms)
 SELECT {columns} FROM whole LEFT JOIN known USING (digest) LEFT JOIN notices USING (doc_id)"""
+
+
+if __name__ == "__main__":
+    import sys
+
+    for path in sys.argv[1:]:
+        with open(path, encoding="utf-8") as f:
+            print(hashlib.sha256(canonical_text(f.read()).encode()).hexdigest(), path)

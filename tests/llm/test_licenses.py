@@ -1,4 +1,7 @@
+import os
+
 import duckdb
+import pytest
 
 from quire.llm import licenses, queries
 
@@ -43,3 +46,41 @@ def test_further_texts(spark):
     frame = spark.createDataFrame([(0, long.upper()), (1, MIT), (2, "else")], "doc_id long, text string")
     got = {r.doc_id: r.licence for r in licenses.find(frame, more=[("Long-9", long), ("Mine", MIT)]).collect()}
     assert got == {0: "Long-9", 1: "MIT", 2: None}
+
+
+def test_planted_texts_are_found(spark, small):
+    got = {r.doc_id: r.licence for r in queries.op6_licenses(spark, small).where("doc_id < 0").collect()}
+    names = [name for name, texts in licenses.TEXTS.items() for _ in texts for _ in (0, 1)]
+    assert got == {-1 - k: name for k, name in enumerate(names)}
+
+
+FILES = {"Apache-2.0": "Apache-2.0", "Artistic-1.0": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
+def test_long_licences(spark):
+    texts, expected = [], []
+    for name, file in FILES.items():
+        with open(f"/usr/share/common-licenses/{file}", encoding="utf-8") as f:
+            text = f.read()
+        texts += [text, text.upper(), " \n\n".join(text.split("\n")), "/* " + text.replace("\n", "\n * ") + " */", text + "\nand more"]
+        expected += [name] * 4 + [None]
+        if "END OF TERMS AND CONDITIONS" in text:
+            texts.append(text[: text.index("END OF TERMS AND CONDITIONS") + 27])
+            expected.append(name)
+    got = found(spark, texts)
+    assert [got[k][0] for k in range(len(texts))] == expected
+
+
+def test_holders_are_one(spark):
+    bsd = licenses.TEXTS["BSD-3-Clause"][0]
+    named = bsd.replace("the name of the copyright holder", "the name of Example Widgets, Inc.").replace("PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "PROVIDED BY EXAMPLE WIDGETS AND ITS FRIENDS").replace("SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE", "SHALL EXAMPLE WIDGETS BE")
+    assert named.count("xample") + named.count("EXAMPLE") == 3
+    assert found(spark, [named, named.replace("endorse", "praise")]) == {0: ("BSD-3-Clause", []), 1: (None, [])}
+
+
+def test_names_that_clash(spark):
+    frame = spark.createDataFrame([(1, MIT, "a", "b", "c", "d", "e")], "doc_id long, text string, _digest string, _licence string, _new string, __Held string, LICENCE string")
+    made = licenses.find(frame)
+    assert made.columns == ["doc_id", "text", "_digest", "_licence", "_new", "__Held", "digest", "licence", "notices"]
+    assert made.first()[2:6] == ("a", "b", "c", "d") and made.first()["licence"] == "MIT"
