@@ -1,14 +1,19 @@
-"""Secrets in texts: fixed patterns, and strings that zstandard cannot predict from their surroundings.
-
-The novelty method primes zstandard with a dictionary of common identifiers and
-the text around a candidate, and measures how many bytes the candidate adds. A
-string in a sensitive context that stays almost as long as it was is reported,
-or as long as a random string of its own characters becomes: zstandard spends
-less than a byte on each character of a long random string.
-
-A map over Arrow batches; nothing is shuffled. Defined results: a null or empty
-text has no spans; repeated rows give repeated results; other columns are
-passed on, and one named `spans` is replaced.
+"""Secrets in texts: fixed patterns, and strings that zstandard cannot predict from what is usual around them.
+
+The novelty method counts the words of the whole corpus (`learn`), makes a
+dictionary of the commonest ones, and primes zstandard with it, with identifiers
+made of its words, and with the text around a candidate. What matters is how
+many bytes the candidate adds to that. A string in a sensitive context is
+reported if it adds as much as a random string of its length and kind of
+characters would, rather than as much as an identifier of its length would: the
+bound lies between the two, both measured in the same surroundings.
+
+Two maps over Arrow batches; of the first, counts of words are shuffled, and the
+`most` commonest reach the driver and all tasks. Defined results: a null or empty
+text has no spans; very long texts are scanned whole; an empty table stays empty
+(its dictionary holds the fixed identifiers alone); repeated rows give repeated
+results; other columns are passed on, and one named `spans` (in any case) is
+replaced.
 """
 
 from __future__ import annotations
@@ -16,14 +21,17 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.kernel import pieces
+from quire.llm.columns import without
+from quire.llm.kernel import Words, give_back, pieces
 
 KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -38,7 +46,7 @@ _HINTS = (b"passw", b"passphrase", b"secret", b"token", b"key", b"credential", b
 LEAST = 16
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 _REST = re.compile(r"[A-Za-z0-9+/_=-]*")
-#: What a code base spells out often: no part of a secret is surprising if it stands here.
+#: What code spells out often: these words are in every dictionary.
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey access_key private_key public_key credential bearer authorization "
     "signature client_id client_secret session_id request_id user_id username account configuration environment variable "
@@ -47,6 +55,15 @@ IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 http https localhost application/json content-type "
     "getElementById addEventListener toString hashCode equals Exception Controller Service Repository Manager Factory"
 )
+#: Words of a corpus that a dictionary takes, and bytes of a word that are looked at.
+MOST, LONGEST = 4000, 24
+#: Where between an identifier (0) and a random string (1) what is reported begins.
+RATIO = 0.55
+#: Kinds of characters, from few to many; a candidate's own is the first that holds its letters and digits.
+_DIGITS, _LOWER_CASE = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+_ALPHABETS = (
+    _DIGITS + "abcdef", "234567" + _LOWER_CASE, _DIGITS + _LOWER_CASE, _DIGITS + _LOWER_CASE + _LOWER_CASE.upper(),
+)
 
 _HEXBYTE = np.zeros(256, bool)
 _HEXBYTE[list(b"0123456789abcdef")] = True
@@ -61,22 +78,68 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def marginal_bytes(candidate: str, around: str) -> int:
-    """Bytes that the candidate adds to a zstandard frame primed with its surroundings and the identifiers."""
-    primed = zstandard.ZstdCompressionDict((IDENTIFIERS + "\n" + around).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return len(press.compress(candidate.encode())) - len(press.compress(b""))
+def _identifier(rng: random.Random, words: list[str], size: int) -> str:
+    """Words joined as code joins them, at least `size` characters."""
+    mark, out = rng.choice(["_", "-", "", "_", "/"]), ""
+    while len(out) < size:
+        word = rng.choice(words) if rng.random() < 0.8 else str(rng.randrange(10 ** rng.randint(1, 4)))
+        out += (mark if out else "") + (word if mark or not out else word.capitalize())
+    return out
+
+
+class Dictionary:
+    """zstandard primed with common words, the last ones nearest, and with identifiers made of them.
+
+    Every second word primes; identifiers to compare with are made of the others, as a candidate's words may be new, too.
+    """
+
+    def __init__(self, words: tuple[str, ...] = ()):
+        plain = [w for w in (*words[:MOST], *IDENTIFIERS.split()) if re.fullmatch("[a-z]{3,}", w)]
+        primed, other, rng = plain[::2], plain[1::2], random.Random(1)
+        self.sample = " ".join([*(_identifier(rng, primed, rng.randint(8, 30)) for _ in range(120)), IDENTIFIERS])
+        self.natural = [_identifier(rng, other, 60) for _ in range(200)]
+        held = zstandard.ZstdCompressionDict(" ".join(primed).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=9)
+        self._press = zstandard.ZstdCompressor(level=9, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+    def size(self, text: str) -> int:
+        return len(self._press.compress(text.encode("utf-8", "replace")))
+
+    def usual(self, size: int, k: int) -> str:
+        """The k-th identifier of a size."""
+        return "_".join(self.natural[(7 * k + i) % len(self.natural)] for i in range(size // 60 + 1))[:size]
+
+    def marginal(self, candidates: list[str], around: str) -> list[int]:
+        """Bytes that each of the candidates adds to the surroundings."""
+        base = f"{around}\n{self.sample}\n"
+        held = self.size(base)
+        return [self.size(base + c) - held for c in candidates]
 
 
-def random_like(candidate: str) -> str:
-    """A random string of the length of the candidate and of the characters that stand in it; always the same one."""
-    return "".join(random.Random(len(candidate)).choices(sorted(set(candidate)), k=len(candidate)))
+@lru_cache(4)
+def dictionary(words: tuple[str, ...] = ()) -> Dictionary:
+    return Dictionary(words)
 
 
-def novel(candidate: str, around: str, ratio: float) -> bool:
-    """Whether the candidate adds `ratio` of its length, or of what a random string of its characters adds."""
-    added = marginal_bytes(candidate, around)
-    return added >= ratio * len(candidate) or added >= ratio * marginal_bytes(random_like(candidate), around)
+def random_like(candidate: str, k: int = 0) -> str:
+    """A random string with the candidate's kind of letters and digits, and its marks in their places; the same one for each k."""
+    own = {c for c in candidate if c.isalnum()}
+    letters = next(a for a in _ALPHABETS if own <= set(a))
+    rng = random.Random(len(candidate) * 8 + k)
+    return "".join(rng.choice(letters) if c.isalnum() else c for c in candidate)
+
+
+def novel(candidate: str, around: str, ratio: float = RATIO, words: tuple[str, ...] = ()) -> bool:
+    """Whether what the candidate adds lies beyond `ratio` of the way from an identifier to a random string.
+
+    One without small letters is read in small letters, as the dictionary is.
+    """
+    if candidate == candidate.upper():
+        candidate = candidate.lower()
+    held, tries = dictionary(words), range(4)
+    added, *others = held.marginal([candidate, *(held.usual(len(candidate), k) for k in tries), *(random_like(candidate, k) for k in tries)], around)
+    low, high = sum(others[:4]) / 4, sum(others[4:]) / 4
+    return high > low and added >= low + ratio * (high - low)
 
 
 def surroundings(text: str, a: int, b: int, context: int) -> str:
@@ -92,7 +155,7 @@ def surroundings(text: str, a: int, b: int, context: int) -> str:
     return before[max(0, len(before) - context) :] + " " + after[:context]
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]], reach: int, context: int, ratio: float) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, taken: list[tuple[int, int, str]], reach: int, context: int, ratio: float, words: tuple[str, ...] = ()) -> list[tuple[int, int, str]]:
     """Candidates that start at most `reach` characters after a sensitive word and are novel by `ratio`."""
     found = []
     for word in _SENSITIVE.finditer(text):
@@ -103,15 +166,15 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], reach: int, contex
             s = text[a:b]
             if not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)):
                 continue
-            if novel(s, surroundings(text, a, b, context), ratio):
+            if novel(s, surroundings(text, a, b, context), ratio, words):
                 found.append((a, b, "novel"))
     return found
 
 
-def scan_text(text: str, reach: int = 40, context: int = 2048, ratio: float = 0.85) -> list[tuple[int, int, str]]:
+def scan_text(text: str, reach: int = 40, context: int = 2048, ratio: float = RATIO, words: tuple[str, ...] = ()) -> list[tuple[int, int, str]]:
     """All spans of a text, by start and then kind."""
     base = base_spans(text)
-    return sorted([*base, *novel_spans(text, base, reach, context, ratio)], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return sorted([*base, *novel_spans(text, base, reach, context, ratio, words)], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def _worth(at: np.ndarray, data: np.ndarray) -> list[int]:
@@ -139,14 +202,38 @@ def _worth(at: np.ndarray, data: np.ndarray) -> list[int]:
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())])
 
 
-def scan(docs: DataFrame, text: str = "text", reach: int = 40, context: int = 2048, ratio: float = 0.85) -> DataFrame:
+_LETTER = np.full(256, 32, np.uint8)
+_LETTER[97:123], _LETTER[65:91] = np.arange(97, 123), np.arange(97, 123)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of each piece of text: runs of ASCII letters, in lower case."""
+    for batch in batches:
+        for _, at, data in pieces(batch.column(0)):
+            words = Words(at, _LETTER[data])
+            size = words.end - words.start
+            fit = np.flatnonzero((size >= 3) & (size <= LONGEST))
+            _, first, count = np.unique(words.hash[fit], return_index=True, return_counts=True)
+            raw = words.data.tobytes()
+            spelt = [raw[a:b].decode() for a, b in zip(words.start[fit][first].tolist(), words.end[fit][first].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(spelt, pa.string()), pa.array(count, pa.int64())], names=["word", "n"])
+    give_back()
+
+
+def learn(docs: DataFrame, text: str = "text", most: int = MOST) -> tuple[str, ...]:
+    """The `most` commonest words of all texts, the commonest last; ties by the word."""
+    counts = docs.select(F.col(text).alias("text")).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return tuple(r["word"] for r in reversed(counts.orderBy(F.desc("n"), "word").limit(most).collect()))
+
+
+def scan(docs: DataFrame, text: str = "text", reach: int = 40, context: int = 2048, ratio: float = RATIO, words: tuple[str, ...] = ()) -> DataFrame:
     """Adds `spans`: array of (start, end, kind), offsets in code points, end exclusive.
 
     `reach`: characters after a sensitive word in which candidates start; `context`: characters
-    on each side that prime the compressor; `ratio`: marginal bytes from which a candidate is
-    reported, as a part of its length or of the marginal bytes of a random string like it.
+    on each side that prime the compressor; `ratio`: where between an identifier (0) and a random
+    string (1) of a candidate's length what is reported begins; `words`: of the corpus, by `learn`.
     """
-    kept = [c for c in docs.columns if c != "spans"]
+    kept = without(docs.columns, ["spans"])
     schema = T.StructType([f for f in docs.schema.fields if f.name in kept] + [T.StructField("spans", T.ArrayType(SPAN))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +247,7 @@ def scan(docs: DataFrame, text: str = "text", reach: int = 40, context: int = 20
                 for i in _worth(at, data):
                     if at[i] < at[i + 1]:
                         s = data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace")
-                        found[first + i] = [{"start": a, "end": b, "kind": k} for a, b, k in scan_text(s, reach, context, ratio)]
+                        found[first + i] = [{"start": a, "end": b, "kind": k} for a, b, k in scan_text(s, reach, context, ratio, words)]
             old = [batch.column(batch.schema.get_field_index(c)).cast(target.field(c).type) for c in kept]
             yield pa.RecordBatch.from_arrays([*old, pa.array(found, target.field("spans").type)], schema=target)
 
