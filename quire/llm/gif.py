@@ -6,9 +6,12 @@ transparency. Both are maps over Arrow batches without a shuffle; a task holds
 one slice of a batch.
 
 Defined results: a null or empty text is stored as one row of zero samples; a
-null or damaged image decodes to no frames, a null payload and `error` set.
-Repeated rows are stored alike; columns of the input that are named like an
-output column are replaced by it, all others are passed on.
+very long text as many frames; an empty table stays empty. A null or damaged
+image decodes to no frames, a null payload and `error` set, as does one whose
+header asks for more than `PIXELS` pixels, before any of them is allocated, and
+one whose code stream breaks the format. Repeated rows are stored alike; columns
+of the input that are named like an output column (in any case) are replaced by
+it, all others are passed on.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quire.llm.columns import without
 from quire.llm.kernel import buffers
 
 WIDTH = 64
 ROWS = 512
 DELAY_MS = 40
+#: Pixels of the largest canvas or frame that is decoded.
+PIXELS = 1 << 24
 #: Bytes of media that one output batch holds, about.
 SLICE = 8 << 20
 
@@ -92,7 +98,12 @@ def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
 
 
 def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
-    """Samples of a code stream; decoding ends at its end code, its last whole code or after `most` samples."""
+    """Samples of a code stream; decoding ends at its end code, its last whole code or after `most` samples.
+
+    A first code that is no sample, and a code beyond the next free one, are errors.
+    """
+    if not 2 <= bits <= 8:
+        raise ValueError("samples of no permitted size")
     clear = 1 << bits
     raw = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
     schedule = _widths(bits)
@@ -101,6 +112,16 @@ def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
     room = 4096 - len(roots)
     out: list[bytes] = []
     at = made = 0
+
+    def put(table: list[bytes], codes) -> None:
+        """Entries of a full table; few codes may stand for more samples than memory holds, so they end with `most`."""
+        nonlocal made
+        if len(codes):
+            upto = made + np.cumsum(np.array([len(x) for x in table])[codes])
+            n = int(np.searchsorted(upto, most)) + 1
+            out.extend(table[c] for c in np.asarray(codes)[:n].tolist())
+            made = int(upto[min(n, len(upto)) - 1])
+
     while made < most:
         found, pos = [], at
         for width, count in [*runs, (12, None)]:
@@ -124,27 +145,30 @@ def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
         if ended:
             codes.pop()
         if codes:
+            if codes[0] >= clear:
+                raise ValueError("a first code that is no sample")
+            new = np.array(codes[1 : room + 1], np.int64)
+            if (new > len(roots) + np.arange(len(new))).any():
+                raise ValueError("a code beyond the table")
             table = roots.copy()
-            prior = table[codes[0]] if codes[0] < clear else b""
-            out.append(prior)
-            made += len(prior)
+            prior = table[codes[0]]
+            part = [prior]
             for code in codes[1 : room + 1]:
                 entry = table[code] if code < len(table) else prior + prior[:1]
                 table.append(prior + entry[:1])
-                out.append(entry)
+                part.append(entry)
                 prior = entry
-            for code in codes[room + 1 :]:
-                out.append(table[code])
-            made = sum(map(len, out)) if last != clear + 1 else most
-        if last == clear + 1:
+            out += part
+            made += sum(map(len, part))
+            put(table, codes[room + 1 :])
+        if last == clear + 1 or made >= most:
             break
         if not ended:  # a full table without a clear code goes on with codes of 12 bits
             if len(raw) - pos < 12:
                 break
             rest = raw[pos : pos + (len(raw) - pos) // 12 * 12].reshape(-1, 12) @ (1 << np.arange(12))
             stop = np.flatnonzero((rest == clear) | (rest == clear + 1))
-            part = rest[: stop[0]] if len(stop) else rest
-            out += [table[c] for c in part.tolist()]
+            put(table, rest[: stop[0]] if len(stop) else rest)
             if not len(stop) or rest[stop[0]] == clear + 1:
                 break
             pos += (int(stop[0]) + 1) * 12
@@ -189,6 +213,8 @@ def decode_gif(image: bytes) -> Iterator[dict]:
         n = 2 << (flags & 7)
         shared = np.frombuffer(image, np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
+    if width * height > PIXELS:
+        raise ValueError(f"a canvas of {width * height} pixels")
     ground = shared[back] if shared is not None and back < len(shared) else np.zeros(3, np.uint8)
     canvas = np.empty((height, width, 3), np.uint8)
     canvas[:] = ground
@@ -217,6 +243,8 @@ def decode_gif(image: bytes) -> Iterator[dict]:
                 n = 2 << (how & 7)
                 palette = np.frombuffer(image, np.uint8, 3 * n, at).reshape(n, 3)
                 at += 3 * n
+            if w * h > PIXELS:
+                raise ValueError(f"a frame of {w * h} pixels")
             bits = image[at]
             stream, at = data(at + 1)
             samples = np.frombuffer(lzw_decode(stream, bits, w * h), np.uint8)
@@ -255,8 +283,7 @@ def colour_histogram(canvas: np.ndarray) -> list[int]:
 
 
 def _over(frame: DataFrame, make, added: list[T.StructField]) -> DataFrame:
-    names = {f.name for f in added}
-    kept = [c for c in frame.columns if c not in names]
+    kept = without(frame.columns, [f.name for f in added])
     schema = T.StructType([f for f in frame.schema.fields if f.name in kept] + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,8 +21,9 @@ texts stay where they are. The driver holds numbers by source, up to
 Defined results: a null source is a source; documents without tokens are in
 every epoch of their source, at no cost, also where the budget is used up; a
 source without tokens is used once; rows that share an id are rows of their
-own, with one place in the permutation; an empty table gives no rows. Columns
-of the input named like an added one are replaced.
+own, with one place in the permutation; very long texts are counted whole; an
+empty table gives no rows. `realise` returns the columns of the input and no
+others, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.columns import fresh
 from quire.llm.workspace import Workspace
 
 MOST_SOURCES = 50_000
@@ -80,25 +82,29 @@ class Shares:
 
 
 def exponent(shares: Shares, budget: float | None, target_entropy: float | None, max_repeats: float | None, steps: int = 50) -> float:
-    """The least exponent in [0, 1] within both limits; 1 if even that is beyond one."""
+    """The least exponent in [0, 1] within both limits; 1 if even that is beyond one (`Mixture.met` tells)."""
     if shares.n < 2:
         return 1.0
-
-    def within(a: float) -> bool:
-        fits = max_repeats is None or shares.repeats(a, budget) <= max_repeats * (1 + 1e-12)
-        return fits and (target_entropy is None or shares.entropy(a) <= target_entropy * math.log(shares.n))
-
-    if within(0.0):
+    limits = budget, target_entropy, max_repeats
+    if within(shares, 0.0, *limits):
         return 0.0
     low, high = 0.0, 1.0
     for _ in range(steps):
         middle = (low + high) / 2
-        low, high = (low, middle) if within(middle) else (middle, high)
+        low, high = (low, middle) if within(shares, middle, *limits) else (middle, high)
     return high
 
 
+def within(shares: Shares, a: float, budget: float | None, target_entropy: float | None, max_repeats: float | None) -> bool:
+    """Whether an exponent keeps to the limits that are given."""
+    if not shares.n:
+        return True
+    fits = max_repeats is None or shares.repeats(a, budget) <= max_repeats * (1 + 1e-12)
+    return fits and (target_entropy is None or shares.n < 2 or shares.entropy(a) <= target_entropy * math.log(shares.n) + 1e-12)
+
+
 class Mixture:
-    """`weights`: source, docs, tokens, weight, epochs; `schedule`: one row for each use of a document; `realise`: the documents themselves."""
+    """`exponent`, and `met`: whether it keeps to the limits; `weights`: source, docs, tokens, weight, epochs; `schedule`: one row for each use of a document; `realise`: the documents themselves."""
 
     def __init__(self, docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", tokens=count_words, budget: float | None = None, target_entropy: float | None = None, max_repeats: float | None = 2.0, block_tokens: int = 1_000_000, seed: str = SEED):
         self.docs, self.key, self.source, self.seed, self.tokens = docs, key, source, seed, tokens(F.col(text))
@@ -108,6 +114,8 @@ class Mixture:
         self.n = counted.count()
         shares = Shares(counted, self.n)
         self.exponent = a = exponent(shares, budget, target_entropy, max_repeats)
+        #: Whether the limits could be met; if not, sources are mixed as they are.
+        self.met = within(shares, a, budget, target_entropy, max_repeats)
         z = shares.sums(a)[0] if shares.n else 1.0
         if budget is None:
             budget = z * shares.most / (shares.most / shares.total) ** a if shares.n else 0.0
@@ -146,16 +154,16 @@ class Mixture:
     def realise(self, schedule: DataFrame | None = None) -> DataFrame:
         """The rows of `docs`, each as often as the schedule uses it. No text is shuffled: only the place of each epoch's cut is joined."""
         schedule = self.schedule() if schedule is None else schedule
+        of, n, cut, whole, drawn = fresh(self.docs.columns, "source", "epoch", "cut", "whole", "tokens")
 
         def point(key: Column, epoch: Column) -> Column:
             h = self._hash(key, epoch)
             return F.struct(F.pmod(F.shiftright(h, 24), F.lit(self.ranges)).alias("part"), h.alias("h"), key.alias("key"))
 
-        cut = schedule.where("n_tokens > 0").groupBy("source", "epoch").agg(F.max(point(F.col("doc_id"), F.col("epoch"))).alias("_cut"))
-        last = F.greatest(F.lit(0), F.ceil("epochs").cast("int") - 1)
-        side = self.weights.select("source", "epochs", F.explode(F.sequence(F.lit(0), last)).alias("epoch")).alias("w")
-        side = side.join(cut.alias("c"), F.col("w.source").eqNullSafe(F.col("c.source")) & (F.col("w.epoch") == F.col("c.epoch")), "left")
-        side = side.select(F.col("w.source").alias("_source"), F.col("w.epoch").alias("_epoch"), "_cut", (F.col("w.epoch") + 1 <= F.col("epochs")).alias("_whole"))
-        joined = self.docs.join(self._sized(side), self.docs[self.source].cast("string").eqNullSafe(F.col("_source")))
-        used = F.col("_whole") | F.coalesce(point(self.docs[self.key], F.col("_epoch")) <= F.col("_cut"), F.lit(False)) | (self.tokens == 0)
-        return joined.where(used).select(*(self.docs[c] for c in self.docs.columns))
+        last = schedule.where("n_tokens > 0").groupBy("source", "epoch").agg(F.max(point(F.col("doc_id"), F.col("epoch"))).alias(cut)).select(F.col("source").alias("s"), F.col("epoch").alias("e"), cut)
+        most = F.greatest(F.lit(0), F.ceil("epochs").cast("int") - 1)
+        side = self.weights.select(F.col("source").alias(of), "epochs", F.explode(F.sequence(F.lit(0), most)).alias(n))
+        side = side.join(last, F.col(of).eqNullSafe(F.col("s")) & (F.col(n) == F.col("e")), "left").select(of, n, cut, (F.col(n) + 1 <= F.col("epochs")).alias(whole))
+        joined = self.docs.withColumn(drawn, self.tokens).join(self._sized(side), F.col(self.source).cast("string").eqNullSafe(F.col(of)))
+        used = F.col(whole) | F.coalesce(point(F.col(self.key), F.col(n)) <= F.col(cut), F.lit(False)) | (F.col(drawn) == 0)
+        return joined.where(used).select(*self.docs.columns)

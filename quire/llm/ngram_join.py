@@ -30,8 +30,9 @@ chunks against a few pivots, and then against all documents outside its largest
 part, in blocks. The pairs of a group are never spelt out.
 
 Defined results: null and empty texts, and texts without words, have no
-n-grams and link with nothing; a row without an id has a null component; rows
-that share an id share a component. Other columns don't matter.
+n-grams and link with nothing; very long texts are read whole; a row without an
+id has a null component; rows that share an id, and repeated rows, share a
+component; an empty table gives no rows. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -553,8 +554,8 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             members = work.table(sets.join(_sized(large.select("gid"), n_large), "gid", "left_semi"))
             again = grouped(members.select("doc_id", "features"), _held, scheme, members.agg(F.sum("n")).first()[0], False)
             sets = work.table(members.drop("gid").join(_sized(again, again.count()), "doc_id").select("gid", "doc_id", "n", "features"))
-    work.keep(found := work.table(found.groupBy("node").agg(F.min("component").alias("component"))), named)
-    work.clear()
+    found = work.table(found.groupBy("node").agg(F.min("component").alias("component")))
+    work.clear(found, named)
     # A representative may stand for a third of all rows: its component is met in 16 places. Copies of it
     # outgrow what Spark expects of the small table, so that it isn't to broadcast them.
     salted = found.select(F.col("node").alias("rep"), "component", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))

@@ -1,9 +1,10 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Documents, longest first, go into the open sequence that they leave least room
-in. If none has room, a sequence is opened with the capacity of least cost per
-token, as the documents still to come can fill it; at the end each sequence is
-cut down to the least permitted capacity that holds its contents.
+in (of equal ones, into the one filled last). If none has room, as many sequences are opened as the rest of their length
+needs, with the capacity of least cost per token, as the documents still to come
+can fill it; at the end each sequence is cut down to the least permitted
+capacity that holds its contents.
 
 Documents of one length are alike, so the whole corpus is packed from a
 histogram of lengths: at most `max(capacities)` counts reach the driver, and
@@ -14,8 +15,10 @@ many tasks. No texts are shuffled, only ids and lengths.
 
 A document longer than the largest capacity is cut into full pieces and a rest.
 Defined results: documents without tokens (null and empty texts too) take no
-place and get one row with a null `bin_id`; repeated rows are packed each; an
-empty table gives no rows. Other columns are not used.
+place and get one row with a null `bin_id`; repeated rows are packed each, equal
+lengths in the order of hash ranges, ids and pieces; very long texts are counted
+whole; an empty table gives no rows. Other columns are not used, whatever their
+names.
 """
 
 from __future__ import annotations

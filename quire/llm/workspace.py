@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder is set for it only where it is unset, as in local tests."""
+    """spark.checkpoint.dir, or the folder that the context was given.
+
+    Where neither is set, a temporary folder serves a local session, as in tests; on a cluster that is an error, as each
+    machine would write to a folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        folder = f"file://{tempfile.gettempdir()}/quire-checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    if folder:
+        return folder
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/quire-checkpoints")
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 class Workspace:
-    """Writes tables as Parquet to the shared folder, and deletes those that are no longer read."""
+    """Writes tables as Parquet to the shared folder, and deletes those that are no longer read; all of them when the driver ends."""
+
+    #: Workspaces whose tables may still be there, and the lists of those that `scratch` will clear.
+    _all: list[Workspace] = []
+    _open: list[list[Workspace]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.count = spark, f"{shared_folder(spark).rstrip('/')}/quire-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
-        self.kept: list[DataFrame] = []
+        self.held: list[DataFrame] = []
+        self._all.append(self)
+        for group in self._open[-1:]:
+            group.append(self)
 
     def table(self, frame: DataFrame) -> DataFrame:
         self.count += 1
@@ -35,22 +50,46 @@ class Workspace:
         frame.write.parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         self.paths[id(out)] = path
-        self.kept.append(out)  # while it lives, no other frame has its id
+        self.held.append(out)  # while it lives, no other frame has its id
         return out
 
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes the files of tables; none may be read afterwards."""
-        jvm = self.spark._jvm
         for frame in frames:
             if path := self.paths.pop(id(frame), None):
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+                self._delete(path)
+
+    def clear(self, *but: DataFrame) -> None:
+        """Deletes all tables that are not dropped yet, but for the given ones."""
+        self.drop(*(f for f in self.held if id(f) in self.paths and not any(f is b for b in but)))
+
+    def end(self) -> None:
+        """Deletes the folder with all tables."""
+        self.paths.clear()
+        self._delete(self.folder)
+        if self in self._all:
+            self._all.remove(self)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Workspaces that are made within end with it: what was read from them must have been written by then."""
+    Workspace._open.append([])
+    try:
+        yield
+    finally:
+        for work in Workspace._open.pop():
+            work.end()
 
-    def keep(self, *frames: DataFrame) -> None:
-        """`clear` will leave these."""
-        for frame in frames:
-            self.paths.pop(id(frame), None)
 
-    def clear(self) -> None:
-        """Deletes all tables that are neither dropped nor kept."""
-        self.drop(*(f for f in self.kept if id(f) in self.paths))
+@atexit.register
+def _end_all() -> None:
+    for work in list(Workspace._all):
+        try:
+            work.end()
+        except Exception:  # the session has ended before
+            return

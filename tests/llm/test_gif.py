@@ -91,3 +91,95 @@ def test_edge_rows(spark, odd):
     broken = spark.createDataFrame([(None,), (b"",), (b"GIF89a",), (b"GIF89a" + bytes(40),)], "media binary")
     assert all(r.payload is None and r.frames == [] and r.error for r in gif.decode(broken).collect())
     assert gif.decode(gif.encode(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def plain_encode(payload):
+    """The stored form, written anew: one table of byte strings, one bit after another."""
+    out = bytearray(b"GIF89a")
+    parts = [payload[k : k + 64 * 512] for k in range(0, len(payload), 64 * 512)]
+    out += struct.pack("<HHBBB", 64, len(parts[0]) // 64, 0xF7, 0, 0)
+    for grey in range(256):
+        out += bytes([grey] * 3)
+    for part in parts:
+        out += struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 4, 4, 0, 0) + struct.pack("<BHHHHB", 0x2C, 0, 0, 64, len(part) // 64, 0) + b"\x08"
+        bits, known, width, string = [], {}, 9, b""
+
+        def put(code, width, bits=bits):
+            bits += [code >> i & 1 for i in range(width)]
+
+        put(256, 9)
+        known = {bytes([k]): k for k in range(256)}
+        free = 258
+        for byte in part:
+            if string + bytes([byte]) in known:
+                string += bytes([byte])
+                continue
+            put(known[string], width)
+            if free < 4096:
+                known[string + bytes([byte])] = free
+                if free == 1 << width and width < 12:
+                    width += 1
+                free += 1
+            else:
+                put(256, width)
+                known, free, width = {bytes([k]): k for k in range(256)}, 258, 9
+            string = bytes([byte])
+        put(known[string], width)
+        if free == 1 << width and width < 12:
+            width += 1
+        put(257, width)
+        bits += [0] * (-len(bits) % 8)
+        raw = bytes(sum(b << i for i, b in enumerate(bits[k : k + 8])) for k in range(0, len(bits), 8))
+        for k in range(0, len(raw), 255):
+            out += bytes([len(raw[k : k + 255])]) + raw[k : k + 255]
+        out += b"\0"
+    return bytes(out + b";")
+
+
+def test_stored_form_agrees_with_another_encoder(spark, small):
+    rng = random.Random(3)
+    for n, alphabet in ((64, 256), (128, 1), (6400, 3), (64 * 700, 256), (64 * 300, 20), (64 * 1100, 2)):
+        payload = bytes(rng.randrange(alphabet) for _ in range(n))
+        assert gif.encode_payload(payload) == plain_encode(payload), (n, alphabet)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in queries.op8_gif(spark, small).collect():
+        raw = (docs[r.doc_id] or "").encode()
+        image = plain_encode(raw + bytes(-len(raw) % 64 if raw else 64))
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+
+
+def codes_of(codes, width=3):
+    bits = [c >> i & 1 for c in codes for i in range(width)]
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def test_streams_that_break_the_format():
+    assert gif.lzw_decode(codes_of([4, 1, 6, 5]), 2, 10) == bytes([1, 1, 1])
+    for codes in ([4, 1, 7, 5], [4, 6, 1, 5], [4, 1, 4, 6, 5]):
+        with pytest.raises(ValueError):
+            gif.lzw_decode(codes_of(codes), 2, 10)
+    for bits in (0, 1, 9, 255):
+        with pytest.raises(ValueError):
+            gif.lzw_decode(b"", bits, 10)
+
+
+def test_sizes_are_checked_before_memory_is_taken(spark):
+    head = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0)
+    frame = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0x80, 0, 0) + bytes(6) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\x01\x00\x00;"
+    rows = gif.decode(spark.createDataFrame([(head,), (frame,)], "media binary")).collect()
+    assert [(r.payload, r.frames) for r in rows] == [(None, []), (None, [])] and all("pixels" in r.error for r in rows)
+    # A full table whose longest entry is called for again and again.
+    zeros = gif.lzw_encode(bytes(8_000_000), 2)[:5000]
+    bits = np.unpackbits(np.frombuffer(zeros, np.uint8), bitorder="little")
+    bomb = np.packbits(np.concatenate([bits[: len(bits) // 12 * 12], np.ones(12 * 400_000, np.uint8)]), bitorder="little").tobytes()
+    try:
+        assert len(gif.lzw_decode(bomb, 2, 1000)) == 1000
+    except (ValueError, IndexError):
+        pass
+
+
+def test_names_that_clash(spark):
+    frame = spark.createDataFrame([(1, "a", "m", "n")], "doc_id long, text string, MEDIA string, N_Bytes string")
+    made = gif.encode(frame)
+    assert made.columns == ["doc_id", "text", "media", "n_bytes"]
+    assert gif.decode(made.withColumnRenamed("n_bytes", "Frames")).columns == ["doc_id", "text", "media", "payload", "frames", "error"]

@@ -1,10 +1,12 @@
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
-from quire.llm import mixing
+from quire.llm import mixing, queries
 
 SCHEMA = "doc_id long, text string, source string, epoch string, tokens int"
 
@@ -77,3 +79,69 @@ def test_edge_rows(spark):
     assert empty.schedule().count() == 0 and empty.realise().count() == 0
     alone = mixing.Mixture(frame(spark, [(1, "a b", "s"), (2, "c", "s")]))
     assert alone.exponent == 1 and alone.schedule().count() == 2
+
+
+def spark_hash(*values):
+    """Spark's xxhash64: each value is hashed with the hash of those before it as the seed; null changes nothing."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True)
+            seed = xxhash.xxh64(raw, seed=seed).intdigest()
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def brute_schedule(docs, limit):
+    """(doc_id, source, n_tokens, epoch, block, place) of (doc_id, source, n_tokens) rows with distinct ids and no budget."""
+    tokens, count = Counter(), Counter()
+    for _, s, n in docs:
+        tokens[s] += n
+        count[s] += 1
+    total, used = sum(tokens.values()), {s: n for s, n in tokens.items() if n}
+    most, least = max(used.values()), min(used.values())
+    a = 1.0 if len(used) < 2 else max(0.0, 1 - math.log(limit) / math.log(most / least)) if most > least else 0.0
+    z = sum((n / total) ** a for n in used.values())
+    budget = z * most / (most / total) ** a
+    ranges, out = max(1, max(count.values()) // mixing.RANGE), []
+    blocks = max(1, math.ceil(budget / 1_000_000 - 1e-9))
+    for s in tokens:
+        epochs = (used[s] / total) ** a / z * budget / used[s] if s in used else 1.0
+        epochs = round(epochs) if abs(epochs - round(epochs)) < 1e-9 else epochs
+        for e in range(max(1, math.ceil(epochs))):
+            own, at = [], e * tokens[s]
+            for i, source, n in docs:
+                if source == s:
+                    h = spark_hash(mixing.SEED, None if i is None else (i, 8), (e, 4))
+                    own.append(((h >> 24) % ranges, h, i, n))
+            for *_, i, n in sorted(own):
+                at += n
+                if at <= epochs * tokens[s] + 1e-6 or n == 0:
+                    quota = epochs * tokens[s]
+                    block = min(blocks, max(1, math.ceil(at / quota * blocks))) if quota > 0 else 1
+                    out.append((i, s, n, e, block, at))
+    return out
+
+
+def test_query_agrees_with_brute_force(spark, small, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 40)
+    docs = [(r.doc_id, r.source, len(re.findall("[^\x20\x09-\x0d]+", r.text or ""))) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    got = sorted(tuple(r) for r in queries.op4_mixing(spark, small).collect())
+    assert got == sorted(brute_schedule(docs, 2.0))
+
+
+def test_limits_that_cannot_be_met_are_told(spark):
+    rows = corpus(3)
+    assert mixing.Mixture(frame(spark, rows)).met
+    beyond = mixing.Mixture(frame(spark, rows), budget=1e9, max_repeats=2.0)
+    assert not beyond.met and beyond.exponent == 1.0
+    assert not mixing.Mixture(frame(spark, rows), target_entropy=0.01, max_repeats=None).met
+    assert mixing.Mixture(frame(spark, [])).met
+
+
+def test_names_that_clash(spark):
+    schema = "doc_id long, text string, source string, _source string, _epoch int, _cut int, _whole boolean, __Source string, __cut int, WEIGHT double"
+    docs = spark.createDataFrame([(k, "a b", "s" if k % 3 else "t", "x", 1, 2, True, "y", 3, 0.5) for k in range(9)], schema)
+    mixture = mixing.Mixture(docs)
+    made = mixture.realise()
+    assert made.columns == docs.columns and {r["__Source"] for r in made.collect()} == {"y"}
+    assert Counter(r.doc_id for r in made.collect()) == Counter(r.doc_id for r in mixture.schedule().collect())

@@ -1,10 +1,11 @@
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from quire.llm import packing
+from quire.llm import packing, queries
 from quire.llm.packing import Plan, look_up
 
 
@@ -95,3 +96,61 @@ def test_edge_rows(spark):
     check((r.bin_id, r.capacity, r.place, r.n_tokens) for r in got if r.bin_id is not None)
     assert sum(r.n_tokens for r in got) == 2 + 2 + 1 + 100_000
     assert run(spark, []) == []
+
+
+def best_fit_in_batches(lengths, capacities, overhead):
+    """As `best_fit`, but as many sequences are opened at once as the rest of a length needs: the rule that the module states.
+
+    Of sequences with equal room the one filled last is taken. Gives the sums and final capacities of the sequences.
+    """
+    left, bins, clock = Counter(lengths), [], 0
+    for length in sorted(left, reverse=True):
+        count = left.pop(length)
+        while count:
+            fit = [b for b in bins if b[0] >= length]
+            if not fit:
+                prices = []
+                for c in capacities:
+                    if c >= length:
+                        filled = min(count, c // length) * length
+                        for other in sorted(left, reverse=True):
+                            filled += other * min(left[other], (c - filled) // other)
+                        prices.append(((c + overhead) / filled, c))
+                least = min(p for p, _ in prices)
+                capacity = max(c for p, c in prices if p <= least + 1e-12)
+                fit = [[capacity, 0, clock] for _ in range(-(-count // (capacity // length)))]
+                bins += fit
+            b = min(fit, key=lambda b: (b[0], -b[2]))
+            clock += 1
+            b[:] = b[0] - length, b[1] + length, clock
+            count -= 1
+    return Counter((used, min(c for c in capacities if c >= used)) for _, used, _ in bins)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_plan_agrees_with_brute_force(seed):
+    rng = random.Random(100 + seed)
+    capacities = (16, 32, 64)
+    lengths = [rng.choice([rng.randint(1, 64), rng.randint(1, 20), 7, 33]) for _ in range(rng.randint(1, 400))]
+    plan = Plan(Counter(lengths), capacities, 3)
+    used = Counter()
+    order = Counter()
+    for n in sorted(lengths):
+        b, c, _ = (int(x[0]) for x in look_up(plan.tables(), np.array(capacities), np.array([n]), np.array([order[n]])))
+        order[n] += 1
+        used[b, c] += n
+    assert Counter((total, c) for (_, c), total in used.items()) == best_fit_in_batches(lengths, capacities, 3)
+
+
+def test_query_agrees_with_brute_force(spark, small):
+    docs = {r.doc_id: len(re.findall("[^\x20\x09-\x0d]+", r.text or "")) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    most = max(packing.CAPACITIES)
+    pieces = [(i, k, min(most, n - k * most)) for i, n in docs.items() for k in range(max(1, -(-n // most)))]
+    got = queries.op9_packing(spark, small).collect()
+    assert sorted((r.doc_id, r.piece, r.n_tokens) for r in got) == sorted(pieces)
+    check((r.bin_id, r.capacity, r.place, r.n_tokens) for r in got if r.bin_id is not None)
+    used = Counter()
+    for r in got:
+        if r.bin_id is not None:
+            used[r.bin_id, r.capacity] += r.n_tokens
+    assert Counter((total, c) for (_, c), total in used.items()) == best_fit_in_batches([n for *_, n in pieces if n], packing.CAPACITIES, packing.OVERHEAD)

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -69,3 +70,78 @@ def test_distance(p, q, expected):
     import numpy as np
 
     assert abs(Q.distance(np.array([p], float), np.array(q, float))[0] - expected) < 1e-12
+
+
+def histograms(text):
+    """Shares of classes of characters, and counts of common words, character by character."""
+    kinds = dict.fromkeys(Q.CLASSES, 0)
+    for c in text:
+        if "a" <= c <= "z" or c > "\x7f":
+            kinds["lower"] += 1
+        elif "A" <= c <= "Z":
+            kinds["upper"] += 1
+        elif "0" <= c <= "9":
+            kinds["digit"] += 1
+        elif c in " \t\n\v\f\r":
+            kinds["space"] += 1
+        elif c in ".,;:'\"?!()-":
+            kinds["stop"] += 1
+        elif c in "#*$%&|<>@^_`~\\/{}[]=+":
+            kinds["symbol"] += 1
+        else:
+            kinds["other"] += 1
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    known = {w for ws in Q.COMMON.values() for w in ws.split()}
+    return Counter(kinds), Counter(w if w in known else None for w in words)
+
+
+def js(p, q):
+    keys, n, m = set(p) | set(q), sum(p.values()), sum(q.values())
+    out = 0.0
+    for k in keys:
+        a, b = p.get(k, 0) / max(1, n), q.get(k, 0) / max(1, m)
+        for x in (a, b):
+            if x > 0:
+                out += x * math.log2(2 * x / (a + b)) / 2
+    return math.sqrt(max(0.0, out))
+
+
+def test_verdict_agrees_with_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").collect()
+    own = {r.doc_id: (r.lang, brute(r.text), *histograms(r.text or "")) for r in docs}
+    failed = lambda c: c[0] < 20 or 100 * c[4] > 30 * c[0]
+    held = {}
+    for lang, counts, chars, common in own.values():
+        if lang in Q.LANGUAGES and not failed(counts):
+            a, b = held.setdefault(lang, (Counter(), Counter()))
+            a.update(chars)
+            b.update(common)
+    rejected = 0
+    for r in queries.op3_quality_rules(spark, small).collect():
+        lang, counts, chars, common = own[r.doc_id]
+        worst = []
+        for name, (a, b) in held.items():
+            x, y = js(chars, a), js(common, b)
+            worst.append((max(x / Q.MOST_CHARS if counts[0] >= 50 else 0, y / Q.MOST_COMMON if counts[0] >= 200 else 0), name, x, y))
+        least = min(w for w, *_ in worst)
+        assert any(abs(w - least) < 1e-9 and name == r.nearest and abs(x - r.char_distance) < 1e-9 and abs(y - r.word_distance) < 1e-9 for w, name, x, y in worst)
+        assert r.kept == (not failed(counts) and least <= 1)
+        rejected += not failed(counts) and least > 1
+    assert rejected
+
+
+def test_languages_without_a_reference(spark):
+    text = " ".join(f"#{k}|{k}" for k in range(300))
+    prose = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)} the of and" for k in range(100))
+    rows = [(k, t, g) for k, (t, g) in enumerate([(prose, "en"), (text, "en"), (text, "xx"), (text, None), (prose, None)])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in Q.judge(frame, Q.references(frame.where("doc_id = 0"))).collect()}
+    assert [got[k].kept for k in range(5)] == [True, False, True, False, True]
+    assert [got[k].nearest for k in (0, 2, 4)] == ["en", None, "en"]
+
+
+def test_names_that_clash(spark):
+    frame = spark.createDataFrame([(1, "a b", "en", "x", "y")], "doc_id long, text string, lang string, KEPT string, N_words string")
+    made = Q.judge(frame, Q.references(frame))
+    assert made.columns[:3] == ["doc_id", "text", "lang"] and "KEPT" not in made.columns and len(made.columns) == 3 + len(Q.COUNTS) + 5
+    assert Q.judge(frame.drop("lang"), {}).count() == 1
