@@ -1,7 +1,12 @@
 """A corpus from documents to packed training sequences, in five stages.
 
-Each stage is written as Parquet and read again by the next; all but the last
-return the columns of documents. The stages are held together by `run`.
+Each stage is written as Parquet and read again by the next, and its own tables
+are deleted then; all but the last return the columns of documents. The stages
+are held together by `run`.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows,
+further columns (which go no further) and an empty table, from which it makes an
+empty one. What becomes of such rows is said at each stage.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import classifier, mixing, ngram_join, packing, pii
 from quire.llm.queries import PII_KEY
-from quire.llm.workspace import Workspace
+from quire.llm.workspace import Workspace, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids (8 bytes each) up to which dropped documents are broadcast, after they have been counted.
@@ -19,7 +24,10 @@ BROADCAST_IDS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.3 or more. It learns from the labelled documents of the corpus as it was read."""
+    """Documents that the classifier scores 0.3 or more. It learns from the labelled documents that reach it.
+
+    Texts that are null or empty get the bias as their score; without a labelled document all score 0.5 and stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     weights = classifier.train(docs, labels.where(~held_out))
@@ -47,18 +55,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by pseudonyms, and the length is counted anew where a text has changed."""
+    """Personal data are replaced by pseudonyms, and the length is counted anew where a text has changed. Null and empty texts stay."""
     made = pii.pseudonymise(docs.select(*COLUMNS), key=PII_KEY)
     return made.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources flattened until one is used twice; a document that is repeated has a row for each use, and none is left out."""
+    """Sources flattened until one is used twice; a document that is repeated has a row for each use, and none is left out.
+
+    Rows without a source are a source of their own; documents without words are in each of their source's epochs.
+    """
     return mixing.Mixture(docs.select(*COLUMNS)).realise()
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each use of a document in the packed sequences."""
+    """The place of each use of a document in the packed sequences; one without words has a row without a place."""
     return packing.pack(docs)
 
 
@@ -72,9 +83,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
-            return made
-        after = work.table(made)
+            return stage(spark, docs, sf_dir)
+        with scratch():
+            after = work.table(stage(spark, docs, sf_dir))
         work.drop(docs)
         docs = after
