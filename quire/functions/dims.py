@@ -22,30 +22,56 @@ SILENT = (
     "scriptstyle scriptscriptstyle overbrace underbrace overset underset stackrel frac dfrac tfrac cfrac genfrac binom tbinom dbinom matrix "
     "pmatrix bmatrix Bmatrix vmatrix Vmatrix smallmatrix limits nolimits displaylimits mathclap mathllap mathrlap boxed substack cr"
 ).split()
-#: Symbols without a rule below (fixed values).
-PLAIN = (
-    "infty∞ int∫ in∈ pm± mp∓ times× cdot· ast∗ star⋆ circ∘ bullet• diamond⋄ leq≤ geq≥ ll≪ gg≫ prec≺ succ≻ preceq≼ succeq≽ equiv≡ sim∼ simeq≃ "
-    "cong≅ approx≈ notin∉ neq≠ perp⊥ parallel∥ mid| models⊨ propto∝ hbarℏ nabla∇ partial∂ angle∠ emptyset∅ forall∀ exists∃ neg¬ "
-    "land∧ lor∨ top⊤ bot⊥ setminus∖ Cap⋒ Cup⋓ cap∩ cup∪ wedge∧ vee∨ uplus⊎ sqcap⊓ sqcup⊔ dotplus∔ ltimes⋉ rtimes⋊ leftthreetimes⋋ "
-    "rightthreetimes⋌ curlywedge⋏ curlyvee⋎ doublebarwedge⩞ barwedge⊼ veebar⊻ wedgebar⩟ divideontimes⋇ lessdot⋖ gtrdot⋗ intercal⊺ centerdot⋅ "
-    "wr≀ amalg⨿ pitchfork⋔ therefore∴ because∵ triangleq≜ circeq≗ risingdotseq≓ fallingdotseq≒ eqcirc≖ doteqdot≑ eqqsim⩳ eqsim≂ leqq≦ geqq≧ "
-    "leqslant⩽ geqslant⩾ eqslantless⪕ eqslantgtr⪖ lesssim≲ gtrsim≳ lessapprox⪅ gtrapprox⪆ approxeq≊ lessgtr≶ gtrless≷ lesseqqgtr⪋ gtreqqless⪌ "
-    "doteq≐ precsim≾ succsim≿ precnsim⋨ succnsim⋩ precnapprox⪹ succnapprox⪺ lneq⪇ gneq⪈ lneqq≨ gneqq≩ lll⋘ ggg⋙ lesseqgtr⋚ gtreqless⋛ asymp≍ "
-    "Bumpeq≎ bumpeq≏ between≬ backsim∽ backsimeq⋍ vdash⊢ vDash⊨ Vdash⊩ Vvdash⊪ dashv⊣ VDash⊫ Lsh↰ Rsh↱ ldots… cdots⋯ vdots⋮ ddots⋱ adots⋰ "
-    "hdotsfor... lmoustache⎰ rmoustache⎱ lgroup︷ rgroup︸ bracevert│ Vert‖ vert| wp℘ Reℜ Imℑ imathı jmathȷ bethℶ gimelℷ dalethℸ Game⅁ mho℧ FinvℲ "
-    "ethð comp∁ degree° prime′ backprime‵ surd√ flat♭ natural♮ sharp♯ clubsuit♣ diamondsuit♢ heartsuit♡ spadesuit♠ bigstar★ Sun☉ Venus♀ Mars♂ "
-    "Moon☽ triangle△ square□ blacksquare■ lozenge◊ blacklozenge◆ bigcirc◯ triangledown▽ circledR® circledSⓈ Join⋈ smile⌣ frown⌢ coloneq≔ eqcolon≕ "
-    "shortmid∣ multimap⊸ dotminus∸ ldotp. checkmark✓ ballotbox☐ maltese✠ Subset⋐ Supset⋑ blacktriangle▲ blacktriangledown▼ not¬"
-).split()
+#: Relations without a rule below (fixed values).
+_RELATIONS = {
+    "in": "∈", "leq": "≤", "geq": "≥", "ll": "≪", "gg": "≫", "prec": "≺", "succ": "≻", "preceq": "≼", "succeq": "≽", "equiv": "≡", "sim": "∼",
+    "simeq": "≃", "cong": "≅", "approx": "≈", "notin": "∉", "neq": "≠", "perp": "⊥", "parallel": "∥", "mid": "|", "models": "⊨", "propto": "∝",
+    "pitchfork": "⋔", "therefore": "∴", "because": "∵", "triangleq": "≜", "circeq": "≗", "risingdotseq": "≓", "fallingdotseq": "≒", "eqcirc": "≖",
+    "doteqdot": "≑", "eqqsim": "⩳", "eqsim": "≂", "leqq": "≦", "geqq": "≧", "leqslant": "⩽", "geqslant": "⩾", "eqslantless": "⪕", "eqslantgtr": "⪖",
+    "lesssim": "≲", "gtrsim": "≳", "lessapprox": "⪅", "gtrapprox": "⪆", "approxeq": "≊", "lessgtr": "≶", "gtrless": "≷", "lesseqqgtr": "⪋",
+    "gtreqqless": "⪌", "doteq": "≐", "precsim": "≾", "succsim": "≿", "precnsim": "⋨", "succnsim": "⋩", "precnapprox": "⪹", "succnapprox": "⪺",
+    "lneq": "⪇", "gneq": "⪈", "lneqq": "≨", "gneqq": "≩", "lll": "⋘", "ggg": "⋙", "lesseqgtr": "⋚", "gtreqless": "⋛", "asymp": "≍", "Bumpeq": "≎",
+    "bumpeq": "≏", "between": "≬", "backsim": "∽", "backsimeq": "⋍", "vdash": "⊢", "vDash": "⊨", "Vdash": "⊩", "Vvdash": "⊪", "dashv": "⊣",
+    "VDash": "⊫", "Lsh": "↰", "Rsh": "↱", "Join": "⋈", "smile": "⌣", "frown": "⌢", "coloneq": "≔", "eqcolon": "≕", "shortmid": "∣", "multimap": "⊸",
+    "Subset": "⋐", "Supset": "⋑",
+}
+#: Operations without a rule below (fixed values).
+_OPERATIONS = {
+    "int": "∫", "pm": "±", "mp": "∓", "times": "×", "cdot": "·", "ast": "∗", "star": "⋆", "circ": "∘", "bullet": "•", "diamond": "⋄", "neg": "¬",
+    "land": "∧", "lor": "∨", "setminus": "∖", "Cap": "⋒", "Cup": "⋓", "cap": "∩", "cup": "∪", "wedge": "∧", "vee": "∨", "uplus": "⊎", "sqcap": "⊓",
+    "sqcup": "⊔", "dotplus": "∔", "ltimes": "⋉", "rtimes": "⋊", "leftthreetimes": "⋋", "rightthreetimes": "⋌", "curlywedge": "⋏", "curlyvee": "⋎",
+    "doublebarwedge": "⩞", "barwedge": "⊼", "veebar": "⊻", "wedgebar": "⩟", "divideontimes": "⋇", "lessdot": "⋖", "gtrdot": "⋗", "intercal": "⊺",
+    "centerdot": "⋅", "wr": "≀", "amalg": "⨿", "surd": "√", "bigcirc": "◯", "dotminus": "∸", "not": "¬",
+}
+#: Signs that are read like letters (fixed values).
+_LETTERS = {
+    "infty": "∞", "hbar": "ℏ", "nabla": "∇", "partial": "∂", "angle": "∠", "emptyset": "∅", "forall": "∀", "exists": "∃", "top": "⊤", "bot": "⊥",
+    "wp": "℘", "Re": "ℜ", "Im": "ℑ", "imath": "ı", "jmath": "ȷ", "beth": "ℶ", "gimel": "ℷ", "daleth": "ℸ", "Game": "⅁", "mho": "℧", "Finv": "Ⅎ",
+    "eth": "ð", "comp": "∁", "degree": "°", "prime": "′", "backprime": "‵",
+}
+#: Shapes and delimiters (fixed values).
+_SHAPES = {
+    "lmoustache": "⎰", "rmoustache": "⎱", "lgroup": "︷", "rgroup": "︸", "bracevert": "│", "Vert": "‖", "vert": "|", "flat": "♭", "natural": "♮",
+    "sharp": "♯", "clubsuit": "♣", "diamondsuit": "♢", "heartsuit": "♡", "spadesuit": "♠", "bigstar": "★", "Sun": "☉", "Venus": "♀", "Mars": "♂",
+    "Moon": "☽", "triangle": "△", "square": "□", "blacksquare": "■", "lozenge": "◊", "blacklozenge": "◆", "triangledown": "▽", "circledR": "®",
+    "circledS": "Ⓢ", "checkmark": "✓", "ballotbox": "☐", "maltese": "✠", "blacktriangle": "▲", "blacktriangledown": "▼",
+}
+#: Dots (fixed values).
+_DOTS = {
+    "ldots": "…", "cdots": "⋯", "vdots": "⋮", "ddots": "⋱", "adots": "⋰", "hdotsfor": "...", "ldotp": ".",
+}
 #: Other names of symbols (fixed values).
-SAME = (
-    "le=leq ge=geq ne=neq dots=ldots empty=emptyset varnothing=emptyset lnot=neg to=rightarrow gets=leftarrow leadsto=rightsquigarrow iff=Longleftrightarrow "
-    "smallsetminus=setminus doublecap=Cap doublecup=Cup smallcirc=circ lhd=vartriangleleft rhd=vartriangleright unlhd=trianglelefteq unrhd=trianglerighteq "
-    "preccurlyeq=preceq succcurlyeq=succeq lvertneqq=lneqq gvertneqq=gneqq llless=lll gggtr=ggg arrowvert=vert Arrowvert=parallel complement=comp "
-    "bigtriangleup=triangle bigtriangledown=triangledown vartriangle=triangle Box=square Diamond=lozenge smallsmile=smile smallfrown=frown coloneqq=eqcolon "
-    "shortparallel=parallel varpropto=propto dasharrow=dashrightarrow cdotp=cdot varprod=prod dotsc=ldots dotso=ldots dotsb=cdots dotsm=cdots dotsi=cdots "
-    "Earth=oplus subseteqq=subseteq supseteqq=supseteq nleqq=leqq ngeqq=geqq"
-).split()
+_OTHER_NAMES = {
+    "le": "leq", "ge": "geq", "ne": "neq", "dots": "ldots", "empty": "emptyset", "varnothing": "emptyset", "lnot": "neg", "to": "rightarrow",
+    "gets": "leftarrow", "leadsto": "rightsquigarrow", "iff": "Longleftrightarrow", "smallsetminus": "setminus", "doublecap": "Cap",
+    "doublecup": "Cup", "smallcirc": "circ", "lhd": "vartriangleleft", "rhd": "vartriangleright", "unlhd": "trianglelefteq",
+    "unrhd": "trianglerighteq", "preccurlyeq": "preceq", "succcurlyeq": "succeq", "lvertneqq": "lneqq", "gvertneqq": "gneqq", "llless": "lll",
+    "gggtr": "ggg", "arrowvert": "vert", "Arrowvert": "parallel", "complement": "comp", "bigtriangleup": "triangle",
+    "bigtriangledown": "triangledown", "vartriangle": "triangle", "Box": "square", "Diamond": "lozenge", "smallsmile": "smile", "smallfrown": "frown",
+    "coloneqq": "eqcolon", "shortparallel": "parallel", "varpropto": "propto", "dasharrow": "dashrightarrow", "cdotp": "cdot", "varprod": "prod",
+    "dotsc": "ldots", "dotso": "ldots", "dotsb": "cdots", "dotsm": "cdots", "dotsi": "cdots", "Earth": "oplus", "subseteqq": "subseteq",
+    "supseteqq": "supseteq", "nleqq": "leqq", "ngeqq": "geqq",
+}
 
 
 def math_symbols() -> dict[str, str]:
@@ -55,9 +81,7 @@ def math_symbols() -> dict[str, str]:
     out |= {f"var{n}": out[n] for n in "epsilon theta pi rho sigma phi".split()}
     out |= {n: U.lookup(f"GREEK CAPITAL LETTER {_GREEK.get(n.lower(), n).upper()}") for n in _CAPITAL}
     out |= {"digamma": U.lookup("GREEK SMALL LETTER DIGAMMA"), "Digamma": U.lookup("GREEK LETTER DIGAMMA"), "backepsilon": U.lookup("GREEK REVERSED LUNATE EPSILON SYMBOL")}
-    for entry in PLAIN:
-        cut = next((k for k, c in enumerate(entry) if not (c.isascii() and c.isalpha())), len(entry))
-        out[entry[:cut]] = entry[cut:]
+    out |= _RELATIONS | _OPERATIONS | _LETTERS | _SHAPES | _DOTS
     out |= {"aleph": U.lookup("ALEF SYMBOL"), "ell": U.lookup("SCRIPT SMALL L"), "langle": U.lookup("MATHEMATICAL LEFT ANGLE BRACKET"), "rangle": U.lookup("MATHEMATICAL RIGHT ANGLE BRACKET")}
     for side, way in (("l", "LEFT"), ("r", "RIGHT")):
         out |= {f"{side}ceil": U.lookup(f"{way} CEILING"), f"{side}floor": U.lookup(f"{way} FLOOR")}
@@ -104,8 +128,7 @@ def math_symbols() -> dict[str, str]:
         c = chr(65 + k)
         out |= {name + c: alphabet(c, name) for name in ("Bbb", "scr", "frak")}
     out |= {"Bbbk": U.lookup("MATHEMATICAL DOUBLE-STRUCK SMALL K"), "Bbb1": U.lookup("MATHEMATICAL DOUBLE-STRUCK DIGIT ONE")}
-    for entry in SAME:
-        name, of = entry.split("=")
+    for name, of in _OTHER_NAMES.items():
         out[name] = out[of]
     # limits of limits, and remainders
     for name, word in (("lim", "lim"), ("proj", "proj lim"), ("inj", "inj lim")):
