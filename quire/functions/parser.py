@@ -7,6 +7,7 @@ text. Nothing raises: what is unclosed runs to the end of its surroundings.
 
 from __future__ import annotations
 
+import operator
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
@@ -61,16 +62,14 @@ _TEXORPDF = re.compile(r"\\texorpdfstring(?![A-Za-z])")
 
 
 class Node:
-    """A node of the tree; `parts` are (slot, index in the slot, children)."""
+    """A node of the tree; `parts` are (slot, index in the slot, children). What a node doesn't set is None."""
 
-    __slots__ = ("kind", "name", "level", "text", "args", "keys", "ordered", "label", "path", "width", "height", "lines", "columns", "rows", "bib", "parts")
+    FIELDS = ("name", "level", "text", "args", "keys", "ordered", "label", "path", "width", "height", "lines", "columns", "rows", "bib")
+    name = level = text = args = keys = ordered = label = path = width = height = lines = columns = rows = bib = None
 
     def __init__(self, kind: str, **fields):
-        for slot in self.__slots__:
-            setattr(self, slot, None)
+        self.__dict__ = fields
         self.kind, self.parts = kind, []
-        for name, value in fields.items():
-            setattr(self, name, value)
 
 
 def ligatures(text: str) -> str:
@@ -618,18 +617,26 @@ COLUMNS = (
 )
 
 
-def flatten(nodes: list[Node]) -> list[list]:
-    """Rows in pre-order; a node's descendants are those with ids up to its `subtree_end`."""
-    out: list[list] = []
+_FIELDS = operator.attrgetter(*COLUMNS[7:])
+
+
+def flatten(nodes: list[Node], kinds: frozenset[str] | None = None) -> list[tuple]:
+    """Rows in pre-order; a node's descendants are those with ids up to its `subtree_end`. With `kinds`, rows of those kinds alone."""
+    out: list[tuple] = []
+    count = 0
 
     def add(node: Node, parent: int, depth: int, slot: str, index: int, ordinal: int) -> None:
-        k = len(out)
-        row = [k, parent, 0, depth, slot, index, ordinal, *(getattr(node, c) for c in COLUMNS[7:])]
-        out.append(row)
+        nonlocal count
+        k, place = count, None
+        count += 1
+        if kinds is None or node.kind in kinds:
+            place = len(out)
+            out.append(())
         for inner_slot, inner_index, children in node.parts:
             for i, child in enumerate(children):
                 add(child, k, depth + 1, inner_slot, inner_index, i)
-        row[2] = len(out)
+        if place is not None:
+            out[place] = (k, parent, count, depth, slot, index, ordinal, *_FIELDS(node))
 
     for i, node in enumerate(nodes):
         add(node, -1, 0, "root", 0, i)

@@ -5,8 +5,25 @@ from __future__ import annotations
 from quire.functions.parser import Node
 
 
+class PluginError(Exception):
+    """What a plugin can't do; `plugin` names it."""
+
+    def __init__(self, plugin: str, message: str):
+        super().__init__(f"{plugin}: {message}")
+        self.plugin = plugin
+
+
 class Plugin:
-    """`command` and `environment` return a node, or None to leave it to the next plugin."""
+    """`command` and `environment` return a node, or None to leave it to the next plugin; `transform` gets the whole tree when it is read.
+
+    `on_load` is called once, where a job is declared, before any document is read: it checks what the plugin needs.
+    """
+
+    def on_load(self) -> None:
+        pass
+
+    def transform(self, nodes: list[Node]) -> list[Node]:
+        return nodes
 
     def command(self, name: str, args: list[str]) -> Node | None:
         return None

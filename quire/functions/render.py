@@ -380,7 +380,7 @@ def tree(nodes: list[Node]) -> list[dict]:
     """Nodes as externally tagged objects, without empty fields."""
     out = []
     for n in nodes:
-        fields = {c: getattr(n, c) for c in Node.__slots__[1:-1] if getattr(n, c) is not None}
+        fields = {c: getattr(n, c) for c in Node.FIELDS if getattr(n, c) is not None}
         if n.parts:
             fields["parts"] = [{"slot": slot, "nodes": tree(children)} for slot, _, children in n.parts]
         out.append({n.kind: fields} if fields else n.kind)

@@ -34,8 +34,18 @@ def hit_rates(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"parse_rate": rate(c("parse_hits"), c("parse_misses")), "output_rate": rate(c("output_hits"), c("output_misses")), "total_rate": rate(c("parse_hits") + c("output_hits"), c("parse_misses") + c("output_misses"))})
 
 
+#: Parts of a cache whose latest entries are picked before those of the whole cache.
+PARTS = 64
+
+
 def evicted(entries: DataFrame, capacity: int, now: Column, ttl_seconds: int = 3600) -> DataFrame:
-    """Entries (cache, key, last_accessed) that are too old, or not among the latest `capacity` of their cache."""
+    """Entries (cache, key, last_accessed) that are too old, or not among the latest `capacity` of their cache; keys of a cache are distinct.
+
+    The latest ones are picked in parts first, so no task sorts a whole cache.
+    """
     old = entries.withColumn("expired", F.unix_timestamp(now) - F.unix_timestamp("last_accessed") > ttl_seconds)
-    rank = F.row_number().over(Window.partitionBy("cache", "expired").orderBy(F.desc("last_accessed"), "key"))
-    return old.withColumn("rank", rank).where(F.col("expired") | (F.col("rank") > capacity)).drop("rank")
+    latest = old.where("not expired").select("cache", "key", "last_accessed", F.pmod(F.xxhash64("key"), F.lit(PARTS)).alias("part"))
+    for keys in (("cache", "part"), ("cache",)):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("last_accessed"), "key"))
+        latest = latest.withColumn("rank", rank).where(F.col("rank") <= capacity)
+    return old.join(latest.select("cache", "key"), ["cache", "key"], "left_anti")

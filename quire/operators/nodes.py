@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,19 +60,36 @@ def mapped(docs: DataFrame, make: Callable[[str], object], name: str, kind: T.Da
     return rows_of(docs, lambda s: [(make(s),)], T.StructType([T.StructField(name, kind)]), text, keys)
 
 
-def _row(values: list) -> list:
-    """A node row with its tuples as structs."""
-    at = {c: k for k, c in enumerate(parser.COLUMNS)}
-    if values[at["rows"]] is not None:
-        values[at["rows"]] = [{"cells": cells, "is_separator": rule} for cells, rule in values[at["rows"]]]
-    if values[at["bib"]] is not None:
-        values[at["bib"]] = [{"key": key, "text": text} for key, text in values[at["bib"]]]
-    return values
+_PLACE = {c: k for k, c in enumerate(parser.COLUMNS)}
+#: What turns the tuples of a column into structs.
+_STRUCTS = {
+    "rows": lambda rows: rows and [{"cells": cells, "is_separator": rule} for cells, rule in rows],
+    "bib": lambda entries: entries and [{"key": key, "text": text} for key, text in entries],
+}
 
 
-def nodes(docs: DataFrame, plugins: tuple = (), text: str = "tex", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The node table: one row for each node of each document, in pre-order."""
-    return rows_of(docs, lambda s: [_row(r) for r in parser.flatten(parser.parse(s, plugins))], NODE, text, keys)
+def nodes(docs: DataFrame, plugins: tuple = (), text: str = "tex", keys: tuple[str, ...] = ("doc_id",), kinds: tuple[str, ...] = (), columns: tuple[str, ...] = ()) -> DataFrame:
+    """The node table: one row for each node of each document, in pre-order.
+
+    No filter or projection passes the map by itself: `kinds` and `columns` tell it which rows and columns are asked for.
+    """
+    wanted, picked = frozenset(kinds) or None, columns or parser.COLUMNS
+    places = [(_PLACE[c], _STRUCTS.get(c)) for c in picked]
+    for plugin in plugins:
+        plugin.on_load()
+
+    def make(source: str) -> list[tuple]:
+        rows = parser.flatten(transformed(parser.parse(source, plugins), plugins), wanted)
+        return [tuple(r[k] if f is None else f(r[k]) for k, f in places) for r in rows]
+
+    return rows_of(docs, make, T.StructType([NODE[c] for c in picked]), text, keys)
+
+
+def transformed(made: list, plugins: tuple) -> list:
+    """The tree as the plugins' `transform` leave it, in order."""
+    for plugin in plugins:
+        made = plugin.transform(made)
+    return made
 
 
 def candidates(docs: DataFrame, *commands: str, text: str = "tex") -> DataFrame:
@@ -125,6 +142,38 @@ def texts_within(table: DataFrame, kind: str) -> DataFrame:
     return both.groupBy("doc_id", "outer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
+def texts_of(docs: DataFrame, *kinds: str, text: str = "tex") -> DataFrame:
+    """As `texts_within`, of several kinds and straight from the documents: each is parsed once, and nothing is joined."""
+    fields = [NODE[c] for c in ("node_id", "kind", "name", "label")] + [T.StructField("text", T.StringType())]
+
+    def make(source: str) -> list[tuple]:
+        out, rows = [], parser.flatten(parser.parse(source))
+        for r in rows:
+            if r[_PLACE["kind"]] in kinds:
+                inner = rows[r[_PLACE["node_id"]] : r[_PLACE["subtree_end"]]]
+                out.append((*(r[_PLACE[c]] for c in ("node_id", "kind", "name", "label")), "".join(x[_PLACE["text"]] for x in inner if x[_PLACE["kind"]] == "Text")))
+        return out
+
+    return rows_of(docs, make, T.StructType(fields), text)
+
+
+def resolved_references(docs: DataFrame) -> DataFrame:
+    """(doc_id, node_id, command, key, found): references, and whether a label of their document has their key. Documents are parsed once."""
+    rows = nodes(docs, kinds=("Label", "Ref", "PageRef"), columns=("node_id", "kind", "name", "text"))
+    held = F.max(F.col("kind") == "Label").over(Window.partitionBy("doc_id", "text"))
+    return rows.withColumn("found", held).where("kind <> 'Label'").select("doc_id", "node_id", F.col("name").alias("command"), F.col("text").alias("key"), "found")
+
+
+def resolved_citations(docs: DataFrame) -> DataFrame:
+    """(doc_id, node_id, key, number): cited keys, and the number of the entry that their document has for them, or null. Documents are parsed once."""
+    rows = nodes(docs, kinds=("Citation", "Bibliography"), columns=("node_id", "keys", "bib"))
+    one = lambda key, number: F.struct(key.alias("key"), number.cast("int").alias("entry"))
+    pairs = F.coalesce(F.transform("keys", lambda k: one(k, F.lit(None))), F.transform("bib", lambda e, i: one(e["key"], i + 1)))
+    rows = rows.select("doc_id", "node_id", F.explode(pairs).alias("p")).select("doc_id", "node_id", "p.*")
+    number = F.min("entry").over(Window.partitionBy("doc_id", "key")).alias("number")
+    return rows.select("doc_id", "node_id", "key", "entry", number).where("entry is null").drop("entry")
+
+
 def math_spans(table: DataFrame) -> DataFrame:
     """Formulas: inline nodes, and spans that stay inside running text."""
     inside = table.where("kind = 'Text'").select("doc_id", "node_id", F.explode(F.regexp_extract_all("text", F.lit(r"\$([^$]*)\$"), F.lit(1))).alias("formula"))

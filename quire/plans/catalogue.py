@@ -44,7 +44,7 @@ def _long(*names: str) -> list[Column]:
 @query("SELECT l_returnflag AS flag, sum(cast(l_quantity AS BIGINT))::BIGINT AS quantity, sum(cast(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS cents, count(*) AS n FROM lineitem GROUP BY 1")
 def table_extract_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items through a table of TeX and back, summed by flag."""
-    table = nodes.nodes(B.lineitem_tables(spark, sf_dir)).where("kind = 'Table'").select(F.posexplode("rows").alias("k", "row")).where("not row.is_separator and k > 2")
+    table = nodes.nodes(B.lineitem_tables(spark, sf_dir), kinds=("Table",), columns=("rows",)).select(F.posexplode("rows").alias("k", "row")).where("not row.is_separator and k > 2")
     cells = table.select(F.col("row.cells")[3].alias("flag"), F.expr("try_cast(row.cells[1] AS bigint)").alias("q"), F.expr("try_cast(row.cells[2] AS bigint)").alias("c"))
     return cells.groupBy("flag").agg(F.sum("q").alias("quantity"), F.sum("c").alias("cents"), F.count("*").alias("n"))
 
@@ -54,7 +54,7 @@ def table_extract_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n_regionkey::BIGINT AS region, (2 + k)::BIGINT AS row_idx, c.col::BIGINT AS col_idx, CASE c.col WHEN 0 THEN n_nationkey::VARCHAR ELSE n_name END AS value FROM r, (VALUES (0), (1)) c(col)"""
 )
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = nodes.table_cells(nodes.nodes(B.nation_tables(spark, sf_dir))).where("row_idx >= 3")
+    cells = nodes.table_cells(nodes.nodes(B.nation_tables(spark, sf_dir), kinds=("Table",), columns=("node_id", "kind", "rows"))).where("row_idx >= 3")
     return cells.select(F.col("doc_id").alias("region"), *_long("row_idx", "col_idx"), "value")
 
 
@@ -77,7 +77,7 @@ def table_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT r_regionkey::BIGINT AS region, 'Nations|' AS cells FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
 def table_multicolumn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = nodes.table_cells(nodes.nodes(B.nation_tables(spark, sf_dir))).where("row_idx = 1")
+    cells = nodes.table_cells(nodes.nodes(B.nation_tables(spark, sf_dir), kinds=("Table",), columns=("node_id", "kind", "rows"))).where("row_idx = 1")
     return cells.groupBy(F.col("doc_id").alias("region")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "value"))), lambda x: x["value"]), "|").alias("cells"))
 
 
@@ -89,7 +89,7 @@ UNION ALL SELECT n_regionkey, n_name, 1 FROM nation UNION ALL SELECT n_regionkey
 
 @query(_TITLES)
 def section_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.sections(nodes.nodes(B.geo_outline(spark, sf_dir))).select(F.col("doc_id").alias("region"), "title", "level")
+    return nodes.sections(nodes.nodes(B.geo_outline(spark, sf_dir), kinds=("Section",), columns=("node_id", "kind", "level", "text"))).select(F.col("doc_id").alias("region"), "title", "level")
 
 
 @query(
@@ -105,23 +105,25 @@ def section_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey::BIGINT AS o, ('Order ' || o_orderkey || ' \\emph{of} note') AS title, (CASE WHEN o_orderkey % 5 = 0 THEN 'D' ELSE 'C' END || o_custkey) AS author, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders")
 def metadata_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.metadata(nodes.nodes(B.order_meta(spark, sf_dir))).withColumnRenamed("doc_id", "o")
+    return nodes.metadata(nodes.nodes(B.order_meta(spark, sf_dir), kinds=("Command",), columns=("node_id", "kind", "depth", "name", "args"))).withColumnRenamed("doc_id", "o")
 
 
 # citations, references, bibliographies
 
+_CITED = {"kinds": ("Citation",), "columns": ("node_id", "kind", "name", "keys")}
+_LISTED = {"kinds": ("Bibliography",), "columns": ("node_id", "kind", "bib")}
 _KINDS = "(CASE o_orderkey % 8 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(B.CITES)) + " END)"
 
 
 @query("SELECT o_custkey::BIGINT AS c, 'o' || o_orderkey AS key, 0 AS key_idx FROM orders UNION ALL SELECT o_custkey, 's' || o_orderkey % 10, 1 FROM orders")
 def citation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = nodes.candidates(B.customer_citations(spark, sf_dir), *B.CITES)
-    return nodes.citations(nodes.nodes(docs)).select(F.col("doc_id").alias("c"), "key", "key_idx")
+    return nodes.citations(nodes.nodes(docs, **_CITED)).select(F.col("doc_id").alias("c"), "key", "key_idx")
 
 
 @query(f"SELECT {_KINDS} AS cite_kind, count(*) AS n FROM orders GROUP BY 1")
 def citation_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.citations(nodes.nodes(B.customer_citations(spark, sf_dir))).where("key_idx = 0").groupBy("cite_kind").agg(F.count("*").alias("n"))
+    return nodes.citations(nodes.nodes(B.customer_citations(spark, sf_dir), **_CITED)).where("key_idx = 0").groupBy("cite_kind").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -132,7 +134,7 @@ def citation_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations as HTML, joined to the table of their forms."""
     forms = [(k, *(("", "", "") if v is None else ("", "", v[2]) if v[2] else (v[0], v[1], ""))) for k, v in dims.CITATIONS.items()]
     table = spark.createDataFrame(forms, "cite_kind string, before string, after string, raised string")
-    rows = nodes.nodes(B.customer_citations(spark, sf_dir)).where("kind = 'Citation'").select("doc_id", F.col("name").alias("cite_kind"), F.array_join("keys", ", ").alias("keys"))
+    rows = nodes.nodes(B.customer_citations(spark, sf_dir), **_CITED).select("doc_id", F.col("name").alias("cite_kind"), F.array_join("keys", ", ").alias("keys"))
     open_ = F.when(F.col("raised") == "footnote", '<sup class="footnote">').when(F.col("raised") == "sup", "<sup>").otherwise(F.col("before"))
     close = F.when(F.col("raised") != "", "</sup>").otherwise(F.col("after"))
     html = F.when(F.col("cite_kind") == "nocite", "").otherwise(F.concat(open_, C.escape_html(F.col("keys")), close))
@@ -141,38 +143,33 @@ def citation_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_custkey::BIGINT AS c, 'o' || o_orderkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS number, 'Order ' || o_orderkey || ' of ' || o_orderpriority || '.' AS text FROM orders WHERE o_orderkey % 2 = 0")
 def bibliography_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.bibliography(nodes.nodes(B.customer_citations(spark, sf_dir))).select(F.col("doc_id").alias("c"), "key", "number", "text")
+    return nodes.bibliography(nodes.nodes(B.customer_citations(spark, sf_dir), **_LISTED)).select(F.col("doc_id").alias("c"), "key", "number", "text")
 
 
 @query("SELECT o_custkey::BIGINT AS c, count(*) AS entries, max(o_orderkey)::BIGINT AS last_key FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
 def bib_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of the last entry of each bibliography is the count of its entries."""
-    bib = nodes.bibliography(nodes.nodes(B.customer_citations(spark, sf_dir)))
+    bib = nodes.bibliography(nodes.nodes(B.customer_citations(spark, sf_dir), **_LISTED))
     return bib.groupBy(F.col("doc_id").alias("c")).agg(F.max("number").cast("long").alias("entries"), F.max_by(F.substring("key", F.lit(2), F.length("key")).cast("long"), F.col("number")).alias("last_key"))
 
 
 @query("SELECT o_custkey::BIGINT AS c, count(*) FILTER (o_orderkey % 2 = 0) AS resolved, (count(*) FILTER (o_orderkey % 2 = 1) + count(*)) AS dangling FROM orders GROUP BY 1")
 def cite_bib_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: citations joined to the entries of their document."""
-    table = nodes.nodes(B.customer_citations(spark, sf_dir))
-    bib = nodes.bibliography(table).select("doc_id", "key", "number")
-    joined = nodes.citations(table).join(bib, ["doc_id", "key"], "left")
+    joined = nodes.resolved_citations(B.customer_citations(spark, sf_dir))
     return joined.groupBy(F.col("doc_id").alias("c")).agg(F.count("number").alias("resolved"), F.sum(F.col("number").isNull().cast("long")).alias("dangling"))
 
 
 @query("SELECT o_custkey::BIGINT AS c, (2 * count(*))::BIGINT AS resolved, count(*) FILTER (o_orderkey % 3 = 0) AS dangling FROM orders GROUP BY 1")
 def label_ref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: references joined to the labels of their document."""
-    table = nodes.nodes(B.order_labels(spark, sf_dir))
-    held = nodes.labels(table).select("doc_id", "key", F.lit(1).alias("found")).distinct()
-    joined = nodes.references(table).join(held, ["doc_id", "key"], "left")
-    return joined.groupBy(F.col("doc_id").alias("c")).agg(F.count("found").alias("resolved"), F.sum(F.col("found").isNull().cast("long")).alias("dangling"))
+    joined = nodes.resolved_references(B.order_labels(spark, sf_dir))
+    return joined.groupBy(F.col("doc_id").alias("c")).agg(F.sum(F.col("found").cast("long")).alias("resolved"), F.sum((~F.col("found")).cast("long")).alias("dangling"))
 
 
 @query("SELECT o_custkey::BIGINT AS c, 'x' || o_orderkey AS key, 'eqref' AS command FROM orders WHERE o_orderkey % 3 = 0")
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = nodes.nodes(B.order_labels(spark, sf_dir))
-    return nodes.references(table).join(nodes.labels(table), ["doc_id", "key"], "left_anti").select(F.col("doc_id").alias("c"), "key", "command")
+    return nodes.resolved_references(B.order_labels(spark, sf_dir)).where("not found").select(F.col("doc_id").alias("c"), "key", "command")
 
 
 # lists and blocks
@@ -180,13 +177,13 @@ def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_regionkey::BIGINT AS region, n_name AS item, 0 AS depth FROM nation UNION ALL SELECT n_regionkey, s_name, 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = nodes.children_of(nodes.nodes(B.nation_lists(spark, sf_dir)), "ItemList").where("kind = 'Text'")
-    return items.select(F.col("doc_id").alias("region"), F.trim(F.replace("text", F.lit("\n"), F.lit(" "))).alias("item"), F.col("parent_depth").alias("depth"))
+    items = nodes.nodes(B.nation_lists(spark, sf_dir), kinds=("Text",), columns=("slot", "depth", "text")).where("slot = 'item'")
+    return items.select(F.col("doc_id").alias("region"), F.trim(F.replace("text", F.lit("\n"), F.lit(" "))).alias("item"), (F.col("depth") - 1).alias("depth"))
 
 
 @query("SELECT n_regionkey::BIGINT AS region, count(DISTINCT n_nationkey) AS outer_items, count(s_suppkey) AS inner_items FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey")
 def list_nested_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = nodes.nodes(B.nation_lists(spark, sf_dir)).where("kind = 'ItemList'")
+    lists = nodes.nodes(B.nation_lists(spark, sf_dir), kinds=("ItemList",), columns=("depth", "args"))
     count = lambda d: F.coalesce(F.sum(F.when(F.col("depth") == d, F.size("args"))), F.lit(0)).cast("long")
     return lists.groupBy(F.col("doc_id").alias("region")).agg(count(0).alias("outer_items"), count(1).alias("inner_items"))
 
@@ -199,74 +196,69 @@ def description_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey::BIGINT AS p, CASE WHEN p_partkey % 2 = 0 THEN 'theorem' ELSE 'lemma' END AS name, p_name AS title, 'Every part of size ' || p_size || ' is .' AS body FROM part")
 def theorem_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = nodes.nodes(B.part_notes(spark, sf_dir))
-    heads = table.where("kind = 'Theorem'").select("doc_id", F.col("node_id").alias("outer_id"), "name", F.col("label").alias("title"))
     body = F.trim(F.replace("text", F.lit("\n"), F.lit("")))
-    return heads.join(nodes.texts_within(table, "Theorem"), ["doc_id", "outer_id"]).select(F.col("doc_id").alias("p"), "name", "title", body.alias("body"))
+    return nodes.texts_of(B.part_notes(spark, sf_dir), "Theorem").select(F.col("doc_id").alias("p"), "name", F.col("label").alias("title"), body.alias("body"))
 
 
 @query("SELECT p_partkey::BIGINT AS p, 'Note on ' || p_brand AS text FROM part")
 def footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.nodes(nodes.candidates(B.part_notes(spark, sf_dir), "footnote", "thanks")).where("kind = 'Footnote'").select(F.col("doc_id").alias("p"), "text")
+    return nodes.nodes(nodes.candidates(B.part_notes(spark, sf_dir), "footnote", "thanks"), kinds=("Footnote",), columns=("text",)).select(F.col("doc_id").alias("p"), "text")
 
 
 @query("SELECT p_partkey::BIGINT AS p, 'Part ' || p_partkey AS caption, 'fig' || p_partkey AS label FROM part")
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions with the labels of the same float."""
-    kids = nodes.children_of(nodes.nodes(B.part_notes(spark, sf_dir)), "Center")
-    cap = kids.where("kind = 'Caption'").select("doc_id", "parent_id", F.col("text").alias("caption"))
-    lab = kids.where("kind = 'Label'").select("doc_id", "parent_id", F.col("text").alias("label"))
-    return cap.join(lab, ["doc_id", "parent_id"], "left").select(F.col("doc_id").alias("p"), "caption", "label")
+    kids = nodes.nodes(B.part_notes(spark, sf_dir), kinds=("Caption", "Label"), columns=("parent_id", "kind", "text")).where("parent_id >= 0")
+    text = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("text")))
+    return kids.groupBy("doc_id", "parent_id").agg(text("Caption").alias("caption"), text("Label").alias("label")).where("caption is not null").select(F.col("doc_id").alias("p"), "caption", "label")
 
 
 @query("SELECT p_partkey::BIGINT AS p, 'size = ' || p_size AS code FROM part")
 def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.nodes(B.part_notes(spark, sf_dir)).where("kind = 'CodeBlock'").select(F.col("doc_id").alias("p"), F.col("text").alias("code"))
+    return nodes.nodes(B.part_notes(spark, sf_dir), kinds=("CodeBlock",)).select(F.col("doc_id").alias("p"), F.col("text").alias("code"))
 
 
 @query("SELECT p_partkey::BIGINT AS p, 'part' || p_partkey || '.png' AS path, p_size || 'cm' AS width FROM part")
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.nodes(B.part_notes(spark, sf_dir)).where("kind = 'Image'").select(F.col("doc_id").alias("p"), "path", "width")
+    return nodes.nodes(B.part_notes(spark, sf_dir), kinds=("Image",)).select(F.col("doc_id").alias("p"), "path", "width")
 
 
 @query("SELECT p_partkey::BIGINT AS p, 'http://parts.example/' || p_partkey AS url, p_name AS text FROM part UNION ALL SELECT p_partkey, 'http://parts.example/all', 'http://parts.example/all' FROM part")
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nodes.nodes(B.part_notes(spark, sf_dir)).where("kind = 'Command' and name in ('href', 'url')")
+    rows = nodes.nodes(B.part_notes(spark, sf_dir), kinds=("Command",), columns=("kind", "name", "args")).where("kind = 'Command' and name in ('href', 'url')")
     return rows.select(F.col("doc_id").alias("p"), F.col("args")[0].alias("url"), F.element_at("args", -1).alias("text"))
 
 
 @query("SELECT p_partkey::BIGINT AS p, l.k AS line_no, CASE l.k WHEN 0 THEN 'a &= ' || p_size ELSE 'b &= ' || (p_size + 1) END AS expr FROM part, (VALUES (0), (1)) l(k)")
 def math_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.nodes(B.mixed_docs(spark, sf_dir)).where("kind = 'MathLines'").select(F.col("doc_id").alias("p"), F.posexplode("lines").alias("line_no", "expr"))
+    return nodes.nodes(B.mixed_docs(spark, sf_dir), kinds=("MathLines",)).select(F.col("doc_id").alias("p"), F.posexplode("lines").alias("line_no", "expr"))
 
 
 @query("SELECT p_partkey::BIGINT AS p, 'SI' AS name, p_size::DOUBLE AS value, 'kg' AS unit FROM part UNION ALL SELECT p_partkey, 'num', p_size::DOUBLE, NULL FROM part")
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nodes.nodes(nodes.candidates(B.mixed_docs(spark, sf_dir), "SI", "num", "si", "unit")).where("kind = 'Command' and name in ('SI', 'num')")
+    rows = nodes.nodes(nodes.candidates(B.mixed_docs(spark, sf_dir), "SI", "num", "si", "unit"), kinds=("Command",), columns=("kind", "name", "args")).where("kind = 'Command' and name in ('SI', 'num')")
     return rows.select(F.col("doc_id").alias("p"), "name", F.expr("try_cast(args[0] AS double)").alias("value"), F.get("args", F.lit(1)).alias("unit"))
 
 
 @query("SELECT p_partkey::BIGINT AS p, c.name, c.arg FROM part, (VALUES ('raisebox', 'up'), ('fcolorbox', 'box'), ('vspace', '2cm'), ('quad', NULL), ('today', NULL)) c(name, arg)")
 def command_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nodes.nodes(B.mixed_docs(spark, sf_dir)).where("kind = 'Command' and name in ('raisebox', 'fcolorbox', 'vspace', 'quad', 'today')")
+    rows = nodes.nodes(B.mixed_docs(spark, sf_dir), kinds=("Command",), columns=("kind", "name", "args")).where("kind = 'Command' and name in ('raisebox', 'fcolorbox', 'vspace', 'quad', 'today')")
     return rows.select(F.col("doc_id").alias("p"), "name", F.when(F.size("args") > 0, F.element_at("args", -1)).alias("arg"))
 
 
 @query("SELECT p_partkey::BIGINT AS p, c.kind, c.t || CASE c.kind WHEN 'Quote' THEN p_partkey::VARCHAR ELSE '' END AS text FROM part, (VALUES ('Quote', 'Quoted '), ('Center', 'Centred ')) c(kind, t)")
 def container_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = nodes.nodes(B.mixed_docs(spark, sf_dir))
-    both = [nodes.texts_within(table, k).select(F.col("doc_id").alias("p"), F.lit(k).alias("kind"), "text") for k in ("Quote", "Center")]
-    return both[0].unionByName(both[1])
+    return nodes.texts_of(B.mixed_docs(spark, sf_dir), "Quote", "Center").select(F.col("doc_id").alias("p"), "kind", "text")
 
 
 @query("SELECT p_partkey::BIGINT AS p, 'green' AS color, 'col' || p_partkey AS text FROM part")
 def colored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.nodes(B.mixed_docs(spark, sf_dir)).where("kind = 'ColoredText'").select(F.col("doc_id").alias("p"), F.col("name").alias("color"), "text")
+    return nodes.nodes(B.mixed_docs(spark, sf_dir), kinds=("ColoredText",)).select(F.col("doc_id").alias("p"), F.col("name").alias("color"), "text")
 
 
 @query("SELECT p_partkey::BIGINT AS p, 'part' AS entry, p_partkey::VARCHAR AS sub FROM part")
 def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nodes.nodes(B.mixed_docs(spark, sf_dir)).where("kind = 'Command' and name = 'index'")
+    rows = nodes.nodes(B.mixed_docs(spark, sf_dir), kinds=("Command",), columns=("kind", "name", "args")).where("kind = 'Command' and name = 'index'")
     parts = F.split(F.col("args")[0], "!")
     return rows.select(F.col("doc_id").alias("p"), parts[0].alias("entry"), F.get(parts, F.lit(1)).alias("sub"))
 
@@ -555,7 +547,7 @@ def pdf_layout_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT k.kind, (k.n * (SELECT count(*) FROM part))::BIGINT AS n FROM (VALUES ('Theorem', 1), ('Footnote', 1), ('CodeBlock', 1), ('Center', 1), ('Image', 1), ('Caption', 1), ('Label', 1), ('Command', 4), ('Paragraph', 1), ('Text', 5)) k(kind, n)")
 def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = nodes.nodes(B.part_notes(spark, sf_dir))
+    table = nodes.nodes(B.part_notes(spark, sf_dir), columns=("kind",))
     return table.groupBy("kind").agg(F.count("*").alias("n"))
 
 
