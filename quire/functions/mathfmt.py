@@ -38,7 +38,7 @@ def _calls(text: str, names: str, make, count: int = 1, option: bool = False):
 
 def _old_fractions(text: str) -> str:
     """`{a \\over b}` and its like, the first one first, until none is left within braces."""
-    forms = {"over": "\\frac{{{0}}}{{{1}}}", "choose": "\\binom{{{0}}}{{{1}}}", "brack": "[\\frac{{{0}}}{{{1}}}]", "brace": "\\{{\\frac{{{0}}}{{{1}}}\\}}"}
+    forms = {"over": "\\frac{{{0}}}{{{1}}}", **dict.fromkeys(("choose", "brack", "brace"), "\\binom{{{0}}}{{{1}}}")}
     for _ in range(text.count("\\")):
         m = _OLD.search(text)
         if not m:

@@ -153,6 +153,21 @@ def _html(node: Node, today: str) -> str:
     return escape(node.text)  # Ref
 
 
+def shape(nodes: list[Node]) -> str:
+    """The tree in one line: kind, :name, what it holds after =, and children in braces."""
+
+    def one(n: Node) -> str:
+        held = next((v for v in (n.text, n.args, n.keys, n.lines, n.path, n.columns) if v is not None), None)
+        if isinstance(held, list):
+            held = "|".join("" if x is None else x for x in held)
+        more = "".join(f"[{x}]" for x in (n.level, n.label, n.width, n.height) if x is not None)
+        more += "".join(f"[{'--' if rule else '&'.join(cells)}]" for cells, rule in n.rows or ()) + "".join(f"[{k}={t}]" for k, t in n.bib or ())
+        inner = "".join("{" + shape(children) + "}" for *_, children in n.parts)
+        return n.kind + (f":{n.name}" if n.name else "") + more + ("=" + held if held else "") + inner
+
+    return " ".join(map(one, nodes))
+
+
 def metadata(nodes: list[Node]) -> dict[str, str | None]:
     """Title, author and date; the last one of each counts."""
     out: dict[str, str | None] = {"title": None, "author": None, "date": None}

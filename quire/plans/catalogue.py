@@ -16,7 +16,9 @@ from quire.functions import columns as C
 from quire.functions import dims
 from quire.functions.plugins import CustomFormat, Today, Url
 from quire.operators import incremental, nodes
+from quire.functions import mathfmt, mathml, parser, render
 from quire.plans import corpus as B
+from quire.plans import forms
 from quire.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,12 +309,14 @@ def math_mathml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.math_mathml(B.part_formulas(spark, sf_dir).where("form = 'fraction'")).select(F.col("doc_id").alias("p"), "mathml")
 
 
-@query("SELECT doc_id::BIGINT AS doc_id, f AS formula, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(replace(replace(text, chr(92), ''), chr(10), ' '), '[$]([^$]+)[$]', 1)) AS f FROM documents WHERE NOT regexp_matches(text, '[{}%~]') AND (length(text) - length(replace(text, '$', ''))) % 2 = 0 AND NOT contains(text, '$$')) GROUP BY 1, 2")
+@query("SELECT p_partkey::BIGINT AS p, replace(replace(f.formula, '#', p_partkey::VARCHAR), '%', p_size::VARCHAR) AS formula, f.n::BIGINT AS n FROM part, (VALUES ('m_{%}', 2), ('# + 1', 1), ('a_{#}', 1), ('x \\$ y', 1), ('e^{%}', 1)) f(formula, n)")
 def math_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formulas in raw documents whose dollars pair up."""
-    docs = B.read(spark, sf_dir, "documents").where(~F.col("text").rlike("[{}%~]") & ((F.length("text") - F.length(F.replace("text", F.lit("$"), F.lit("")))) % 2 == 0) & ~F.contains("text", F.lit("$$")))
-    docs = docs.select("doc_id", F.replace(F.replace("text", F.lit("\\"), F.lit("")), F.lit("\n"), F.lit(" ")).alias("tex"))
-    return nodes.math_spans(nodes.nodes(docs)).groupBy("doc_id", "formula").agg(F.count("*").alias("n"))
+    """Formulas within text, at the start of a construct, in each of the ways to write one; dollars that pair with none are text."""
+    p = B.spread(B.read(spark, sf_dir, "part"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    tex = B.cat("Mass $m_{", size, "}$ of $", key, " + 1$, then $m_{", size, "}$.\n\n\\(a_{", key, "}\\) for \\$5\n\n$x \\$ y$\\begin{math}e^{", size, "}\\end{math}\\[shown\\] and $$shown$$ but $ alone")
+    table = nodes.nodes(p.select(key.cast("long").alias("doc_id"), tex.alias("tex")), kinds=("Text", "MathInline"), columns=("node_id", "kind", "text"))
+    return nodes.math_spans(table).groupBy(F.col("doc_id").alias("p"), "formula").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -449,47 +453,60 @@ def escape_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.read(spark, sf_dir, "pages").select("page_id", F.md5(C.escape_html(F.col("html"))).alias("digest"))
 
 
-@query("SELECT doc_id::BIGINT AS doc_id, md5(replace(replace(replace(replace(text, '---', '—'), '--', '–'), '``', '“'), '''''', '”')) AS digest FROM documents WHERE NOT contains(text, '$')")
+_LIGATED = "replace(replace(replace(replace({0}, '---', '—'), '--', '–'), '``', '“'), '''''', '”')"
+_LIGATURES = f"SELECT doc_id::BIGINT AS doc_id, md5(array_to_string(list_transform(string_split(text, '$'), lambda x, i: CASE WHEN i % 2 = 0 AND i < len(string_split(text, '$')) THEN x ELSE {_LIGATED.format('x')} END), '$')) AS digest FROM documents"
+
+
+@query(_LIGATURES)
 def ligatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.read(spark, sf_dir, "documents").where("not contains(text, '$')").select("doc_id", F.md5(C.ligatures(F.col("text"))).alias("digest"))
+    """Of all documents; formulas stay as they are."""
+    return B.read(spark, sf_dir, "documents").select("doc_id", F.md5(C.ligatures(F.col("text"))).alias("digest"))
+
+
+#: White space that a run of text alone is made of, and the characters that stand escaped in a source.
+_BLANK, _ESCAPED = r"[ \t\n\r\f\x0b\x1c-\x1f\x{85}\x{a0}]", r"[\\{}$&#%_~^]"
+_RUNS = f"list_transform(regexp_extract_all(p, '{_ESCAPED}|[^{_ESCAPED[1:]}+'), lambda x: CASE WHEN regexp_full_match(x, '{_BLANK}+') THEN CASE WHEN contains(x, ' ') THEN ' ' ELSE '' END ELSE {_LIGATED.format('x')} END)"
 
 
-@query("SELECT doc_id::BIGINT AS doc_id, md5(replace(replace(replace(replace(text, '---', '—'), '--', '–'), '``', '“'), '''''', '”')) AS digest FROM documents WHERE NOT contains(text, chr(10) || chr(10)) AND length(trim(text)) > 0 AND NOT contains(text, '$') AND NOT starts_with(text, '%') AND NOT regexp_matches(text, '[~%]')")
+@query(f"SELECT doc_id, digest, count(*) AS n FROM (SELECT doc_id::BIGINT AS doc_id, md5(t) AS digest FROM (SELECT doc_id, array_to_string({_RUNS}, '') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p FROM documents)) WHERE t <> '') GROUP BY 1, 2")
 def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw documents with all specials escaped, read back as one run of text."""
-    docs = B.read(spark, sf_dir, "documents").where("not contains(text, '\n\n') and length(trim(text)) > 0 and not contains(text, '$') and not rlike(text, '[~%]')")
+    """All raw documents with all specials escaped, read back as their runs of text; blank lines part them."""
+    docs = B.read(spark, sf_dir, "documents")
     rows = docs.select("doc_id", B.cat("\\begin{document}", C.escape_tex(F.col("text")), "\\end{document}").alias("tex"))
-    return nodes.nodes(rows).where("kind = 'Text'").select("doc_id", F.md5("text").alias("digest"))
+    return nodes.nodes(rows, kinds=("Text",), columns=("text",)).groupBy("doc_id", F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
+
+
+_OFFSETS = """SELECT doc_id::BIGINT AS doc_id, k AS "at", (length(a) - length(replace(a, chr(10), '')))::INT AS line, length(regexp_extract(a, '[^\\n]*$'))::INT AS col, strlen(a)::INT AS bytes
+    FROM (SELECT doc_id, k::INT AS k, left(text, k) AS a FROM (SELECT doc_id, text, unnest(list_distinct(list_append(range(0, length(text) + 1, 100), length(text)))) AS k FROM documents WHERE text IS NOT NULL))"""
 
 
-@query("SELECT doc_id::BIGINT AS doc_id, (length(a) - length(replace(a, chr(10), '')))::INT AS line, length(regexp_extract(a, '[^\\n]*$'))::INT AS col, strlen(a)::INT AS bytes FROM (SELECT doc_id, left(text, 300) AS a FROM documents WHERE length(text) >= 300)")
+@query(_OFFSETS)
 def offset_to_linecol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, at = B.read(spark, sf_dir, "documents").where("length(text) >= 300"), F.lit(300)
-    t = F.col("text")
-    return docs.select("doc_id", C.line_of(t, at).alias("line"), C.column_of(t, at).alias("col"), C.byte_offset(t, at).alias("bytes"))
+    """Every hundredth character of every document, and its end."""
+    docs, t = B.read(spark, sf_dir, "documents").where("text is not null"), F.col("text")
+    places = F.array_distinct(F.concat(F.sequence(F.lit(0), F.length(t), F.lit(100)), F.array(F.length(t))))
+    docs = docs.select("doc_id", "text", F.explode(places).alias("at"))
+    return docs.select("doc_id", "at", C.line_of(t, F.col("at")).alias("line"), C.column_of(t, F.col("at")).alias("col"), C.byte_offset(t, F.col("at")).alias("bytes"))
 
 
-@query()
+@query(_LIGATURES)
 def ligatures_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all documents; formulas stay as they are."""
-    return B.read(spark, sf_dir, "documents").select("doc_id", F.md5(C.ligatures(F.col("text"))).alias("digest"))
+    """The same as `ligatures`, which once left documents out."""
+    return ligatures(spark, sf_dir)
 
 
 @query()
 def text_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All raw documents with all specials escaped, read back as their runs of text, in order."""
+    """As `text_runs`, with the place of each run."""
     docs = B.read(spark, sf_dir, "documents")
     rows = docs.select("doc_id", B.cat("\\begin{document}", C.escape_tex(F.col("text")), "\\end{document}").alias("tex"))
-    return nodes.nodes(rows).where("kind = 'Text'").select("doc_id", "node_id", F.md5("text").alias("digest"))
+    return nodes.nodes(rows, kinds=("Text",), columns=("node_id", "text")).select("doc_id", "node_id", F.md5("text").alias("digest"))
 
 
-@query()
+@query(_OFFSETS)
 def offset_to_linecol_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth character of every document, and its end."""
-    docs, t = B.read(spark, sf_dir, "documents").where("text is not null"), F.col("text")
-    places = F.array_distinct(F.concat(F.sequence(F.lit(0), F.length(t), F.lit(100)), F.array(F.length(t))))
-    docs = docs.select("doc_id", "text", F.explode(places).alias("at"))
-    return docs.select("doc_id", "at", C.line_of(t, F.col("at")).alias("line"), C.column_of(t, F.col("at")).alias("col"), C.byte_offset(t, F.col("at")).alias("bytes"))
+    """The same as `offset_to_linecol`, which once looked at one place."""
+    return offset_to_linecol(spark, sf_dir)
 
 
 @query("SELECT n_nationkey::BIGINT AS n, a.made || n_name AS text FROM nation, (VALUES ('é'), ('ü'), ('ç'), ('Å'), ('ô'), ('ñ')) a(made)")
@@ -515,12 +532,11 @@ def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("o"), F.trim(F.replace("plain", F.lit("\n"), F.lit(""))).alias("plain"))
 
 
-@query("SELECT doc_id::BIGINT AS doc_id, len(list_filter(string_split(replace(replace(replace(text, '{', ''), '}', ''), chr(92), ''), chr(10) || chr(10)), lambda p: regexp_matches(p, '[^ \\t\\n\\r]')))::INT AS paragraphs FROM documents WHERE NOT regexp_matches(text, '[$%]') AND NOT contains(text, chr(10) || chr(10) || chr(10))")
+@query(f"SELECT doc_id::BIGINT AS doc_id, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_matches(regexp_replace(p, '{_BLANK}', '', 'g'), '.')))::INT AS paragraphs FROM documents")
 def docx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of plain documents: blank lines part them."""
-    docs = B.read(spark, sf_dir, "documents").where("not rlike(text, '[$%]') and not contains(text, '\n\n\n')")
-    tex = F.regexp_replace("text", r"[{}\\]", "")
-    rows = nodes.plain_text(docs.select("doc_id", tex.alias("tex")))
+    """Paragraphs of all documents with all specials escaped: blank lines part them."""
+    tex = B.cat("\\begin{document}", C.escape_tex(F.coalesce("text", F.lit(""))), "\\end{document}")
+    rows = nodes.plain_text(B.read(spark, sf_dir, "documents").select("doc_id", tex.alias("tex")))
     return rows.select("doc_id", F.size(F.filter(F.split("plain", "\n\n"), lambda p: p.rlike(r"[^ \t\n\r]"))).alias("paragraphs"))
 
 
@@ -708,6 +724,80 @@ def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "elements")
 
 
+# small forms, each with what it reads as
+
+_READS = {
+    "html_commands": lambda s: render.html(parser.parse(s)), "html_elements": lambda s: render.html(parser.parse(s)), "node_forms": lambda s: render.shape(parser.parse(s)),
+    "environment_forms": lambda s: render.shape(parser.parse(s)), "math_forms": mathfmt.to_unicode, "mathml_forms": mathml.to_mathml, "plain_forms": lambda s: render.plain(parser.parse(s)),
+}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _quoted(x) for x in row) + ")" for row in rows)
+
+
+def _forms(name: str, table: dict[str, str]) -> None:
+    """Every form with every nation's name in it. In formulas names have no marks of their own."""
+    mathematics = name.startswith("math")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = F.col("n_nationkey").cast("long").alias("n")
+        word = B.cat("k", F.col("n_nationkey")) if mathematics else F.col("n_name")
+        each = F.posexplode(F.array(*map(F.lit, table))).alias("form", "tex")
+        docs = B.spread(B.read(spark, sf_dir, "nation")).select(key, word.alias("word"), each).withColumn("tex", F.replace("tex", F.lit("@"), F.col("word")))
+        return nodes.mapped(docs, _READS[name], "made", T.StringType(), keys=("n", "form"))
+
+    run.__name__ = name
+    word = "'k' || n_nationkey" if mathematics else "n_name"
+    query(f"SELECT n_nationkey::BIGINT AS n, f.form, replace(f.made, '@', {word}) AS made FROM nation, (VALUES {_values(enumerate(table.values()))}) f(form, made)")(run)
+
+
+for _name, _table in forms.TABLES.items():
+    _forms(_name, _table)
+
+
+@query(f"SELECT r_regionkey::BIGINT AS region, f.name, f.symbol || r_regionkey AS made FROM region, (VALUES {_values(forms.SYMBOLS.items())}) f(name, symbol)")
+def math_symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol that a formula can name."""
+    docs = B.read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("region"), F.explode(F.array(*map(F.lit, forms.SYMBOLS))).alias("name"))
+    docs = B.spread(docs).withColumn("tex", F.concat(F.lit("\\"), F.col("name"), F.lit("{}"), F.col("region").cast("string")))
+    made = nodes.mapped(docs, mathfmt.to_unicode, "made", T.StringType(), keys=("region", "name"))
+    return made.withColumn("made", F.regexp_replace("made", r"\{\}", ""))
+
+
+_ACCENTS = {"acute": "'", "grave": "`", "circumflex": "^", "diaeresis": '"', "tilde": "~", "macron": "=", "dot": ".", "breve": "u", "caron": "v", "double": "H", "cedilla": "c", "ogonek": "k", "ring": "r", "bar": "b", "below": "d", "tie": "t"}
+
+
+@query(f"SELECT n_nationkey::BIGINT AS n, a.name AS accent, l.c AS letter, nfc_normalize(l.c || chr(a.mark)) || n_name AS text FROM nation, (VALUES {_values((k, ord(dims.TEXT_ACCENTS[v])) for k, v in _ACCENTS.items())}) a(name, mark), (VALUES {_values((c,) for c in forms.LETTERS)}) l(c)")
+def accent_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every accent over many letters."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("accent"), F.lit(c).alias("letter"), F.lit(f"\\{v}{{{c}}}").alias("tex")) for k, v in _ACCENTS.items() for c in forms.LETTERS)))
+    docs = B.spread(B.read(spark, sf_dir, "nation")).select(F.col("n_nationkey").cast("long").alias("n"), "n_name", pairs.alias("p")).select("n", "p.accent", "p.letter", F.concat("p.tex", "n_name").alias("tex"))
+    return nodes.nodes(docs, keys=("n", "accent", "letter"), kinds=("Text",), columns=("text",))
+
+
+@query(f"SELECT n_nationkey::BIGINT AS n, f.name, f.symbol || n_name AS text FROM nation, (VALUES {_values(dims.TEXT_SYMBOLS.items())}) f(name, symbol)")
+def text_symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol that text can name."""
+    docs = B.spread(B.read(spark, sf_dir, "nation")).select(F.col("n_nationkey").cast("long").alias("n"), "n_name", F.explode(F.array(*map(F.lit, dims.TEXT_SYMBOLS))).alias("name"))
+    docs = docs.withColumn("tex", F.concat(F.lit("\\"), F.col("name"), F.when(F.col("name").rlike("^[A-Za-z]"), "{}").otherwise(""), F.col("n_name")))
+    return nodes.nodes(docs, keys=("n", "name"), kinds=("Text",), columns=("text",))
+
+
+_GLOSSARY = {"gls": "ab", "glspl": "abs", "Gls": "Ab", "GLS": "AB", "acrshort": "ab", "acrlong": "a long one", "acrfull": "a long one (ab)"}
+
+
+@query(f"SELECT n_nationkey::BIGINT AS n, f.command, f.made || ' ' || n_name AS text FROM nation, (VALUES {_values(_GLOSSARY.items())}) f(command, made)")
+def glossary_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"), "n_name", F.explode(F.array(*map(F.lit, _GLOSSARY))).alias("command"))
+    docs = docs.withColumn("tex", F.concat(F.lit("\\newacronym[x]{k}{ab}{a long one}\\"), F.col("command"), F.lit("{k} "), F.col("n_name")))
+    return nodes.nodes(docs, keys=("n", "command"), kinds=("Text",), columns=("text",))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_extract_agg(spark, sf_dir)
 
