@@ -109,9 +109,22 @@ def packages(text: Column) -> Column:
     return F.array_distinct(F.concat(files(r"\\documentclass", ".cls"), files(r"\\(?:usepackage|RequirePackage)", ".sty")))
 
 
+#: How a source reads a file: `\\input{name}`, `\\include{name}`, or `\\input name` up to a blank, a command, a comment or a brace.
+CALL = r"\\(?:input|include)\s*\{[^{}]*\}|\\input\s+[^\s\\%{}]+"
+
+
+def input_calls(text: Column) -> Column:
+    """Array of (call, name) as they stand in the source, each once; calls without a name are none."""
+    calls = F.array_distinct(F.regexp_extract_all(text, F.lit(CALL), F.lit(0)))
+    name = lambda c: F.trim(F.regexp_extract(c, r"(?s)^\\(?:input|include)\s*(?:\{(.*)\})?(.*)$", 1))
+    bare = lambda c: F.trim(F.regexp_extract(c, r"^\\input\s+([^\s\\%{}]+)$", 1))
+    found = F.transform(calls, lambda c: F.struct(c.alias("call"), F.when(c.endswith("}"), name(c)).otherwise(bare(c)).alias("name")))
+    return F.filter(found, lambda x: x["name"] != "")
+
+
 def inputs(text: Column) -> Column:
-    """Names that the source reads by `\\input{...}` or `\\include{...}`."""
-    return F.filter(F.regexp_extract_all(text, F.lit(r"\\(?:input|include)\s*\{([^{}]*)\}"), F.lit(1)), lambda n: F.trim(n) != "")
+    """Names of the files that the source reads."""
+    return F.array_distinct(F.transform(input_calls(text), lambda x: x["name"]))
 
 
 def flat_command(text: Column, name: str) -> Column:

@@ -166,3 +166,23 @@ def test_whole_documents_agree_with_brute_force(spark, small, tmp_path):
     for r in escaped.select("doc_id").distinct().collect():
         runs[r.doc_id] += 1
     assert set(runs) == {i for i, t in texts.items() if t.strip()}
+
+
+def test_inputs_at_any_depth(spark):
+    files_ = [("a.tex", "A\\input b ;"), ("b.tex", "B\\include{sub/c};"), ("lib/sub/c.tex", "C\\input{d.txt}"), ("d.txt", "D"), ("root/a.tex", "local"), ("x.tex", "X\\input{y}!"), ("y.tex", "Y\\input x ?"), ("self.tex", "S\\input{self}s")]
+    files_ += [(f"deep{k}.tex", f"{k}\\input{{deep{k + 1}}}") for k in range(11)] + [("deep11.tex", "end")]
+    table = spark.createDataFrame(files_, "path string, tex string")
+    docs = spark.createDataFrame(
+        [("r1", "", "<\\input{a}>", 1), ("r2", "root", "<\\input { a }\\input  a\n>", 2), ("r3", None, "\\input{x} \\input self", 3), ("r4", "", "\\input{deep0}", 4), ("r5", "", "plain \\includegraphics{a} \\input{}", 5), ("r6", "", "\\input{nowhere}\\input a%\\input ab", 6)],
+        "path string, base_dir string, tex string, k int",
+    )
+    made = {r.path: r for r in files.resolve_inputs(docs, table, ("lib",)).collect()}
+    assert made["r1"].tex == "<AB\\clearpage CD\\clearpage ; ;>"
+    assert made["r2"].tex == "<locallocal\n>"
+    assert made["r3"].tex == "XY ?! Ss"
+    assert made["r4"].tex == "".join(map(str, range(11))) + "end"
+    assert made["r5"].tex == "plain \\includegraphics{a} \\input{}" and made["r5"].k == 5
+    assert made["r6"].tex == "AB\\clearpage CD\\clearpage ; ;%"
+    lost = {tuple(r) for r in files.unresolved_inputs(docs, table, ("lib",)).collect()}
+    assert lost == {("r6", "nowhere", "missing"), ("r6", "ab", "missing"), ("x.tex", "y", "loop"), ("y.tex", "x", "loop"), ("self.tex", "self", "loop")}
+    assert files.resolve_inputs(docs.limit(0), table).count() == 0 and files.resolve_inputs(docs, table.limit(0)).where("k <> 5 and tex like '%input%'").count() == 0
