@@ -30,11 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder; it is deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame's rows, written to the shared folder and read from there; the files go when the driver ends."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = scratch_folder(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

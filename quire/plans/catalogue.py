@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from io import BytesIO
@@ -370,6 +368,37 @@ def input_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.nodes(docs, keys=("region",)).where("kind = 'Text'").select("region", "text")
 
 
+_PLACES = "CASE n_nationkey % 3 WHEN 0 THEN 'own' WHEN 1 THEN 'lib' ELSE 'top' END"
+
+
+def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A document for each nation, and files in its own folder, in a search path, and at the top: of one name, the first place counts."""
+    n, key = B.read(spark, sf_dir, "nation"), F.col("n_nationkey")
+    tex = B.cat("[\\input{part", key, "}]\\input part", key, " \\include{deep", key, "}\\input{none}\\input self", key, " end")
+    docs = n.select(B.cat("doc", key).alias("path"), B.cat("dir", key).alias("base_dir"), tex.alias("tex"), key.cast("long").alias("n"))
+    file = lambda path, text: n.select(path.alias("path"), text.alias("tex"))
+    own = file(B.cat("dir", key, "/part", key, ".tex"), F.lit("own")).where("tex = 'own'").join(n.where("n_nationkey % 3 = 0").select(B.cat("dir", key, "/part", key, ".tex").alias("path")), "path", "left_semi")
+    lib = file(B.cat("lib/part", key, ".tex"), F.lit("lib")).join(n.where("n_nationkey % 3 < 2").select(B.cat("lib/part", key, ".tex").alias("path")), "path", "left_semi")
+    top = file(B.cat("part", key, ".tex"), F.lit("top"))
+    deep = file(B.cat("lib/deep", key, ".tex"), B.cat("d\\input{part", key, "}"))
+    loop = file(B.cat("self", key, ".tex"), B.cat("s\\input{self", key, "}\\input lost "))
+    return docs, own.unionByName(lib).unionByName(top).unionByName(deep).unionByName(loop)
+
+
+@query(f"SELECT n_nationkey::BIGINT AS n, f.kind, f.name, CASE f.kind WHEN 'Text' THEN replace(f.text, '@', {_PLACES}) END AS text FROM nation, (VALUES ('Text', NULL, '[@]@ '), ('Command', 'clearpage', ''), ('Text', NULL, ' d@'), ('Command', 'clearpage', ''), ('Text', NULL, ' s end')) f(kind, name, text)")
+def input_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files named with and without braces, included between page breaks, found in three places, and within themselves."""
+    docs, held = _library(spark, sf_dir)
+    made = files.resolve_inputs(docs, held, ("lib",)).withColumn("tex", F.replace("tex", F.lit("  "), F.lit(" ")))
+    return nodes.nodes(made, keys=("n",), kinds=("Text", "Command"), columns=("kind", "name", "text"))
+
+
+@query("SELECT 'doc' || n_nationkey AS path, 'none' AS name, 'missing' AS reason FROM nation UNION ALL SELECT 'self' || n_nationkey || '.tex', 'lost', 'missing' FROM nation UNION ALL SELECT 'self' || n_nationkey || '.tex', 'self' || n_nationkey, 'loop' FROM nation")
+def input_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can't be read: names without a file, and files within themselves."""
+    return files.unresolved_inputs(*_library(spark, sf_dir), ("lib",))
+
+
 _REQUESTS = """SELECT p_partkey::BIGINT AS p, 0 AS ordinal, 'article.cls' AS file_name FROM part UNION ALL SELECT p_partkey, 1, 'b' || p_size || '.sty' FROM part
 UNION ALL SELECT p_partkey, 2, 'common.sty' FROM part"""
 
@@ -569,7 +598,12 @@ def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query()
+_COMMAND = """'{"Command":{"args":[' || coalesce('"' || {0} || '"', '') || '],"name":"{1}"}}'"""
+_TREE = " || ',' || ".join(_COMMAND.replace("{0}", value).replace("{1}", name) for value, name in ((r"'Order ' || o_orderkey || ' \\emph{of} note'", "title"), ("'C' || o_custkey", "author"), ("strftime(o_orderdate, '%Y-%m-%d')", "date"), ("NULL", "maketitle")))
+_AGAIN = _COMMAND.replace("{0}", "'D' || o_custkey").replace("{1}", "author")
+
+
+@query(rf"""SELECT o_orderkey::BIGINT AS doc_id, 'Order ' || o_orderkey || ' \emph{{of}} note' AS title, '[' || {_TREE} || ',' || CASE WHEN o_orderkey % 5 = 0 THEN {_AGAIN} || ',{{"Text":{{"text":"' ELSE '{{"Text":{{"text":"\n' END || 'Text.\n"}}}}]' AS ast FROM orders""")
 def ast_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trees as JSON, and as VARIANT for paths."""
     return nodes.ast_json(B.order_meta(spark, sf_dir)).select("doc_id", F.parse_json("ast").alias("v")).select("doc_id", F.expr("variant_get(v, '$[0].Command.args[0]', 'string')").alias("title"), F.to_json("v").alias("ast"))
@@ -705,23 +739,32 @@ def escape_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.nodes(docs).where("kind = 'Text'").select(F.col("doc_id").alias("p"), F.col("text").alias("escaped"))
 
 
-@query()
-def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources in a folder, watched once: the elements of each."""
-    from quire.streaming import watch
+_SOURCES = "(SELECT n_regionkey AS r, count(DISTINCT n_nationkey) + count(s_suppkey) + 2 AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1)"
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    folder = f"{base.rstrip('/')}/quire-watch-{uuid.uuid4().hex}"
-    docs = B.geo_outline(spark, sf_dir)
-    docs.select("tex").write.text(f"{folder}/raw", lineSep="\x00")
-    stream = spark.readStream.schema("value string").option("wholetext", "true").text(f"{folder}/raw")
-    stream = stream.select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("\x00"), F.lit("")).alias("tex"), F.col("_metadata.file_modification_time").alias("mtime")).withColumn("content_hash", C.content_hash(F.col("tex")))
+@query(f"SELECT 0::BIGINT AS batch, 'r' || r || '.tex' AS file, n::INT AS elements FROM {_SOURCES} UNION ALL SELECT 1, 'r' || r || '.tex', (n + 1)::INT FROM {_SOURCES} WHERE r = (SELECT min_by(n_regionkey, n_nationkey) FROM nation)")
+def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each region, which reads one for each nation, watched; then one nation's file changes, and the document that reads it is built again.
 
-    def build(batch: DataFrame, _: int) -> None:
-        watch.element_counts(batch).write.mode("append").parquet(f"{folder}/out")
+    Files end with a line feed, so a document ends with a blank line: one element more than its headings.
+    """
+    from quire.operators.shared import scratch_folder
+    from quire.streaming import watch
 
-    watch.watch(watch.changed(stream), build, f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "elements")
+    folder = scratch_folder(spark)
+    nation, supplier = B.read(spark, sf_dir, "nation"), B.read(spark, sf_dir, "supplier")
+    subs = B.gathered(supplier, "s_nationkey", B.cat("\\subsection{", F.col("s_name"), "}"), "s_suppkey", between="")
+    lines = nation.join(subs, nation.n_nationkey == subs.doc_id, "left").withColumn("body", B.cat("\\section{", F.col("n_name"), "}", F.coalesce("body", F.lit(""))))
+    inner = lines.select(B.cat("n", F.col("n_nationkey"), ".tex").alias("file"), F.col("body").alias("tex"))
+    outer = B.gathered(nation, "n_regionkey", B.cat("\\input{n", F.col("n_nationkey"), "}"), "n_nationkey", between="")
+    outer = outer.select(B.cat("r", F.col("doc_id"), ".tex").alias("file"), B.cat("\\chapter{r}", F.col("body")).alias("tex"))
+    first = lines.orderBy("n_nationkey").limit(1).select(B.cat("n", F.col("n_nationkey"), ".tex").alias("file"), B.cat(F.col("body"), "\\section{new}").alias("tex"))
+    build = watch.rebuilder(spark, f"{folder}/raw", f"{folder}/built")
+    for change in (inner.unionByName(outer), first):
+        sinks.write_sources(change, f"{folder}/raw")
+        watch.wait(watch.watch(watch.ticks(spark), build, f"{folder}/state"))
+    made = spark.read.parquet(f"{folder}/built/out")
+    return made.select(F.col("batch").cast("long").alias("batch"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "elements")
 
 
 # small forms, each with what it reads as

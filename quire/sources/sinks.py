@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,3 +49,24 @@ def write_intermediates(docs: DataFrame, path: str) -> None:
     nodes.mapped(docs, macros.expand, "expanded", T.StringType()).write.json(f"{path}/expanded")
     nodes.ast_json(docs).write.json(f"{path}/ast")
     meta(docs).withColumn("format", F.lit("html")).write.json(f"{path}/meta")
+
+
+def write_sources(docs: DataFrame, folder: str) -> None:
+    """One file for each row of (file, tex), a name within the folder and its text; files of the same name are replaced.
+
+    Texts are written by tasks; the driver renames the files, one after another.
+    """
+    spark = docs.sparkSession
+    made = f"{folder.rstrip('/')}/.made-{uuid.uuid4().hex}"
+    docs.select("file", "tex").repartition("file").write.partitionBy("file").text(made)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in system.listStatus(path(made)):
+        name = entry.getPath().getName()
+        if name.startswith("file="):
+            parts = [p.getPath() for p in system.listStatus(entry.getPath()) if not p.getPath().getName().startswith((".", "_"))]
+            target = path(f"{folder.rstrip('/')}/{unquote(name[5:])}")
+            system.mkdirs(target.getParent())
+            system.delete(target, False)
+            system.rename(parts[0], target)
+    system.delete(path(made), True)

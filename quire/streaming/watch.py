@@ -1,4 +1,4 @@
-"""Watching sources: files that change are read, checked and built again."""
+"""Watching sources: files that change are read, and the documents that read them, at any depth, are built again."""
 
 from __future__ import annotations
 
@@ -12,19 +12,35 @@ from pyspark.sql.streaming import StreamingQuery
 from quire.functions import columns as C
 from quire.functions import parser
 from quire.operators import nodes
+from quire.operators.shared import cut
+from quire.sources import files
 
 #: Seconds between looks.
 INTERVAL = 1
+#: What a build passes through, and how far it is then, in per cent.
 STAGES = (("reading", 0), ("parsing", 30), ("building", 60), ("done", 100))
+Report = Callable[[str, int], None]
 
 
-def sources(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of (path, tex, mtime, content_hash) of new files under a folder."""
-    raw = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.tex").load(path)
+def sources(spark: SparkSession, path: str, pattern: str = "*.tex") -> DataFrame:
+    """A stream of (path, tex, mtime, content_hash) of new files under a folder, one row for each file.
+
+    The text of a file that is no UTF-8 is null. A path is taken once: where files are written anew, `rebuilder` looks by itself.
+    """
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return _texts(raw)
+
+
+def _texts(raw: DataFrame) -> DataFrame:
     tex = F.try_validate_utf8(F.col("content").cast("string"))
     return raw.select("path", tex.alias("tex"), F.col("modificationTime").alias("mtime"), C.content_hash(tex).alias("content_hash"))
 
 
+def ticks(spark: SparkSession) -> DataFrame:
+    """A stream with a row in each batch: the clock of a watch that looks for itself."""
+    return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+
+
 def changed(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each content of a path once, within a watermark that bounds the state."""
     return stream.withWatermark("mtime", delay).dropDuplicatesWithinWatermark(["path", "content_hash"])
@@ -36,6 +52,61 @@ def watch(stream: DataFrame, build: Callable[[DataFrame, int], None], checkpoint
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{INTERVAL} seconds")).start()
 
 
-def element_counts(batch: DataFrame) -> DataFrame:
-    """(path, elements) of a batch of sources: what a rebuild reports."""
-    return nodes.mapped(batch, lambda s: len(parser.parse(s)), "elements", T.IntegerType(), keys=("path",))
+def wait(query: StreamingQuery, seconds: int = 600) -> None:
+    """Until a query that takes what is there has ended; one that doesn't end in time is stopped, and that is an error."""
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream did not end within {seconds} seconds")
+
+
+def element_counts(docs: DataFrame) -> DataFrame:
+    """(path, elements) of documents: what a rebuild reports."""
+    return nodes.mapped(docs, lambda s: len(parser.parse(s)), "elements", T.IntegerType(), keys=("path",))
+
+
+def readers(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """The paths of `seeds`, and all that read them, at any depth; `edges` has (path, file)."""
+    seen = new = cut(seeds.select("path").distinct())
+    while not new.isEmpty():
+        above = edges.join(new.select(F.col("path").alias("file")), "file").select("path").distinct()
+        new = cut(above.join(seen, "path", "left_anti"))
+        seen = seen.unionByName(new)
+    return seen
+
+
+def rebuilder(spark: SparkSession, raw: str, folder: str, make: Callable[[DataFrame], DataFrame] = element_counts, report: Report | None = None, pattern: str = "*.tex") -> Callable[[DataFrame, int], None]:
+    """A `build` for a watch by `ticks`: looks for sources under `raw` that were written since it last did, finds anew what reads
+    what, and writes what `make` makes of the documents that a change reaches, with all they read in place, to `folder`/out.
+
+    A document is a source that no other one reads; names are looked for in the reader's folder and in `raw`. Only files that are as new as the newest one seen are opened. Tables are parted
+    by batch and overwritten if a batch is taken again, so a restart repeats nothing. `report` is told of each stage.
+    """
+    tell = report or (lambda stage, percent: None)
+    top = spark._jvm.org.apache.hadoop.fs.Path(raw)
+    top = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
+    schema = "path string, tex string, mtime timestamp, content_hash string, batch int"
+
+    def build(_: DataFrame, number: int) -> None:
+        tell(*STAGES[0])
+        here = f"{folder}/sources/batch={number}"
+        spark.createDataFrame([], schema).drop("batch").write.mode("overwrite").parquet(here)  # there is a table, whatever is found
+        before = spark.read.schema(schema).parquet(f"{folder}/sources").where(F.col("batch") < number)
+        since = before.agg(F.max("mtime")).first()[0]
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(raw)
+        found = _texts(found if since is None else found.where(F.col("modificationTime") >= F.lit(since)))
+        new = cut(found.join(before.select("path", "content_hash"), ["path", "content_hash"], "left_anti").select("path", "tex", "mtime", "content_hash"))
+        if new.isEmpty():
+            tell(*STAGES[3])
+            return
+        new.write.mode("overwrite").parquet(here)
+        held = spark.read.schema(schema).parquet(f"{folder}/sources").where(F.col("batch") <= number)
+        now = cut(held.groupBy("path").agg(F.max_by("tex", "batch").alias("tex")).withColumn("base_dir", F.regexp_replace("path", "/[^/]*$", "")))
+        tell(*STAGES[1])
+        edges = cut(files.input_edges(now, now.select("path"), (top,)).where("file is not null").select("path", "file"))
+        reached = readers(new, edges)
+        roots = now.join(reached, "path").join(edges.select(F.col("file").alias("path")), "path", "left_anti")
+        tell(*STAGES[2])
+        make(files.resolve_inputs(roots, now, (top,))).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        tell(*STAGES[3])
+
+    return build

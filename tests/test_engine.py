@@ -186,3 +186,60 @@ def test_inputs_at_any_depth(spark):
     lost = {tuple(r) for r in files.unresolved_inputs(docs, table, ("lib",)).collect()}
     assert lost == {("r6", "nowhere", "missing"), ("r6", "ab", "missing"), ("x.tex", "y", "loop"), ("y.tex", "x", "loop"), ("self.tex", "self", "loop")}
     assert files.resolve_inputs(docs.limit(0), table).count() == 0 and files.resolve_inputs(docs, table.limit(0)).where("k <> 5 and tex like '%input%'").count() == 0
+
+
+def test_a_watch_builds_what_a_change_reaches(spark, tmp_path):
+    from quire.streaming import watch
+
+    raw, told = tmp_path / "raw", []
+    (raw / "sub").mkdir(parents=True)
+    put = lambda name, text: (raw / name).write_text(text)
+    put("a.tex", "A \\input{sub/b}")
+    put("sub/b.tex", "B \\input c ")
+    put("c.tex", "\\section{C}")  # read from the document's folder
+    put("lone.tex", "L")
+    put("loop.tex", "\\input{loop}")
+    (raw / "notes.txt").write_text("no source")
+    build = watch.rebuilder(spark, f"file://{raw}", str(tmp_path / "built"), report=lambda *x: told.append(x))
+    run = lambda: watch.wait(watch.watch(watch.ticks(spark), build, str(tmp_path / "state")))
+    run()
+    run()  # nothing has changed
+    put("c.tex", "\\section{C}\\section{D}")
+    (raw / "sub" / "bad.tex").write_bytes(b"\xff\xfe")
+    run()
+    rows = spark.read.parquet(str(tmp_path / "built" / "out")).collect()
+    got = {(r.batch, r.path.rsplit("/raw/", 1)[1]): r.elements for r in rows}
+    assert got[0, "a.tex"] == 3 and got[0, "lone.tex"] == 1 and {k for k in got if k[0] == 0} == {(0, "a.tex"), (0, "lone.tex")}
+    assert got[2, "a.tex"] == 4 and {k for k in got if k[0]} == {(2, "a.tex"), (2, "sub/bad.tex")}
+    assert told == [*watch.STAGES, watch.STAGES[0], watch.STAGES[3], *watch.STAGES]
+
+
+def test_plugins_change_the_tree(spark):
+    from quire.functions.plugins import Plugin, PluginError
+
+    class Quiet(Plugin):
+        def on_load(self):
+            loaded.append(1)
+
+        def transform(self, made):
+            return [n for n in made if n.kind != "Footnote"]
+
+    class Broken(Plugin):
+        def on_load(self):
+            raise PluginError("broken", "needs a table")
+
+    loaded = []
+    docs = spark.createDataFrame([(1, "a\\footnote{b}c")], "doc_id long, tex string")
+    assert [r.kind for r in nodes.nodes(docs, plugins=(Quiet(),)).collect()] == ["Text", "Text"] and loaded == [1]
+    with pytest.raises(PluginError) as e:
+        nodes.nodes(docs, plugins=(Broken(),))
+    assert e.value.plugin == "broken"
+
+
+def test_kinds_and_columns(spark):
+    docs = B.part_notes(spark, "/root/testdata/sf0.001").limit(20)
+    whole = nodes.nodes(docs)
+    some = nodes.nodes(docs, kinds=("Text", "Theorem"), columns=("node_id", "subtree_end", "kind", "text"))
+    assert sorted(some.collect()) == sorted(whole.where("kind in ('Text', 'Theorem')").select(*some.columns).collect())
+    one = nodes.texts_within(whole, "Theorem").withColumnRenamed("outer_id", "node_id")
+    assert sorted(one.collect()) == sorted(nodes.texts_of(docs, "Theorem").select("doc_id", "node_id", "text").collect())
