@@ -223,7 +223,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, text: str = "text", most: int = MOST) -> tuple[str, ...]:
     """The `most` commonest words of all texts, the commonest last; ties by the word."""
     counts = docs.select(F.col(text).alias("text")).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return tuple(r["word"] for r in reversed(counts.orderBy(F.desc("n"), "word").limit(most).collect()))
+    few = counts.orderBy(F.desc("n"), "word").limit(most).coalesce(1)  # so that tasks merge what parts have, and not the driver
+    return tuple(r["word"] for r in sorted(few.collect(), key=lambda r: (r["n"], [-ord(c) for c in r["word"]])))
 
 
 def scan(docs: DataFrame, text: str = "text", reach: int = 40, context: int = 2048, ratio: float = RATIO, words: tuple[str, ...] = ()) -> DataFrame:

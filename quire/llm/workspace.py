@@ -3,30 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the folder that the context was given.
-
-    Where neither is set, a temporary folder serves a local session, as in tests; on a cluster that is an error, as each
-    machine would write to a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/quire-checkpoints")
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+from quire.operators.shared import shared_folder
 
 
 class Workspace:
@@ -37,7 +20,7 @@ class Workspace:
     _open: list[list[Workspace]] = []
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.count = spark, f"{shared_folder(spark).rstrip('/')}/quire-{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
         self.held: list[DataFrame] = []
         self._all.append(self)

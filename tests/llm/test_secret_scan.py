@@ -143,6 +143,7 @@ def test_learned_words_agree_with_brute_force(spark):
     frame = spark.createDataFrame([(t, "n") for t in texts], "text string, n string").repartition(4)
     counts = Counter(w for t in texts for w in re.findall("[a-z]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if 3 <= len(w) <= 24)
     order = sorted(counts, key=lambda w: (-counts[w], w))
+    assert any(a != b and counts[a] == counts[b] and a.startswith(b[:1]) for a in counts for b in counts)
     assert S.learn(frame) == tuple(reversed(order)) and S.learn(frame, most=2) == tuple(reversed(order[:2]))
     assert S.learn(frame.limit(0)) == ()
 
