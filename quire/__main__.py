@@ -15,6 +15,8 @@ def main(argv: list[str] | None = None) -> int:
     ask.add_argument("--format", default="html", help="formats, separated by commas: html, docx, epub, txt")
     ask.add_argument("--output", default=".", help="folder of the outputs")
     ask.add_argument("--today", default="")
+    ask.add_argument("--search-path", action="append", default=[], help="a folder of files that sources read; may be given again")
+    ask.add_argument("--progress", action="store_true", help="say what stage a file has reached")
     ask.add_argument("--keep-intermediate", action="store_true", help="also write the expanded source")
     given = ask.parse_args(argv)
     failed = 0
@@ -22,8 +24,9 @@ def main(argv: list[str] | None = None) -> int:
         stem = os.path.splitext(os.path.basename(path))[0]
         for name in given.format.split(","):
             try:
-                made = api.convert_file(path, api.Options(name, given.today))
-            except (OSError, UnicodeDecodeError, api.UnsupportedFormat) as e:
+                report = (lambda stage, percent: print(f"{path}: {stage} {percent:.0f} %", file=sys.stderr)) if given.progress else None  # noqa: B023
+                made = api.convert_file(path, api.Options(name, given.today, search_paths=tuple(given.search_path)), report)
+            except (OSError, api.ParseError, api.UnsupportedFormat) as e:
                 print(f"{path}: {type(e).__name__}: {e}", file=sys.stderr)
                 failed = 1
                 continue

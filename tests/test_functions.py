@@ -185,3 +185,23 @@ def test_every_prefix_can_be_read(tex):
         parser.flatten(made)
         render.page(made), render.plain(made), render.layout(made), render.ast_json(made)
         analysis.findings(tex[:k]), analysis.outline(tex[:k]), mathfmt.to_unicode(tex[:k]), mathml.display(tex[:k])
+
+
+def test_files_within_files(tmp_path, monkeypatch):
+    from quire import api
+
+    monkeypatch.setattr(api, "CHUNK", 8)
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "main.tex").write_text("\\section{M}\\input{a}\\input lone \\include{b}\\input{none}\\input{main}")
+    (tmp_path / "a.tex").write_text("A\\input a ")
+    (tmp_path / "lib" / "lone.tex").write_text("L")
+    (tmp_path / "b.tex").write_text("B")
+    told = []
+    options = api.Options("txt", search_paths=(str(tmp_path / "lib"),))
+    assert api.convert_file(str(tmp_path / "main.tex"), options, lambda *x: told.append(x)).decode() == "M\nA L  B "
+    assert told[0] == ("reading", 0) and [t for t in told if t[0] != "reading"] == [("parsing", 30), ("building", 60), ("done", 100)]
+    assert len(told) > 6 and max(p for s, p in told if s == "reading") == 30
+    (tmp_path / "bad.tex").write_bytes(b"a\xff")
+    with pytest.raises(api.ParseError):
+        api.convert_file(str(tmp_path / "bad.tex"))
+    assert api.convert_string("x\\input{a}", api.Options("txt")).decode() == "x"
