@@ -160,3 +160,14 @@ def test_ids_with_several_texts(spark, monkeypatch, large):
     least = {3: 3, 5: 3, 9: 3, 11: 3, 20: 20, 21: 20, 30: 30, 31: 30, 40: 40, 41: 40, 60: 60, 61: 60, None: None, **{50 + k: 3 for k in range(6)}}
     got = sorted(run(spark, rows), key=str)
     assert got == sorted(((i, len(shingles(t)), least[i]) for i, t in rows), key=str)
+
+
+def test_an_id_with_two_texts_links_what_either_links(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("a", 100), ("b", 200)))
+    got = sorted(run(spark, [(1, a), (5, a), (5, b), (7, b + " z")]))
+    assert got == [(1, 97, 1), (5, 97, 1), (5, 197, 1), (7, 198, 1)]
+
+
+def test_columns_that_clash(spark):
+    frame = spark.createDataFrame([(k, "one two three four five", "r", 1, 2, "x") for k in (4, 3)], "doc_id long, text string, Rep string, N int, salt int, SKETCH string")
+    assert sorted(tuple(r) for r in J.similar_components(frame).collect()) == [(3, 2, 3), (4, 2, 3)]
