@@ -12,8 +12,11 @@ the budget. Repeated turns are outside the loss mask, which covers each
 assistant text once. A turn that alone exceeds the budget has a window of its
 own (`tokens` shows it).
 
-One shuffle by conversation, and work in proportion to its turns; a
-conversation must fit into a task, as its windows do. Defined results: null
+One shuffle by conversation, and work in proportion to its turns. After each
+`CHUNK` turns a window ends in any case, and the next one repeats nothing but the
+system turn: a task sorts a conversation, which Spark may spill, and holds no
+more than a chunk of it. Windows are numbered from the place of their chunk's
+first turn on. Defined results: null
 texts and roles count as empty; rows are ordered by turn (null first), ties by
 role and text, and repeated rows are repeated turns; rows without an id form one
 conversation; a conversation with only a system turn has one window; very long
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.columns import let
 
+#: Turns after which a conversation is cut in any case; no task holds more of one.
+CHUNK = 4096
 OPEN, HEAD_END, CLOSE = "<s>[", "]\n", "</s>"
 #: Fixed values of the escape code; the backslash comes first.
 ESCAPES = (("\\", "\\0"), ("<", "\\1"), ("[", "\\2"), ("]", "\\3"))
@@ -57,25 +62,26 @@ def windows(rows: DataFrame, budget: int = 1024, history: int = 256, tokens=coun
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     turns = rows.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("tokens", tokens(F.col("text")))
-    turns = turns.select(
-        "conv_id",
-        (F.row_number().over(order) - 1).alias("i"),
-        (F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("upto"),
-        "tokens",
-        "role",
-        F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(HEAD_END)).alias("head"),
-        escape(F.col("text")).alias("body"),
-    )
-    held = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "upto", "tokens", "role", "head", "body"))).alias("turns"))
-    first = F.when(F.col("turns")[0]["role"] == "system", 1).otherwise(0)
-    room = F.lit(budget) - F.when(first == 1, F.col("turns")[0]["tokens"]).otherwise(0)
-    held = held.select("conv_id", "turns", F.size("turns").alias("n"), first.cast("int").alias("first"), room.alias("room"))
+    i = F.row_number().over(order) - 1
+    upto = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    one = F.struct("tokens", "role", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(HEAD_END)).alias("head"), escape(F.col("text")).alias("body"))
+    turns = turns.select("conv_id", "turn", "role", "text", one.alias("one"), i.alias("i"), upto.alias("upto"))
+    opening = F.when((F.col("i") > 0) & (F.col("i") % CHUNK == 0), F.first("one").over(order)).alias("opening")
+    turns = turns.select("conv_id", F.floor(F.col("i") / CHUNK).cast("int").alias("chunk"), F.struct("i", "upto", "one.*").alias("own"), opening)
+    held = turns.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("own")).alias("own"), F.max("opening").alias("opening"))
+    # A later chunk opens with the conversation's system turn, which ends where the chunk begins.
+    before = F.col("own")[0]["upto"] - F.col("own")[0]["tokens"]
+    opening = F.when(F.col("opening")["role"] == "system", F.array(F.struct(F.lit(0).alias("i"), before.alias("upto"), *(F.col("opening")[c].alias(c) for c in ("tokens", "role", "head", "body")))))
+    first = F.when(F.col("chunk") == 0, F.col("own")[0]["role"] == "system").otherwise(opening.isNotNull()).cast("int")
+    held = held.select("conv_id", "chunk", F.coalesce(F.concat(opening, "own"), F.col("own")).alias("turns"), F.coalesce(first, F.lit(0)).alias("first"), F.when(F.col("chunk") > 0, before).otherwise(0).alias("base"))
+    room = F.lit(budget) - F.when(F.col("first") == 1, F.col("turns")[0]["tokens"]).otherwise(0)
+    held = held.select("conv_id", "chunk", "turns", F.size("turns").alias("n"), "first", "base", room.alias("room"))
 
     def cuts(upto: Column) -> Column:
         """Where windows begin: the first new turn of each, and the first one that it repeats."""
 
         def begins(k: Column) -> Column:
-            return F.when(k > 0, F.get(upto, k - 1)).otherwise(0)
+            return F.when(k > 0, F.get(upto, k - 1)).otherwise(F.col("base"))
 
         def earliest(least: Column, last: Column) -> Column:
             """The first turn, up to `last`, before which no less than `least` tokens stand; found by halving."""
@@ -110,8 +116,8 @@ def windows(rows: DataFrame, budget: int = 1024, history: int = 256, tokens=coun
             end = F.coalesce(F.get(c, k + 1)["begin"], F.col("n"))
             own = F.filter(F.sequence(cut["back"], F.greatest(end - 1, cut["back"])), lambda t: t < end)
             places = F.concat(F.when(F.col("first") == 1, F.array(F.lit(0))).otherwise(F.expr("cast(array() as array<int>)")), own)
-            repeated = F.when(k > 0, F.col("first")).otherwise(0) + cut["begin"] - cut["back"]
-            return F.struct(k.cast("int").alias("window"), F.transform(places, lambda t: F.get("turns", t)).alias("picked"), repeated.alias("repeated"))
+            repeated = F.when((k > 0) | (F.col("chunk") > 0), F.col("first")).otherwise(0) + cut["begin"] - cut["back"]
+            return F.struct((F.col("chunk") * CHUNK + k).cast("int").alias("window"), F.transform(places, lambda t: F.get("turns", t)).alias("picked"), repeated.alias("repeated"))
 
         return F.transform(c, window)
 

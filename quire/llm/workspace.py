@@ -46,6 +46,11 @@ class Workspace:
             if path := self.paths.pop(id(frame), None):
                 self._delete(path)
 
+    def keep(self, *frames: DataFrame) -> None:
+        """`drop` and `clear` will leave these; `end` won't."""
+        for frame in frames:
+            self.paths.pop(id(frame), None)
+
     def clear(self, *but: DataFrame) -> None:
         """Deletes all tables that are not dropped yet, but for the given ones."""
         self.drop(*(f for f in self.held if id(f) in self.paths and not any(f is b for b in but)))

@@ -122,3 +122,31 @@ def test_work_grows_with_the_turns(spark):
     made = chat.windows(rows).select("window", chat.read_turns(F.col("formatted"), F.col("repeated")).alias("t"))
     got = [t.text for r in sorted(made.collect(), key=lambda r: r.window) for t in r.t]
     assert got == [f"turn {k}" + " word" * 20 for k in range(20_000)]
+
+
+def test_chunks_agree_with_brute_force(spark, monkeypatch):
+    """A conversation that is cut after each ten turns reads as its parts do, each with the system turn before it."""
+    monkeypatch.setattr(chat, "CHUNK", 10)
+    rng = random.Random(12)
+    rows = []
+    for conv, n in enumerate([1, 9, 10, 11, 20, 57, 130]):
+        for turn in range(n):
+            role = "system" if turn == 0 and conv % 2 else rng.choice(["user", "assistant", "system"])
+            role = "user" if turn == 0 and role == "system" and not conv % 2 else role
+            rows.append((conv, turn, role, f"t{turn}" + " w" * (rng.choice([1, 3, 9, 30]) - 1)))
+    count = lambda text: F.regexp_count(text, F.lit(r"\S+")).cast("long")
+    for budget, history in ((40, 15), (25, 25), (10, 0)):
+        made = read(chat.windows(frame(spark, rows), budget=budget, history=history, tokens=count))
+        for conv in range(7):
+            own = [(role, text, len(text.split())) for c, _, role, text in rows if c == conv]
+            opening = own[:1] if own[0][0] == "system" else []
+            expected = []
+            for k in range(0, len(own), 10):
+                part = own[k : k + 10] if k == 0 else opening + own[k : k + 10]
+                bare = part if k == 0 or opening else [("none", *part[0][1:]), *part[1:]]  # a system turn within is a turn like others
+                first = int(bare[0][0] == "system")
+                for w, (begin, back, end) in enumerate(plain_windows([(r, n) for r, _, n in bare], budget, history)):
+                    expected.append((k + w, begin - back + (first if w or k else 0), "".join(f"<s>[{r}]\n{t}</s>" for r, t, _ in part[:first] + part[back:end])))
+            assert [(w["window"], w["repeated"], w["formatted"]) for w in made[conv]] == expected
+            assert [(t.role, t.text) for w in made[conv] for t in w["turns"]] == [(r, t) for r, t, _ in own]
+            assert "".join(w["text"] for w in made[conv]) == "".join(t for r, t, _ in own if r == "assistant")
