@@ -58,7 +58,7 @@ IDENTIFIERS = (
 #: Words of a corpus that a dictionary takes, and bytes of a word that are looked at.
 MOST, LONGEST = 4000, 24
 #: Where between an identifier (0) and a random string (1) what is reported begins.
-RATIO = 0.55
+RATIO = 0.65
 #: Kinds of characters, from few to many; a candidate's own is the first that holds its letters and digits.
 _DIGITS, _LOWER_CASE = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 _ALPHABETS = (
@@ -96,7 +96,7 @@ class Dictionary:
     def __init__(self, words: tuple[str, ...] = ()):
         plain = [w for w in (*words[:MOST], *IDENTIFIERS.split()) if re.fullmatch("[a-z]{3,}", w)]
         primed, other, rng = plain[::2], plain[1::2], random.Random(1)
-        self.sample = " ".join([*(_identifier(rng, primed, rng.randint(8, 30)) for _ in range(120)), IDENTIFIERS])
+        self.samples = [" ".join([*(_identifier(rng, primed, rng.randint(8, 30)) for _ in range(120)), IDENTIFIERS]) for _ in range(4)]
         self.natural = [_identifier(rng, other, 60) for _ in range(200)]
         held = zstandard.ZstdCompressionDict(" ".join(primed).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         held.precompute_compress(level=9)
@@ -109,11 +109,14 @@ class Dictionary:
         """The k-th identifier of a size."""
         return "_".join(self.natural[(7 * k + i) % len(self.natural)] for i in range(size // 60 + 1))[:size]
 
-    def marginal(self, candidates: list[str], around: str) -> list[int]:
-        """Bytes that each of the candidates adds to the surroundings."""
-        base = f"{around}\n{self.sample}\n"
-        held = self.size(base)
-        return [self.size(base + c) - held for c in candidates]
+    def marginal(self, candidates: list[str], around: str) -> list[float]:
+        """Bytes that each of the candidates adds to the surroundings: the mean over several samples of identifiers, as one alone is off by a byte or two."""
+        total = [0.0] * len(candidates)
+        for sample in self.samples:
+            base = f"{around}\n{sample}\n"
+            held = self.size(base)
+            total = [t + self.size(base + c) - held for t, c in zip(total, candidates)]
+        return [t / len(self.samples) for t in total]
 
 
 @lru_cache(4)
