@@ -80,7 +80,8 @@ def test_layout_limit(spark):
 def test_files_that_read_themselves(spark):
     docs = spark.createDataFrame([("r", "\\input{a}")], "path string, tex string")
     other = spark.createDataFrame([("a.tex", "x\\input{a.tex}"), ("b", "")], "path string, tex string")
-    assert files.resolve_inputs(docs, other, depth=3).first().tex == "xxx\\input{a.tex}"
+    assert files.resolve_inputs(docs, other).first().tex == "x"
+    assert [tuple(r) for r in files.unresolved_inputs(docs, other).collect()] == [("a.tex", "a.tex", "loop")]
     assert files.resolve_inputs(docs.limit(0), other).count() == 0
 
 
