@@ -134,6 +134,15 @@ def children_of(table: DataFrame, kind: str) -> DataFrame:
     return table.join(parents, ["doc_id", "parent_id"])
 
 
+def described(docs: DataFrame) -> DataFrame:
+    """(doc_id, node_id, term, body): text of the items of descriptions, with their terms. Documents are parsed once."""
+    rows = nodes(docs, kinds=("DescriptionList", "Text"), columns=("node_id", "parent_id", "kind", "slot", "slot_idx", "args", "text"))
+    own = F.when(F.col("kind") == "DescriptionList", F.col("node_id")).otherwise(F.col("parent_id"))
+    terms = F.max(F.when(F.col("kind") == "DescriptionList", F.col("args"))).over(Window.partitionBy("doc_id", "list"))
+    rows = rows.withColumn("list", own).withColumn("terms", terms).where("kind = 'Text' and slot = 'desc'")
+    return rows.select("doc_id", "node_id", F.get("terms", F.col("slot_idx")).alias("term"), F.col("text").alias("body"))
+
+
 def texts_within(table: DataFrame, kind: str) -> DataFrame:
     """Concatenated text of each node of a kind: a range of node ids, without recursion."""
     outer = table.where(F.col("kind") == kind).select("doc_id", F.col("node_id").alias("outer_id"), F.col("subtree_end").alias("outer_end"))
@@ -194,7 +203,14 @@ def findings(docs: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def outline(docs: DataFrame) -> DataFrame:
-    return rows_of(docs, lambda s: [tuple(x.values()) for x in analysis.outline(s)], SYMBOL)
+    """Symbols of each document, with the name of the one above as `parent`."""
+
+    def make(source: str) -> list[tuple]:
+        found = analysis.outline(source)
+        names = {x["symbol_id"]: x["name"] for x in found}
+        return [(*x.values(), names.get(x["parent_id"])) for x in found]
+
+    return rows_of(docs, make, T.StructType([*SYMBOL, T.StructField("parent", T.StringType())]))
 
 
 def expanded(docs: DataFrame) -> DataFrame:

@@ -83,24 +83,17 @@ def table_multicolumn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # structure
 
-_TITLES = """SELECT r_regionkey::BIGINT AS region, r_name AS title, 6 AS level FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
-UNION ALL SELECT n_regionkey, n_name, 1 FROM nation UNION ALL SELECT n_regionkey, s_name, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+_LOCATED = "WITH g AS (SELECT s_suppkey::BIGINT AS supplier, s_name, n_name, n_nationkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
-@query(_TITLES)
+@query(f"{_LOCATED} SELECT supplier, r_name AS title, 6 AS level FROM g UNION ALL SELECT supplier, n_name, 1 FROM g UNION ALL SELECT supplier, s_name, 2 FROM g")
 def section_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.sections(nodes.nodes(B.geo_outline(spark, sf_dir), kinds=("Section",), columns=("node_id", "kind", "level", "text"))).select(F.col("doc_id").alias("region"), "title", "level")
+    return nodes.sections(nodes.nodes(B.geo_outline(spark, sf_dir), kinds=("Section",), columns=("node_id", "kind", "level", "text"))).select(F.col("doc_id").alias("supplier"), "title", "level")
 
 
-@query(
-    """SELECT r_regionkey::BIGINT AS region, r_name AS name, NULL AS parent, 0 AS depth FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
-    UNION ALL SELECT n_regionkey, n_name, r_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey
-    UNION ALL SELECT n_regionkey, s_name, n_name, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
-)
+@query(f"{_LOCATED} SELECT supplier, r_name AS name, NULL AS parent, 0 AS depth FROM g UNION ALL SELECT supplier, n_name, r_name, 1 FROM g UNION ALL SELECT supplier, s_name, n_name, 2 FROM g")
 def section_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = nodes.outline(B.geo_outline(spark, sf_dir))
-    up = tree.select("doc_id", F.col("symbol_id").alias("parent_id"), F.col("name").alias("parent"))
-    return tree.join(up, ["doc_id", "parent_id"], "left").select(F.col("doc_id").alias("region"), "name", "parent", "depth")
+    return nodes.outline(B.geo_outline(spark, sf_dir)).select(F.col("doc_id").alias("supplier"), "name", "parent", "depth")
 
 
 @query("SELECT o_orderkey::BIGINT AS o, ('Order ' || o_orderkey || ' \\emph{of} note') AS title, (CASE WHEN o_orderkey % 5 = 0 THEN 'D' ELSE 'C' END || o_custkey) AS author, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders")
@@ -175,23 +168,22 @@ def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # lists and blocks
 
 
-@query("SELECT n_regionkey::BIGINT AS region, n_name AS item, 0 AS depth FROM nation UNION ALL SELECT n_regionkey, s_name, 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query(f"{_LOCATED} SELECT supplier, n_name AS item, 0 AS depth FROM g UNION ALL SELECT supplier, s_name || '-' || k, 1 FROM g, (VALUES (1), (2), (3)) n(k) WHERE k <= supplier % 4")
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = nodes.nodes(B.nation_lists(spark, sf_dir), kinds=("Text",), columns=("slot", "depth", "text")).where("slot = 'item'")
-    return items.select(F.col("doc_id").alias("region"), F.trim(F.replace("text", F.lit("\n"), F.lit(" "))).alias("item"), (F.col("depth") - 1).alias("depth"))
+    return items.select(F.col("doc_id").alias("supplier"), F.trim(F.replace("text", F.lit("\n"), F.lit(" "))).alias("item"), (F.col("depth") - 1).alias("depth"))
 
 
-@query("SELECT n_regionkey::BIGINT AS region, count(DISTINCT n_nationkey) AS outer_items, count(s_suppkey) AS inner_items FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey")
+@query(f"{_LOCATED} SELECT supplier, 1::BIGINT AS outer_items, (supplier % 4)::BIGINT AS inner_items FROM g")
 def list_nested_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = nodes.nodes(B.nation_lists(spark, sf_dir), kinds=("ItemList",), columns=("depth", "args"))
     count = lambda d: F.coalesce(F.sum(F.when(F.col("depth") == d, F.size("args"))), F.lit(0)).cast("long")
-    return lists.groupBy(F.col("doc_id").alias("region")).agg(count(0).alias("outer_items"), count(1).alias("inner_items"))
+    return lists.groupBy(F.col("doc_id").alias("supplier")).agg(count(0).alias("outer_items"), count(1).alias("inner_items"))
 
 
-@query("SELECT n_regionkey::BIGINT AS region, n_name AS term, 'Number ' || n_nationkey || ' of its kind.' AS body FROM nation")
+@query(f"{_LOCATED} SELECT supplier, n_name AS term, 'Number ' || n_nationkey || ' of its kind.' AS body FROM g")
 def description_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kids = nodes.children_of(nodes.nodes(B.nation_lists(spark, sf_dir)), "DescriptionList")
-    return kids.select(F.col("doc_id").alias("region"), F.col("parent_args")[F.col("slot_idx")].alias("term"), F.trim("text").alias("body"))
+    return nodes.described(B.nation_lists(spark, sf_dir)).select(F.col("doc_id").alias("supplier"), "term", F.trim("body").alias("body"))
 
 
 @query("SELECT p_partkey::BIGINT AS p, CASE WHEN p_partkey % 2 = 0 THEN 'theorem' ELSE 'lemma' END AS name, p_name AS title, 'Every part of size ' || p_size || ' is .' AS body FROM part")

@@ -52,16 +52,15 @@ def nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapped(gathered(rows, "n_regionkey", line, "n_nationkey"), "\\begin{tabular}{|r|p{3cm}|}\n\\hline\n\\multicolumn{2}{|c|}{Nations} \\\\\n\\hline\n", "\n\\hline\n\\end{tabular}\n")
 
 
-def geo_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chapter for each region, a section for each nation, a subsection for each supplier."""
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, supplier, region = (read(spark, sf_dir, t) for t in ("nation", "supplier", "region"))
-    each = supplier.select("s_nationkey", F.struct("s_suppkey", cat("\\subsection{", F.col("s_name"), "}\n").alias("t")).alias("s"))
-    each = each.groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "").alias("subs"))
-    lines = nation.join(each, nation.n_nationkey == each.s_nationkey, "left")
-    text = cat("\\section{", F.col("n_name"), "}\n", F.coalesce("subs", F.lit("")))
-    held = gathered(lines, "n_regionkey", text, "n_nationkey", between="")
-    named = held.join(region, held.doc_id == region.r_regionkey)
-    return named.select("doc_id", cat(whole("\\chapter{")[0], F.col("r_name"), "}\n", F.col("body"), whole("")[1]).alias("tex"))
+    return spread(supplier).join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+
+
+def geo_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier a chapter for its region, a section for its nation, a subsection of its own."""
+    text = cat(whole("\\chapter{")[0], F.col("r_name"), "}\n\\section{", F.col("n_name"), "}\n\\subsection{", F.col("s_name"), "}\n", whole("")[1])
+    return _located(spark, sf_dir).select(F.col("s_suppkey").cast("long").alias("doc_id"), text.alias("tex"))
 
 
 #: Citation commands in use, by the order's key modulo their number.
@@ -96,16 +95,15 @@ def order_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each region nested lists of nations and their suppliers, and a description of nations."""
-    nation, supplier = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
-    each = supplier.select("s_nationkey", F.struct("s_suppkey", cat("\\item ", F.col("s_name"), "\n").alias("t")).alias("s"))
-    each = each.groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "").alias("subs"))
-    rows = nation.join(each, nation.n_nationkey == each.s_nationkey, "left")
-    inner = F.when(F.col("subs").isNotNull(), cat("\\begin{enumerate}\n", F.col("subs"), "\\end{enumerate}\n")).otherwise("")
-    lists = gathered(rows, "n_regionkey", cat("\\item ", F.col("n_name"), "\n", inner), "n_nationkey", between="")
-    terms = gathered(nation, "n_regionkey", cat("\\item[", F.col("n_name"), "] Number ", F.col("n_nationkey"), " of its kind."), "n_nationkey").withColumnRenamed("body", "terms")
-    both = lists.join(terms, "doc_id")
-    return both.select("doc_id", cat(whole("")[0], "\\begin{itemize}\n", F.col("body"), "\\end{itemize}\n\n\\begin{description}\n", F.col("terms"), "\n\\end{description}", whole("")[1]).alias("tex"))
+    """For each supplier a list with its nation, within it a list of up to three numbered names, and a description of the nation."""
+    n = F.col("s_suppkey") % 4
+    names = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1))), lambda k: cat("\\item ", F.col("s_name"), "-", k, "\n"))
+    inner = F.when(n > 0, cat("\\begin{enumerate}\n", F.array_join(names, ""), "\\end{enumerate}\n")).otherwise("")
+    text = cat(
+        whole("\\begin{itemize}\n\\item ")[0], F.col("n_name"), "\n", inner, "\\end{itemize}\n\n\\begin{description}\n\\item[", F.col("n_name"),
+        "] Number ", F.col("n_nationkey"), " of its kind.\n\\end{description}", whole("")[1],
+    )
+    return _located(spark, sf_dir).select(F.col("s_suppkey").cast("long").alias("doc_id"), text.alias("tex"))
 
 
 def part_notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,3 +244,7 @@ def test_kinds_and_columns(spark):
     assert sorted(some.collect()) == sorted(whole.where("kind in ('Text', 'Theorem')").select(*some.columns).collect())
     one = nodes.texts_within(whole, "Theorem").withColumnRenamed("outer_id", "node_id")
     assert sorted(one.collect()) == sorted(nodes.texts_of(docs, "Theorem").select("doc_id", "node_id", "text").collect())
+
+    lists = B.nation_lists(spark, "/root/testdata/sf0.001")
+    kids = nodes.children_of(nodes.nodes(lists), "DescriptionList").select("doc_id", "node_id", F.col("parent_args")[F.col("slot_idx")].alias("term"), F.col("text").alias("body"))
+    assert sorted(kids.collect()) == sorted(nodes.described(lists).collect())
