@@ -391,6 +391,15 @@ def _lay_command(node: Node, page: _Page, today: str) -> None:
         page.text(args[0])
 
 
+def layout_shape(nodes: list[Node], today: str = "") -> str:
+    """The layout elements in one line: element, level, depth, number and columns in brackets, term and text after =."""
+    out = []
+    for e in layout(nodes, today):
+        more = "".join(f"[{e[k]}]" for k in ("level", "depth", "number", "columns") if k in e)
+        out.append(e["element"] + more + "".join(f"={e[k]}" for k in ("term", "text") if e.get(k)))
+    return "; ".join(out)
+
+
 def tree(nodes: list[Node]) -> list[dict]:
     """Nodes as externally tagged objects, without empty fields."""
     out = []

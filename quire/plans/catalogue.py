@@ -5,6 +5,7 @@ from __future__ import annotations
 import zipfile
 from collections.abc import Callable
 from io import BytesIO
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,14 @@ def _long(*names: str) -> list[Column]:
     return [F.col(n).cast("long").alias(n) for n in names]
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _quoted(x) for x in row) + ")" for row in rows)
+
+
 # tables
 
 
@@ -612,6 +621,46 @@ def packaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.mapped(made[0].unionByName(made[1]), _entries, "entries", T.StringType(), "content", ("format",)).groupBy("format", "entries").agg(F.count("*").alias("n"))
 
 
+def _parts(content: bytes) -> list[tuple[str, str]]:
+    """(part, text) of a package: paragraphs of a text document, or what a book says of itself, its first link and its body."""
+    package = zipfile.ZipFile(BytesIO(content))
+    if "word/document.xml" in package.namelist():
+        paragraphs = ElementTree.fromstring(package.read("word/document.xml")).iter("{http://schemas.openxmlformats.org/wordprocessingml/2006/main}p")
+        return [(f"paragraph {k}", "".join(p.itertext())) for k, p in enumerate(paragraphs)]
+    about = ElementTree.fromstring(package.read("OEBPS/content.opf"))
+    out = [(name, about.find(f".//{{http://purl.org/dc/elements/1.1/}}{name}").text) for name in ("title", "creator", "date")]
+    link = ElementTree.fromstring(package.read("OEBPS/nav.xhtml")).find(".//{http://www.w3.org/1999/xhtml}a")
+    body = package.read("OEBPS/content.xhtml").decode()
+    return [*out, ("link", link.text), ("body", body[body.index("<body>") + 6 : body.index("</body>")])]
+
+
+_PARTS = {
+    "docx": {"paragraph 0": "On @", "paragraph 1": "On @A & B@\n First.", "paragraph 2": "Second."},
+    "epub": {"title": "On @", "creator": "A & B", "date": "2026-01-01", "link": "On @", "body": "<h2>@</h2>\n First.<p></p>\nSecond."},
+}
+
+
+@query(f"SELECT n_nationkey::BIGINT AS n, f.format, f.part, replace(f.text, '@', n_name) AS text FROM nation, (VALUES {_values((form, part, text) for form, parts in _PARTS.items() for part, text in parts.items())}) f(format, part, text)")
+def packaged_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packages hold, read back from their bytes."""
+    tex = B.cat("\\title{On ", F.col("n_name"), "}\\author{A & B}\\section{", F.col("n_name"), "} First.\n\nSecond.")
+    docs = B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), tex.alias("tex"))
+    made = sinks.outputs(docs, tuple(_PARTS))
+    rows = nodes.rows_of(made, _parts, T.StructType([T.StructField("part", T.StringType()), T.StructField("text", T.StringType())]), "content", ("doc_id", "format"))
+    return rows.withColumnRenamed("doc_id", "n")
+
+
+_PAGE = "<!DOCTYPE html>\n<html>\n<head>\n<meta charset=\"utf-8\" />\n<title>On @</title>\n</head>\n<body>\n<header>\n<h1>On @</h1>\n<p>A</p>\n<p>May 1, 2024</p>\n</header>\nText <strong>@</strong></body>\n</html>\n"
+
+
+@query(f"SELECT n_nationkey::BIGINT AS n, replace({_quoted(_PAGE)}, '@', n_name) AS html FROM nation")
+def html_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages, with a header, and the date that the caller gives."""
+    tex = B.cat("\\title{On ", F.col("n_name"), "}\\author{A}\\date{\\today}\\begin{document}Text \\textbf{", F.col("n_name"), "}\\end{document}")
+    docs = B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), tex.alias("tex"))
+    return nodes.html(docs, "May 1, 2024", whole=True).select(F.col("doc_id").alias("n"), "html")
+
+
 @query("SELECT r_regionkey::BIGINT AS region, f.format, r_regionkey || '.' || f.extension AS file FROM region, (VALUES ('pdf', 'pdf'), ('html', 'html'), ('docx', 'docx'), ('epub', 'epub')) f(format, extension)")
 def format_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One output for each document and format; the formats are a table of four rows."""
@@ -764,17 +813,10 @@ def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 _READS = {
     "html_commands": lambda s: render.html(parser.parse(s)), "html_elements": lambda s: render.html(parser.parse(s)), "node_forms": lambda s: render.shape(parser.parse(s)),
     "environment_forms": lambda s: render.shape(parser.parse(s)), "math_forms": mathfmt.to_unicode, "mathml_forms": mathml.to_mathml, "plain_forms": lambda s: render.plain(parser.parse(s)),
+    "layout_forms": lambda s: render.layout_shape(parser.parse(s), "May 1, 2024"),
 }
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _quoted(x) for x in row) + ")" for row in rows)
-
-
 def _forms(name: str, table: dict[str, str]) -> None:
     """Every form with every nation's name in it. In formulas names have no marks of their own."""
     mathematics = name.startswith("math")

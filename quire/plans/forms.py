@@ -81,7 +81,17 @@ PLAIN = {
     "a\n\n@": "a\n\n@", r"\section{@}b": "@\nb", r"\begin{itemize}\item @\item b\end{itemize}": "• @\n• b\n", r"\begin{description}\item[@] b\end{description}": "@: b\n", r"\begin{tabular}{ll}a & @\end{tabular}": "a\t@\n", r"\begin{theorem}[T]@\end{theorem}": "THEOREM (T): @\n",
     r"\begin{thebibliography}{9}\bibitem{k} @\end{thebibliography}": "@\n", r"\[x^2\]": "x²", r"a\quad @": "a  @", r"\cite{@}": "[@]", r"\supercite{@}": "^@", r"\includegraphics{@}": "@\n", r"\begin{verbatim}@\end{verbatim}": "@\n", r"a\\@": "a\n@",
 }
+#: Sources and the elements of their pages, as `render.layout_shape` writes them (fixed values).
+LAYOUT = {
+    r"\section{@}a \textbf{b} c": "heading[1]=@; rich_paragraph=a b c", r"\chapter{@}": "heading[6]=@", "a\n\n@": "rich_paragraph=a; empty_line; rich_paragraph=@", r"\[@\]": "math=@", r"$x^2$@": "rich_paragraph=x² @",
+    r"\begin{itemize}\item @\item[x] b\begin{enumerate}\item c\end{enumerate}\end{itemize}": "unordered_item[0]=@; unordered_item[0]=x b; ordered_item[1][1]=c", r"\begin{description}\item[@] b\end{description}": "definition=@=b",
+    r"\begin{align}a&=@\\b&=2\end{align}": "math=a =@\nb =2", r"\begin{tabular}{lr}a & @\end{tabular}": "table[2]=a\t@", r"\begin{verbatim}@\end{verbatim}": "code=@", r"\includegraphics{@}": "image=@", r"a\footnote{@}": "rich_paragraph=a; footnote=@",
+    r"\cite{@} \ref{@} \pageref{@}": "rich_paragraph=[@] ?? (@) ?? (@)", r"\label{k}@": "rich_paragraph=@", r"\begin{quote}@\end{quote}": "block_quote=@", r"\begin{theorem}[T]@\end{theorem}": "heading[4]=Theorem (T); rich_paragraph=@",
+    r"\begin{thebibliography}{9}\bibitem{k} @\end{thebibliography}": "citation=k=@; bibliography", r"\tableofcontents": "toc", r"\listoffigures": "heading[2]=List of Figures", r"\begin{abstract}@\end{abstract}": "heading[3]=Abstract; block_quote=@",
+    r"\title{@}\author{A}\date{\today}x": "heading[1]=@; paragraph=A; paragraph=May 1, 2024; empty_line; rich_paragraph=x", r"a\hrulefill": "rich_paragraph=a; rule", r"\enquote{@}": "rich_paragraph=“@”", r"\SI{5}{@}": "rich_paragraph=5 @",
+    r"x\textsuperscript{@}": "rich_paragraph=x ^@", r"\textcolor{red}{@}": "rich_paragraph=@", r"\newpage{}\centering @": "rich_paragraph= @", r"\begin{flushright}@\end{flushright}": "rich_paragraph=@",
+}
 LETTERS = "aeiouycnszAEIOUYCNSZ"
-TABLES = {"html_commands": HTML_COMMANDS, "html_elements": HTML_ELEMENTS, "node_forms": NODES, "environment_forms": ENVIRONMENTS, "math_forms": MATH, "mathml_forms": MATHML, "plain_forms": PLAIN}
+TABLES = {"html_commands": HTML_COMMANDS, "html_elements": HTML_ELEMENTS, "node_forms": NODES, "environment_forms": ENVIRONMENTS, "math_forms": MATH, "mathml_forms": MATHML, "plain_forms": PLAIN, "layout_forms": LAYOUT}
 #: Symbols that read as themselves in a formula of their own.
 SYMBOLS = {name: symbol for name, symbol in dims.SYMBOLS.items() if symbol.strip() and name.isalpha()}
