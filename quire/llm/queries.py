@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, classifier, gif, licenses, mixing, ngram_join, packing, pii, quality_rules, secret_scan
+from quire.llm import chat, classifier, divergence, gif, licenses, mixing, ngram_join, packing, pii, quality_rules, secret_scan, token_files, vector_codes
 
 
 #: Stands in for a secret that a deployment would read from its vault.
@@ -104,12 +104,32 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vector_codes.Codes(_read(spark, sf_dir, "embeddings"))
+    return made.coded.select(F.col("id").alias("vec_id"), F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(made.digest()).alias("codebooks_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.Audit(_read(spark, sf_dir, "documents")).report()
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = token_files.write(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return files.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_ngram_join, op2_pii, op3_quality_rules, op4_mixing, op5_chat, op6_licenses, op7_classifier, op8_gif, op9_packing, op10_secrets)
+        for f in (op1_ngram_join, op2_pii, op3_quality_rules, op4_mixing, op5_chat, op6_licenses, op7_classifier, op8_gif, op9_packing, op10_secrets, op11_vector_codes, op12_divergence, op13_token_files)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": licenses.oracle("doc_id, digest, licence, coalesce(notices, '') AS notices")}
+    return {
+        "op6_licenses": licenses.oracle("doc_id, digest, licence, coalesce(notices, '') AS notices"),
+        "op11_vector_codes": vector_codes.oracle(),
+        "op12_divergence": divergence.ORACLE,
+    }
