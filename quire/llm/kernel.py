@@ -99,26 +99,27 @@ class Words:
         self.bounds = np.searchsorted(self.start, at)
         self.word = word
         if hashed:
-            self.hash = self._hashes()
-
-    def _hashes(self) -> np.ndarray:
-        """Of each word: the sum of its blocks of eight bytes, each mixed with its place, mixed with the length.
-
-        Blocks are mixed one by one, so no two words of a language of few letters collide by construction, as they may
-        under a hash that is linear in the bytes.
-        """
-        size = self.end - self.start
-        if not len(size):
-            return np.zeros(0, np.uint64)
-        blocks = (size + 7) >> 3
-        first = np.cumsum(blocks) - blocks
-        place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        windows = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        raw = np.ascontiguousarray(windows[np.repeat(self.start, blocks) + 8 * place]).view("<u8").reshape(-1)
-        raw &= _LOW[np.minimum(np.repeat(size, blocks) - 8 * place, 8)]
-        total = np.add.reduceat(mix(raw + (place.astype(np.uint64) + np.uint64(1)) * _STEP), first)
-        return mix(total + size.astype(np.uint64) * _STEP)
+            self.hash = hashes(self.data, self.start, self.end)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each span: the sum of its blocks of eight bytes, each mixed with its place, mixed with the length.
+
+    Blocks are mixed one by one, so no two words of a language of few letters collide by construction, as they may
+    under a hash that is linear in the bytes.
+    """
+    size = end - start
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    blocks = (size + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    raw = np.ascontiguousarray(windows[np.repeat(start, blocks) + 8 * place]).view("<u8").reshape(-1)
+    raw &= _LOW[np.minimum(np.repeat(size, blocks) - 8 * place, 8)]
+    total = np.add.reduceat(mix(raw + (place.astype(np.uint64) + np.uint64(1)) * _STEP), first)
+    return mix(total + size.astype(np.uint64) * _STEP)
 
 
 def chained(words: np.ndarray, size: int) -> list[np.ndarray]:

@@ -15,11 +15,12 @@ then ranges of a block); no number of a document passes the driver or one task.
 Files are mapped into memory where the folder is on a file system of the
 machine, and read as a whole elsewhere.
 
-Words are encoded once for each worker where the tokenizer is a byte-level BPE
-without normaliser: its pattern begins a new part at each single space between
-other characters, at each single line feed, and at a full stop or comma after
-an ASCII letter, so such pieces have the same ids alone as in their text. All
-else, and any other tokenizer, encodes whole texts.
+Words are encoded once for each worker, and told apart by 64-bit hashes, where
+the tokenizer is a byte-level BPE without normaliser: its pattern begins a new
+part at each single space between other characters, at each single line feed,
+and at a full stop or comma after an ASCII letter, so such pieces have the same
+ids alone as in their text. Texts with other blanks, and all texts of any other
+tokenizer, are encoded as a whole.
 
 Defined results: a null or empty text has the end id alone; rows without a key
 come last; rows that share a key stand in the order of their texts' hashes, and
@@ -34,8 +35,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +46,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.kernel import give_back
+from quire.llm.kernel import Words, buffers, give_back, hashes, mix
 from quire.llm.workspace import Workspace
 
 #: Ranges of a block of the prefix sums.
 BLOCK = 1024
-#: Words that a worker remembers, twice at most; longer pieces than this many characters are not held.
-WORDS, LONGEST = 400_000, 40
+#: Words that a worker remembers before it begins anew; a text with a longer word than this many characters is encoded as a whole.
+WORDS, LONGEST = 1_200_000, 1000
+#: More than a word's ids have bytes.
+_ROOM = 1 << 16
+#: What a word's place may put before it.
+_BEFORE = ("", " ", "\n", " ")
 #: Ids that are read back at once, unless one document has more.
 PIECE = 1 << 20
-_ODD = re.compile(r"\s\s|\0")
+_ODD = re.compile(r"\s")
 _STOPS, _LETTERS = frozenset(".,"), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -66,72 +73,118 @@ def _byte_level(path: str) -> bool:
 class Encoder:
     """Ids of texts, each as bytes of `dtype`, from a tokenizer's file."""
 
-    _held: dict[tuple[str, str], Encoder] = {}
-
     def __init__(self, path: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each core a task
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.by_word = Tokenizer.from_file(path), dtype, _byte_level(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self._forget()
 
     @classmethod
     def of(cls, path: str, dtype: str) -> Encoder:
-        """The worker's own."""
-        if (path, dtype) not in cls._held:
-            cls._held[path, dtype] = cls(path, dtype)
-        return cls._held[path, dtype]
+        """The worker's own. This class reaches a worker anew with each task, so what is to be kept hangs on a module of its own."""
+        kept = sys.modules.setdefault("_quire_encoders", ModuleType("_quire_encoders")).__dict__
+        if (path, dtype) not in kept:
+            kept[path, dtype] = cls(path, dtype)
+        return kept[path, dtype]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
-        """Encodes pieces, each as a sequence of its own within one call; a piece begins with its space, if it has one."""
+        """Encodes pieces, many in one call; a piece begins with its space, if it has one.
+
+        A space and ASCII letters are one part of the tokenizer's pattern, so such pieces are encoded as one text, by whose parts
+        the ids are told apart; others are sequences of their own.
+        """
+        letters = [p for p in pieces if p[0] == " " and p.isascii() and p[1:].isalpha()]
+        self._encoded(letters, known, "".join)
+        if len(letters) < len(pieces):
+            held = set(letters)
+            self._encoded([p for p in pieces if p not in held], known, list)
+
+    def _encoded(self, pieces: list[str], known: dict[str, bytes], given: Callable) -> None:
         for k in range(0, len(pieces), 4096):
             some = pieces[k : k + 4096]
-            made = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            made = self.tokenizer.encode(given(some), is_pretokenized=given is list, add_special_tokens=False)
             ids, of = np.array(made.ids, self.dtype), np.array(made.word_ids, np.int64)
             ends = np.searchsorted(of, np.arange(len(some) + 1)) * ids.itemsize
             data = ids.tobytes()
             for piece, a, b in zip(some, ends[:-1].tolist(), ends[1:].tolist()):
                 known[piece] = data[a:b]
 
+    def _known(self, words: Words, kinds: np.ndarray) -> np.ndarray:
+        """Where each word's ids are in the store, and how many bytes, as one number; what isn't there yet is encoded, each word once. -1: only its whole text can be."""
+        if len(self.slots) > WORDS:
+            self._forget()
+        keys = mix(words.hash + kinds.astype(np.uint64))
+        own, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        slots = list(map(self.slots.get, own.tolist()))
+        new = [k for k, slot in enumerate(slots) if slot is None]
+        at = first[new]
+        data, start, end, kind = words.data, words.start[at], words.end[at], kinds[at]
+        spelt = [bytes(data[a:b]).decode() for a, b in zip(start.tolist(), end.tolist())]
+        # A word before a full stop or comma has its own ids there.
+        stem_keys = mix(hashes(data, start, np.maximum(end - 1, start + 1)) + kind.astype(np.uint64)).tolist()
+        asked: dict[int, str] = {}  # by key, words with what stands before them
+        stems: dict[int, tuple[int, str]] = {}  # by key, the stem's key and the mark
+        for word, key, stem, before in zip(spelt, own[new].tolist(), stem_keys, kind.tolist()):
+            if len(word) > LONGEST or _ODD.search(word):
+                self.slots[key] = -1
+            elif word[-1] in _STOPS and word[-2:-1] in _LETTERS:
+                stems[key] = stem, word[-1]
+                if stem not in self.slots:
+                    asked[stem] = _BEFORE[before] + word[:-1]
+            else:
+                asked[key] = _BEFORE[before] + word
+        fresh: dict[str, bytes] = {}
+        self._learn([*dict.fromkeys(asked.values()), *_STOPS], fresh)
+        for key, word in asked.items():
+            self._keep(key, fresh[word])
+        for key, (stem, mark) in stems.items():
+            a, n = divmod(self.slots[stem], _ROOM)
+            self._keep(key, self.store[a : a + n] + fresh[mark])
+        for k in new:
+            slots[k] = self.slots[int(own[k])]
+        return np.array(slots, np.int64)[back]
+
+    def _keep(self, key: int, ids: bytes) -> None:
+        self.slots[key] = len(self.store) * _ROOM + len(ids)
+        self.store += ids
+
+    def _forget(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.store = bytearray()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
+        if not self.by_word or not texts:
             return self._whole(texts)
-        if len(self.known) > WORDS:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        odd = [k for k, text in enumerate(texts) if _ODD.search(text)]
-        whole = dict(zip(odd, self._whole([texts[k] for k in odd])))
-        # A piece stands for itself after a space, or after nothing where it begins with a line feed or, as a text's first, with a zero.
-        docs = [[] if k in whole else ("\0" + text.replace("\n", " \n")).split(" ") for k, text in enumerate(texts)]
-        new, stops = {}, []
-        for piece in set().union(*docs).difference(known):
-            if piece in older:
-                known[piece] = older[piece]
-                continue
-            if piece[-1:] in _STOPS and piece[-2:-1] in _LETTERS:
-                stops.append(piece)
-                piece = piece[:-1]
-                if piece in older:
-                    known[piece] = older[piece]
-            if piece not in known:
-                new[piece] = piece[1:] if piece[:1] == "\0" else piece if piece[:1] == "\n" else " " + piece
-        fresh = {"": b""}
-        self._learn([s for s in dict.fromkeys(new.values()) if s], fresh)
-        known.update((p, fresh[s]) for p, s in new.items())
-        if stops:
-            marks: dict[str, bytes] = {}
-            self._learn(list(_STOPS), marks)
-            known.update((p, known[p[:-1]] + marks[p[-1]]) for p in stops)
-        out = [whole[k] if k in whole else b"".join(map(known.__getitem__, doc)) for k, doc in enumerate(docs)]
-        for p in (*new, *stops):
-            if len(p) > LONGEST:
-                known.pop(p, None)
-        return out
+        at, data = buffers(pa.array(texts, pa.large_string()))
+        words = Words(at, data)
+        n, bounds = len(words.start), words.bounds
+        # What stands before each word: nothing, where its text begins, or one blank or line feed; anything else makes its text odd.
+        before = np.zeros(n, np.int64)
+        gap = words.start[1:] - words.end[:-1]
+        mark = data[np.minimum(words.end[:-1], len(data) - 1)] if n else gap
+        before[1:] = np.where(gap != 1, 3, np.where(mark == 32, 1, np.where(mark == 10, 2, 3)))
+        firsts = bounds[:-1][bounds[:-1] < bounds[1:]]
+        before[firsts] = 0
+        odd = np.zeros(len(texts), bool)
+        held = bounds[:-1] < bounds[1:]
+        odd[held] = (words.start[firsts] != at[:-1][held]) | (words.end[bounds[1:][held] - 1] != at[1:][held])
+        odd[~held] = at[:-1][~held] < at[1:][~held]
+        slots = self._known(words, before)
+        bad = np.concatenate([[0], np.cumsum((slots < 0) | (before == 3))])
+        odd |= bad[bounds[1:]] > bad[bounds[:-1]]
+        item = np.dtype(self.dtype).itemsize
+        first, size = (x // item for x in np.divmod(np.maximum(slots, 0), _ROOM))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = np.frombuffer(bytes(self.store) or bytes(item), self.dtype)[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        cut = (ends[bounds] * item).tolist()
+        whole = np.flatnonzero(odd).tolist()
+        by = dict(zip(whole, self._whole([texts[k] for k in whole])))
+        return [by[k] if k in by else ids[a:b] for k, (a, b) in enumerate(zip(cut, cut[1:]))]
 
 
 def _place(uri: str):
@@ -158,7 +211,7 @@ def _keys(uri: str) -> pa.Table:
     return pa.ipc.open_file(f).read_all()
 
 
-def _runs(texts: Iterable[str | None], limit: int = 1 << 21) -> Iterator[list[str]]:
+def _runs(texts: Iterable[str | None], limit: int = 1 << 22) -> Iterator[list[str]]:
     """Texts in order, about `limit` characters at a time."""
     run, size = [], 0
     for text in texts:
