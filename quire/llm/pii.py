@@ -46,22 +46,29 @@ CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 #: First digits of 16 to 19 digits in groups of four that are card numbers (fixed values).
 SCHEMES = r"^(?:[3-6]|22(?:2[1-9]|[3-9])|2[3-6]|27(?:[01]|20))"
 
+#: Letters beyond ASCII of scripts that part words (fixed values): Latin, and from Greek to the extensions of Georgian and Ethiopic.
+LETTERS = "À-ɏͰ-῿Ⰰ-ⷿ"
+_BLANKS = " \u00a0\u202f"
+#: What parts the groups of a number: one or two blanks, a full stop or a hyphen.
+_MARK = rf"(?:[{_BLANKS}]{{1,2}}|[.-])"
+_USER, _HOST, _SOFT = rf"A-Za-z0-9{LETTERS}._%+-", f"A-Za-z0-9{LETTERS}", rf"(?:[{_BLANKS}]{{1,2}}|-)"
+
 _STRICT = {
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": (
-        r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+[1-9](?:[ .-]?\d){7,14}(?!\d)"
-        r"|(?<![\d+])(?<!\d[ -])[2-9]\d{2} [2-9]\d{2} \d{4}(?![ -]?\d)"
+        rf"(?<![\d+])(?:\+\d{{1,3}}[{_BLANKS}.-]?)?(?:\(\d{{3}}\)[{_BLANKS}]?|\d{{3}}[.-])\d{{3}}[{_BLANKS}.-]\d{{4}}(?!\d)|(?<![\d+])\+[1-9](?:[{_BLANKS}.-]?\d){{7,14}}(?!\d)"
+        rf"|(?<![\d+])(?<!\d[{_BLANKS}-])[2-9]\d{{2}}[{_BLANKS}][2-9]\d{{2}}[{_BLANKS}]\d{{4}}(?![{_BLANKS}-]?\d)"
     ),
-    "quad": r"(?<![\d.])\d{4}(?:[ -]\d{4}(?!\d)){3,}+(?:[ -]\d{1,3}(?!\d))?(?!\d)",
-    "card": r"(?<![\d.])(?:3\d{3}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\d)",
+    "quad": rf"(?<!\d)(?<!\d\.)\d{{4}}(?:{_MARK}\d{{4}}(?!\d)){{3,}}+(?:{_MARK}\d{{1,3}}(?!\d))?(?!\d)",
+    "card": rf"(?<!\d)(?<!\d\.)(?:3\d{{3}}{_MARK}\d{{6}}{_MARK}\d{{4,5}}|\d{{13,19}})(?!\d)",
 }
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,256}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}\d\d)(?:" + "|".join(rf"(?:{names.replace(' ', '|')})\d\d(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in IBANS.items()) + r")(?![A-Za-z0-9])",
+    "email": rf"(?<![{_USER}])(?<![{_USER}]')[{_USER}]['{_USER}]{{0,255}}+@(?:[{_HOST}](?:[{_HOST}-]{{0,61}}[{_HOST}])?\.){{1,126}}[A-Za-z{LETTERS}]{{2,24}}(?![{_HOST}])",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}\d\d)(?:" + "|".join(rf"(?:{names.replace(' ', '|')})\d\d(?:[{_BLANKS}-]?[A-Z0-9]){{{n - 4}}}" for n, names in IBANS.items()) + r")(?![A-Za-z0-9])",
     **_STRICT,
-    "run": r"(?<![\d.])(?<!\d[ -])(?=\d(?:[ -]?\d){12})\d+(?:[ -]\d+)++(?![./]?\d)",
+    "run": rf"(?<!\d)(?<!\d[.{_BLANKS}-])(?=\d(?:{_SOFT}?\d){{12}})\d+(?:{_SOFT}\d+)++(?![./]?\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 INNER = "|".join(f"(?:{p})" for p in _STRICT.values())
@@ -184,7 +191,7 @@ def _is_card(d: Column) -> Column:
 
 
 def _is_iban(m: Column) -> Column:
-    return let(F.replace(m, F.lit(" "), F.lit("")), lambda x: _mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1)
+    return let(F.regexp_replace(m, "[^A-Z0-9]", ""), lambda x: _mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1)
 
 
 def _country(m: Column, d: Column) -> Column:
@@ -252,8 +259,8 @@ def _quads(m: Column) -> Column:
 
         return let(chosen, pieces)
 
-    marks = F.concat(F.regexp_extract_all(m, F.lit("[ -]"), F.lit(0)), F.array(F.lit("")))
-    return let(F.struct(F.split(m, "[ -]").alias("groups"), marks.alias("marks")), made)
+    marks = F.concat(F.regexp_extract_all(m, F.lit(_MARK), F.lit(0)), F.array(F.lit("")))
+    return let(F.struct(F.split(m, _MARK).alias("groups"), marks.alias("marks")), made)
 
 
 _VALID = {"ip": _is_ip, "date": _is_date, "ssn": _is_ssn, "phone": _is_phone, "card": lambda m: _is_card(_digits(m))}
@@ -278,7 +285,7 @@ def _segments(m: Column) -> Column:
     groups of any length; otherwise what stands in it counts, as does a match of a strict pattern, which stands in itself.
     """
     within = _between(m, INNER, F.transform(F.regexp_extract_all(m, F.lit(INNER), F.lit(0)), _strict))
-    card = m.rlike("^[0-9][0-9 -]{12,}$") & let(_digits(m), lambda d: F.length(d).between(13, 19) & _is_card(d))
+    card = m.rlike(f"^[0-9][0-9{_BLANKS}.-]{{12,}}$") & let(_digits(m), lambda d: F.length(d).between(13, 19) & _is_card(d))
     iban = F.array(F.struct(F.when(_is_iban(m), "iban").alias("kind"), m.alias("text")))
     return F.when(m.contains("@"), F.array(_segment("email", m))).when(m.rlike("^[A-Z]"), iban).when(card, F.array(_segment("card", m))).otherwise(within)
 
@@ -316,7 +323,7 @@ def _iban(m: Column, key: Column) -> Column:
 
         return let(_laid_out(new, F.array_join(blocks, ""), "^[A-Z]$"), checked)
 
-    return let(F.replace(m, F.lit(" "), F.lit("")), made)
+    return let(F.regexp_replace(m, "[^A-Z0-9]", ""), made)
 
 
 def _phone(m: Column, key: Column) -> Column:

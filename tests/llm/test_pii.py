@@ -13,7 +13,7 @@ def luhn(d):
 
 
 def iban_ok(s):
-    s = s.replace(" ", "")
+    s = re.sub("[^A-Z0-9]", "", s)
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
@@ -113,7 +113,7 @@ def new_card(m, key):
 
 
 def new_iban(m, key):
-    flat = m.replace(" ", "")
+    flat = re.sub("[^A-Z0-9]", "", m)
     rest, own, letters = flat[4:], "".join(filter(is_digit, flat[4:])), "".join(c for c in flat[4:] if not is_digit(c))
     rest = filled(rest, in_base(own, 10, "0", key, "iban", flat[:2]) if own else "", is_digit)
     rest = filled(rest, "".join(in_base(letters[k : k + 24], 26, "A", key, "iban", flat[:2], k // 24) for k in range(0, len(letters), 24)), str.isupper)
@@ -194,14 +194,14 @@ def pseudonyms(text, key, inside=False):
             put("email", new_email(m, key))
         elif m[0].isupper():
             put("iban", new_iban(m, key)) if iban_ok(m) else out.append(m)
-        elif not inside and re.fullmatch("[0-9][0-9 -]{12,}", m) and 13 <= len(d) <= 19 and card_in(d):
+        elif not inside and re.fullmatch("[0-9][0-9 \u00a0\u202f.-]{12,}", m) and 13 <= len(d) <= 19 and card_in(d):
             put("card", new_card(m, key))
         elif not inside:
             new, own = pseudonyms(m, key, True)
             out.append(new)
             kinds.extend(own)
-        elif re.fullmatch(r"\d{4}(?:[ -]\d{4}){3,}(?:[ -]\d{1,3})?", m):
-            parts = re.split("([ -])", m) + [""]
+        elif re.fullmatch(r"\d{4}(?:(?:[ \u00a0\u202f]{1,2}|[.-])\d{4}){3,}(?:(?:[ \u00a0\u202f]{1,2}|[.-])\d{1,3})?", m):
+            parts = re.split("([ \u00a0\u202f]{1,2}|[.-])", m) + [""]
             k = 0
             while k < len(parts):
                 for n in (5, 4):
@@ -242,6 +242,31 @@ def test_whole_texts_agree_with_another_implementation(spark):
         assert got[k] == pseudonyms(text, "secret"), text
 
 
+HIDDEN = [
+    "No.4111111111111111", "card no.4111 1111 1111 1111", "v.4111-1111-1111-1111", "4111.1111.1111.1111", "4111\u00a01111\u00a01111\u00a01111", "4111  1111  1111  1111", "DE89-3704-0044-0532-0130-00",
+    "DE89\u00a03704\u00a00044\u00a00532\u00a00130\u00a000", "büro@example.de", "j'ohn@example.com", "'jane@example.com'", "знак@пример.рф", "+44\u00a020\u00a07946\u00a00958", "363\u00a0555\u00a06578", "3787.344936.71000", "4041894974608795.", ".4041894974608795",
+]
+
+
+def test_marks_and_stops_hide_no_value(spark):
+    rng = random.Random(11)
+    noise = ["x", "é", "1.5", "12", "no.", "...", "'", "it's", "2021.03", "1.2.3"]
+    texts = HIDDEN + ["".join(rng.choice(HIDDEN if rng.random() < 0.5 else noise) + rng.choice([" ", ", ", "\n", "  ", "\u00a0"]) for _ in range(rng.randint(1, 10))) for _ in range(600)]
+    got = out(spark, texts, "secret")
+    for k, text in enumerate(texts):
+        assert got[k] == pseudonyms(text, "secret"), text
+    for k, text in enumerate(HIDDEN):
+        assert len(got[k][1]) == 1 and got[k][0] != text, text
+        digits = "".join(filter(is_digit, text))
+        assert len(digits) < 8 or digits not in "".join(filter(is_digit, got[k][0]))
+    assert "bü" not in got[8][0] and "j'" not in got[9][0] and got[10][0][0] == got[10][0][-1] == "'"
+
+
+def test_decimals_and_versions_stay(spark):
+    texts = ["1.4111111111111111", "3.14 2.71 1.41 1.73", "v1.2.3 of 2021.03.04", "it's 'so' @home.de", "a@b"]
+    assert [x for _, x in sorted(out(spark, texts).items())] == [(t, []) for t in texts]
+
+
 def test_query_agrees_with_another_implementation(spark, small):
     got = {r.doc_id: r for r in queries.op2_pii(spark, small).collect()}
     for r in spark.read.parquet(f"{small}/documents.parquet").collect():
