@@ -3,7 +3,8 @@
 A text is brought to a canonical form: ASCII letters in lower case, lines that
 only claim a copyright removed, equivalent spellings made one, punctuation and
 white space folded to single spaces, and whoever a clause names as the holder
-read as one word. The digest of the entire text is hash-joined to those of known
+read as one word, unless that says something else than a name would ("anyone
+other than the user"; a name with such a word matches nothing). The digest of the entire text is hash-joined to those of known
 licences, a table of fixed size. Lines that name a licence are looked up in the
 same way among known notices.
 
@@ -29,16 +30,20 @@ from quire.llm.columns import fresh, without
 
 #: Characters that fold to a space (fixed values): ASCII but letters and digits, no-break space, dashes, typographic quotes.
 MARKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{a9}\x{2010}-\x{2015}\x{2018}-\x{201f}\x{2026}]+"
-#: Lines that claim a copyright or reserve all rights.
-CLAIMS = r"(^|\n)[ \t/*#;-]*((copyright|\(c\)|\x{a9})[ \t]*(\(c\)|\x{a9}|[0-9]{4}|<|\[|by )|\(c\)[ \t]|\x{a9}|all rights reserved)[^\n]*"
+#: Claims at the start of lines: a copyright with a year, a bracket or a name after it, or all rights reserved. A clause that is marked
+#: (c) is none, and of a claim no more than 160 characters go.
+CLAIMS = r"(^|\n)[ \t/*#;-]*((copyright[ \t]*(\(c\)|\x{a9}|[0-9]{4}|<|\[|by )|(\(c\)|\x{a9})[ \t]*(copyright|[0-9]{4}|<|\[|by ))[^\n]{0,160}|all rights reserved[., \t]*)"
 #: Equivalent spellings (fixed values): each on the left reads as the one on the right.
 SPELLINGS = (
     ("licence", "license"), ("organisation", "organization"), ("favour", "favor"), ("behaviour", "behavior"), ("judgement", "judgment"),
     ("merchantibility", "merchantability"), ("analogue", "analog"), ("fulfil ", "fulfill "), ("cancelation", "cancellation"), ("centre", "center"),
     ("copyright owner", "copyright holder"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("https ", "http "),
 )
-#: Clauses that name the holder, in canonical form: whoever stands between the two parts reads as `holder`.
-HOLDERS = r"(neither the name of|provided by|in no event shall) .{1,120}? (nor the names? of|as is|be liable)"
+#: Clauses that name the holder, in canonical form: whoever stands between the two parts, in up to ten words, reads as `holder`.
+HOLDERS = r"(neither the name of|provided by|in no event shall) (?:[^ \n]+ ){1,10}?(nor the names? of|as is|be liable)"
+#: Words that no holder's name has (fixed values): where one stands in its place the clause says something else, and is marked by a line feed.
+_OTHERS = "anyone|anybody|any|everyone|everybody|nobody|none|other|others|than|except|user|users|you|your|licensee|licensees|recipient|recipients|not|unless|but|all|who|whoever|which|if|shall|must|may|without|only|where|when|while"
+EXCEPTIONS = rf"(neither the name of|provided by|in no event shall) ((?:[^ \n]+ ){{0,9}}?(?:{_OTHERS}) (?:[^ \n]+ ){{0,9}}?(?:nor the names? of|as is|be liable))"
 
 _GRANT_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
@@ -76,7 +81,7 @@ Unless required by applicable law or agreed to in writing, software distributed
 
 #: Digests of long licences in canonical form (fixed values), of texts as they are distributed: whole, and up to the end of the terms.
 DIGESTS = {
-    "Apache-2.0": ("4580e5390400d27df89edd0617548ac0e66eaa029f6e07cf98aac9cd100b3a37", "0b8c1a9e0ec99ab3b27e123e667fe4843df4dd7e6c667ccdc634dd6878c5dd6c",),
+    "Apache-2.0": ("036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe",),
     "Artistic-1.0": ("e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",),
     "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
     "GFDL-1.2": ("94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",),
@@ -87,8 +92,8 @@ DIGESTS = {
     "LGPL-2.0": ("61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",),
     "LGPL-2.1": ("4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",),
     "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
-    "MPL-1.1": ("f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",),
-    "MPL-2.0": ("9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56",),
+    "MPL-1.1": ("a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b",),
+    "MPL-2.0": ("6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d",),
 }
 
 #: Notices of one line (fixed values), from the names below.
@@ -117,7 +122,7 @@ def canonical_text(text: str) -> str:
     text = re.sub(java(MARKS), " ", text)
     for old, new in SPELLINGS:
         text = text.replace(old, new)
-    return re.sub(HOLDERS, r"\1 holder \2", text.strip(" "))
+    return re.sub(HOLDERS, r"\1 holder \2", re.sub(EXCEPTIONS, r"\1 \n\2", text.strip(" ")))
 
 
 def known(more: Iterable[tuple[str, str]] = ()) -> list[tuple[str, str, str]]:
@@ -144,7 +149,7 @@ def canonical(text: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, CLAIMS, "\n"), MARKS, " ")
     for old, new in SPELLINGS:
         text = F.replace(text, F.lit(old), F.lit(new))
-    return F.regexp_replace(F.trim(text), HOLDERS, "$1 holder $2")
+    return F.regexp_replace(F.regexp_replace(F.trim(text), EXCEPTIONS, "$1 \n$2"), HOLDERS, "$1 holder $2")
 
 
 def find(docs: DataFrame, text: str = "text", more: Iterable[tuple[str, str]] = ()) -> DataFrame:
@@ -183,7 +188,8 @@ def oracle(columns: str) -> str:
         out = f"regexp_replace(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quote(CLAIMS)}, chr(10), 'g'), {quote(MARKS)}, ' ', 'g')"
         for old, new in SPELLINGS:
             out = f"replace({out}, {quote(old)}, {quote(new)})"
-        return f"regexp_replace(trim({out}, ' '), {quote(HOLDERS)}, '\\1 holder \\2', 'g')"
+        out = f"regexp_replace(trim({out}, ' '), {quote(EXCEPTIONS)}, '\\1 ' || chr(10) || '\\2', 'g')"
+        return f"regexp_replace({out}, {quote(HOLDERS)}, '\\1 holder \\2', 'g')"
 
     own = ", ".join(f"({i}, {quote(t)})" for i, t in planted())
     rows = ", ".join(f"({quote(d)}, {quote(n)})" for d, n, _ in known())

@@ -79,6 +79,27 @@ def test_holders_are_one(spark):
     assert found(spark, [named, named.replace("endorse", "praise")]) == {0: ("BSD-3-Clause", []), 1: (None, [])}
 
 
+def test_altered_texts_match_nothing(spark):
+    """Each known text with one word changed, further lines that look like claims, and clauses that name no holder."""
+    texts = []
+    for known in licenses.TEXTS.values():
+        words = known[0].split(" ")
+        for k in range(0, len(words), 7):
+            texts.append(" ".join([*words[:k], "other", *words[k + 1 :]]))
+    texts += [MIT + "\n(c) and you owe us everything, forever", "(c) you shall pay\n" + MIT, MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ANYONE OTHER THAN THE USER"), MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ANY USER"), "All rights reserved, and you pay.\n" + MIT, "Copyright 2024 " + "x " * 100 + "you owe us\n" + MIT]
+    if os.path.isdir("/usr/share/common-licenses"):
+        with open("/usr/share/common-licenses/Apache-2.0", encoding="utf-8") as f:
+            apache = f.read()
+        assert "(c) You must retain" in apache
+        texts += [apache.replace("(c) You must retain", "(c) You need not retain"), apache.replace("perpetual", "temporary", 1)]
+    assert [texts[k] for k, x in found(spark, texts).items() if x[0] is not None] == []
+
+
+def test_claims_are_no_clauses(spark):
+    texts = ["(c) 2024 Some One\n" + MIT, "Copyright (c) <year> <holders>\n" + MIT, "© 2020-2024 Ümlaut GmbH\nAll rights reserved.\n" + MIT, "Copyright by Some One\n\n" + MIT]
+    assert [x[0] for _, x in sorted(found(spark, texts).items())] == ["MIT"] * 4
+
+
 def test_names_that_clash(spark):
     frame = spark.createDataFrame([(1, MIT, "a", "b", "c", "d", "e")], "doc_id long, text string, _digest string, _licence string, _new string, __Held string, LICENCE string")
     made = licenses.find(frame)
