@@ -1,11 +1,20 @@
-"""Mathematics as plain Unicode text."""
+"""Mathematics as plain Unicode text.
+
+A formula of more than 255 levels of braces and environments, TeX's own limit,
+stays as it is written; so does one whose commands take each other as arguments
+without braces to more than a few thousand levels.
+"""
 
 from __future__ import annotations
 
 import re
+import sys
 
 from quire.functions import dims
-from quire.functions.lexer import read_group
+from quire.functions.lexer import MOST_LEVELS, levels, read_group
+
+#: Room for the levels of a formula, each of which takes several calls.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
 
 _OLD = re.compile(r"\\(over|choose|brack|brace)(?![A-Za-z])")
 _MATRIX = {"pmatrix": "()", "bmatrix": "[]", "Bmatrix": "{}", "vmatrix": "||", "Vmatrix": "‖‖", "matrix": "", "smallmatrix": ""}
@@ -169,6 +178,15 @@ _NAMES = {name: "|".join(sorted(table, key=len, reverse=True)) for name, table i
 
 def to_unicode(text: str) -> str:
     """All steps, in their order: old fractions, matrices, roots, fractions, symbols, alphabets, accents, scripts."""
+    if levels(text) > MOST_LEVELS:
+        return text
+    try:
+        return _steps(text)
+    except RecursionError:
+        return text
+
+
+def _steps(text: str) -> str:
     text = _matrices(_old_fractions(text))
     text = _calls(text, "sqrt", _root, 1, option=True)
     text = _calls(text, "[dt]?frac", _fraction, 2)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from quire.functions import dims
-from quire.functions.lexer import environment_end, read_group
+from quire.functions.lexer import MOST_LEVELS, environment_end, levels, read_group
 
 _TOKEN = re.compile(r"\\(?P<name>[^\W\d_]+)\*?|\\(?P<sign>.)|(?P<blank>\s+)|(?P<char>.)", re.DOTALL)
 _ENTITIES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"})
@@ -314,8 +314,13 @@ def elements(text: str) -> list[Element]:
 
 
 def to_mathml(text: str) -> str:
-    """The elements of an expression, without the outer `math`."""
-    return write(elements(text))
+    """The elements of an expression, without the outer `math`; of one that is too deep (see `mathfmt`), its source as text."""
+    if levels(text) <= MOST_LEVELS:
+        try:
+            return write(elements(text))
+        except RecursionError:
+            pass
+    return write([Element("mtext", text)])
 
 
 def inline(text: str) -> str:

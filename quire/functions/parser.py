@@ -3,6 +3,10 @@
 Commands are found by their whole name in tables that say what they take and
 what they become. Unknown commands are dropped, and their arguments read as
 text. Nothing raises: what is unclosed runs to the end of its surroundings.
+
+A document is one text that is read in windows; readers of windows within
+windows wait on a list, so neither the depth of nesting nor what is left
+unclosed matters to the work, which grows with the text.
 """
 
 from __future__ import annotations
@@ -10,10 +14,10 @@ from __future__ import annotations
 import operator
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Generator, Iterable, Iterator
 
 from quire.functions import dims, macros, tables
-from quire.functions.lexer import environment_end, group_end, read_group, read_name, read_option, skip_blank, split_top
+from quire.functions.lexer import Source, environment_end, read_group, read_option, split_top
 
 BEGIN, END = "\\begin{document}", "\\end{document}"
 LEVELS = {"part": 0, "chapter": 6, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
@@ -56,7 +60,6 @@ CONTAINERS = {"center": "Center", "quote": "Quote", "quotation": "Quote", "abstr
 CONTAINERS |= dict.fromkeys("figure subfigure subfig wrapfigure multicols tabbing algorithm algorithmic".split(), "Center")
 VERBATIM = {"verbatim", "lstlisting", "alltt", "comment"}
 _RUN = re.compile(r"(?:[^\\{}$\n]|\n(?!\n))+")
-_ITEM = re.compile(r"\\(begin|end)\s*\{([^}]*)\}|\\item(?![A-Za-z])|\\bibitem(?![A-Za-z])|\\.|[{}]", re.DOTALL)
 _LIGATURES = (("---", "—"), ("--", "–"), ("``", "“"), ("''", "”"))
 _TEXORPDF = re.compile(r"\\texorpdfstring(?![A-Za-z])")
 
@@ -125,63 +128,90 @@ class Parser:
 
     def __init__(self, source: str, plugins: Iterable = (), known: dict | None = None):
         self.source, self.plugins, self.at = source, tuple(plugins), 0
-        self.end = len(source)
+        self.marks, self.end = Source(source), len(source)
         self.known = acronyms(source) if known is None else known
         self.unknown: list[str] = []
-
-    def inner(self, text: str) -> list[Node]:
-        parser = Parser(text, self.plugins, self.known)
-        parser.unknown = self.unknown
-        return parser.nodes()
+        self.floats = 0  # that are open around this place
 
     def document(self) -> list[Node]:
         """Title, author and date of the preamble, then the body."""
         begin = self.source.find(BEGIN)
-        out = []
+        out, start = [], 0
         if begin >= 0:
             for name in ("title", "author", "date"):
                 at = self.source.find(f"\\{name}{{", 0, begin)
-                if at >= 0 and (got := read_group(self.source, at + len(name) + 1)):
-                    out.append(Node("Command", name=name, args=[got[0]]))
-            self.at = begin + len(BEGIN)
-        body = self.nodes()
-        return out + body
+                if at >= 0 and (got := self.marks.group(at + len(name) + 1, self.end)):
+                    out.append(Node("Command", name=name, args=[self.source[got[0] : got[1]]]))
+            start = begin + len(BEGIN)
+        return out + self.read(start, self.end)
+
+    def read(self, start: int, end: int) -> list[Node]:
+        """The nodes of a window. A reader that needs those of a window within it asks for them by `yield`."""
+        readers, made = [self.window(start, end)], None
+        while readers:
+            try:
+                asked = readers[-1].send(made)
+            except StopIteration as e:
+                readers.pop()
+                made = e.value
+            else:
+                readers.append(asked if isinstance(asked, Generator) else self.window(*asked))
+                made = None
+        return made
 
-    def nodes(self) -> list[Node]:
+    def window(self, start: int, end: int) -> Generator:
         out: list[Node] = []
-        while self.at < self.end:
-            for node in self.step():
-                if node.kind == "Text" and out and out[-1].kind == "Text":
-                    out[-1].text += node.text
+        texts: list[str] = []  # of the last node, while it is text
+        after: list[tuple[int, int]] = []  # of the groups around this place: where they and their surroundings end
+        self.at, self.end = start, end
+        while True:
+            if self.at >= self.end:
+                if not after:
+                    break
+                self.at, self.end = after.pop()
+                continue
+            if self.source[self.at] == "{":
+                stop = self.marks.group_end(self.at, self.end)
+                self.at += 1
+                if stop >= 0:
+                    after.append((stop, self.end))
+                    self.end = stop - 1
+                continue
+            made = self.step()
+            if isinstance(made, Generator):
+                back = self.at, self.end
+                made = yield made
+                self.at, self.end = back
+            for node in made:
+                if node.kind != "Text":
+                    _whole(out, texts)
+                elif texts:
+                    texts.append(node.text)
+                    continue
                 else:
-                    out.append(node)
+                    texts.append(node.text)
+                out.append(node)
+        _whole(out, texts)
         return [n for n in out if n.kind != "Text" or n.text]
 
-    def step(self) -> list[Node]:
+    def step(self) -> list[Node] | Generator:
         s, at = self.source, self.at
         c = s[at]
         if c == "%":
-            stop = s.find("\n", at)
+            stop = s.find("\n", at, self.end)
             self.at = self.end if stop < 0 else stop + 1
             return []
-        if c == "{":
-            stop = group_end(s, at)
-            if stop < 0:
-                self.at += 1
-                return []
-            self.at = stop
-            return self.inner(s[at + 1 : stop - 1])
         if c == "}":
             self.at += 1
             return []
         if c == "$":
             return self.dollars()
         if c == "\\":
-            if s.startswith(END, at):
+            if s.startswith(END, at, self.end):
                 self.at = self.end
                 return []
             return self.command()
-        if s.startswith("\n\n", at):
+        if s.startswith("\n\n", at, self.end):
             self.at += 2
             return [Node("Paragraph")]
         return self.run()
@@ -190,11 +220,11 @@ class Parser:
         """Text up to a command, brace or blank line; a formula inside stays part of it."""
         s, out = self.source, []
         while self.at < self.end:
-            if m := _RUN.match(s, self.at):
+            if m := _RUN.match(s, self.at, self.end):
                 out.append(m[0].replace("~", " "))
                 self.at = m.end()
-            elif s[self.at] == "$" and not s.startswith("$$", self.at):
-                stop = self.closing(self.at + 1)
+            elif s[self.at] == "$" and not s.startswith("$$", self.at, self.end):
+                stop = self.marks.dollar(self.at, self.end)
                 if stop < 0:
                     out.append("$")
                     self.at += 1
@@ -208,30 +238,14 @@ class Parser:
             return [Node("Text", text=" ")] if " " in text else []
         return [Node("Text", text=ligatures(text))]
 
-    def closing(self, at: int) -> int:
-        """The dollar that ends a formula that starts at `at`, within its paragraph; -1 if there is none."""
-        s, depth = self.source, 0
-        while at < self.end:
-            c = s[at]
-            if c == "\\":
-                at += 2
-                continue
-            if c == "$" and depth <= 0:
-                return at
-            if s.startswith("\n\n", at):
-                return -1
-            depth += (c == "{") - (c == "}")
-            at += 1
-        return -1
-
     def dollars(self) -> list[Node]:
         s = self.source
-        if s.startswith("$$", self.at):
-            stop = s.find("$$", self.at + 2)
+        if s.startswith("$$", self.at, self.end):
+            stop = s.find("$$", self.at + 2, self.end)
             if stop >= 0:
                 body, self.at = s[self.at + 2 : stop], stop + 2
                 return self.formula(body, True)
-        elif (stop := self.closing(self.at + 1)) >= 0:
+        elif (stop := self.marks.dollar(self.at, self.end)) >= 0:
             body, self.at = s[self.at + 1 : stop], stop + 1
             return self.formula(body, False)
         self.at += 1
@@ -251,25 +265,25 @@ class Parser:
     # commands
 
     def option(self) -> str | None:
-        got = read_option(self.source, self.at)
-        if got:
-            self.at = got[1]
-        return got[0] if got else None
+        return self._taken(self.marks.option(self.at, self.end))
 
     def group(self) -> str | None:
-        got = read_group(self.source, self.at)
-        if got:
-            self.at = got[1]
-        return got[0] if got else None
+        return self._taken(self.marks.group(self.at, self.end))
+
+    def _taken(self, got: tuple[int, int, int] | None) -> str | None:
+        if got is None:
+            return None
+        self.at = got[2]
+        return self.source[got[0] : got[1]]
 
     def arguments(self, count: int) -> list[str]:
         return [self.group() or "" for _ in range(count)]
 
-    def command(self) -> list[Node]:
+    def command(self) -> list[Node] | Generator:
         s, start = self.source, self.at
-        name, self.at = read_name(s, start)
+        name, self.at = self.marks.name(start, self.end)
         word = name[:1].isalpha()
-        star = word and s.startswith("*", self.at)
+        star = word and s.startswith("*", self.at, self.end)
         if star:
             self.at += 1
         handler = getattr(self, f"do_{name}", None) if word else None
@@ -285,20 +299,20 @@ class Parser:
             key = self.group()
             return [] if key is None else [Node("Ref", text=key, name=name)]
         if name == "\\":
-            if s.startswith("*", self.at):
+            if s.startswith("*", self.at, self.end):
                 self.at += 1
-            if s.startswith("[", self.at):
+            if s.startswith("[", self.at, self.end):
                 self.option()
             return [Node("LineBreak")]
         if name in "([" and name:
-            stop = s.find("\\)" if name == "(" else "\\]", self.at)
-            body, self.at = (s[self.at :], self.end) if stop < 0 else (s[self.at : stop], stop + 2)
+            stop = s.find("\\)" if name == "(" else "\\]", self.at, self.end)
+            body, self.at = (s[self.at : self.end], self.end) if stop < 0 else (s[self.at : stop], stop + 2)
             return self.formula(body, name == "[")
         if name in dims.TEXT_ACCENTS:
             return self.accent(name)
         if name in dims.TEXT_SYMBOLS and not star:
             if word:
-                self.at = skip_blank(s, self.at) if not s.startswith("{}", self.at) else self.at + 2
+                self.at = self.marks.blank(self.at, self.end) if not s.startswith("{}", self.at, self.end) else self.at + 2
             return [Node("Text", text=dims.TEXT_SYMBOLS[name])]
         if name in SPACING:
             return [Node("Command", name=SPACING[name], args=[])]
@@ -316,7 +330,7 @@ class Parser:
         if name in ("colorbox", "fcolorbox", "color", "linebreak", "nolinebreak", "nopagebreak", "pagebreak"):
             self.option()
         if count == 0:
-            if self.source.startswith("{}", self.at):
+            if self.source.startswith("{}", self.at, self.end):
                 self.at += 2
             return [Node("Command", name=name, args=[])]
         full = name + "*" if star and name in ("vspace", "hspace", "tag") else name
@@ -341,15 +355,15 @@ class Parser:
         return []
 
     def accent(self, name: str) -> list[Node]:
-        s = self.source
-        if (got := read_group(s, self.at)) and (s[self.at : self.at + 1] == "{" or name.isalpha()):
-            inner, self.at = got
+        s, end = self.source, self.end
+        if (got := self.marks.group(self.at, end)) and (s[self.at : self.at + 1] == "{" or name.isalpha()):
+            inner = self._taken(got)
         else:
             if name.isalpha():
-                self.at = skip_blank(s, self.at)
-            if s.startswith(("\\i", "\\j"), self.at) and not s[self.at + 2 : self.at + 3].isalpha():
+                self.at = self.marks.blank(self.at, end)
+            if s.startswith(("\\i", "\\j"), self.at, end) and not s[self.at + 2 : min(self.at + 3, end)].isalpha():
                 inner, self.at = s[self.at : self.at + 2], self.at + 2
-            elif s[self.at : self.at + 1].isalpha():
+            elif s[self.at : min(self.at + 1, end)].isalpha():
                 inner, self.at = s[self.at], self.at + 1
             else:
                 return []
@@ -426,8 +440,8 @@ class Parser:
         return [Node("Text", text=(self.group() or "").lower())]
 
     def do_verb(self, _) -> list[Node]:
-        mark = self.source[self.at : self.at + 1]
-        stop = self.source.find(mark, self.at + 1) if mark else -1
+        mark = self.source[self.at : min(self.at + 1, self.end)]
+        stop = self.source.find(mark, self.at + 1, self.end) if mark else -1
         if stop < 0:
             return []
         body, self.at = self.source[self.at + 1 : stop], stop + 1
@@ -435,7 +449,7 @@ class Parser:
 
     def do_lstinline(self, _) -> list[Node]:
         self.option()
-        if self.source.startswith("{", self.at):
+        if self.source.startswith("{", self.at, self.end):
             return [Node("CodeBlock", text=self.group(), name="lstinline")]
         return self.do_verb(_)
 
@@ -473,28 +487,36 @@ class Parser:
         self.group()
         return []
 
-    def do_begin(self, _) -> list[Node]:
+    def do_begin(self, _) -> list[Node] | Generator:
         name = (self.group() or "").strip()
-        start = self.at
+        start, end = self.at, self.end
         if name in VERBATIM:
-            stop = self.source.find(f"\\end{{{name}}}", start)
-            stop, after = (self.end, self.end) if stop < 0 else (stop, stop + len(name) + 6)
+            stop = self.source.find(f"\\end{{{name}}}", start, end)
+            stop, after = (end, end) if stop < 0 else (stop, stop + len(name) + 6)
         else:
-            stop, after = environment_end(self.source, name, start)
-        body, self.at = self.source[start:stop], max(after, start)
+            stop, after = self.marks.environment_end(name, start, end)
+        self.at = max(after, start)
         plain = name.rstrip("*")
         if name == "comment":
             return []
+        if plain in ("itemize", "enumerate", "description"):
+            return self.item_list(plain, start, stop)
+        if plain in THEOREMS:
+            return self.theorem(plain, start, stop)
+        if plain in ("table", "wraptable"):
+            if self.floats:  # read in place, as the float around it takes what it holds
+                self.at = self._past(start, end, 2 if plain == "wraptable" else 0)
+                return []
+            return self.floating(plain, start, stop)
+        if plain in CONTAINERS:
+            return self.container(plain, start, stop)
+        if name == "document":
+            self.at = start
+            return []
+        body = self.source[start:stop]
         if plain in VERBATIM:
             got = read_option(body, 0) if plain == "lstlisting" and body[:1] == "[" else None
             return [Node("CodeBlock", text=(body[got[1] :] if got else body).strip(), name=plain)]
-        if plain in ("itemize", "enumerate", "description"):
-            return [self.item_list(plain, body)]
-        if plain in THEOREMS:
-            got = read_option(body, 0)
-            node = Node("Theorem", name=plain, label=got[0] if got else None)
-            node.parts.append(("body", 0, self.inner(body[got[1] :] if got else body)))
-            return [node]
         if plain in ("equation", "displaymath"):
             return self.formula(body, True)
         if plain == "math":
@@ -508,15 +530,8 @@ class Parser:
             return [Node("MathLines", name=LINES[plain], lines=lines)] if lines else []
         if plain in ("tabular", "longtable", "tabularx", "array"):
             return self.tabular(name, body)
-        if plain in ("table", "wraptable"):
-            return self.floating(plain, body)
         if plain == "thebibliography":
-            return self.bibliography(body)
-        if plain in CONTAINERS:
-            return [self.container(plain, body)]
-        if name == "document":
-            self.at = start
-            return []
+            return self.bibliography(start, stop)
         for plugin in self.plugins:
             made = plugin.environment(name, body)
             if made is not None:
@@ -524,27 +539,40 @@ class Parser:
         self.unknown.append(f"begin:{name}")
         return []
 
-    def container(self, name: str, body: str) -> Node:
-        at = 0
-        if got := read_option(body, 0):
-            at = got[1]
-        for _ in range({"minipage": 1, "multicols": 1, "subfigure": 1, "subfig": 1, "wrapfigure": 2}.get(name, 0)):
-            if got := read_group(body, at):
-                at = got[1]
+    def _past(self, start: int, stop: int, groups: int) -> int:
+        """Past an option, and as many groups."""
+        if got := self.marks.option(start, stop):
+            start = got[2]
+        for _ in range(groups):
+            if got := self.marks.group(start, stop):
+                start = got[2]
+        return start
+
+    def theorem(self, name: str, start: int, stop: int) -> Generator:
+        got = self.marks.option(start, stop)
+        node = Node("Theorem", name=name, label=self.source[got[0] : got[1]] if got else None)
+        node.parts.append(("body", 0, (yield got[2] if got else start, stop)))
+        return [node]
+
+    def container(self, name: str, start: int, stop: int) -> Generator:
+        start = self._past(start, stop, {"minipage": 1, "multicols": 1, "subfigure": 1, "subfig": 1, "wrapfigure": 2}.get(name, 0))
         node = Node(CONTAINERS[name], name=name)
-        node.parts.append(("body", 0, self.inner(body[at:])))
-        return node
+        node.parts.append(("body", 0, (yield start, stop)))
+        return [node]
 
-    def item_list(self, name: str, body: str) -> Node:
+    def item_list(self, name: str, start: int, stop: int) -> Generator:
         node = Node("DescriptionList" if name == "description" else "ItemList", ordered=name == "enumerate" if name != "description" else None, name=name)
         node.args = []
-        for k, item in enumerate(_split_items(body, "\\item")):
-            got = read_option(item, 0)
-            label = got[0].strip() if got else None
-            node.args.append(label)
-            children = self.inner((item[got[1] :] if got else item).strip())
-            node.parts.append(("desc" if name == "description" else "item", k, children))
-        return node
+        for k, (at, end) in enumerate(self.marks.items("\\item", start, stop)):
+            got = self.marks.option(at, end)
+            node.args.append(self.source[got[0] : got[1]].strip() if got else None)
+            at = got[2] if got else at
+            while at < end and self.source[at].isspace():
+                at += 1
+            while at < end and self.source[end - 1].isspace():
+                end -= 1
+            node.parts.append(("desc" if name == "description" else "item", k, (yield at, end)))
+        return [node]
 
     def tabular(self, name: str, body: str) -> list[Node]:
         at = 0
@@ -556,53 +584,42 @@ class Parser:
         spec, at = spec if spec else ("", at)
         return [Node("Table", name=name, columns=tables.column_spec(spec), rows=tables.parse_rows(body[at:]))]
 
-    def floating(self, name: str, body: str) -> list[Node]:
+    def floating(self, name: str, start: int, stop: int) -> Generator:
         """The tables of a float, with its captions and labels beside them."""
-        at = 0
-        if got := read_option(body, 0):
-            at = got[1]
-        for _ in range(2 if name == "wraptable" else 0):
-            if got := read_group(body, at):
-                at = got[1]
-        out: list[Node] = []
-
-        def walk(nodes: list[Node]) -> None:
-            for n in nodes:
-                if n.kind in ("Table", "Caption", "Label", "Footnote"):
-                    out.append(n)
-                for _, _, children in n.parts:
-                    walk(children)
+        self.floats += 1
+        made = yield self._past(start, stop, 2 if name == "wraptable" else 0), stop
+        self.floats -= 1
+        return [n for n in descendants(made) if n.kind in ("Table", "Caption", "Label", "Footnote")]
 
-        walk(self.inner(body[at:]))
-        return out
-
-    def bibliography(self, body: str) -> list[Node]:
-        got = read_group(body, 0)
+    def bibliography(self, start: int, stop: int) -> list[Node]:
+        got = self.marks.group(start, stop)
         entries = []
-        for item in _split_items(body[got[1] :] if got else body, "\\bibitem"):
-            at = 0
-            if option := read_option(item, 0):
-                at = option[1]
-            if key := read_group(item, at):
-                entries.append((key[0].strip(), " ".join(item[key[1] :].split())))
+        for at, end in self.marks.items("\\bibitem", got[2] if got else start, stop):
+            if option := self.marks.option(at, end):
+                at = option[2]
+            if key := self.marks.group(at, end):
+                entries.append((self.source[key[0] : key[1]].strip(), " ".join(self.source[key[2] : end].split())))
         return [Node("Bibliography", bib=entries)]
 
 
-def _split_items(body: str, mark: str) -> list[str]:
-    """What follows each `mark` outside braces and inner environments."""
-    out, depth, start = [], 0, None
-    for m in _ITEM.finditer(body):
-        if m[1]:
-            depth += 1 if m[1] == "begin" else -1
-        elif m[0] == "{":
-            depth += 1
-        elif m[0] == "}":
-            depth -= 1
-        elif m[0] == mark and depth == 0:
-            if start is not None:
-                out.append(body[start : m.start()])
-            start = m.end()
-    return out if start is None else [*out, body[start:]]
+def _whole(out: list[Node], texts: list[str]) -> None:
+    """Gives the last node its text, if texts are waiting."""
+    if texts:
+        out[-1].text = texts[0] if len(texts) == 1 else "".join(texts)
+        texts.clear()
+
+
+def descendants(nodes: list[Node]) -> Iterator[Node]:
+    """All nodes in pre-order."""
+    open_ = [iter(nodes)]
+    while open_:
+        node = next(open_[-1], None)
+        if node is None:
+            open_.pop()
+            continue
+        yield node
+        if node.parts:
+            open_.append(n for *_, children in node.parts for n in children)
 
 
 def parse(source: str, plugins: Iterable = ()) -> list[Node]:
@@ -613,31 +630,45 @@ def parse(source: str, plugins: Iterable = ()) -> list[Node]:
 #: Columns of the node table besides the document's key.
 COLUMNS = (
     "node_id", "parent_id", "subtree_end", "depth", "slot", "slot_idx", "ordinal", "kind", "name", "level", "text", "args", "keys", "ordered", "label",
-    "path", "width", "height", "lines", "columns", "rows", "bib",
+    "path", "width", "height", "lines", "columns", "rows", "bib", "starts",
 )
 
 
-_FIELDS = operator.attrgetter(*COLUMNS[7:])
+_FIELDS = operator.attrgetter(*COLUMNS[7:-1])
 
 
 def flatten(nodes: list[Node], kinds: frozenset[str] | None = None) -> list[tuple]:
-    """Rows in pre-order; a node's descendants are those with ids up to its `subtree_end`. With `kinds`, rows of those kinds alone."""
+    """Rows in pre-order; a node's descendants are those with ids up to its `subtree_end`, and the k-th of its parts begins at the k-th of its `starts`.
+
+    With `kinds`, rows of those kinds alone.
+    """
     out: list[tuple] = []
     count = 0
 
-    def add(node: Node, parent: int, depth: int, slot: str, index: int, ordinal: int) -> None:
-        nonlocal count
+    def within(node: Node, starts: list[int]) -> Iterator[tuple[str, int, int, Node]]:
+        for slot, index, children in node.parts:
+            starts.append(count)
+            for i, child in enumerate(children):
+                yield slot, index, i, child
+
+    # Of each node around this place: its children left, its id, its depth, and its row, which is made when its last child is.
+    open_: list[tuple] = [((("root", 0, i, n) for i, n in enumerate(nodes)), -1, -1, None, ())]
+    while open_:
+        children, parent, depth, place, row = open_[-1]
+        found = next(children, None)
+        if found is None:
+            open_.pop()
+            if place is not None:
+                node, above, *first, starts = row
+                out[place] = (parent, above, count, *first, *_FIELDS(node), starts)
+            continue
+        slot, index, ordinal, node = found
         k, place = count, None
         count += 1
         if kinds is None or node.kind in kinds:
             place = len(out)
-            out.append(())
-        for inner_slot, inner_index, children in node.parts:
-            for i, child in enumerate(children):
-                add(child, k, depth + 1, inner_slot, inner_index, i)
-        if place is not None:
-            out[place] = (k, parent, count, depth, slot, index, ordinal, *_FIELDS(node))
-
-    for i, node in enumerate(nodes):
-        add(node, -1, 0, "root", 0, i)
+            out.append((k, parent, count, depth + 1, slot, index, ordinal, *_FIELDS(node), None) if not node.parts else ())
+        if node.parts:
+            starts: list[int] = []
+            open_.append((within(node, starts), k, depth + 1, place, (node, parent, depth + 1, slot, index, ordinal, starts)))
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Callable
 from html import escape as _quote
 
 from quire.functions import dims, mathml
@@ -13,7 +14,7 @@ from quire.functions.parser import Node
 
 HEADINGS = {0: 1, 6: 1, 1: 2, 2: 3, 3: 4, 4: 5}
 #: Commands that wrap their first argument (fixed values).
-_WRAP = {
+WRAP = {
     "textbf": ("<strong>", "</strong>"), "bf": ("<strong>", "</strong>"), "textit": ("<em>", "</em>"), "it": ("<em>", "</em>"), "emph": ("<em>", "</em>"),
     "textsl": ("<em>", "</em>"), "texttt": ("<code>", "</code>"), "tt": ("<code>", "</code>"), "underline": ("<u>", "</u>"), "sout": ("<s>", "</s>"),
     "textsc": ('<span style="font-variant:small-caps">', "</span>"), "textrm": ('<span style="font-family:serif">', "</span>"),
@@ -23,20 +24,20 @@ _WRAP = {
     "footnotetext": ('<sup class="footnote">', "</sup>"),
 }
 #: Commands that read the same whatever their arguments (fixed values).
-_FIXED = {
+FIXED = {
     "newline": "<br />\n", "linebreak": "<br />\n", "hfill": '<span class="hfill"></span>', "fill": '<span class="hfill"></span>', "hrulefill": "<hr />\n",
     "dotfill": '<span class="dotfill">…</span>', "strut": "", "mathstrut": "", "hspace": " ", "hspace*": " ", "vspace": " ", "vspace*": " ", "quad": " ",
     "qquad": " ", "comma": "\u2009", "colon": "\u2009", "semicolon": "\u2009", "control_space": "\u2009", "bang": "", "title": "", "author": "", "date": "",
     "footnotemark": "", "cline": "", "rule": "", "phantom": "", "vphantom": "", "hphantom": "",
 }
 #: The argument that shows, where it isn't the first (fixed values).
-_SHOWN = {"raisebox": 1, "rotatebox": 1, "scalebox": 1, "colorbox": 1, "fcolorbox": 2, "multicolumn": 2, "multirow": 2, "resizebox": 2}
-_BLOCKS = {
+SHOWN = {"raisebox": 1, "rotatebox": 1, "scalebox": 1, "colorbox": 1, "fcolorbox": 2, "multicolumn": 2, "multirow": 2, "resizebox": 2}
+BLOCKS = {
     "Center": ('<div class="center">', "</div>\n"), "Quote": ("<blockquote>", "</blockquote>\n"),
     "Abstract": ('<section class="abstract"><h2>Abstract</h2>', "</section>\n"), "FlushLeft": ('<div style="text-align:left">', "</div>\n"),
     "FlushRight": ('<div style="text-align:right">', "</div>\n"),
 }
-_LISTS = {
+LISTS = {
     "TableOfContents": '<nav class="toc"><em>Table of Contents</em></nav>\n', "ListOfFigures": '<section class="lof"><em>List of Figures</em></section>\n',
     "ListOfTables": '<section class="lot"><em>List of Tables</em></section>\n', "LineBreak": "<br />\n", "Paragraph": "<p></p>\n",
 }
@@ -62,7 +63,7 @@ def citation(node: Node, html: bool = False) -> str:
 
 
 def shown_argument(node: Node) -> str | None:
-    args, k = node.args or [], _SHOWN.get(node.name, 0)
+    args, k = node.args or [], SHOWN.get(node.name, 0)
     if node.name == "SI" and len(args) > 1:
         return f"{args[0]} {args[1]}"
     if node.name == "SIrange" and len(args) > 2:
@@ -70,20 +71,38 @@ def shown_argument(node: Node) -> str | None:
     return args[k] if len(args) > k else args[0] if args else None
 
 
+def written(nodes: list[Node], one: Callable[[Node], str | list]) -> str:
+    """Text of a tree: `one` gives a node's, or its pieces with the nodes between them. Trees may be of any depth."""
+    out, work = [], list(reversed(nodes))
+    while work:
+        x = work.pop()
+        if isinstance(x, Node):
+            x = one(x)
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            work += reversed(x)
+    return "".join(out)
+
+
+def _within(node: Node) -> list[Node]:
+    return [n for *_, children in node.parts for n in children]
+
+
 def html(nodes: list[Node], today: str = "") -> str:
-    return "".join(_html(n, today) for n in nodes)
+    return written(nodes, lambda n: _html(n, today))
 
 
 def _command(node: Node, today: str) -> str:
     args = node.args or []
-    if node.name in _FIXED:
-        return _FIXED[node.name]
+    if node.name in FIXED:
+        return FIXED[node.name]
     if node.name == "today":
         return today
     if node.name in ("url", "href") and args:
         return f'<a href="{escape(args[0])}">{escape(args[-1])}</a>'
-    if node.name in _WRAP and args:
-        before, after = _WRAP[node.name]
+    if node.name in WRAP and args:
+        before, after = WRAP[node.name]
         return before + escape(args[0]) + after
     return escape(shown_argument(node) or "")
 
@@ -94,7 +113,7 @@ def _formula(text: str, tag: str, kind: str | None, end: str = "") -> str:
     return f'{made}<{tag}{attributes} aria-hidden="true">{escape(to_unicode(text))}</{tag}>{end}'
 
 
-def _html(node: Node, today: str) -> str:
+def _html(node: Node, today: str) -> str | list:
     kind = node.kind
     if kind == "Text":
         return escape(node.text)
@@ -103,11 +122,11 @@ def _html(node: Node, today: str) -> str:
     if kind == "Section":
         h = HEADINGS.get(node.level, 6)
         return f"<h{h}>{escape(node.text)}</h{h}>\n"
-    if kind in _LISTS:
-        return _LISTS[kind]
-    if kind in _BLOCKS:
-        before, after = _BLOCKS[kind]
-        return before + "".join(html(children, today) for *_, children in node.parts) + after
+    if kind in LISTS:
+        return LISTS[kind]
+    if kind in BLOCKS:
+        before, after = BLOCKS[kind]
+        return [before, *_within(node), after]
     if kind == "MathInline":
         return _formula(node.text, "span", "inline")
     if kind == "MathDisplay":
@@ -116,17 +135,17 @@ def _html(node: Node, today: str) -> str:
         return '<div class="math display multi">' + "<br />".join(_formula(x, "span", None) for x in node.lines) + "</div>\n"
     if kind == "ItemList":
         tag = "ol" if node.ordered else "ul"
-        items = []
+        out: list = [f"<{tag}>\n"]
         for (_, _, children), label in zip(node.parts, node.args):
-            mark = f'<span class="label">{escape(label)}</span> ' if label is not None else ""
-            items.append(f"<li>{mark}{html(children, today)}</li>\n")
-        return f"<{tag}>\n{''.join(items)}</{tag}>\n"
+            out += ["<li>" + (f'<span class="label">{escape(label)}</span> ' if label is not None else ""), *children, "</li>\n"]
+        return [*out, f"</{tag}>\n"]
     if kind == "DescriptionList":
-        items = [(f"<dt>{escape(term)}</dt>\n" if term else "") + f"<dd>{html(children, today)}</dd>\n" for (_, _, children), term in zip(node.parts, node.args)]
-        return f"<dl>\n{''.join(items)}</dl>\n"
+        out = ["<dl>\n"]
+        for (_, _, children), term in zip(node.parts, node.args):
+            out += [(f"<dt>{escape(term)}</dt>\n" if term else "") + "<dd>", *children, "</dd>\n"]
+        return [*out, "</dl>\n"]
     if kind == "Theorem":
-        inner = "".join(html(children, today) for *_, children in node.parts)
-        return f'<section class="theorem"><h3 class="theorem-heading">{escape(heading(node))}</h3>{inner}</section>\n'
+        return [f'<section class="theorem"><h3 class="theorem-heading">{escape(heading(node))}</h3>', *_within(node), "</section>\n"]
     if kind == "CodeBlock":
         return f"<pre><code>{escape(node.text)}</code></pre>\n"
     if kind == "Image":
@@ -156,16 +175,22 @@ def _html(node: Node, today: str) -> str:
 def shape(nodes: list[Node]) -> str:
     """The tree in one line: kind, :name, what it holds after =, and children in braces."""
 
-    def one(n: Node) -> str:
+    def one(n: Node) -> list:
         held = next((v for v in (n.text, n.args, n.keys, n.lines, n.path, n.columns) if v is not None), None)
         if isinstance(held, list):
             held = "|".join("" if x is None else x for x in held)
         more = "".join(f"[{x}]" for x in (n.level, n.label, n.width, n.height) if x is not None)
         more += "".join(f"[{'--' if rule else '&'.join(cells)}]" for cells, rule in n.rows or ()) + "".join(f"[{k}={t}]" for k, t in n.bib or ())
-        inner = "".join("{" + shape(children) + "}" for *_, children in n.parts)
-        return n.kind + (f":{n.name}" if n.name else "") + more + ("=" + held if held else "") + inner
+        out: list = [n.kind + (f":{n.name}" if n.name else "") + more + ("=" + held if held else "")]
+        for *_, children in n.parts:
+            out += ["{", *_spaced(children), "}"]
+        return out
+
+    return written(_spaced(nodes), one)
 
-    return " ".join(map(one, nodes))
+
+def _spaced(nodes: list[Node]) -> list:
+    return [x for n in nodes for x in (" ", n)][1:]
 
 
 def metadata(nodes: list[Node]) -> dict[str, str | None]:
@@ -188,10 +213,10 @@ def page(nodes: list[Node], today: str = "") -> str:
 
 
 def plain(nodes: list[Node]) -> str:
-    return "".join(_plain(n) for n in nodes)
+    return written(nodes, _plain)
 
 
-def _plain(node: Node) -> str:
+def _plain(node: Node) -> str | list:
     kind = node.kind
     if kind in ("Text", "ColoredText", "Footnote", "Caption", "Ref", "PageRef"):
         return node.text
@@ -204,17 +229,17 @@ def _plain(node: Node) -> str:
     if kind == "MathLines":
         return "\n".join(map(to_unicode, node.lines))
     if kind == "ItemList":
-        return "".join(f"• {plain(children)}\n" for *_, children in node.parts)
+        return [x for *_, children in node.parts for x in ("• ", *children, "\n")]
     if kind == "DescriptionList":
-        return "".join((f"{term}: " if term else "") + plain(children) + "\n" for (*_, children), term in zip(node.parts, node.args))
+        return [x for (*_, children), term in zip(node.parts, node.args) for x in (f"{term}: " if term else "", *children, "\n")]
     if kind == "Table":
         return "".join("\t".join(cells) + "\n" for cells, rule in node.rows if not rule)
     if kind == "Bibliography":
         return "".join(text + "\n" for _, text in node.bib)
     if kind == "Theorem":
         title = f" ({node.label})" if node.label is not None else ""
-        return f"{node.name.upper()}{title}: {''.join(plain(c) for *_, c in node.parts)}\n"
-    return {"Paragraph": "\n\n", "LineBreak": "\n", "Image": (node.path or "") + "\n", "Citation": citation(node) if kind == "Citation" else ""}.get(kind, "".join(plain(c) for *_, c in node.parts))
+        return [f"{node.name.upper()}{title}: ", *_within(node), "\n"]
+    return {"Paragraph": "\n\n", "LineBreak": "\n", "Image": (node.path or "") + "\n", "Citation": citation(node) if kind == "Citation" else ""}.get(kind, _within(node))
 
 
 #: Commands that a page leaves out (fixed values).
@@ -275,8 +300,10 @@ def _item_text(children: list[Node]) -> tuple[str, list[str]]:
 def layout(nodes: list[Node], today: str = "") -> list[dict]:
     """Elements of a page: headings, paragraphs of styled segments, list items, formulas, tables and the like."""
     page, meta = _Page(), metadata(nodes)
-    for n in nodes:
-        _lay(n, page, 0, today)
+    work: list = [(n, 0) for n in reversed(nodes)]
+    while work:
+        node, depth = work.pop()
+        work += reversed(_lay(node, page, depth, today) or ())
     page.flush()
     head = [{"element": "heading", "text": meta["title"], "level": 1}] if meta["title"] else []
     date = today if meta["date"] == "\\today" else meta["date"]
@@ -284,7 +311,10 @@ def layout(nodes: list[Node], today: str = "") -> list[dict]:
     return [*head, {"element": "empty_line", "text": ""}, *page.out] if head else page.out
 
 
-def _lay(node: Node, page: _Page, depth: int, today: str) -> None:
+def _lay(node: Node | Callable[[], None], page: _Page, depth: int, today: str) -> list | None:
+    """Lays a node out, or does what is left of one; gives what comes next: nodes with their depth, and what is left to do between them."""
+    if not isinstance(node, Node):
+        return node()
     kind = node.kind
     if kind == "Text":
         _spans(page, node.text)
@@ -303,26 +333,17 @@ def _lay(node: Node, page: _Page, depth: int, today: str) -> None:
         page.block("math", "\n".join(x.replace("&", " ").replace("  ", " ") if node.name == "align" else x.replace("&", " ") for x in node.lines))
     elif kind == "ItemList":
         page.flush()
+        after: list = []
         for k, ((*_, children), label) in enumerate(zip(node.parts, node.args), 1):
-            text, shown = _item_text(children)
-            if any(c.kind != "ItemList" for c in children):
-                if node.ordered:
-                    page.block("ordered_item", text, number=k, depth=depth)
-                else:
-                    page.block("unordered_item", " ".join(x for x in (label, text) if x), depth=depth)
-            for formula in shown:
-                page.block("math", formula)
-            for child in children:
-                if child.kind == "ItemList":
-                    _lay(child, page, depth + 1, today)
+            after.append((lambda k=k, children=children, label=label: _lay_item(page, node, k, children, label, depth), depth))
+            after += [(child, depth + 1) for child in children if child.kind == "ItemList"]
+        return after
     elif kind == "DescriptionList":
         for (*_, children), term in zip(node.parts, node.args):
             page.block("definition", _item_text(children)[0], term=term or "")
     elif kind == "Theorem":
         page.block("heading", heading(node), level=4)
-        for *_, children in node.parts:
-            for child in children:
-                _lay(child, page, depth, today)
+        return [(child, depth) for child in _within(node)]
     elif kind == "CodeBlock":
         page.block("code", node.text)
     elif kind == "Image":
@@ -341,16 +362,10 @@ def _lay(node: Node, page: _Page, depth: int, today: str) -> None:
     elif kind in ("Center", "Quote", "Abstract"):
         if kind == "Abstract":
             page.block("heading", "Abstract", level=3)
-        for *_, children in node.parts:
-            for child in children:
-                if child.kind == "Text" and child.text.strip():
-                    page.block("block_quote", child.text.strip())
-                else:
-                    _lay(child, page, depth, today)
+        quoted = lambda child: lambda: page.block("block_quote", child.text.strip())
+        return [(quoted(child) if child.kind == "Text" and child.text.strip() else child, depth) for child in _within(node)]
     elif kind in ("FlushLeft", "FlushRight"):
-        for *_, children in node.parts:
-            for child in children:
-                _lay(child, page, depth, today)
+        return [(child, depth) for child in _within(node)]
     elif kind == "Footnote":
         page.block("footnote", node.text)
     elif kind in ("Caption", "ColoredText"):
@@ -361,6 +376,18 @@ def _lay(node: Node, page: _Page, depth: int, today: str) -> None:
         page.block("heading", "List of Figures" if kind == "ListOfFigures" else "List of Tables", level=2)
     elif kind == "Command":
         _lay_command(node, page, today)
+    return None
+
+
+def _lay_item(page: _Page, node: Node, number: int, children: list[Node], label: str | None, depth: int) -> None:
+    text, shown = _item_text(children)
+    if any(c.kind != "ItemList" for c in children):
+        if node.ordered:
+            page.block("ordered_item", text, number=number, depth=depth)
+        else:
+            page.block("unordered_item", " ".join(x for x in (label, text) if x), depth=depth)
+    for formula in shown:
+        page.block("math", formula)
 
 
 def _lay_command(node: Node, page: _Page, today: str) -> None:

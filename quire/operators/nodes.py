@@ -2,11 +2,12 @@
 
 All Python work on a document happens in one map over Arrow batches; equal
 sources of a batch are parsed once. A document that can't be read gives no
-nodes and never stops a job.
+nodes and never stops a job; `findings` has a row that says why.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,12 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import analysis, macros, mathfmt, mathml, parser, render
+from quire.operators import serialise
 
 ROW = T.StructType([T.StructField("cells", T.ArrayType(T.StringType())), T.StructField("is_separator", T.BooleanType())])
 ENTRY = T.StructType([T.StructField("key", T.StringType()), T.StructField("text", T.StringType())])
 _TYPES = {
     **dict.fromkeys(("node_id", "parent_id", "subtree_end", "depth", "slot_idx", "ordinal", "level"), T.IntegerType()),
-    "ordered": T.BooleanType(), **dict.fromkeys(("args", "keys", "lines", "columns"), T.ArrayType(T.StringType())), "rows": T.ArrayType(ROW), "bib": T.ArrayType(ENTRY),
+    "ordered": T.BooleanType(), **dict.fromkeys(("args", "keys", "lines", "columns"), T.ArrayType(T.StringType())), "rows": T.ArrayType(ROW), "bib": T.ArrayType(ENTRY), "starts": T.ArrayType(T.IntegerType()),
 }
 NODE = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in parser.COLUMNS])
 FINDING = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())] + [T.StructField(c, T.StringType()) for c in ("severity", "message", "code")])
@@ -28,8 +30,8 @@ SYMBOL = T.StructType([T.StructField(c, T.IntegerType()) for c in ("symbol_id",
 ELEMENT = T.StructType([T.StructField("element_id", T.IntegerType()), T.StructField("element", T.StringType()), T.StructField("text", T.StringType()), T.StructField("term", T.StringType())] + [T.StructField(c, T.IntegerType()) for c in ("level", "depth", "number", "columns")] + [T.StructField("segments", T.ArrayType(T.StringType()))])
 
 
-def rows_of(docs: DataFrame, make: Callable[[str], list], added: T.StructType, text: str = "tex", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Each row's keys with each of the rows that `make` gives for its text; null reads as empty."""
+def rows_of(docs: DataFrame, make: Callable[[str], list], added: T.StructType, text: str = "tex", keys: tuple[str, ...] = ("doc_id",), failed: Callable[[Exception], list] = lambda e: []) -> DataFrame:
+    """Each row's keys with each of the rows that `make` gives for its text; null reads as empty. `failed` gives the rows of a text on which `make` raises."""
     schema = T.StructType([docs.schema[k] for k in keys] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +47,10 @@ def rows_of(docs: DataFrame, make: Callable[[str], list], added: T.StructType, t
                 places, made = [], []
                 for k, source in enumerate(column[first : first + step], first):
                     if source not in known:
-                        known[source] = make(source or "")
+                        try:
+                            known[source] = make(source or "")
+                        except Exception as e:  # one document's fault stops no job
+                            known[source] = failed(e)
                     places += [k] * len(known[source])
                     made += known[source]
                 columns = list(zip(*made)) if made else [[] for _ in kinds]
@@ -68,10 +73,11 @@ _STRUCTS = {
 }
 
 
-def nodes(docs: DataFrame, plugins: tuple = (), text: str = "tex", keys: tuple[str, ...] = ("doc_id",), kinds: tuple[str, ...] = (), columns: tuple[str, ...] = ()) -> DataFrame:
+def nodes(docs: DataFrame, plugins: tuple = (), text: str = "tex", keys: tuple[str, ...] = ("doc_id",), kinds: tuple[str, ...] = (), columns: tuple[str, ...] = (), forms: bool = False) -> DataFrame:
     """The node table: one row for each node of each document, in pre-order.
 
     No filter or projection passes the map by itself: `kinds` and `columns` tell it which rows and columns are asked for.
+    With `forms`, each of a formula's lines (or its text) stands beside it as `unicode` and as `mathml`.
     """
     wanted, picked = frozenset(kinds) or None, columns or parser.COLUMNS
     places = [(_PLACE[c], _STRUCTS.get(c)) for c in picked]
@@ -80,9 +86,18 @@ def nodes(docs: DataFrame, plugins: tuple = (), text: str = "tex", keys: tuple[s
 
     def make(source: str) -> list[tuple]:
         rows = parser.flatten(transformed(parser.parse(source, plugins), plugins), wanted)
-        return [tuple(r[k] if f is None else f(r[k]) for k, f in places) for r in rows]
+        return [tuple(r[k] if f is None else f(r[k]) for k, f in places) + (_forms(r) if forms else ()) for r in rows]
 
-    return rows_of(docs, make, T.StructType([NODE[c] for c in picked]), text, keys)
+    added = [T.StructField(c, T.ArrayType(T.StringType())) for c in ("unicode", "mathml") if forms]
+    return rows_of(docs, make, T.StructType([NODE[c] for c in picked] + added), text, keys)
+
+
+def _forms(row: tuple) -> tuple[list[str] | None, list[str] | None]:
+    kind = row[_PLACE["kind"]]
+    if kind not in ("MathInline", "MathDisplay", "MathLines"):
+        return None, None
+    lines, shown = (row[_PLACE["lines"]] if kind == "MathLines" else [row[_PLACE["text"]]]), mathml.inline if kind == "MathInline" else mathml.display
+    return [mathfmt.to_unicode(x) for x in lines], [shown(x) for x in lines]
 
 
 def transformed(made: list, plugins: tuple) -> list:
@@ -144,11 +159,8 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def texts_within(table: DataFrame, kind: str) -> DataFrame:
-    """Concatenated text of each node of a kind: a range of node ids, without recursion."""
-    outer = table.where(F.col("kind") == kind).select("doc_id", F.col("node_id").alias("outer_id"), F.col("subtree_end").alias("outer_end"))
-    inner = table.where("kind = 'Text'").select("doc_id", "node_id", "text")
-    both = outer.join(inner, "doc_id").where("node_id > outer_id and node_id < outer_end")
-    return both.groupBy("doc_id", "outer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "").alias("text"))
+    """Concatenated text of each node of a kind, without pairs of nodes: see `serialise.contents`."""
+    return serialise.contents(table, kind)
 
 
 def texts_of(docs: DataFrame, *kinds: str, text: str = "tex") -> DataFrame:
@@ -156,12 +168,11 @@ def texts_of(docs: DataFrame, *kinds: str, text: str = "tex") -> DataFrame:
     fields = [NODE[c] for c in ("node_id", "kind", "name", "label")] + [T.StructField("text", T.StringType())]
 
     def make(source: str) -> list[tuple]:
-        out, rows = [], parser.flatten(parser.parse(source))
-        for r in rows:
-            if r[_PLACE["kind"]] in kinds:
-                inner = rows[r[_PLACE["node_id"]] : r[_PLACE["subtree_end"]]]
-                out.append((*(r[_PLACE[c]] for c in ("node_id", "kind", "name", "label")), "".join(x[_PLACE["text"]] for x in inner if x[_PLACE["kind"]] == "Text")))
-        return out
+        rows = parser.flatten(parser.parse(source), frozenset((*kinds, "Text")))
+        texts = [r for r in rows if r[_PLACE["kind"]] == "Text"]
+        ids = [r[_PLACE["node_id"]] for r in texts]
+        inner = lambda r: texts[bisect_left(ids, r[_PLACE["node_id"]]) : bisect_left(ids, r[_PLACE["subtree_end"]])]
+        return [(*(r[_PLACE[c]] for c in ("node_id", "kind", "name", "label")), "".join(x[_PLACE["text"]] for x in inner(r))) for r in rows if r[_PLACE["kind"]] in kinds]
 
     return rows_of(docs, make, T.StructType(fields), text)
 
@@ -199,7 +210,13 @@ def metadata(table: DataFrame) -> DataFrame:
 # whole documents
 
 def findings(docs: DataFrame, compat: bool = False) -> DataFrame:
-    return rows_of(docs, lambda s: [tuple(f.values()) for f in analysis.findings(s, compat)], FINDING)
+    """What is wrong with each document; one that can't be read at all has a finding `unreadable`."""
+
+    def make(source: str) -> list[tuple]:
+        parser.parse(source)
+        return [tuple(f.values()) for f in analysis.findings(source, compat)]
+
+    return rows_of(docs, make, FINDING, failed=lambda e: [(0, 0, "error", f"{type(e).__name__}: {e}", "unreadable")])
 
 
 def outline(docs: DataFrame) -> DataFrame:
