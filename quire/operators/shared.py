@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +30,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+_open: list[list[tuple[SparkSession, str]]] = []
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder's name in the shared folder; it is deleted when the driver ends."""
+    """A new folder's name in the shared folder; it is deleted when the driver ends, or with the `scratch` around the call."""
     path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    (_open[-1] if _open else _written).append((spark, path))
     return path
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Folders that are named within go when it ends: what was read from them must have been written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame's rows, written to the shared folder and read from there; the files go when the driver ends."""
     spark = frame.sparkSession
@@ -49,7 +68,6 @@ def cut(frame: DataFrame) -> DataFrame:
 def _delete() -> None:
     for spark, path in _written:
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # the session has ended before
             return

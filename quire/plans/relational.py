@@ -145,3 +145,51 @@ def nested_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.spread(B.read(spark, sf_dir, "nation").select(key.cast("long").alias("doc_id"), levels.alias("levels"), pick(map(F.lit, _NESTED)).alias("kind"), pick(forms).alias("tex")))
     made = nodes.nodes(docs, keys=("doc_id", "kind", "levels"), columns=("depth",))
     return made.groupBy(F.col("doc_id").alias("n"), "kind", "levels").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
+
+
+@query(
+    """WITH x AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation), s AS (SELECT r, count(*)::INT AS n, min(k) AS first, max(k) AS last FROM x GROUP BY r), t AS (SELECT min(r) AS low, max(r) AS high FROM s)
+    SELECT 0::BIGINT AS batch, 'r' || r || '.tex' AS file, (n + 2)::INT AS elements FROM s
+    UNION ALL SELECT 1, 'r' || r || '.tex', (n + 3)::INT FROM s, t WHERE r = low
+    UNION ALL SELECT 2, 'old.tex', 1
+    UNION ALL SELECT 3, 'r' || r || '.tex', (n + 1)::INT FROM s, t WHERE r = high
+    UNION ALL SELECT 4, 'n' || last || '.tex', 1 FROM s, t WHERE r = high UNION ALL SELECT 4, 'r' || r || '.tex', n::INT FROM s, t WHERE r = high"""
+)
+def watch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each region, which reads one for each nation, watched over changes: a file that was asked for comes late and with an
+    old time, an old file comes that nobody asks for, a file that is read goes, and a document no longer reads another.
+
+    Files end with a line feed, so a document that ends with one that it reads ends with a blank line: one element more.
+    """
+    from quire.operators.shared import scratch_folder
+    from quire.sources import sinks
+    from quire.streaming import watch
+
+    folder, nation = scratch_folder(spark), B.read(spark, sf_dir, "nation")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    build = watch.rebuilder(spark, f"{folder}/raw", f"{folder}/built")
+
+    def step(rows: DataFrame | None = None, gone: str | None = None, old: str | None = None) -> None:
+        if rows is not None:
+            sinks.write_sources(rows, f"{folder}/raw")
+        if old:
+            system.setTimes(path(f"{folder}/raw/{old}"), 86_400_000, -1)
+        if gone:
+            system.delete(path(f"{folder}/raw/{gone}"), False)
+        watch.wait(watch.watch(watch.ticks(spark), build, f"{folder}/state"))
+
+    ends = nation.agg(F.min("n_regionkey"), F.max("n_regionkey")).first()
+    keys = [r[0] for r in nation.where(F.col("n_regionkey") == ends[1]).select("n_nationkey").orderBy("n_nationkey").collect()]  # of one region
+    call = lambda k: B.cat("\\input{n", k, "}")
+    inner = nation.select(B.cat("n", F.col("n_nationkey"), ".tex").alias("file"), B.cat("\\section{", F.col("n_name"), "}").alias("tex"))
+    outer = B.gathered(nation, "n_regionkey", call(F.col("n_nationkey")), "n_nationkey", between="").select(B.cat("r", F.col("doc_id"), ".tex").alias("file"), B.cat("\\chapter{r}", F.col("body"), F.when(F.col("doc_id") == ends[0], "\\input{late}").otherwise("")).alias("tex"))
+    one = lambda name, tex: spark.range(1).select(F.lit(name).alias("file"), F.lit(tex).alias("tex"))
+    step(inner.unionByName(outer))
+    step(one("late.tex", "\\section{late}"), old="late.tex")
+    step(one("old.tex", "\\section{old}"), old="old.tex")
+    step(gone=f"n{keys[0]}.tex")
+    kept = "".join(f"\\input{{n{k}}}" for k in keys[1:-1])
+    step(one(f"r{ends[1]}.tex", "\\chapter{r}" + kept))
+    made = spark.read.parquet(f"{folder}/built/out")
+    return made.select(F.col("batch").cast("long").alias("batch"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "elements")

@@ -34,22 +34,32 @@ def _joined(folder: Column, name: Column) -> Column:
     return F.when((folder == "") | name.startswith("/"), name).otherwise(F.concat(folder, F.lit("/"), name))
 
 
+def input_places(docs: DataFrame, search_paths: tuple[str, ...] = ()) -> DataFrame:
+    """(path, base_dir, call, name, rank, file): each place where a name that a source reads is looked for, whether it has a file or not."""
+    base = F.col("base_dir") if "base_dir" in docs.columns else F.lit("")
+    edges = docs.select("path", F.coalesce(base, F.lit("")).alias("base_dir"), F.explode(C.input_calls(F.col("tex"))).alias("c")).select("path", "base_dir", "c.call", "c.name")
+    plain = _with_ending(F.col("name"))
+    places = F.array(_joined(F.col("base_dir"), plain), *(_joined(F.lit(p), plain) for p in search_paths), plain)
+    return edges.select("*", F.posexplode(places).alias("rank", "file"))
+
+
+def resolved(places: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, base_dir, call, name, file): of each name the first place that `files` (path) has, or null."""
+    found = places.join(files.select(F.col("path").alias("file"), F.lit(True).alias("held")).distinct(), "file", "left")
+    file = F.min_by("file", F.when(F.col("held"), F.col("rank"))).alias("file")
+    return found.groupBy("path", "base_dir", "call", "name").agg(file, F.max("held").alias("held")).withColumn("file", F.when(F.col("held"), F.col("file"))).drop("held")
+
+
 def input_edges(docs: DataFrame, files: DataFrame | None = None, search_paths: tuple[str, ...] = ()) -> DataFrame:
     """(path, base_dir, call, name, file): what each source reads.
 
     A name is looked for in `base_dir` (a column of `docs`; none is the top), in the search paths, and as it is; the first file
     that `files` (path) has counts. `file` is null where there is none. Without `files`, it is the name with its ending.
     """
-    base = F.col("base_dir") if "base_dir" in docs.columns else F.lit("")
-    edges = docs.select("path", F.coalesce(base, F.lit("")).alias("base_dir"), F.explode(C.input_calls(F.col("tex"))).alias("c")).select("path", "base_dir", "c.call", "c.name")
-    plain = _with_ending(F.col("name"))
+    places = input_places(docs, search_paths)
     if files is None:
-        return edges.withColumn("file", plain)
-    places = F.array(_joined(F.col("base_dir"), plain), *(_joined(F.lit(p), plain) for p in search_paths), plain)
-    tried = edges.select("*", F.posexplode(places).alias("rank", "file"))
-    found = tried.join(files.select(F.col("path").alias("file"), F.lit(True).alias("held")).distinct(), "file", "left")
-    file = F.min_by("file", F.when(F.col("held"), F.col("rank"))).alias("file")
-    return found.groupBy("path", "base_dir", "call", "name").agg(file, F.max("held").alias("held")).withColumn("file", F.when(F.col("held"), F.col("file"))).drop("held")
+        return places.where(F.col("rank") == 1 + len(search_paths)).drop("rank")
+    return resolved(places, files)
 
 
 def _reached(docs: DataFrame, files: DataFrame, search_paths: tuple[str, ...]) -> DataFrame:

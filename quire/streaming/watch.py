@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quire.functions import columns as C
 from quire.functions import parser
 from quire.operators import nodes
-from quire.operators.shared import cut
+from quire.operators.shared import cut, scratch
 from quire.sources import files
 
 #: Seconds between looks.
@@ -74,39 +74,80 @@ def readers(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return seen
 
 
+#: What is known of each file, by batch: `held` is the batch that its text was written in, null where the file is gone.
+_MANIFEST = "path string, mtime timestamp, length long, content_hash string, held int, batch int"
+_SOURCES = "path string, tex string, batch int"
+_PLACES = "path string, base_dir string, call string, name string, rank int, file string, batch int"
+
+
+def _latest(log: DataFrame, number: int) -> DataFrame:
+    """Of each path what the last batch before this one says; paths that are gone are left out."""
+    return log.where(F.col("batch") < number).groupBy("path").agg(F.max_by(F.struct("mtime", "length", "content_hash", "held"), "batch").alias("m")).select("path", "m.*").where("held is not null")
+
+
 def rebuilder(spark: SparkSession, raw: str, folder: str, make: Callable[[DataFrame], DataFrame] = element_counts, report: Report | None = None, pattern: str = "*.tex") -> Callable[[DataFrame, int], None]:
-    """A `build` for a watch by `ticks`: looks for sources under `raw` that were written since it last did, finds anew what reads
-    what, and writes what `make` makes of the documents that a change reaches, with all they read in place, to `folder`/out.
+    """A `build` for a watch by `ticks`: looks for sources under `raw` that have come, changed or gone, and writes what `make` makes
+    of the documents that this reaches, with all they read in place, to `folder`/out; documents that are gone, to `folder`/gone.
+
+    A listing is held against a manifest of what is known: a file of another time or length, be it older or newer, is opened, and
+    one of another content counts as changed. Where names are looked for is kept for each source, so only the changed ones are
+    scanned for names, and readers are found by joins with what has changed; texts are written once, when they change. A document
+    is a source that no other one reads; names are looked for in the reader's folder and in `raw`.
 
-    A document is a source that no other one reads; names are looked for in the reader's folder and in `raw`. Only files that are as new as the newest one seen are opened. Tables are parted
-    by batch and overwritten if a batch is taken again, so a restart repeats nothing. `report` is told of each stage.
+    Manifest, sources, places and outputs are logs parted by batch, overwritten if a batch is taken again, so a restart repeats
+    nothing. What a batch needs in between is deleted with it. `report` is told of each stage.
     """
     tell = report or (lambda stage, percent: None)
     top = spark._jvm.org.apache.hadoop.fs.Path(raw)
     top = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
-    schema = "path string, tex string, mtime timestamp, content_hash string, batch int"
+
+    def log(name: str, schema: str, number: int) -> DataFrame:
+        none = spark.createDataFrame([], schema)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        return spark.read.schema(schema).parquet(f"{folder}/{name}").where(F.col("batch") <= number) if there else none
+
+    def write(frame: DataFrame, name: str, number: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
     def build(_: DataFrame, number: int) -> None:
         tell(*STAGES[0])
-        here = f"{folder}/sources/batch={number}"
-        spark.createDataFrame([], schema).drop("batch").write.mode("overwrite").parquet(here)  # there is a table, whatever is found
-        before = spark.read.schema(schema).parquet(f"{folder}/sources").where(F.col("batch") < number)
-        since = before.agg(F.max("mtime")).first()[0]
-        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(raw)
-        found = _texts(found if since is None else found.where(F.col("modificationTime") >= F.lit(since)))
-        new = cut(found.join(before.select("path", "content_hash"), ["path", "content_hash"], "left_anti").select("path", "tex", "mtime", "content_hash"))
-        if new.isEmpty():
-            tell(*STAGES[3])
+        with scratch():
+            batch(number)
+        tell(*STAGES[3])
+
+    def batch(number: int) -> None:
+        known = cut(_latest(log("manifest", _MANIFEST, number), number))
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(raw)
+        listing = cut(listed.select("path", F.col("modificationTime").alias("mtime"), "length"))
+        gone = known.join(listing, "path", "left_anti")
+        touched = cut(listing.join(known, ["path", "mtime", "length"], "left_anti"))
+        if gone.isEmpty() and touched.isEmpty():
             return
-        new.write.mode("overwrite").parquet(here)
-        held = spark.read.schema(schema).parquet(f"{folder}/sources").where(F.col("batch") <= number)
-        now = cut(held.groupBy("path").agg(F.max_by("tex", "batch").alias("tex")).withColumn("base_dir", F.regexp_replace("path", "/[^/]*$", "")))
+        opened = _texts(listed.join(touched.select("path"), "path", "left_semi")).withColumn("length", F.octet_length("tex").cast("long"))
+        opened = cut(opened.drop("mtime", "length").join(touched, "path").join(known.select("path", F.col("content_hash").alias("before"), "held"), "path", "left"))
+        new = opened.where("before is null or not (content_hash <=> before)")
+        rows = opened.select("path", "mtime", "length", "content_hash", F.when(F.col("content_hash").eqNullSafe(F.col("before")) & F.col("held").isNotNull(), F.col("held")).otherwise(number).alias("held"))
+        lost = gone.select("path", F.lit(None).cast("timestamp").alias("mtime"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("int").alias("held"))
+        write(rows.unionByName(lost), "manifest", number)
+        seeds = cut(new.select("path").unionByName(gone.select("path")))
+        if seeds.isEmpty():
+            return
+        write(new.select("path", "tex"), "sources", number)
         tell(*STAGES[1])
-        edges = cut(files.input_edges(now, now.select("path"), (top,)).where("file is not null").select("path", "file"))
-        reached = readers(new, edges)
-        roots = now.join(reached, "path").join(edges.select(F.col("file").alias("path")), "path", "left_anti")
+        write(files.input_places(new.select("path", "tex", F.regexp_replace("path", "/[^/]*$", "").alias("base_dir")), (top,)), "places", number)
+        now = cut(_latest(log("manifest", _MANIFEST, number), number + 1).select("path", F.col("held").alias("batch")))
+        # What holds of a source is what its last text says, so its older places fall to the join with the manifest.
+        places = log("places", _PLACES, number).join(now, ["path", "batch"], "left_semi").drop("batch")
+        texts = log("sources", _SOURCES, number).join(now, ["path", "batch"], "left_semi").withColumn("base_dir", F.regexp_replace("path", "/[^/]*$", ""))
+        # What a changed source used to read may be read by none now, and so be a document.
+        dropped = log("places", _PLACES, number).join(known.select("path", F.col("held").alias("batch")).join(seeds, "path"), ["path", "batch"], "left_semi").select(F.col("file").alias("path"))
+        reached = readers(seeds, places.select("path", "file")).unionByName(dropped).distinct()
+        held = files.resolved(places.join(reached.select(F.col("path").alias("file")), "file", "left_semi").select("path", "base_dir", "call", "name").distinct().join(places, ["path", "base_dir", "call", "name"]), now)
+        read = held.where("file is not null").select(F.col("file").alias("path"))
+        roots = texts.join(reached, "path", "left_semi").join(read, "path", "left_anti").select("path", "tex", "base_dir")
         tell(*STAGES[2])
-        make(files.resolve_inputs(roots, now, (top,))).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-        tell(*STAGES[3])
+        make(files.resolve_inputs(roots, texts.select("path", "tex"), (top,))).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        write(gone.select("path"), "gone", number)
 
     return build

@@ -215,6 +215,67 @@ def test_a_watch_builds_what_a_change_reaches(spark, tmp_path):
     assert told == [*watch.STAGES, watch.STAGES[0], watch.STAGES[3], *watch.STAGES]
 
 
+def test_a_watch_sees_old_late_and_lost_files(spark, tmp_path):
+    import os
+
+    from quire.streaming import watch
+
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    built = []
+
+    def put(name, text, day=None):
+        (raw / name).write_text(text)
+        if day:
+            os.utime(raw / name, (day * 86400, day * 86400))
+
+    def make(docs):
+        built.append({r.path.rsplit("/", 1)[1]: r.tex for r in docs.collect()})
+        return watch.element_counts(docs)
+
+    build = watch.rebuilder(spark, f"file://{raw}", str(tmp_path / "built"), make)
+    run = lambda: watch.wait(watch.watch(watch.ticks(spark), build, str(tmp_path / "state")))
+    put("a.tex", "A\\input{b}\\input{late}")
+    put("b.tex", "B")
+    put("lone.tex", "L")
+    run()
+    assert built[-1] == {"a.tex": "AB", "lone.tex": "L"}
+    put("late.tex", "[late]", day=1)  # older than all that were seen; a document asked for it before it came
+    put("old.tex", "O", day=2)
+    run()
+    assert built[-1] == {"a.tex": "AB[late]", "old.tex": "O"}
+    put("b.tex", "B", day=3)  # another time, the same content
+    n = len(built)
+    run()
+    assert len(built) == n
+    put("b.tex", "C", day=4)
+    run()
+    assert built[-1] == {"a.tex": "AC[late]"}
+    (raw / "late.tex").unlink()
+    (raw / "old.tex").unlink()
+    run()
+    assert built[-1] == {"a.tex": "AC"}
+    assert {r.path.rsplit("/", 1)[1] for r in spark.read.parquet(str(tmp_path / "built" / "gone")).collect()} == {"late.tex", "old.tex"}
+    put("late.tex", "again", day=1)
+    put("a.tex", "now alone")
+    run()
+    assert built[-1] == {"a.tex": "now alone", "b.tex": "C", "late.tex": "again"}  # nothing reads the latter two any longer
+    sources = spark.read.parquet(str(tmp_path / "built" / "sources"))
+    assert sources.groupBy("batch").count().orderBy("batch").select("count").collect()[1:] == [(2,), (1,), (2,)]  # only what changed is written
+
+
+def test_scratch_folders_go_with_their_scope(spark):
+    import os
+
+    from quire.operators import shared
+
+    with shared.scratch():
+        path = shared.scratch_folder(spark)
+        shared.cut(spark.range(3))
+        spark.range(1).write.parquet(path)
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
 def test_plugins_change_the_tree(spark):
     from quire.functions.plugins import Plugin, PluginError
 
