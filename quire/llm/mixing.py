@@ -21,7 +21,7 @@ texts stay where they are. The driver holds numbers by source, up to
 Defined results: a null source is a source; documents without tokens are in
 every epoch of their source, at no cost, also where the budget is used up; a
 source without tokens is used once; rows that share an id are rows of their
-own, with one place in the permutation; very long texts are counted whole; an
+own, with one place in the permutation, those without an id by their texts; very long texts are counted whole; an
 empty table gives no rows. `realise` returns the columns of the input and no
 others, whatever their names.
 """
@@ -107,9 +107,9 @@ class Mixture:
     """`exponent`, and `met`: whether it keeps to the limits; `weights`: source, docs, tokens, weight, epochs; `schedule`: one row for each use of a document; `realise`: the documents themselves."""
 
     def __init__(self, docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", tokens=count_words, budget: float | None = None, target_entropy: float | None = None, max_repeats: float | None = 2.0, block_tokens: int = 1_000_000, seed: str = SEED):
-        self.docs, self.key, self.source, self.seed, self.tokens = docs, key, source, seed, tokens(F.col(text))
+        self.docs, self.key, self.source, self.seed, self.tokens, self.text = docs, key, source, seed, tokens(F.col(text)), text
         work = Workspace(docs.sparkSession)
-        self.rows = work.table(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), self.tokens.alias("n_tokens")))
+        self.rows = work.table(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), self.tokens.alias("n_tokens"), self._salt(F.col(key), F.col(text)).alias("salt")))
         counted = work.table(self.rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")))
         self.n = counted.count()
         shares = Shares(counted, self.n)
@@ -126,18 +126,27 @@ class Mixture:
         self.weights = counted.select("source", "docs", "tokens", F.when(F.col("tokens") > 0, weight).otherwise(0.0).alias("weight"), near.alias("epochs"))
         self.ranges = max(1, (counted.agg(F.max("docs")).first()[0] or 1) // RANGE)
 
-    def _hash(self, key: Column, epoch: Column) -> Column:
-        return F.xxhash64(F.lit(self.seed), key, epoch)
+    @staticmethod
+    def _salt(key: Column, text: Column) -> Column:
+        """Rows without an id are told apart by their texts; null, which changes no hash, for all others."""
+        return F.when(key.isNull(), F.xxhash64(text))
+
+    def _hash(self, key: Column, epoch: Column, salt: Column) -> Column:
+        return F.xxhash64(F.lit(self.seed), key, epoch, salt)
 
     def _sized(self, frame: DataFrame) -> DataFrame:
         return F.broadcast(frame) if self.n <= MOST_SOURCES else frame
 
     def schedule(self) -> DataFrame:
+        """doc_id, source, n_tokens, epoch, block, place: see `_placed`."""
+        return self._placed().drop("salt")
+
+    def _placed(self) -> DataFrame:
         """doc_id, source, n_tokens, epoch, block, place (tokens of the source's budget used with this document)."""
         side = self._sized(self.weights.select(F.col("source").alias("s"), "tokens", "epochs"))
         used = self.rows.join(side, F.col("source").eqNullSafe(F.col("s"))).drop("s")
         used = used.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("epochs").cast("int") - 1))))
-        used = used.withColumn("h", self._hash(F.col("doc_id"), F.col("epoch")))
+        used = used.withColumn("h", self._hash(F.col("doc_id"), F.col("epoch"), F.col("salt")))
         used = used.withColumn("part", F.pmod(F.shiftright("h", 24), F.lit(self.ranges)))
         own = ["source", "epoch", "part"]
         sums = used.groupBy(*own).agg(F.sum("n_tokens").alias("sum"))
@@ -149,21 +158,19 @@ class Mixture:
         quota = F.col("epochs") * F.col("tokens")
         placed = placed.where((F.col("place") <= quota + 1e-6) | (F.col("n_tokens") == 0))
         block = F.when(quota > 0, F.least(F.lit(self.blocks), F.greatest(F.lit(1), F.ceil(F.col("place") / quota * self.blocks)))).otherwise(1)
-        return placed.select("doc_id", "source", "n_tokens", F.col("epoch").cast("int").alias("epoch"), block.cast("long").alias("block"), F.col("place").cast("long").alias("place"))
+        return placed.select("doc_id", "source", "n_tokens", F.col("epoch").cast("int").alias("epoch"), block.cast("long").alias("block"), F.col("place").cast("long").alias("place"), "salt")
 
-    def realise(self, schedule: DataFrame | None = None) -> DataFrame:
+    def realise(self) -> DataFrame:
         """The rows of `docs`, each as often as the schedule uses it. No text is shuffled: only the place of each epoch's cut is joined."""
-        schedule = self.schedule() if schedule is None else schedule
         of, n, cut, whole, drawn = fresh(self.docs.columns, "source", "epoch", "cut", "whole", "tokens")
 
-        def point(key: Column, epoch: Column) -> Column:
-            h = self._hash(key, epoch)
+        def point(h: Column, key: Column) -> Column:
             return F.struct(F.pmod(F.shiftright(h, 24), F.lit(self.ranges)).alias("part"), h.alias("h"), key.alias("key"))
 
-        last = schedule.where("n_tokens > 0").groupBy("source", "epoch").agg(F.max(point(F.col("doc_id"), F.col("epoch"))).alias(cut)).select(F.col("source").alias("s"), F.col("epoch").alias("e"), cut)
+        last = self._placed().where("n_tokens > 0").groupBy("source", "epoch").agg(F.max(point(self._hash(F.col("doc_id"), F.col("epoch"), F.col("salt")), F.col("doc_id"))).alias(cut)).select(F.col("source").alias("s"), F.col("epoch").alias("e"), cut)
         most = F.greatest(F.lit(0), F.ceil("epochs").cast("int") - 1)
         side = self.weights.select(F.col("source").alias(of), "epochs", F.explode(F.sequence(F.lit(0), most)).alias(n))
         side = side.join(last, F.col(of).eqNullSafe(F.col("s")) & (F.col(n) == F.col("e")), "left").select(of, n, cut, (F.col(n) + 1 <= F.col("epochs")).alias(whole))
         joined = self.docs.withColumn(drawn, self.tokens).join(self._sized(side), F.col(self.source).cast("string").eqNullSafe(F.col(of)))
-        used = F.col(whole) | F.coalesce(point(F.col(self.key), F.col(n)) <= F.col(cut), F.lit(False)) | (F.col(drawn) == 0)
+        used = F.col(whole) | F.coalesce(point(self._hash(F.col(self.key), F.col(n), self._salt(F.col(self.key), F.col(self.text))), F.col(self.key)) <= F.col(cut), F.lit(False)) | (F.col(drawn) == 0)
         return joined.where(used).select(*self.docs.columns)

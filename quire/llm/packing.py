@@ -141,12 +141,12 @@ def look_up(tables: dict[str, np.ndarray], capacities: np.ndarray, length: np.nd
 def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokens=count_words, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:
     """One row for each piece: doc_id, piece, first_token, n_tokens, bin_id, capacity, place (tokens before it in its sequence)."""
     work, most = Workspace(docs.sparkSession), max(capacities)
-    sized = docs.select(F.col(key).cast("long").alias("doc_id"), tokens(F.col(text)).alias("all"))
+    sized = docs.select(F.col(key).cast("long").alias("doc_id"), tokens(F.col(text)).alias("all"), F.xxhash64(F.col(text)).alias("digest"))
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("all") / most) - 1))))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * most).alias("first_token"), F.least(F.lit(most).cast("long"), F.col("all") - F.col("piece") * most).alias("n_tokens"))
+    pieces = pieces.select("doc_id", "piece", "digest", (F.col("piece") * most).alias("first_token"), F.least(F.lit(most).cast("long"), F.col("all") - F.col("piece") * most).alias("n_tokens"))
     pieces = work.table(pieces)
     ranges = max(1, pieces.count() // RANGE)
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(ranges))
+    part = F.pmod(F.xxhash64("doc_id", "piece", "digest"), F.lit(ranges))  # the digest spreads rows that share an id or have none
     sums = work.table(pieces.where("n_tokens > 0").groupBy("n_tokens", part.alias("part")).agg(F.count("*").alias("n")))
     counts = {r["n_tokens"]: r["n"] for r in sums.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}  # one row for each length up to the largest capacity
     tables = Plan(counts, capacities, overhead).tables()

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quire.llm import mixing, queries
 
@@ -145,3 +146,15 @@ def test_names_that_clash(spark):
     made = mixture.realise()
     assert made.columns == docs.columns and {r["__Source"] for r in made.collect()} == {"y"}
     assert Counter(r.doc_id for r in made.collect()) == Counter(r.doc_id for r in mixture.schedule().collect())
+
+
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 100)
+    docs = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    docs = docs.unionByName(spark.range(500).select(F.col("id").alias("doc_id"), F.lit("other words").alias("text"), F.lit("t").alias("source")))
+    mixture = mixing.Mixture(docs)
+    rows = mixture.schedule().where("source = 's'").collect()
+    assert len(rows) == 5000 and len({r.place for r in rows}) == 5000
+    assert mixture.realise().where("source = 's'").count() == 5000
+    cut = mixing.Mixture(docs, budget=6000.0, max_repeats=None, target_entropy=None)
+    assert cut.realise().count() == cut.schedule().count()

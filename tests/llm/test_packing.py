@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quire.llm import packing, queries
 from quire.llm.packing import Plan, look_up
 
@@ -154,3 +156,14 @@ def test_query_agrees_with_brute_force(spark, small):
         if r.bin_id is not None:
             used[r.bin_id, r.capacity] += r.n_tokens
     assert Counter((total, c) for (_, c), total in used.items()) == best_fit_in_batches([n for *_, n in pieces if n], packing.CAPACITIES, packing.OVERHEAD)
+
+
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE", 100)
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    made = packing.pack(docs)
+    got = made.collect()
+    check((r.bin_id, r.capacity, r.place, r.n_tokens) for r in got)
+    assert len(got) == 4000
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "digest" in plan
