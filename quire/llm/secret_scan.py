@@ -13,14 +13,19 @@ Two maps over Arrow batches; of the first, counts of words are shuffled, and the
 text has no spans; very long texts are scanned whole; an empty table stays empty
 (its dictionary holds the fixed identifiers alone); repeated rows give repeated
 results; other columns are passed on, and one named `spans` (in any case) is
-replaced.
+replaced. A string is looked at once, wherever several sensitive words lead to
+it, and whether it touches an earlier span costs the logarithm of their number.
+Not reported by the method: strings of letters alone or digits alone, as words
+and numbers are, strings of less than 16 characters, strings before a sensitive
+word.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -160,20 +165,47 @@ def surroundings(text: str, a: int, b: int, context: int) -> str:
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], reach: int, context: int, ratio: float, words: tuple[str, ...] = ()) -> list[tuple[int, int, str]]:
     """Candidates that start at most `reach` characters after a sensitive word and are novel by `ratio`."""
-    found = []
+    held, found, tried = Spans((a, b) for a, b, _ in taken), [], set()
     for word in _SENSITIVE.finditer(text):
         for m in _CANDIDATE.finditer(text, word.end(), word.end() + reach + LEAST):
             a, b = m.start(), _REST.match(text, m.end()).end()  # the end of the search may cut a candidate
-            if any(a < y and x < b for x, y, _ in taken) or any(a < y and x < b for x, y, _ in found):
+            if (a, b) in tried or held.touches(a, b):
                 continue
+            tried.add((a, b))
             s = text[a:b]
             if not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)):
                 continue
             if novel(s, surroundings(text, a, b, context), ratio, words):
                 found.append((a, b, "novel"))
+                held.add(a, b)
     return found
 
 
+class Spans:
+    """Spans of a text in order, those that touch made one; asking costs the logarithm of their number."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        """Whether a character of [a, b) lies in a span."""
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a
+
+    def add(self, a: int, b: int) -> None:
+        """A span that touches none."""
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def scan_text(text: str, reach: int = 40, context: int = 2048, ratio: float = RATIO, words: tuple[str, ...] = ()) -> list[tuple[int, int, str]]:
     """All spans of a text, by start and then kind."""
     base = base_spans(text)

@@ -174,3 +174,28 @@ def test_novel_spans_agree_with_a_plain_reading(spark):
 def test_a_spans_column_in_another_case_is_replaced(spark):
     frame = spark.createDataFrame([(1, "token=abcdef", "s")], "doc_id long, text string, Spans string")
     assert S.scan(frame).columns == ["doc_id", "text", "spans"]
+
+
+def test_many_spans_in_one_text_take_linear_work():
+    import time
+
+    rng = random.Random(9)
+    line = lambda: "token AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=20)) + "\n"
+    text = "".join(line() for _ in range(40_000))
+    began = time.time()
+    assert len(S.scan_text(text)) == 40_000
+    assert time.time() - began < 30
+
+
+def test_spans_touch_as_pairs_would():
+    rng = random.Random(10)
+    for _ in range(200):
+        spans = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(100) for _ in range(rng.randint(0, 8)))]
+        held = S.Spans(spans)
+        for _ in range(5):
+            a = rng.randrange(110)
+            b = a + rng.randint(1, 9)
+            assert held.touches(a, b) == any(a < y and x < b for x, y in spans)
+            if not held.touches(a, b):
+                held.add(a, b)
+                spans.append((a, b))
