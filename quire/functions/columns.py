@@ -22,9 +22,7 @@ def escape_html(text: Column) -> Column:
 
 def escape_tex(text: Column) -> Column:
     """Text that reads as itself in a TeX source; the braces of the backslash's own escape are spared."""
-    text = F.replace(text, F.lit("\\"), F.lit("\x01"))
-    text = _replaced(text, _TEX[1:])
-    return F.replace(text, F.lit("\x01"), F.lit("\\textbackslash{}"))
+    return F.array_join(F.transform(F.split(text, r"\\", -1), lambda part: _replaced(part, _TEX[1:])), "\\textbackslash{}")
 
 
 def ligatures(text: Column) -> Column:

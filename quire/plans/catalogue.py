@@ -546,7 +546,7 @@ def accent_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.nodes(docs.select("doc_id", B.cat(F.col("f"), F.col("n_name")).alias("tex"))).where("kind = 'Text'").select(F.col("doc_id").alias("n"), "text")
 
 
-@query("SELECT n_nationkey::BIGINT AS n, 'Stra' || 'ße 50% & $3 #1 a_b {x} © ' || n_name || ' LaTeX' AS text FROM nation")
+@query("SELECT n_nationkey::BIGINT AS n, 'Straße 50% & $3 #1 a_b {x} © ' || n_name || ' LaTeX' AS text FROM nation")
 def text_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     tex = B.cat("Stra\\ss e 50\\% \\& \\$3 \\#1 a\\_b \\{x\\} \\copyright{} ", F.col("n_name"), " \\LaTeX")
     docs = B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), tex.alias("tex"))
@@ -686,10 +686,12 @@ def output_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMMANDS = ", ".join(f"('{n}')" for n, _ in dims.COMPLETIONS)
 
 
-@query(f"SELECT p.prefix, c.name FROM (VALUES ('s'), ('text'), ('li'), ('zz'), ('')) p(prefix), (VALUES {_COMMANDS}) c(name) WHERE starts_with(c.name, p.prefix)")
+@query(f"SELECT p.prefix, c.name FROM (SELECT DISTINCT lower(left(p_type, k)) AS prefix FROM part, (VALUES (0), (1), (2), (3)) v(k)) p, (VALUES {_COMMANDS}) c(name) WHERE starts_with(c.name, p.prefix)")
 def completion_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first letters of the parts' types may go on to."""
     table = spark.createDataFrame(list(dims.COMPLETIONS), "name string, detail string")
-    asked = spark.createDataFrame([(p,) for p in ("s", "text", "li", "zz", "")], "prefix string")
+    typed = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.lower(F.substring(F.col("p_type"), F.lit(1), k))))
+    asked = B.read(spark, sf_dir, "part").select(typed.alias("prefix")).distinct()
     return asked.join(F.broadcast(table), F.startswith(F.col("name"), F.col("prefix"))).select("prefix", "name")
 
 
