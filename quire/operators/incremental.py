@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,13 @@ def evicted(entries: DataFrame, capacity: int, now: Column, ttl_seconds: int = 3
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("last_accessed"), "key"))
         latest = latest.withColumn("rank", rank).where(F.col("rank") <= capacity)
     return old.join(latest.select("cache", "key"), ["cache", "key"], "left_anti")
+
+
+def counted(docs: DataFrame, manifest: DataFrame, name: str = "incremental") -> tuple[DataFrame, Observation]:
+    """`stale`, and how many documents were skipped and how many are to be built, observed while the result is made: no second pass."""
+    held = manifest.select("path", "format", "content_hash", "oldest_output")
+    fresh = docs.join(held, ["path", "format", "content_hash"]).where("newest_dep is null or newest_dep <= oldest_output").select("path", "format", F.lit(True).alias("_fresh")).distinct()
+    decided = docs.join(fresh, ["path", "format"], "left")
+    seen = Observation(name)
+    rows = decided.observe(seen, F.count("_fresh").alias("skips"), F.count(F.when(F.col("_fresh").isNull(), 1)).alias("builds"))
+    return rows.where("_fresh is null").drop("_fresh"), seen

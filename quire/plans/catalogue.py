@@ -717,13 +717,17 @@ def hover_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id::BIGINT AS doc_id FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0")
 def incremental_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a manifest of every third document, those of every fifth have changed, and every seventh has a newer file."""
+    return incremental.stale(*_versions(spark, sf_dir)).select("doc_id")
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = B.read(spark, sf_dir, "documents")
     at = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
     path, form = F.col("doc_id").cast("string").alias("path"), F.lit("html").alias("format")
     now = docs.select("doc_id", path, form, C.content_hash(F.col("text")).alias("content_hash"), F.when(F.col("doc_id") % 7 == 0, at(3)).otherwise(at(1)).alias("newest_dep"))
     seen = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
     manifest = docs.where("doc_id % 3 = 0").select(path, form, C.content_hash(seen).alias("content_hash"), at(2).alias("oldest_output"))
-    return incremental.stale(now, manifest).select("doc_id")
+    return now, manifest
 
 
 @query("SELECT doc_id::BIGINT AS doc_id, min(doc_id) OVER (PARTITION BY text)::BIGINT AS first FROM documents")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import nodes, outlines, serialise, tabular
+from quire.operators import extractors, incremental, nodes, outlines, serialise, tabular
 from quire.plans import corpus as B
-from quire.plans.catalogue import _LOCATED, _OFFSETS, ORACLE, query
+from quire.plans.catalogue import _LOCATED, _OFFSETS, _versions, ORACLE, query
 
 _LISTED = rf"""{_LOCATED}, x AS (SELECT supplier, n_name, n_nationkey, list_transform(range(1, supplier % 4 + 1), lambda k: s_name || '-' || k) AS names FROM g)"""
 
@@ -193,3 +193,47 @@ def watch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     step(one(f"r{ends[1]}.tex", "\\chapter{r}" + kept))
     made = spark.read.parquet(f"{folder}/built/out")
     return made.select(F.col("batch").cast("long").alias("batch"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "elements")
+
+
+def _view(spark: SparkSession, docs: DataFrame, name: str) -> None:
+    from quire.operators import table_functions
+
+    table_functions.register(spark)
+    docs.createOrReplaceTempView(name)
+
+
+@query(ORACLE["section_levels"])
+def sql_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings in SQL, by the table function."""
+    _view(spark, B.geo_outline(spark, sf_dir), "quire_outlines")
+    return spark.sql("SELECT d.doc_id AS supplier, n.text AS title, n.level FROM quire_outlines d, LATERAL tex_parse(d.tex, 'Section') n")
+
+
+@query(ORACLE["citation_keys"])
+def sql_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cited keys in SQL, by the table function."""
+    _view(spark, B.customer_citations(spark, sf_dir), "quire_cited")
+    return spark.sql("SELECT d.doc_id AS c, k.key, k.key_idx FROM quire_cited d, LATERAL tex_parse(d.tex, 'Citation') n, LATERAL posexplode(n.keys) k(key_idx, key)")
+
+
+@query("SELECT count(*) FILTER (doc_id % 3 <> 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0)::BIGINT AS builds, count(*) FILTER (NOT (doc_id % 3 <> 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0))::BIGINT AS skips FROM documents")
+def incremental_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were skipped and that are to be built, as observed while the latter were written."""
+    from quire.operators.shared import cut
+
+    rows, seen = incremental.counted(*_versions(spark, sf_dir))
+    cut(rows)
+    return spark.createDataFrame([(seen.get["builds"], seen.get["skips"])], "builds long, skips long")
+
+
+@query("SELECT o_custkey::BIGINT AS c, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS idx, 'o' || o_orderkey AS key FROM orders")
+def labels_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by expressions where a source is flat; a third of the documents hold a comment, so the parser reads them."""
+    docs = B.order_labels(spark, sf_dir).withColumn("tex", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\\n\\n% a comment\\n"), "tex")).otherwise(F.col("tex")))
+    return extractors.extract(docs, "label").select(F.col("doc_id").alias("c"), F.col("idx").cast("int").alias("idx"), F.col("value").alias("key"))
+
+
+@query("SELECT o_custkey::BIGINT AS c, 'o' || o_orderkey AS key FROM orders UNION ALL SELECT o_custkey, 's' || o_orderkey % 10 FROM orders")
+def citations_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cited keys by both ways: documents with a bibliography go to the parser."""
+    return extractors.citations(B.customer_citations(spark, sf_dir)).select(F.col("doc_id").alias("c"), "key")

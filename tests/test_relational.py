@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import analysis, mathfmt, mathml, parser, render
-from quire.operators import nodes, outlines, serialise, tabular
+from quire.operators import extractors, nodes, outlines, serialise, table_functions, tabular
 from quire.plans import catalogue, relational  # noqa: F401
 from quire.plans import corpus as B
 
@@ -106,6 +106,33 @@ def test_lines_and_columns_of_a_long_text_take_linear_work(spark):
     assert time.time() - began < 60
 
 
+def test_constructs_by_expressions_equal_the_parser(spark):
+    rng = random.Random(12)
+    pieces = ["\\label{a}", "\\label {b~c}", "\\caption[s]{cap}", "\\footnote{note}", "\\thanks{t}", "\\includegraphics[width=2cm]{ p.png }", "\\ref{r}", "\\eqref{e}", "\\section*{S~T}", "\\chapter[x]{C}", "\\cite{k, l}", "\\citep[p][q]{m,}", "\\emph{w}", "text ", "\n\n", "\\begin{center}", "\\end{center}"]
+    odd = ["{\\label{g}}", "\\textbf{\\label{h}}", "% \\label{i}\n", "$\\label{j}$", "\\begin{itemize}\\item \\label{k}\\end{itemize}", "\\begin{odd}\\label{l}\\end{odd}", "\\verb|\\label{m}|", "\\label{", "}", "\\end{document}", "\\\\[2pt]", "\\newcommand{\\x}{\\label{n}}\\x"]
+    made = lambda: "".join(rng.choice(pieces if rng.random() < 0.95 else odd) for _ in range(rng.randint(0, 8)))
+    docs = docs_of(spark, [rng.choice(["", "", "\\documentclass{a}\\begin{document}"]) + made() + rng.choice(["", "", "\\end{document}"]) for _ in range(500)] + [None, ""])
+    fits = docs.where(extractors.flat(F.col("tex")))
+    assert fits.count() > 100
+    rows = lambda frame: sorted(map(tuple, frame.collect()))
+    for construct in extractors.CONSTRUCTS:
+        assert rows(extractors.by_expression(fits, construct)) == rows(extractors.by_parser(fits, construct)), construct
+        assert rows(extractors.extract(docs, construct)) == rows(extractors.by_parser(docs, construct))
+    exact = nodes.nodes(docs, kinds=("Citation",), columns=("keys",)).select("doc_id", F.explode("keys").alias("key"))
+    assert rows(extractors.citations(docs)) == rows(exact)
+
+
+def test_the_table_function_narrows_kinds_and_columns(spark):
+    table_functions.register(spark)
+    docs_of(spark, ["\\section{a}\\label{l}b", None, ""]).createOrReplaceTempView("tex_docs")
+    made = spark.sql("SELECT d.doc_id, n.* FROM tex_docs d, LATERAL tex_parse(d.tex, 'Section, Label') n")
+    assert made.columns == ["doc_id", *table_functions.PLACES, "name", "level", "text"]
+    assert [(r.doc_id, r.kind, r.text) for r in made.collect()] == [(0, "Section", "a"), (0, "Label", "l")]
+    whole = spark.sql("SELECT d.doc_id, n.* FROM tex_docs d, LATERAL tex_parse(d.tex) n")
+    assert whole.columns == ["doc_id", *parser.COLUMNS] and whole.count() == 3
+    assert sorted(map(str, whole.collect())) == sorted(map(str, nodes.nodes(spark.table("tex_docs")).collect()))
+
+
 # nesting
 
 DEEP = 100_000
