@@ -124,8 +124,8 @@ def test_work_grows_with_the_turns(spark):
     assert got == [f"turn {k}" + " word" * 20 for k in range(20_000)]
 
 
-def test_chunks_agree_with_brute_force(spark, monkeypatch):
-    """A conversation that is cut after each ten turns reads as its parts do, each with the system turn before it."""
+def test_chunks_change_no_window(spark, monkeypatch):
+    """Conversations that are held ten turns at a time read as they do whole: this replaces a test that windows end with each chunk."""
     monkeypatch.setattr(chat, "CHUNK", 10)
     rng = random.Random(12)
     rows = []
@@ -133,20 +133,23 @@ def test_chunks_agree_with_brute_force(spark, monkeypatch):
         for turn in range(n):
             role = "system" if turn == 0 and conv % 2 else rng.choice(["user", "assistant", "system"])
             role = "user" if turn == 0 and role == "system" and not conv % 2 else role
-            rows.append((conv, turn, role, f"t{turn}" + " w" * (rng.choice([1, 3, 9, 30]) - 1)))
+            rows.append((conv if conv != 5 else None, turn, role, f"t{turn}" + " w" * (rng.choice([1, 3, 9, 30]) - 1)))
     count = lambda text: F.regexp_count(text, F.lit(r"\S+")).cast("long")
-    for budget, history in ((40, 15), (25, 25), (10, 0)):
+    for budget, history in ((40, 15), (25, 25), (10, 0), (400, 300)):
         made = read(chat.windows(frame(spark, rows), budget=budget, history=history, tokens=count))
-        for conv in range(7):
+        for conv in (0, 1, 2, 3, 4, None, 6):
             own = [(role, text, len(text.split())) for c, _, role, text in rows if c == conv]
-            opening = own[:1] if own[0][0] == "system" else []
-            expected = []
-            for k in range(0, len(own), 10):
-                part = own[k : k + 10] if k == 0 else opening + own[k : k + 10]
-                bare = part if k == 0 or opening else [("none", *part[0][1:]), *part[1:]]  # a system turn within is a turn like others
-                first = int(bare[0][0] == "system")
-                for w, (begin, back, end) in enumerate(plain_windows([(r, n) for r, _, n in bare], budget, history)):
-                    expected.append((k + w, begin - back + (first if w or k else 0), "".join(f"<s>[{r}]\n{t}</s>" for r, t, _ in part[:first] + part[back:end])))
-            assert [(w["window"], w["repeated"], w["formatted"]) for w in made[conv]] == expected
+            first = int(own[0][0] == "system")
+            expected = plain_windows([(r, n) for r, _, n in own], budget, history)
+            found = [(k, begin - back + (first if k else 0), "".join(f"<s>[{r}]\n{t}</s>" for r, t, _ in own[:first] + own[back:end])) for k, (begin, back, end) in enumerate(expected)]
+            assert [(w["window"], w["repeated"], w["formatted"]) for w in made[conv]] == found
             assert [(t.role, t.text) for w in made[conv] for t in w["turns"]] == [(r, t) for r, t, _ in own]
             assert "".join(w["text"] for w in made[conv]) == "".join(t for r, t, _ in own if r == "assistant")
+
+
+def test_windows_of_16000_turns_agree_with_brute_force(spark):
+    rows = spark.range(16_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id, repeat(' word', int(id * 7 % 40))) AS text")
+    made = chat.windows(rows).select("window", "formatted", "repeated", "tokens").orderBy("window").collect()
+    own = [(("user", "assistant")[k % 2], f"turn {k}" + " word" * (k * 7 % 40)) for k in range(16_000)]
+    expected = plain_windows([(r, len(t.split()) + 2) for r, t in own], 1024, 256)
+    assert [(r.window, r.repeated, r.formatted) for r in made] == [(k, begin - back, "".join(f"<s>[{r}]\n{t}</s>" for r, t in own[back:end])) for k, (begin, back, end) in enumerate(expected)]
