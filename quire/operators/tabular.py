@@ -30,11 +30,12 @@ _THREE = rf"(?:\\.|[^{{}}\\]|\{{{_TWO}\}})*"
 _RULE = r"^\\(?:toprule|midrule|bottomrule|hline|cline|cmidrule)(?![A-Za-z])"
 _SPAN = rf"(?s)^\\multicolumn(?![A-Za-z])\s*\{{\s*(\d+)\s*\}}\s*\{{{_THREE}\}}\s*\{{({_THREE})\}}.*$"
 _LINES = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
-_BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: White space (fixed values).
+_BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _trim(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "^" + _BLANK, ""), _BLANK + "$", "")
+    return F.trim(text, F.lit(_BLANKS))
 
 
 def readable(tex: Column) -> Column:
@@ -79,8 +80,9 @@ def cells_of(cell: Column) -> Column:
     n = F.regexp_extract(text, _SPAN, 1)
     content = _trim(_hidden(F.regexp_extract(text, _SPAN, 2), back=True))
     padded = F.concat(F.array(content), F.array_repeat(F.lit(""), F.greatest(n.try_cast("int"), F.lit(1)) - 1))
-    whole = _hidden(F.replace(F.replace(text, F.lit("\\$"), F.lit("$")), F.lit("\\&"), F.lit("&")), back=True)
-    return F.when(n != "", padded).otherwise(F.array(whole))
+    plain = F.when(text.contains("\\"), F.replace(F.replace(text, F.lit("\\$"), F.lit("$")), F.lit("\\&"), F.lit("&"))).otherwise(text)
+    whole = F.array(F.when(plain.contains("{"), _hidden(plain, back=True)).otherwise(plain))
+    return F.when(text.startswith("\\multicolumn"), F.when(n != "", padded).otherwise(whole)).otherwise(whole)
 
 
 def rows_of(body: Column) -> Column:
@@ -90,9 +92,11 @@ def rows_of(body: Column) -> Column:
 
     def row(part: Column) -> Column:
         cells = F.split(part, r"(?<!\\)&")
-        many = F.size(cells) > 1
-        made = F.when(part.rlike(_RULE), F.array().cast("array<string>")).when(many, F.flatten(F.transform(cells, cells_of))).when(part.rlike(r"^\\multicolumn(?![A-Za-z])"), cells_of(part))
-        return F.struct(made.alias("cells"), part.rlike(_RULE).alias("is_separator"))
+        command = part.startswith("\\")
+        rule = command & part.rlike(_RULE)
+        made = F.when(rule, F.array().cast("array<string>")).when(F.contains(part, F.lit("&")) & (F.size(cells) > 1), F.flatten(F.transform(cells, cells_of)))
+        made = made.when(command & part.rlike(r"^\\multicolumn(?![A-Za-z])"), cells_of(part))
+        return F.struct(made.alias("cells"), rule.alias("is_separator"))
 
     return F.filter(F.transform(parts, row), lambda r: r["cells"].isNotNull())
 

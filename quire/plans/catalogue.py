@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from quire.functions import columns as C
 from quire.functions import dims
 from quire.functions.plugins import CustomFormat, Today, Url
-from quire.operators import incremental, nodes
+from quire.operators import incremental, nodes, outlines
 from quire.functions import mathfmt, mathml, parser, render
 from quire.plans import corpus as B
 from quire.plans import forms
@@ -512,11 +512,8 @@ _OFFSETS = """SELECT doc_id::BIGINT AS doc_id, k AS "at", (length(a) - length(re
 
 @query(_OFFSETS)
 def offset_to_linecol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth character of every document, and its end."""
-    docs, t = B.read(spark, sf_dir, "documents").where("text is not null"), F.col("text")
-    places = F.array_distinct(F.concat(F.sequence(F.lit(0), F.length(t), F.lit(100)), F.array(F.length(t))))
-    docs = docs.select("doc_id", "text", F.explode(places).alias("at"))
-    return docs.select("doc_id", "at", C.line_of(t, F.col("at")).alias("line"), C.column_of(t, F.col("at")).alias("col"), C.byte_offset(t, F.col("at")).alias("bytes"))
+    """Every hundredth character of every document, and its end, by running sums over pieces."""
+    return outlines.lines_and_columns(B.read(spark, sf_dir, "documents"), 100)
 
 
 @query(_LIGATURES)

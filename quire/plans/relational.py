@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import extractors, incremental, nodes, outlines, serialise, tabular
 from quire.plans import corpus as B
-from quire.plans.catalogue import _LOCATED, _OFFSETS, _versions, ORACLE, query
+from quire.plans.catalogue import _LOCATED, _versions, ORACLE, query
 
 _LISTED = rf"""{_LOCATED}, x AS (SELECT supplier, n_name, n_nationkey, list_transform(range(1, supplier % 4 + 1), lambda k: s_name || '-' || k) AS names FROM g)"""
 
@@ -43,8 +43,8 @@ def plain_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE["table_extract_agg"])
 def table_extract_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items through a table of TeX and back, read by column expressions: the documents prove that they need no parser."""
-    found = tabular.tables(B.lineitem_tables(spark, sf_dir)).select(F.posexplode("rows").alias("k", "row")).where("not row.is_separator and k > 2")
+    """Line items through a table of TeX and back by column expressions alone: no Python runs on executors."""
+    found = tabular.native_tables(B.lineitem_tables(spark, sf_dir)).select(F.posexplode("rows").alias("k", "row")).where("not row.is_separator and k > 2")
     cells = found.select(F.col("row.cells")[3].alias("flag"), F.expr("try_cast(row.cells[1] AS bigint)").alias("q"), F.expr("try_cast(row.cells[2] AS bigint)").alias("c"))
     return cells.groupBy("flag").agg(F.sum("q").alias("quantity"), F.sum("c").alias("cents"), F.count("*").alias("n"))
 
@@ -113,12 +113,6 @@ def brace_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlines.brace_findings(B.broken_docs(spark, sf_dir)).select(F.col("doc_id").alias("o"), "start", "end", "code")
 
 
-@query(_OFFSETS)
-def offset_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line, column and byte of every hundredth character of every document, and its end, by running sums over pieces."""
-    return outlines.lines_and_columns(B.read(spark, sf_dir, "documents"), 100)
-
-
 @query("SELECT p_partkey::BIGINT AS p, c.kind, c.t || CASE c.kind WHEN 'Quote' THEN p_partkey::VARCHAR ELSE '' END AS text FROM part, (VALUES ('Quote', 'Quoted '), ('Center', 'Centred ')) c(kind, t)")
 def contents_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text within containers as slices between running sums, from the node table alone."""
