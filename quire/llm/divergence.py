@@ -44,8 +44,8 @@ from quire.llm.workspace import Workspace
 UNIT = 1_000_000_000
 #: Terms of a chunk, chunks of a slab, and groups of a block, about.
 CHUNK, SLAB, BLOCK = 1024, 4096, 8
-#: Distinct terms that a task holds before it gives its counts away.
-HELD = 200_000
+#: Distinct terms that a task holds before it gives its counts away, and rows whose texts it holds at once.
+HELD, ROWS = 120_000, 256
 #: Groups, or languages (some 50 bytes each), up to which they are broadcast, after they have been counted.
 BROADCAST_GROUPS = 200_000
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -70,7 +70,7 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
             held.clear()
 
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             for row, of, at in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 group = (of or "", at or "")
                 if group not in held:
