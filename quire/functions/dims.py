@@ -75,14 +75,14 @@ _OTHER_NAMES = {
 
 
 def math_symbols() -> dict[str, str]:
-    """What each math command without arguments reads as."""
+    """What each math command without arguments reads as. Single signs are fixed values; families are made by rule."""
     out = dict.fromkeys(SILENT, "") | {w: w for w in WORDS} | {"quad": "  ", "qquad": "    "}
     out |= {n: U.lookup(f"GREEK SMALL LETTER {_GREEK.get(n, n).upper()}") for n in _SMALL}
     out |= {f"var{n}": out[n] for n in "epsilon theta pi rho sigma phi".split()}
     out |= {n: U.lookup(f"GREEK CAPITAL LETTER {_GREEK.get(n.lower(), n).upper()}") for n in _CAPITAL}
-    out |= {"digamma": U.lookup("GREEK SMALL LETTER DIGAMMA"), "Digamma": U.lookup("GREEK LETTER DIGAMMA"), "backepsilon": U.lookup("GREEK REVERSED LUNATE EPSILON SYMBOL")}
+    out |= {"digamma": "ϝ", "Digamma": "Ϝ", "backepsilon": "϶"}
     out |= _RELATIONS | _OPERATIONS | _LETTERS | _SHAPES | _DOTS
-    out |= {"aleph": U.lookup("ALEF SYMBOL"), "ell": U.lookup("SCRIPT SMALL L"), "langle": U.lookup("MATHEMATICAL LEFT ANGLE BRACKET"), "rangle": U.lookup("MATHEMATICAL RIGHT ANGLE BRACKET")}
+    out |= {"aleph": "ℵ", "ell": "ℓ", "langle": "⟨", "rangle": "⟩"}
     for side, way in (("l", "LEFT"), ("r", "RIGHT")):
         out |= {f"{side}ceil": U.lookup(f"{way} CEILING"), f"{side}floor": U.lookup(f"{way} FLOOR")}
     # arrows and harpoons
@@ -100,16 +100,16 @@ def math_symbols() -> dict[str, str]:
             out |= {f"{way}harpoon{turn}": U.lookup(f"{name} HARPOON WITH BARB {turn.upper()}WARDS") for turn in ("up", "down")}
             out |= {f"{turn}harpoon{way}": U.lookup(f"{turn.upper()}WARDS HARPOON WITH BARB {name}") for turn in ("up", "down")}
     out |= {f"{p}{q}arrow": U.lookup(f"{x} {y} ARROW") for p, x in (("n", "NORTH"), ("s", "SOUTH")) for q, y in (("e", "EAST"), ("w", "WEST"))}
-    out |= {"mapsto": U.lookup("RIGHTWARDS ARROW FROM BAR"), "mapsfrom": U.lookup("LEFTWARDS ARROW FROM BAR"), "longmapsto": U.lookup("LONG RIGHTWARDS ARROW FROM BAR"), "longmapsfrom": U.lookup("LONG LEFTWARDS ARROW FROM BAR")}
-    out |= {"rightleftharpoons": "⇌", "leftrightharpoons": "⇋", "leftrightsquigarrow": U.lookup("LEFT RIGHT WAVE ARROW"), "upuparrows": U.lookup("UPWARDS PAIRED ARROWS"), "downdownarrows": U.lookup("DOWNWARDS PAIRED ARROWS"), "twoheadmapsto": "⤤"}
+    out |= {"mapsto": "↦", "mapsfrom": "↤", "longmapsto": "⟼", "longmapsfrom": "⟻"}
+    out |= {"rightleftharpoons": "⇌", "leftrightharpoons": "⇋", "leftrightsquigarrow": "↭", "upuparrows": "⇈", "downdownarrows": "⇊", "twoheadmapsto": "⤤"}
     for way, turn in (("right", "CLOCKWISE"), ("left", "ANTICLOCKWISE")):
         out[f"curvearrow{way}"] = U.lookup(f"{turn} TOP SEMICIRCLE ARROW")
-    out |= {"circlearrowright": U.lookup("ANTICLOCKWISE OPEN CIRCLE ARROW"), "circlearrowleft": U.lookup("CLOCKWISE OPEN CIRCLE ARROW")}
+    out |= {"circlearrowright": "↺", "circlearrowleft": "↻"}
     # operators by shape
     for name, word in (("plus", "PLUS"), ("minus", "MINUS"), ("times", "TIMES"), ("dot", "DOT OPERATOR")):
         out |= {f"o{name}": U.lookup(f"CIRCLED {word}"), f"box{name}": U.lookup(f"SQUARED {word}")}
-    out |= {f"bigo{n}": out[f"o{n}"] for n in ("plus", "times", "dot")} | {"bigtimes": U.lookup("VECTOR OR CROSS PRODUCT")}
-    out |= {"circledast": U.lookup("CIRCLED ASTERISK OPERATOR"), "circledcirc": U.lookup("CIRCLED RING OPERATOR"), "circleddash": U.lookup("CIRCLED DASH"), "measuredangle": U.lookup("MEASURED ANGLE"), "sphericalangle": U.lookup("SPHERICAL ANGLE")}
+    out |= {f"bigo{n}": out[f"o{n}"] for n in ("plus", "times", "dot")} | {"bigtimes": "⨯"}
+    out |= {"circledast": "⊛", "circledcirc": "⊚", "circleddash": "⊝", "measuredangle": "∡", "sphericalangle": "∢"}
     for name, word in (("sum", "SUMMATION"), ("prod", "PRODUCT"), ("coprod", "COPRODUCT"), ("bigcap", "INTERSECTION"), ("bigcup", "UNION"), ("bigvee", "LOGICAL OR"), ("bigwedge", "LOGICAL AND"), ("bigsqcap", "SQUARE INTERSECTION OPERATOR"), ("bigsqcup", "SQUARE UNION OPERATOR"), ("biguplus", "UNION OPERATOR WITH PLUS")):
         out[name] = U.lookup(f"N-ARY {word}")
     for name, word in (("iint", "DOUBLE INTEGRAL"), ("iiint", "TRIPLE INTEGRAL"), ("iiiint", "QUADRUPLE INTEGRAL OPERATOR"), ("oint", "CONTOUR INTEGRAL"), ("oiint", "SURFACE INTEGRAL"), ("oiiint", "VOLUME INTEGRAL"), ("varointclockwise", "CLOCKWISE CONTOUR INTEGRAL"), ("ointctrclockwise", "ANTICLOCKWISE CONTOUR INTEGRAL"), ("fint", "INTEGRAL AVERAGE WITH SLASH"), ("sqint", "QUATERNION INTEGRAL OPERATOR"), ("landupint", "ANTICLOCKWISE INTEGRATION"), ("lownint", "INTEGRAL AROUND A POINT OPERATOR"), ("sumint", "SUMMATION WITH INTEGRAL"), ("intbar", "FINITE PART INTEGRAL"), ("intBar", "INTEGRAL WITH DOUBLE STROKE")):
@@ -127,7 +127,7 @@ def math_symbols() -> dict[str, str]:
     for k in range(26):
         c = chr(65 + k)
         out |= {name + c: alphabet(c, name) for name in ("Bbb", "scr", "frak")}
-    out |= {"Bbbk": U.lookup("MATHEMATICAL DOUBLE-STRUCK SMALL K"), "Bbb1": U.lookup("MATHEMATICAL DOUBLE-STRUCK DIGIT ONE")}
+    out |= {"Bbbk": "𝕜", "Bbb1": "𝟙"}
     for name, of in _OTHER_NAMES.items():
         out[name] = out[of]
     # limits of limits, and remainders
