@@ -231,3 +231,18 @@ def labels_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citations_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cited keys by both ways: documents with a bibliography go to the parser."""
     return extractors.citations(B.customer_citations(spark, sf_dir)).select(F.col("doc_id").alias("c"), "key")
+
+
+@query("SELECT doc_id::BIGINT AS doc_id, a.action, CASE WHEN a.action = 'build' AND doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS n FROM documents, (VALUES ('build'), ('skip')) a(action) WHERE a.action = 'build' OR doc_id % 3 <> 0")
+def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of all documents as a stream, taken twice by one query that stops in between: what is new is built, what has not changed is skipped."""
+    from quire.operators.shared import scratch_folder
+    from quire.streaming import stateful, watch
+
+    folder, docs = scratch_folder(spark), B.read(spark, sf_dir, "documents")
+    for day in (1, 2):
+        text = F.when((F.col("doc_id") % 3 == 0) & F.lit(day == 2), F.concat("text", F.lit(" new"))).otherwise(F.col("text"))
+        rows = docs.select(F.col("doc_id").cast("string").alias("path"), F.sha2(text, 256).alias("content_hash"), F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp").alias("mtime"))
+        rows.write.mode("append").parquet(f"{folder}/versions")
+        watch.wait(stateful.decide(stateful.versions(spark, f"{folder}/versions"), f"{folder}/out", f"{folder}/state"))
+    return spark.read.schema(stateful.OUTPUT).parquet(f"{folder}/out").groupBy(F.col("path").cast("long").alias("doc_id"), "action").agg(F.count("*").alias("n"))
