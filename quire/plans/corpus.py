@@ -10,10 +10,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows of a part from which documents are built, and rows of a part in which they are gathered.
+ROWS, LINES = 25_000, 100_000
+
+
+def _parts(rows: DataFrame, most: int) -> int:
+    """At least one part for each core, and as many as keep to `most` rows: splits and shuffles go by packed bytes, which say little about the work on a row."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """A scan of fewer parts than there are cores, dealt over all of them; larger scans stay as they are, unshuffled."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """A scan dealt over parts of at most `ROWS` rows (as counted from the files' footers) and over all cores; one that has such parts stays as it is."""
+    parts = _parts(rows, ROWS)
+    return rows.repartition(parts) if rows.rdd.getNumPartitions() < parts else rows
 
 
 def cat(*parts: str | Column) -> Column:
@@ -21,10 +30,12 @@ def cat(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def gathered(rows: DataFrame, key: str, text: Column, *order: str, between: str = "\n") -> DataFrame:
-    """doc_id and `body`: the texts of each key in order."""
-    held = rows.select(F.col(key).cast("long").alias("doc_id"), F.struct(*order, text.alias("_t")).alias("_s"))
-    return held.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["_t"]), between).alias("body"))
+def gathered(rows: DataFrame, key: str, text: Column, *order: str, between: str = "\n", **more: Column) -> DataFrame:
+    """doc_id and `body`: the texts of each key in order, and further texts by name; null texts are left out. Rows are shuffled once, to parts of about `LINES`."""
+    texts = {"body": text} | more
+    held = rows.select(F.col(key).cast("long").alias("doc_id"), F.struct(*order, *(t.alias(f"_{n}") for n, t in texts.items())).alias("_s"))
+    held = held.repartition(_parts(rows, LINES), "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    return held.select("doc_id", *(F.array_join(F.col(f"_s._{n}"), between).alias(n) for n in texts))
 
 
 def wrapped(rows: DataFrame, before: str, after: str) -> DataFrame:
@@ -79,10 +90,8 @@ def customer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders")
     mention = cat("See \\", cite_name("o_orderkey"), "{o", F.col("o_orderkey"), ", s", F.col("o_orderkey") % 10, "}.")
     entry = F.when(F.col("o_orderkey") % 2 == 0, cat("\\bibitem{o", F.col("o_orderkey"), "} Order ", F.col("o_orderkey"), " of ", F.col("o_orderpriority"), "."))
-    cited = gathered(rows, "o_custkey", mention, "o_orderkey")
-    listed = gathered(rows.where("o_orderkey % 2 = 0"), "o_custkey", entry, "o_orderkey").withColumnRenamed("body", "bib")
-    both = cited.join(listed, "doc_id", "left")
-    bib = F.when(F.col("bib").isNotNull(), cat("\n\\begin{thebibliography}{99}\n", F.col("bib"), "\n\\end{thebibliography}")).otherwise("")
+    both = gathered(rows, "o_custkey", mention, "o_orderkey", bib=entry)
+    bib = F.when(F.col("bib") != "", cat("\n\\begin{thebibliography}{99}\n", F.col("bib"), "\n\\end{thebibliography}")).otherwise("")
     return both.select("doc_id", cat(whole("")[0], F.col("body"), bib, whole("")[1]).alias("tex"))
 
 

@@ -198,3 +198,17 @@ def test_query_agrees_with_sql(spark, small, name):
     found = con.execute(catalogue.ORACLE[name])
     at = [[d[0] for d in found.description].index(c) for c in names]
     assert sorted(repr([r[c] for c in names]) for r in frame.collect()) == sorted(repr([r[k] for k in at]) for r in found.fetchall())
+
+
+def test_documents_are_dealt_by_their_number(spark, small, monkeypatch):
+    """Few splits of many rows made one task each, which grew with the table."""
+    monkeypatch.setattr(B, "ROWS", 100, raising=False)
+    sizes = [r["count"] for r in B.order_meta(spark, small).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 1_500 and len(sizes) == 15 and max(sizes) < 200
+
+
+def test_rows_are_gathered_by_their_number(spark, small, monkeypatch):
+    """Adaptive coalescing put rows that pack well into few tasks."""
+    monkeypatch.setattr(B, "LINES", 200, raising=False)
+    docs = B.lineitem_tables(spark, small)
+    assert docs.groupBy(F.spark_partition_id().alias("p")).count().count() >= 20
