@@ -62,11 +62,16 @@ def _events(opening: Column, closing: Column, item_open: Column, item_close: Col
     return F.concat(own, end, items)
 
 
+def _parts(table: DataFrame) -> int:
+    """As many parts as the nodes come in, so that their shuffle keeps tasks as small as those that made them, however well the rows pack."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, table.rdd.getNumPartitions())
+
+
 def gathered(docs: DataFrame, events: DataFrame, name: str) -> DataFrame:
     """doc_id and the text of each document; one without nodes has an empty one."""
     none = docs.select("doc_id", F.expr("named_struct('pos', -1, 'phase', 0, 'ord', 0, 'sub', 0, 'frag', '')").alias("e"))
     rows = events.unionByName(none).select("doc_id", F.struct("e.pos", "e.phase", "e.ord", "e.sub").alias("at"), "e.frag")
-    return rows.groupBy("doc_id").agg(F.expr("listagg(frag, '') WITHIN GROUP (ORDER BY at)").alias(name))
+    return rows.repartition(_parts(events), "doc_id").groupBy("doc_id").agg(F.expr("listagg(frag, '') WITHIN GROUP (ORDER BY at)").alias(name))
 
 
 def _first(n: int = 0) -> Column:
@@ -172,7 +177,7 @@ def contents(table: DataFrame, kind: str) -> DataFrame:
     outer = F.when(F.col("kind") != "Text", F.col("node_id"))
     rows = table.where(F.col("kind").isin(kind, "Text")).select("doc_id", outer.alias("outer_id"), F.col("text"), F.explode(marks).alias("m")).select("doc_id", "outer_id", "m.*", F.when(F.col("edge") == 2, F.col("text")).alias("text"))
     sum_before = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("doc_id").orderBy("at", "edge").rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.repartition("doc_id").withColumn("first", F.coalesce(sum_before, F.lit(0)).cast("int"))
+    placed = rows.repartition(_parts(table), "doc_id").withColumn("first", F.coalesce(sum_before, F.lit(0)).cast("int"))
     placed = placed.withColumn("last", F.lead("first").over(Window.partitionBy("doc_id", "outer_id").orderBy("at", "edge")))
     held = F.collect_list(F.when(F.col("edge") == 1, F.struct("outer_id", "first", "last"))).alias("spans")
     whole = placed.groupBy("doc_id").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY at)").cast("binary").alias("all"), held)

@@ -212,3 +212,10 @@ def test_rows_are_gathered_by_their_number(spark, small, monkeypatch):
     monkeypatch.setattr(B, "LINES", 200, raising=False)
     docs = B.lineitem_tables(spark, small)
     assert docs.groupBy(F.spark_partition_id().alias("p")).count().count() >= 20
+
+
+def test_nodes_are_gathered_in_as_many_parts_as_they_come(spark):
+    docs = spark.range(0, 64, 1, 32).select(F.col("id").alias("doc_id"), F.lit("\\begin{quote}a\\end{quote}").alias("tex"))
+    table = nodes.nodes(docs, columns=serialise.READ, forms=True)
+    for made in (serialise.html(docs, table), serialise.plain(docs, table), serialise.contents(table, "Quote")):
+        assert made.groupBy(F.spark_partition_id().alias("p")).count().count() > 20
