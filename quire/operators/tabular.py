@@ -74,9 +74,8 @@ def _hidden(text: Column, back: bool = False) -> Column:
     return F.when(text.contains("{"), F.array_join(F.transform(pieces, hide), "")).otherwise(text)
 
 
-def cells_of(cell: Column) -> Column:
-    """A cell, or as many as it spans: the first holds the contents."""
-    text = _trim(cell)
+def cells_of(text: Column) -> Column:
+    """A trimmed cell, or as many as it spans: the first holds the contents."""
     n = F.regexp_extract(text, _SPAN, 1)
     content = _trim(_hidden(F.regexp_extract(text, _SPAN, 2), back=True))
     padded = F.concat(F.array(content), F.array_repeat(F.lit(""), F.greatest(n.try_cast("int"), F.lit(1)) - 1))
@@ -90,14 +89,16 @@ def rows_of(body: Column) -> Column:
     parts = F.flatten(F.transform(F.split(body, _LINES), lambda line: F.split(_hidden(line), r"\\\\")))
     parts = F.filter(F.transform(parts, _trim), lambda p: p != "")
 
-    def row(part: Column) -> Column:
-        cells = F.split(part, r"(?<!\\)&")
+    def row(held: Column) -> Column:
+        part, cells = held["part"], held["cells"]
         command = part.startswith("\\")
         rule = command & part.rlike(_RULE)
-        made = F.when(rule, F.array().cast("array<string>")).when(F.contains(part, F.lit("&")) & (F.size(cells) > 1), F.flatten(F.transform(cells, cells_of)))
+        made = F.when(rule, F.array().cast("array<string>")).when(F.size(cells) > 1, F.flatten(F.transform(F.transform(cells, _trim), cells_of)))
         made = made.when(command & part.rlike(r"^\\multicolumn(?![A-Za-z])"), cells_of(part))
         return F.struct(made.alias("cells"), rule.alias("is_separator"))
 
+    # A lambda's argument is computed once, an expression as often as it stands there.
+    parts = F.transform(parts, lambda p: F.struct(p.alias("part"), F.when(F.contains(p, F.lit("&")), F.split(p, r"(?<!\\)&")).alias("cells")))
     return F.filter(F.transform(parts, row), lambda r: r["cells"].isNotNull())
 
 

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import analysis, mathfmt, mathml, parser, render
+from quire.functions import analysis, mathfmt, mathml, parser, render, tables
 from quire.operators import extractors, nodes, outlines, serialise, table_functions, tabular
 from quire.plans import catalogue, relational  # noqa: F401
 from quire.plans import corpus as B
@@ -219,3 +219,26 @@ def test_nodes_are_gathered_in_as_many_parts_as_they_come(spark):
     table = nodes.nodes(docs, columns=serialise.READ, forms=True)
     for made in (serialise.html(docs, table), serialise.plain(docs, table), serialise.contents(table, "Quote")):
         assert made.groupBy(F.spark_partition_id().alias("p")).count().count() > 20
+
+
+def test_cells_without_braces_or_escapes_equal_the_scan():
+    rng = random.Random(9)
+    for _ in range(2_000):
+        text = "".join(rng.choice("\\&a {}") for _ in range(rng.randint(0, 12)))
+        for mark in ("&", "\\\\"):
+            assert tables._cut(text, mark) == [p[:-1] for p in _scan(text, mark)]
+
+
+def _scan(text, mark):
+    """Each piece with a sign at its end, so that empty ones count."""
+    out, k, depth = [""], 0, 0
+    while k < len(text):
+        if depth <= 0 and text.startswith(mark, k):
+            out.append("")
+            k += len(mark)
+            continue
+        n = 2 if text[k] == "\\" else 1
+        depth += (text[k] == "{") - (text[k] == "}")
+        out[-1] += text[k : k + n]
+        k += n
+    return [p + "." for p in out]
