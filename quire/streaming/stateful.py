@@ -12,8 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,18 +30,18 @@ class Builds(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "content_hash string", self.ttl or None)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         latest, seen = None, 0
-        for part in rows:
-            seen += len(part)
-            row = part.sort_values(["mtime", "content_hash"]).iloc[-1]
-            if latest is None or (row["mtime"], row["content_hash"]) > latest:
-                latest = row["mtime"], row["content_hash"]
-        held = self.last.get() if self.last.exists() else None
+        for row in rows:
+            seen += 1
+            version = row["mtime"], row["content_hash"]
+            if latest is None or version > latest:
+                latest = version
+        held = self.last.get()
         same = held is not None and held[0] == latest[1]
         if not same:
             self.last.update((latest[1],))
-        yield pd.DataFrame({"path": [key[0]], "content_hash": [latest[1]], "action": ["skip" if same else "build"], "seen": [seen]})
+        yield Row(path=key[0], content_hash=latest[1], action="skip" if same else "build", seen=seen)
 
     def close(self) -> None:
         pass
@@ -53,7 +52,7 @@ def decisions(stream: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     rows = stream.select("path", F.coalesce("content_hash", F.lit("")).alias("content_hash"), F.coalesce(F.unix_micros("mtime"), F.lit(0)).alias("mtime"))
-    return rows.groupBy("path").transformWithStateInPandas(Builds(ttl_seconds), OUTPUT, "Append", "ProcessingTime")
+    return rows.groupBy("path").transformWithState(Builds(ttl_seconds), OUTPUT, "Append", "ProcessingTime")
 
 
 def decide(stream: DataFrame, folder: str, checkpoint: str, ttl_seconds: int = 3600):

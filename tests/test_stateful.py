@@ -25,3 +25,23 @@ def test_what_is_old_is_forgotten(spark, tmp_path):
     run(spark, tmp_path, [("a", "1", day(1))], 1)
     time.sleep(2)
     assert run(spark, tmp_path, [("a", "1", day(2))], 1) == [("a", "1", "build", 1)] * 2
+
+
+def test_versions_are_taken_row_by_row():
+    """A frame for each path cost more than the path's rows."""
+    from pyspark.sql import Row
+
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    builds = stateful.Builds(0)
+    builds.last = Held()
+    rows = [Row(path="a", content_hash=h, mtime=m) for h, m in (("1", 1), ("3", 2), ("2", 2))]
+    for action in ("build", "skip"):
+        assert [r.asDict() for r in builds.handleInputRows(("a",), iter(rows), None)] == [{"path": "a", "content_hash": "3", "action": action, "seen": 3}]
