@@ -11,7 +11,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 #: Rows of a part from which documents are built, and rows of a part in which they are gathered.
-ROWS, LINES = 25_000, 100_000
+ROWS, LINES = 25_000, 25_000
 
 
 def _parts(rows: DataFrame, most: int) -> int:
