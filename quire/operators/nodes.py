@@ -1,8 +1,10 @@
 """Documents to the table of their nodes, and the relations read from it.
 
 All Python work on a document happens in one map over Arrow batches; equal
-sources of a batch are parsed once. A document that can't be read gives no
-nodes and never stops a job; `findings` has a row that says why.
+sources of a batch are parsed once. A document that can't be read ends the job
+with its key and the cause, as without its nodes it would look like an empty
+one. `findings` goes on and has a row that says why, so that such documents can
+be set aside.
 """
 
 from __future__ import annotations
@@ -30,8 +32,16 @@ SYMBOL = T.StructType([T.StructField(c, T.IntegerType()) for c in ("symbol_id",
 ELEMENT = T.StructType([T.StructField("element_id", T.IntegerType()), T.StructField("element", T.StringType()), T.StructField("text", T.StringType()), T.StructField("term", T.StringType())] + [T.StructField(c, T.IntegerType()) for c in ("level", "depth", "number", "columns")] + [T.StructField("segments", T.ArrayType(T.StringType()))])
 
 
-def rows_of(docs: DataFrame, make: Callable[[str], list], added: T.StructType, text: str = "tex", keys: tuple[str, ...] = ("doc_id",), failed: Callable[[Exception], list] = lambda e: []) -> DataFrame:
-    """Each row's keys with each of the rows that `make` gives for its text; null reads as empty. `failed` gives the rows of a text on which `make` raises."""
+class Unreadable(ValueError):
+    """A text that can't be read: the keys of its row, and the cause."""
+
+
+def rows_of(docs: DataFrame, make: Callable[[str], list], added: T.StructType, text: str = "tex", keys: tuple[str, ...] = ("doc_id",), failed: Callable[[Exception], list] | None = None) -> DataFrame:
+    """Each row's keys with each of the rows that `make` gives for its text; null reads as empty.
+
+    A text on which `make` raises ends the job as `Unreadable`, so that no failure looks like a text without rows. Only where
+    `failed` is given does the job go on, with the rows that it gives for such a text; they have to say that it failed.
+    """
     schema = T.StructType([docs.schema[k] for k in keys] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +59,10 @@ def rows_of(docs: DataFrame, make: Callable[[str], list], added: T.StructType, t
                     if source not in known:
                         try:
                             known[source] = make(source or "")
-                        except Exception as e:  # one document's fault stops no job
+                        except Exception as e:
+                            if failed is None:
+                                row = ", ".join(f"{name}={batch.column(i)[k].as_py()}" for i, name in enumerate(keys))
+                                raise Unreadable(f"{row}: {type(e).__name__}: {e}") from e
                             known[source] = failed(e)
                     places += [k] * len(known[source])
                     made += known[source]

@@ -1,11 +1,14 @@
 import random
 import time
+from functools import partial
 
 import duckdb
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from quire.functions import analysis, mathfmt, mathml, parser, render, tables
+from quire.functions.plugins import Plugin
 from quire.operators import extractors, nodes, outlines, serialise, table_functions, tabular
 from quire.plans import catalogue, relational  # noqa: F401
 from quire.plans import corpus as B
@@ -185,6 +188,20 @@ def test_no_document_stops_a_job(spark, monkeypatch):
     assert [r.code for r in failing.collect()] == ["unreadable"] * 3
 
 
+def test_a_failure_is_no_empty_page(spark, small, monkeypatch):
+    """A document that could not be read gave no nodes, and so an empty page like that of an empty document."""
+
+    class Odd(Plugin):
+        def transform(self, made):
+            if any("Part 7" in row for row in parser.flatten(made)):
+                raise RuntimeError("odd")
+            return made
+
+    monkeypatch.setattr(nodes, "nodes", partial(nodes.nodes, plugins=(Odd(),)))
+    with pytest.raises(PythonException, match="Unreadable: doc_id=7: RuntimeError: odd"):
+        relational.html_tree(spark, small).collect()
+
+
 RELATIONAL = sorted(n for n, f in catalogue.QUERIES.items() if f.__module__ == "quire.plans.relational")
 
 
