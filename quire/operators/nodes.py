@@ -257,7 +257,7 @@ def plain_text(docs: DataFrame) -> DataFrame:
 
 
 def layout(docs: DataFrame, today: str = "", most: int = 5000) -> DataFrame:
-    """Elements of a page. A document with more than `most` of them is an error of its own kind, in one row."""
+    """Elements of a page. A document with more than `most` of them is an error of its own kind, in one row; one that can't be laid out ends the job."""
     names = [f.name for f in ELEMENT.fields[1:]]
 
     def make(source: str) -> list:

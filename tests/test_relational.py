@@ -1,6 +1,7 @@
 import random
 import time
 from functools import partial
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -202,6 +203,24 @@ def test_a_failure_is_no_empty_page(spark, small, monkeypatch):
         relational.html_tree(spark, small).collect()
 
 
+def failing(of):
+    """A renderer that fails on order 7."""
+
+    def odd(made, *more):
+        if any(n.args and n.args[0].startswith("Order 7 ") for n in made):
+            raise RuntimeError("odd")
+        return of(made, *more)
+
+    return odd
+
+
+def test_a_failure_is_no_missing_page(spark, small, monkeypatch):
+    """A document that could not be laid out had no elements, and so was missing like one without any."""
+    monkeypatch.setattr(nodes, "render", SimpleNamespace(layout=failing(render.layout)))
+    with pytest.raises(PythonException, match="Unreadable: doc_id=7: RuntimeError: odd"):
+        catalogue.pdf_layout_elements(spark, small).collect()
+
+
 RELATIONAL = sorted(n for n, f in catalogue.QUERIES.items() if f.__module__ == "quire.plans.relational")
 
 
