@@ -74,7 +74,7 @@ def rows_of(docs: DataFrame, make: Callable[[str], list], added: T.StructType, t
 
 
 def mapped(docs: DataFrame, make: Callable[[str], object], name: str, kind: T.DataType, text: str = "tex", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Each row's keys with one value made of its text."""
+    """Each row's keys with one value made of its text; one of which none can be made ends the job, see `rows_of`."""
     return rows_of(docs, lambda s: [(make(s),)], T.StructType([T.StructField(name, kind)]), text, keys)
 
 

@@ -221,6 +221,13 @@ def test_a_failure_is_no_missing_page(spark, small, monkeypatch):
         catalogue.pdf_layout_elements(spark, small).collect()
 
 
+def test_a_failure_is_no_missing_text(spark, small, monkeypatch):
+    """A document of which no text could be made had no row."""
+    monkeypatch.setattr(nodes, "render", SimpleNamespace(plain=failing(render.plain)))
+    with pytest.raises(PythonException, match="Unreadable: doc_id=7: RuntimeError: odd"):
+        catalogue.plain_text(spark, small).collect()
+
+
 RELATIONAL = sorted(n for n, f in catalogue.QUERIES.items() if f.__module__ == "quire.plans.relational")
 
 
